@@ -105,7 +105,7 @@ class LanguageModel:
     def rows(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The evidence of each text's words."""
         table = self.table()
-        for ids in table.ids([t.split() for t in texts]):
+        for ids in table.ids(t.split() for t in texts):
             yield table.values[ids]
 
     def spans(self, rows: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:

@@ -103,5 +103,5 @@ def mix_sized(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: i
     goal = targets(sums, weights=weights, most=most)
     # one row for each source; the join is left to the optimiser, which splits a hot source
     rows = sized.alias("d").join(goal.alias("t"), F.expr("d.source <=> t.source"), "left").select("d.*", "source_size", "target")
-    rows = rows.withColumn("__expected", F.least(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(float(most))))
+    rows = rows.withColumn("__expected", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))))
     return copies(rows, doc_id="doc_id", source="source", size="size", expected="__expected", seed=seed).drop("__expected")

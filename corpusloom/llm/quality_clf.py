@@ -63,7 +63,7 @@ class QualityModel:
     def probabilities(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Softmax over labels of each text; a text without words has the bias alone."""
         table, same = self.table(), SAME_WEIGHT * np.append(self.vectors[SAME] @ self.out, 1.0)
-        for ids in table.ids([t.split() for t in texts]):
+        for ids in table.ids(t.split() for t in texts):
             z = self.bias.copy()
             if len(ids):
                 total = table.values[ids].sum(0) + (ids[1:] == ids[:-1]).sum() * same

@@ -58,7 +58,7 @@ class ToxicityModel:
     def sentences(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text, log-odds of its sentences and the numbers of their first words; without words one sentence without words."""
         table = self.table()
-        for ids in table.ids([words_of(t) for t in texts]):
+        for ids in table.ids(words_of(t) for t in texts):
             if not len(ids):
                 yield np.array([self.bias]), np.zeros(1, np.int64)
                 continue

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
 PUNCTUATION = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 SPACE = 0x20
+#: Words whose features are worked out together, but for single longer texts.
+TOGETHER = 100_000
 
 
 class WordTable(dict):
@@ -16,7 +18,7 @@ class WordTable(dict):
     describe gives an array with a row for each of a list of words.
     """
 
-    def __init__(self, width: int, describe: Callable[[list[bytes]], np.ndarray], limit: int = 600_000, dtype: type = np.float64):
+    def __init__(self, width: int, describe: Callable[[list[bytes]], np.ndarray], limit: int = 400_000, dtype: type = np.float64):
         super().__init__()
         self.describe, self.limit = describe, limit
         self.values = np.zeros((4096, width), dtype)
@@ -36,17 +38,24 @@ class WordTable(dict):
         self.values[n : n + len(new)] = self.describe(new)
         self.update(zip(new, range(n, n + len(new)), strict=True))
 
-    def ids(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
-        """For each list of words their rows' numbers, which hold until the table is used for other texts."""
-        at, size, some = 0, 0, set()
-        for i, words in enumerate(texts):
-            size += len(words)
+    def ids(self, texts: Iterable[list[bytes]]) -> Iterator[np.ndarray]:
+        """For each list of words their rows' numbers, which hold until the next; no more than some texts are held at once."""
+        held: list[list[bytes]] = []
+        some: set[bytes] = set()
+        size = 0
+        for words in texts:
+            held.append(words)
             some.update(words)
-            if size >= 200_000 or i == len(texts) - 1:
-                self.learn(some)
-                for x in texts[at : i + 1]:
-                    yield np.fromiter(map(self.__getitem__, x), np.int64, len(x))
-                at, size, some = i + 1, 0, set()
+            size += len(words)
+            if size >= TOGETHER:
+                yield from self._numbers(held, some)
+                held, some, size = [], set(), 0
+        yield from self._numbers(held, some)
+
+    def _numbers(self, texts: list[list[bytes]], words: set[bytes]) -> Iterator[np.ndarray]:
+        self.learn(words)
+        for x in texts:
+            yield np.fromiter(map(self.__getitem__, x), np.int64, len(x))
 
 
 _TABLES: dict[str, WordTable] = {}
@@ -101,4 +110,4 @@ def grams(points: np.ndarray, lengths: tuple[int, ...], buckets: int) -> tuple[n
 
 def sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """Column sums of the rows of values by group number."""
-    return np.stack([np.bincount(of, values[:, k], n) for k in range(values.shape[1])], 1)
+    return np.array([np.bincount(of, values[:, k], n) for k in range(values.shape[1])]).reshape(-1, n).T

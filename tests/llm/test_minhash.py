@@ -1,0 +1,105 @@
+import random
+
+import numpy as np
+import pytest
+
+from corpusloom.llm.components import components
+from corpusloom.llm.minhash import near_duplicates
+from corpusloom.llm.shingles import circulant_minhash, shingle_set
+from tests.llm.conftest import TABLES, needs_tables
+
+
+def shingles(text, n):
+    w = (text or "").encode().lower().split()
+    k = min(n, len(w))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+
+def brute(rows, n, percent):
+    """(n_shingles, component) of each row, by all pairs."""
+    sets = [shingles(t, n) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                root[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[top(i)] = min(d, least.get(top(i), d))
+    return [(len(sets[i]), least.get(top(i)) if sets[i] else rows[i][0]) for i in range(len(rows))]
+
+
+def check(spark, rows, n, percent, **more):
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=n, percent=percent, **more).collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    want = [(d, *b) for (d, _), b in zip(rows, brute(rows, n, percent), strict=True)]
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=key) == sorted(want, key=key)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+@pytest.mark.parametrize(("n", "percent", "block"), [(3, 85, 512), (5, 80, 8)])
+def test_groups_of_copies(spark, n, percent, block):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for group in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(30, 160))]
+        for _ in range(rng.choice([1, 2, 5, 40])):
+            text = [rng.choice(words) if rng.random() < 0.015 * (group % 4) else w for w in base]
+            rows.append((len(rows) + 1, " ".join(text).upper() if rng.random() < 0.2 else " ".join(text)))
+    rng.shuffle(rows)
+    check(spark, rows, n, percent, block=block)
+
+
+def test_edge_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "One"), (6, "one two"), (7, "two one"), (8, "a b c d e f"), (8, "a b c d e f"), (8, "other text of this id here"), (None, "a b c d e f"), (None, "null id alone here"), (9, "x " * 50_000), (10, "x " * 40_000)]
+    check(spark, rows, 3, 85)
+
+
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, "x")], "doc_id long, text string, node int, component_id string")
+    assert near_duplicates(df.limit(0)).count() == 0
+    assert near_duplicates(df).head()["component_id"] == 1
+
+
+def test_circulant_agreement_estimates_similarity():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    b = np.concatenate([a[:800], rng.integers(0, 2**63, 200, dtype=np.uint64)])
+    agree = [(circulant_minhash(np.unique(a), 256) == circulant_minhash(np.unique(b), 256)).mean()]
+    assert abs(np.mean(agree) - 800 / 1200) < 0.1
+
+
+def test_words_are_split_at_ascii_space_only():
+    assert len(shingle_set("a\u00a0b c".encode(), 1)) == 2
+    assert len(shingle_set(b"a\x0bb\x0cc\x1cd", 1)) == 3
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    rng = random.Random(2)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    star = [(200, i) for i in range(201, 260)]
+    edges = [*chain, *star, (300, 300), (301, 302), (302, 301), (301, 302), (None, 5)]
+    rng.shuffle(edges)
+    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(100, 161)} == {100}
+    assert {got[i] for i in range(200, 260)} == {200}
+    assert got[300] == 300 and got[302] == 301
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@needs_tables
+def test_query_against_brute_force(spark):
+    from corpusloom.llm.queries import op2_minhash_near_dedup
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{TABLES}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op2_minhash_near_dedup(spark, TABLES).collect()}
+    assert got == {d: b for (d, _), b in zip(rows, brute(rows, 3, 85), strict=True)}
