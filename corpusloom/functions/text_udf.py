@@ -74,20 +74,24 @@ def valid_national_id(digits: str) -> bool:
     return True
 
 
-def pii_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end), without overlaps: the first to start wins, of those the longest."""
+def pii_matches(text: str) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, begin), without overlaps: the first to start wins, of those the longest; begin: with the honorific."""
     digits = text.translate(TO_ASCII)
-    found = [("national_id", *m.span()) for m in NATIONAL_ID.finditer(digits) if valid_national_id(m[0])]
-    found += [("phone", *m.span()) for m in PHONE.finditer(digits)]
-    found += [("email", *m.span()) for m in EMAIL.finditer(text)]
-    found += [("name", *m.span(1)) for m in NAME.finditer(text)]
-    kept: list[tuple[str, int, int]] = []
+    found = [("national_id", *m.span(), m.start()) for m in NATIONAL_ID.finditer(digits) if valid_national_id(m[0])]
+    found += [("phone", *m.span(), m.start()) for m in PHONE.finditer(digits)]
+    found += [("email", *m.span(), m.start()) for m in EMAIL.finditer(text)]
+    found += [("name", *m.span(1), m.start()) for m in NAME.finditer(text)]
+    kept: list[tuple[str, int, int, int]] = []
     for span in sorted(found, key=lambda s: (s[1], -s[2])):
         if not kept or kept[-1][2] <= span[1]:
             kept.append(span)
     return kept
 
 
+def pii_spans(text: str) -> list[tuple[str, int, int]]:
+    return [m[:3] for m in pii_matches(text)]
+
+
 def redacted(text: str) -> str:
     out, at = [], 0
     for kind, start, end in pii_spans(text):
@@ -102,9 +106,9 @@ def release(pending: str) -> tuple[str, str]:
     if len(gaps) <= HOLD_WORDS:
         return "", pending
     cut = gaps[-HOLD_WORDS]
-    for _, start, end in pii_spans(pending):
-        if start < cut < end:
-            cut = start
+    for _, _, end, begin in reversed(pii_matches(pending)):
+        if begin < cut < end:
+            cut = begin
     return redacted(pending[:cut]), pending[cut:]
 
 
