@@ -14,7 +14,6 @@ from corpusloom.llm.common import fold, table
 #: Where the public tokenizers' files are.
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
 URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-PREDICTED = F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +30,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def predicted() -> F.Column:
+    return F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted")
+
+
 def held_out(folds: int, out: int) -> F.Column:
     return F.coalesce(fold(F.col("doc_id"), folds) == out, F.lit(False)).alias("held_out")
 
@@ -38,7 +41,7 @@ def held_out(folds: int, out: int) -> F.Column:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
-    return toxicity.score_texts(docs, model).select("doc_id", held_out(4, 2), "score", PREDICTED)
+    return toxicity.score_texts(docs, model).select("doc_id", held_out(4, 2), "score", predicted())
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +91,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     model = quality_clf.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
-    return quality_clf.score_texts(docs, model).select("doc_id", held_out(5, 0), "score", PREDICTED)
+    return quality_clf.score_texts(docs, model).select("doc_id", held_out(5, 0), "score", predicted())
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,12 +121,12 @@ def train(sample: Sample, *, epochs: int = 80, rate: float = 0.5, l2: float = 0.
             base = np.cumsum(sizes) - sizes
             at = np.concatenate([docs[i][0] for i in part])
             where = np.concatenate([docs[i][1] + o for i, o in zip(part, base, strict=True)])
-            z = b + np.bincount(where, w[at], sizes.sum())
+            z = b + np.bincount(where, w[at], sizes.sum()).astype(float)
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             total = np.add.reduceat(np.logaddexp(0, z), base) + np.exp(leak)  # -log of the probability that nothing is a cause
             pull = np.where(y[part] == 1, -1 / np.expm1(np.minimum(total, 500)), 1.0) * weight[part] / len(part)
             dz = np.repeat(pull, sizes) * p
-            dw, db, dl = np.bincount(at, dz[where], len(w)), dz.sum(), pull.sum() * np.exp(leak)
+            dw, db, dl = np.bincount(at, dz[where], len(w)).astype(float), dz.sum(), pull.sum() * np.exp(leak)
             dw += l2 * w * (dw != 0)
             gw += dw**2
             gb += db**2

@@ -57,6 +57,11 @@ def test_toxicity_against_brute_force(toxic_model):
         assert toxicity.noisy_or(z) == pytest.approx(plain_toxicity(toxic_model, t), abs=1e-12)
 
 
+def test_training_without_telling_words():
+    model = toxicity.train(Sample([b"a b", b"c d. e"], [0, 1], {0: 0.5, 1: 0.5}))
+    assert not model.weights.any()
+
+
 def test_training_without_examples():
     assert toxicity.train(Sample([], [], {})).weights.sum() == 0
     assert 0 < next(iter([toxicity.noisy_or(z) for z, _ in toxicity.train(Sample([b"a"], [1], {1: 1.0})).sentences([b"x"])])) <= 1
