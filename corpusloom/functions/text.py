@@ -36,21 +36,33 @@ MIN_ANSWER_CHARS = 40
 # ---- End of fixed values. ----
 
 
+#: What folding changes; most texts of other alphabets have none of it.
+FOLDED = "[\\u0640\\u200b-\\u200f\\u202a-\\u202e\\u2066-\\u2069\\u061c\\ufeff\\u064b-\\u0652\\u0670" + ALEF_FROM + ARABIC_DIGITS + PERSIAN_DIGITS + "]"
+
+
 def normalize_lines(text: Column) -> Column:
-    """Invisible characters dropped, inline whitespace collapsed, lines stripped, empty lines dropped (rules N3 to N5)."""
+    """Invisible characters dropped, inline whitespace collapsed, lines stripped, empty lines dropped (rules N3 to N5).
+
+    Plain regular expressions: splitting into an array of lines would leave whole-stage code generation.
+    """
     clean = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), INLINE_SPACE + "+", " ")
-    return F.array_join(F.filter(F.transform(F.split(clean, "\n", -1), F.trim), lambda x: x != ""), "\n")
+    return F.btrim(F.regexp_replace(clean, " ?\n[\n ]*", "\n"), F.lit(" \n"))
+
+
+def fold_letters(text: Column) -> Column:
+    """Letter variants unified, diacritics and invisible characters dropped, digits in ASCII; texts without any go through untouched."""
+    plain = F.translate(F.regexp_replace(text, INVISIBLE, ""), ALEF_FROM + ARABIC_DIGITS + PERSIAN_DIGITS, ALEF_TO + ASCII_DIGITS * 2)
+    return F.when(text.rlike(FOLDED), F.regexp_replace(plain, DIACRITICS, "")).otherwise(text)
 
 
 def fold(text: Column) -> Column:
-    """Matching key: normalised lines with letter variants unified, diacritics dropped and digits in ASCII (F1 to F5)."""
-    plain = F.translate(normalize_lines(text), ALEF_FROM + ARABIC_DIGITS + PERSIAN_DIGITS, ALEF_TO + ASCII_DIGITS * 2)
-    return F.regexp_replace(plain, DIACRITICS, "")
+    """Matching key: normalised lines, folded (F1 to F5)."""
+    return fold_letters(normalize_lines(text))
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits of the folded, lower-cased text; underscores separate."""
-    return F.regexp_extract_all(F.lower(fold(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits of the folded, lower-cased text; underscores separate. White space needs no cleaning for this."""
+    return F.regexp_extract_all(F.lower(fold_letters(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def light_stem(token: Column) -> Column:

@@ -66,8 +66,8 @@ def dense_search(questions: DataFrame, vectors: DataFrame, *, k: int, skip_self:
     return ranked(pairs.select("qid", "id", F.round(F.coalesce(score, F.lit(0.0)), 9).alias("score")), F.desc("score"), F.asc("id"), k=k)
 
 
-def rrf(lists: list[DataFrame], *, k: int = RRF_K) -> DataFrame:
-    """(qid, id, rrf, rank): sum over lists of 1 / (k + rank).
+def rrf(lists: list[DataFrame], *, k: int = RRF_K, scores: list[str] | None = None) -> DataFrame:
+    """(qid, id, rrf, rank): sum over lists of 1 / (k + rank); with ``scores`` also each list's score, null where a list lacks the id.
 
     An id that repeats in a list counts at its best rank there; later ranks stay as they are. Ties go to the smaller id.
     """
@@ -75,10 +75,11 @@ def rrf(lists: list[DataFrame], *, k: int = RRF_K) -> DataFrame:
         raise ValueError("k is negative")
     every = None
     for i, rows in enumerate(lists):
-        one = rows.select("qid", "id", "rank", F.lit(i).alias("list"))
+        one = rows.select("qid", "id", "rank", F.lit(i).alias("list"), (F.col("score") if scores else F.lit(None)).cast("double").alias("score"))
         every = one if every is None else every.unionByName(one)
-    best = every.groupBy("qid", "id", "list").agg(F.min("rank").alias("rank"))
-    fused = best.groupBy("qid", "id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 12).alias("rrf"))
+    best = every.groupBy("qid", "id", "list").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    kept = [F.max(F.when(F.col("list") == i, F.col("score"))).alias(name) for i, name in enumerate(scores or [])]
+    fused = best.groupBy("qid", "id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 12).alias("rrf"), *kept)
     return ranked(fused, F.desc("rrf"), F.asc("id"))
 
 

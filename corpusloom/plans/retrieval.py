@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluate as E, retrieval as R
-from corpusloom.plans.common import Query, long, read, values_sql
+from corpusloom.plans.common import Query, long, read, spread, values_sql
 from corpusloom.plans.text import LUCENE, TOKENS
 
 TOP, HEAD = 10, 5
@@ -20,7 +20,7 @@ def questions(spark: SparkSession, d: str, stopwords: str = "none") -> DataFrame
 
 
 def indexed(spark: SparkSession, d: str, stopwords: str = "none") -> tuple[DataFrame, DataFrame]:
-    docs, words = read(spark, d, "documents"), T.search_tokens(F.col("text"), stopwords=stopwords)
+    docs, words = spread(read(spark, d, "documents").select("doc_id", "text")), T.search_tokens(F.col("text"), stopwords=stopwords)
     return R.postings(docs, words, id="doc_id"), R.corpus_stats(docs, words)
 
 
@@ -32,15 +32,16 @@ def bm25(spark: SparkSession, d: str, *, stopwords: str = "none", b: float = R.B
 def expected(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a benchmark item's whole text.
 
-    A containment needs the item's first three tokens, so candidates come from an equi-join on them, not from all pairs.
+    A document that holds a text holds its inner tokens, so candidates come from an equi-join on the longest of
+    them, not from all pairs.
     """
-    def heads(words: F.Column) -> F.Column:
-        return F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i + 1, 3), " "))
-
-    items = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("needle"), F.array_join(F.slice(T.tokens(F.col("text")), 2, 3), " ").alias("h"))
-    docs = read(spark, d, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    grams = docs.select("doc_id", F.explode(F.array_distinct(heads(F.col("w")))).alias("h"))
-    pairs = grams.join(items, "h").select("qid", "needle", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    words = T.tokens(F.col("text"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("needle"), longest.alias("h"))
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("h"))
+    pairs = held.join(items, "h").select("qid", "needle", "doc_id").join(docs, "doc_id")
     return pairs.where(F.col("text").contains(F.col("needle"))).select("qid", F.col("doc_id").alias("id")).distinct()
 
 
@@ -74,7 +75,7 @@ def dense_topk(spark, d):
 
 
 def fused(spark, d) -> DataFrame:
-    return R.rrf([bm25(spark, d), bm25(spark, d, stopwords="lucene", b=0.0)])
+    return R.rrf([bm25(spark, d), bm25(spark, d, stopwords="lucene", b=0.0)], scores=["bm25", "flat"])
 
 
 def rrf_fusion(spark, d):
@@ -83,9 +84,10 @@ def rrf_fusion(spark, d):
 
 def reranked(spark, d) -> DataFrame:
     asked = questions(spark, d)
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("doc_words"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     rows = fused(spark, d).where(F.col("rank") <= TOP).join(docs, "id").join(asked, "qid")
-    return R.rerank_head(rows.withColumn("rerank", R.token_overlap(F.col("words"), F.col("doc_words"))).drop("doc_words", "words"), depth=HEAD)
+    scored = rows.withColumn("rerank", R.token_overlap(F.col("words"), T.tokens(F.col("text"))))  # of candidates only
+    return R.rerank_head(scored.drop("text", "words"), depth=HEAD)
 
 
 def rerank_head(spark, d):
@@ -94,10 +96,7 @@ def rerank_head(spark, d):
 
 def hybrid_retrieve(spark, d):
     """Two lexical lists fused, the head reranked, cut to five; each row with the scores of all lists, null where a list lacks it."""
-    a = bm25(spark, d).select("qid", "id", F.col("score").alias("bm25"))
-    b = bm25(spark, d, stopwords="lucene", b=0.0).select("qid", "id", F.col("score").alias("flat"))
-    top = reranked(spark, d).where(F.col("final_rank") <= HEAD)
-    out = top.join(a, ["qid", "id"], "left").join(b, ["qid", "id"], "left")
+    out = reranked(spark, d).where(F.col("final_rank") <= HEAD)
     return out.select("qid", "id", long("final_rank"), F.round("rrf", 9).alias("rrf"), F.round("rerank", 6).alias("rerank"), F.round("bm25", 6).alias("bm25"), F.round("flat", 6).alias("flat"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import glyphs, text as T, text_udf as U
 from corpusloom.operators import corpus as C, quality as Q
-from corpusloom.plans.common import Query, long, quoted, read, values_sql
+from corpusloom.plans.common import Query, long, quoted, read, spread, values_sql
 
 TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 LUCENE = "[" + ", ".join(map(quoted, T.LUCENE_STOPWORDS)) + "]"
@@ -39,7 +39,7 @@ PII = [
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents")
+    return spread(read(spark, d, "documents"))
 
 
 def fold_token_counts(spark, d):
