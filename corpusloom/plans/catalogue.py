@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import monitoring, retrieval, text
+from corpusloom.plans import monitoring, records, retrieval, text
 
-QUERIES = {**retrieval.QUERIES, **text.QUERIES, **monitoring.QUERIES}
-ORACLES = {**retrieval.ORACLES, **text.ORACLES, **monitoring.ORACLES}
+QUERIES = {**retrieval.QUERIES, **text.QUERIES, **monitoring.QUERIES, **records.QUERIES}
+ORACLES = {**retrieval.ORACLES, **text.ORACLES, **monitoring.ORACLES, **records.ORACLES}
