@@ -4,10 +4,12 @@
    signature coordinates, all made by two permutations of which one is shifted circularly, and a code per band.
 2. Nodes that share a band's code form a bucket. Buckets of equal members in several bands count once.
 3. A bucket is cut into blocks of a bounded number of nodes. In each block, signatures leave groups of nodes that
-   may be similar; their shingle sets are fetched and all pairs are decided exactly, as matrix products. Only a
-   spanning forest of the links leaves a task, never all pairs.
-4. Of buckets with several blocks, what is now in different components is compared across blocks: nodes outside
-   the bucket's largest component against all others. A bucket of true copies is settled without this step.
+   may be similar; a pair counts only in the first band that it shares, so it is not met again in the others.
+   The groups' shingle sets are made from their whole texts and pairs are decided exactly, as matrix products.
+   Only a spanning forest of the links leaves a task, never all pairs.
+4. This is done for the first third of the bands. Of the other buckets, and of those with several blocks, only
+   what is then in different components is compared: nodes outside the bucket's largest component against all
+   others. A bucket of true copies is settled without this step.
 5. Components of the links give every document the smallest id that it is connected to.
 
 Banding misses a pair at the threshold with probability (1 - s**rows)**bands, 2e-8 for 0.85 and 4e-6 for 0.8.
@@ -29,8 +31,10 @@ from corpusloom.llm.components import components
 from corpusloom.llm.shingles import band_codes, circulant_minhash, set_key, shingle_set
 
 BANDS, ROWS = 24, 4
+#: Bands whose buckets are compared before components are known.
+FIRST_BANDS = 8
 #: Nodes of a bucket that are compared at once.
-BLOCK = 512
+BLOCK = 1024
 #: Columns of shingles in one matrix product.
 COLUMNS = 16_384
 #: Standard errors below the threshold down to which a signature keeps a pair for the exact check.
@@ -57,8 +61,8 @@ def signatures(docs: DataFrame, *, doc_id: str, text: str, words: int, bands: in
                     continue
                 signature = circulant_minhash(s, bands * rows)
                 node.append(node_of(s))
-                sketch.append(signature.astype(np.uint8).tobytes())
                 codes.append(band_codes(signature, rows))
+                sketch.append(signature.astype(np.uint8).tobytes() + codes[-1].astype(np.uint32).tobytes())
             arrays = [b.column("doc_id"), b.column("text_hash"), pa.array(count, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.array(codes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
@@ -96,12 +100,17 @@ def clusters(links: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def plausible(rows: list[dict], least: float) -> np.ndarray:
-    """Which nodes of different components (if known) have signatures that agree in at least that share of places."""
-    sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
-    same = np.stack([(sketch == s).sum(1) for s in sketch]) >= least * sketch.shape[1]
+def plausible(rows: list[dict], least: float, bands: int) -> np.ndarray:
+    """Pairs of different components whose signatures agree in at least that share of places, and that share no earlier band."""
+    every = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+    sketch, codes = every[:, : -4 * bands], np.ascontiguousarray(every[:, -4 * bands :]).view(np.uint32)
     at = np.array([r["component"] for r in rows])
-    return same & (at[:, None] != at[None, :])
+    here = rows[0]["band_no"]
+    out = np.zeros((len(rows), len(rows)), bool)
+    for i in range(len(rows)):
+        fits = (at != at[i]) & ((sketch == sketch[i]).sum(1) >= least * sketch.shape[1])
+        out[i] = fits & ~(codes[:, :here] == codes[i, :here]).any(1)
+    return out
 
 
 def shared_shingles(sets: list[np.ndarray]) -> np.ndarray:
@@ -147,36 +156,24 @@ def _mapped(rows: DataFrame, key: str, schema: str, groups: Callable[[list[dict]
     return rows.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def links_in_blocks(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, words: int, percent: float, size: int) -> DataFrame:
-    """Spanning forest (a, b) of the links within blocks (block, node, component, sketch)."""
+def links_in_blocks(blocks: DataFrame, texts: DataFrame, *, words: int, percent: float, bands: int, rows: int) -> DataFrame:
+    """Spanning forest (a, b) of the links within blocks (block, band_no, node, component, sketch)."""
     share = percent / 100
-    least = share - SLACK * math.sqrt(share * (1 - share) / size)
+    least = share - SLACK * math.sqrt(share * (1 - share) / (bands * rows))
 
     def refine(rows: list[dict]) -> Iterator[dict]:
-        for found in clusters(plausible(rows, least)) if len(rows) > 1 else ():
+        for found in clusters(plausible(rows, least, bands)) if len(rows) > 1 else ():
             name = hash((rows[0]["block"], rows[found[0]]["node"]))
             for i in found:
                 yield {"part": name, "node": rows[i]["node"]}
 
     parts = table(_mapped(blocks, "block", "part long, node long", refine), "parts")
-    content = parts.groupBy("part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("s"))
-    parts = parts.join(content.groupBy("n", "x", "s").agg(F.min("part").alias("part")).select("part"), "part", "left_semi")
-
-    needed = parts.select("node").distinct().join(nodes.select("node", "first_id"), "node")
-    texts = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        .join(needed, F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("node", F.xxhash64("text").alias("text_hash"))
-        .agg(F.first("text").alias("text"))
-        .select("node", F.col("text").cast("binary").alias("text"))
-    )
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(n, s) for n, x in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True) if node_of(s := shingle_set(x, words)) == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["node", "codes"])
 
-    sets = texts.mapInArrow(gather, "node long, codes binary")
+    sets = texts.join(parts.select("node").distinct(), "node", "left_semi").mapInArrow(gather, "node long, codes binary")
 
     def verify(rows: list[dict]) -> Iterator[dict]:
         unique = {r["node"]: np.frombuffer(r["codes"], np.uint64) for r in rows}
@@ -189,6 +186,14 @@ def links_in_blocks(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc
     return _mapped(parts.join(sets, "node"), "part", "a long, b long", verify)
 
 
+def texts_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """(node, text) of all nodes that are in a bucket: the only shuffle of texts, those in no bucket go no further."""
+    wanted = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").hint("merge")  # one plan at every size
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
+    once = found.groupBy("node", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
+    return once.select("node", F.col("text").cast("binary").alias("text"))
+
+
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: float = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
@@ -206,26 +211,25 @@ def near_duplicates(
         seen.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")),
         "nodes",
     )
-    postings = nodes.select("node", F.explode("bands").alias("band"))
+    postings = nodes.select("node", F.posexplode("bands").alias("band_no", "band"))
     buckets = (
         postings.groupBy("band")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("s"))
+        .agg(F.count("*").alias("n"), F.min("band_no").alias("band_no"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("s"))
         .where("n > 1")
         .groupBy("n", "x", "s")
-        .agg(F.min("band").alias("band"))
-        .select("band", "n")
+        .agg(F.min(F.struct("band_no", "band")).alias("b"))
+        .select("b.band", "n")
     )
     members = table(postings.join(buckets, "band"), "members")
+    texts = table(texts_of(members, nodes, docs, doc_id=doc_id, text=text), "texts")
+    link = dict(texts=texts, words=words, percent=percent, bands=bands, rows=rows)
+    sketches = nodes.select("node", "sketch")
     cut = F.ceil(F.col("n") / block)
-    blocks = members.select(F.xxhash64("band", F.pmod(F.xxhash64("node"), cut)).alias("block"), "node", F.col("node").alias("component"))
-    link = dict(nodes=nodes, docs=docs, **rows_of, percent=percent, size=bands * rows)
-    edges = table(links_in_blocks(blocks.join(nodes.select("node", "sketch"), "node"), **link), "links")
-    roots = components(edges)
-
-    large = members.where(F.col("n") > block)
-    if not large.isEmpty():
-        edges = table(edges.unionByName(links_in_blocks(_across(large, roots, nodes, block), **link)), "links")
-        roots = components(edges)
+    first = members.where(F.col("band_no") < FIRST_BANDS)
+    blocks = first.select(F.xxhash64("band", F.pmod(F.xxhash64("node"), cut)).alias("block"), "band_no", "node", F.col("node").alias("component"))
+    edges = table(links_in_blocks(blocks.join(sketches, "node"), **link), "links")
+    rest = _across(members.where((F.col("band_no") >= FIRST_BANDS) | (F.col("n") > block)), components(edges), block)
+    roots = components(table(edges.unionByName(links_in_blocks(rest.join(sketches, "node"), **link)), "links"))
 
     named = nodes.select("node", "first_id").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -235,21 +239,22 @@ def near_duplicates(
     return own.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _across(large: DataFrame, roots: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+def _across(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """Blocks that hold, for each bucket, all pairs of which one is outside the bucket's largest component.
 
-    Nodes in and outside the largest component are cut into pieces of half a block; a block is a piece outside
-    with another piece, so a node outside is in as many blocks as its bucket has pieces, one inside in as many as
-    there are pieces outside.
+    Buckets of one component are left out, others of up to ``block`` nodes are one block. In larger ones, nodes in
+    and outside the largest component are cut into pieces of half a block; a block is a piece outside with another
+    piece, so a node outside is in as many blocks as its bucket has pieces, one inside in as many as there are
+    pieces outside.
     """
     half = block // 2
-    rows = large.join(roots.withColumnRenamed("id", "node"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("component"))
+    rows = members.join(roots.withColumnRenamed("id", "node"), "node", "left").select("band", "band_no", "node", F.coalesce("root", "node").alias("component"))
     sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
     split = (
         sizes.groupBy("band")
         .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_in"), F.sum("n").alias("n"))
         .where("n > n_in")
-        .select("band", "main", F.ceil(F.col("n_in") / half).cast("int").alias("cut_in"), F.ceil((F.col("n") - F.col("n_in")) / half).cast("int").alias("cut_out"))
+        .select("band", "main", "n", F.ceil(F.col("n_in") / half).cast("int").alias("cut_in"), F.ceil((F.col("n") - F.col("n_in")) / half).cast("int").alias("cut_out"))
     )
     rows = rows.join(split, "band").withColumn("outside", F.col("component") != F.col("main"))
     piece = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("outside"), F.col("cut_out")).otherwise(F.col("cut_in"))).cast("int")
@@ -258,6 +263,7 @@ def _across(large: DataFrame, roots: DataFrame, nodes: DataFrame, block: int) ->
     with_out = F.transform(others, lambda k: F.struct(F.lit("o").alias("kind"), F.least(k, "piece").alias("i"), F.greatest(k, "piece").alias("j")))
     with_in = F.transform(F.sequence(F.lit(0), F.col("cut_in") - 1), lambda k: F.struct(F.lit("m").alias("kind"), F.col("piece").alias("i"), k.alias("j")))
     inside = F.transform(others, lambda k: F.struct(F.lit("m").alias("kind"), k.alias("i"), F.col("piece").alias("j")))
-    pairs = F.when(F.col("outside"), F.concat(with_out, with_in)).otherwise(inside)
-    rows = rows.select("band", "node", "component", F.explode(pairs).alias("p"))
-    return rows.select(F.xxhash64("band", "p.kind", "p.i", "p.j").alias("block"), "node", "component").join(nodes.select("node", "sketch"), "node")
+    whole = F.array(F.struct(F.lit("w").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    pairs = F.when(F.col("n") <= block, whole).when(F.col("outside"), F.concat(with_out, with_in)).otherwise(inside)
+    rows = rows.select("band", "band_no", "node", "component", F.explode(pairs).alias("p"))
+    return rows.select(F.xxhash64("band", "p.kind", "p.i", "p.j").alias("block"), "band_no", "node", "component")
