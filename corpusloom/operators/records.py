@@ -190,3 +190,50 @@ def markdown_table(rows: DataFrame, order: list[str], limit: int = 1000) -> str:
     cell = lambda v: "–" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(rows.columns) + " |", "| " + " | ".join("---" for _ in rows.columns) + " |"]
     return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in got]]) + "\n"
+
+
+def overlay(left: Column, right: Column) -> Column:
+    """Two maps as one; the right one's values win."""
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
+
+
+def passages_within(passages: Column, part: Column) -> Column:
+    """Passages whose first line is in the part."""
+    return F.filter(passages, lambda p: F.contains(part, F.substring_index(p, "\n", 1)))
+
+
+def over_limit(rows: DataFrame, n_tokens: Column, limit: int) -> DataFrame:
+    """Texts that a model would cut; a gate passes if there is none."""
+    return rows.where(n_tokens > limit)
+
+
+def is_bold(font: Column, flags: Column) -> Column:
+    return F.contains(font, F.lit("Bold")) | (flags.bitwiseAND(16) != 0)
+
+
+def all_bold(spans: Column) -> Column:
+    """Whether all non-blank spans (text, font, flags) are bold; null without one."""
+    real = F.filter(spans, lambda s: F.trim(s["text"]) != "")
+    return F.when(F.size(real) > 0, F.forall(real, lambda s: is_bold(s["font"], s["flags"])))
+
+
+def highlighted_passages(rows: DataFrame) -> DataFrame:
+    """(id, passages, leftover) of (id, lines, fragments): fragments held by neighbouring lines form a passage.
+
+    A line takes the first unused fragment that it contains; fragments that no line takes are left over. The walk
+    is an ordered fold over the lines of one row.
+    """
+    kind = "struct<left:array<string>,out:array<string>,open:boolean>"
+    start = F.struct(F.col("fragments").alias("left"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("open")).cast(kind)
+
+    def step(acc: Column, line: Column) -> Column:
+        at = F.array_position(F.transform(acc["left"], lambda f: F.contains(line, f)), F.lit(True)).cast("int")
+        n = F.size(acc["left"])
+        hit = F.try_element_at(acc["left"], F.greatest(at, F.lit(1)))
+        rest = F.concat(F.slice(acc["left"], 1, F.greatest(at - 1, F.lit(0))), F.slice(acc["left"], at + 1, F.greatest(n - at, F.lit(0))))
+        grown = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat_ws("\n", F.try_element_at(acc["out"], F.lit(-1)), hit)))
+        out = F.when(at == 0, acc["out"]).when(acc["open"], grown).otherwise(F.concat(acc["out"], F.array(hit)))
+        return F.struct(F.when(at == 0, acc["left"]).otherwise(rest).alias("left"), out.alias("out"), (at > 0).alias("open")).cast(kind)
+
+    walked = F.aggregate("lines", start, step)
+    return rows.select("id", walked.alias("w")).select("id", F.col("w.out").alias("passages"), F.col("w.left").alias("leftover"))

@@ -166,12 +166,40 @@ def long_lines(spark, d):
     return rows.select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.length(x) > 400).alias("l")).where(F.size("l") > 0).select("doc_id", F.size("l").cast("long").alias("n"))
 
 
+def overlaid_metrics(spark, d):
+    rows = spark.createDataFrame([(1, {"a": 1, "b": 2}, {"b": 3, "c": 4}), (2, {}, {"x": 1}), (3, {"y": 1}, {})], "id int, l map<string,int>, r map<string,int>")
+    one = O.overlay(F.col("l"), F.col("r"))
+    return rows.select("id", F.array_join(F.array_sort(F.transform(F.map_entries(one), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("merged"))
+
+
+def kept_passages(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("p"), F.substring("text", 1, 300).alias("part"))
+    return rows.select("doc_id", F.size(O.passages_within(F.col("p"), F.col("part"))).cast("long").alias("n"))
+
+
+def over_length(spark, d):
+    rows = spread(read(spark, d, "documents").select("doc_id", "text"))
+    n = F.size(T.tokens(F.col("text")))
+    return O.over_limit(rows, n, 512).select("doc_id", n.cast("long").alias("n_tokens"))
+
+
+def bold_rows(spark, d):
+    spans = [(1, [("x", "Arial-Bold", 0), (" ", "Arial", 0)]), (2, [("x", "Arial", 16), ("y", "Arial", 4)]), (3, [(" ", "Arial", 0)]), (4, [("x", "Arial", 20)])]
+    rows = spark.createDataFrame(spans, "id int, spans array<struct<text:string,font:string,flags:int>>")
+    return rows.select("id", O.all_bold(F.col("spans")).alias("bold"))
+
+
+def highlighted_passages(spark, d):
+    rows = spark.createDataFrame([(1, ["a one", "b two", "c", "d one"], ["one", "two", "one", "zzz"]), (2, ["x"], []), (3, [], ["q"])], "id int, lines array<string>, fragments array<string>")
+    return O.highlighted_passages(rows).select("id", F.array_join("passages", "|").alias("passages"), F.array_join("leftover", "|").alias("leftover"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         clean_questions, run_identities, delivery_scope, articles_of_texts, common_first_words, header_shapes, corpus_digest, lowest_scores, rendered_contexts, filled_prompts, repeal_replies,
         cut_sections, tag_tree, visual_lines, heading_units, nested_ranks, heading_spans, row_classes, corpus_checks, picked_articles, asked_articles, index_round_trip, stream_rates,
-        paragraph_markers, opening_connectives, long_lines,
+        paragraph_markers, opening_connectives, long_lines, overlaid_metrics, kept_passages, over_length, bold_rows, highlighted_passages,
     )
 }
 
@@ -211,4 +239,9 @@ ORACLES: dict[str, str] = {
     "paragraph_markers": "SELECT id, numbers, n::BIGINT AS n FROM " + values_sql([(1, "1,2", 2), (2, "", 1), (3, "1", 1)], "id, numbers, n"),
     "opening_connectives": f"SELECT * FROM {values_sql([(1, 'ومع ذلك'), (2, 'ويجوز'), (3, ''), (4, 'فإذا')], 'id, word')}",
     "long_lines": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400))::BIGINT AS n FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400)) > 0",
+    "overlaid_metrics": f"SELECT * FROM {values_sql([(1, 'a=1,b=3,c=4'), (2, 'x=1'), (3, 'y=1')], 'id, merged')}",
+    "kept_passages": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(substr(text, 1, 300), x)))::BIGINT AS n FROM documents",
+    "over_length": "WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM documents) SELECT * FROM t WHERE n_tokens > 512",
+    "bold_rows": f"SELECT * FROM {values_sql([(1, True), (2, False), (3, None), (4, True)], 'id, bold')}",
+    "highlighted_passages": "SELECT * FROM " + values_sql([(1, "one\ntwo|one", "zzz"), (2, "", ""), (3, "", "q")], "id, passages, leftover"),
 }
