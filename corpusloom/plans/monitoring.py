@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text_udf as U
-from corpusloom.functions.vectors import cosine
 from corpusloom.operators import monitor as M, quality as Q
-from corpusloom.plans.common import Query, long, read, values_sql
+from corpusloom.plans.common import Query, read, values_sql
 from corpusloom.streaming import processors as S
 
 BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 250.0)
