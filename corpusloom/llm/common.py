@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -44,6 +45,18 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Batches cut into short ones: what Python makes of their texts is held for one at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def with_text(df: DataFrame, kept: list[str], text: str) -> DataFrame:
+    """The kept columns, and the text if it is not one of them."""
+    return df.select(*kept) if text in kept else df.select(*kept, text)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Sample, added, labelled_sample
-from corpusloom.llm.wordtable import SPACE, WordTable, code_points, grams, owners, sums, table_for
+from corpusloom.llm.common import Sample, added, labelled_sample, slices, with_text
+from corpusloom.llm.wordtable import SPACE, WordTable, code_points, grams, owners, sums, resident
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 17
@@ -100,7 +100,7 @@ class LanguageModel:
         return np.append(np.where(some, z, 0), used.sum(1, keepdims=True), 1)
 
     def table(self) -> WordTable:
-        return table_for(self.key, lambda: WordTable(len(self.languages) + 1, self.evidence))
+        return resident(self.key, lambda: WordTable(len(self.languages) + 1, self.evidence))
 
     def rows(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The evidence of each text's words."""
@@ -193,12 +193,12 @@ def label_texts(docs: DataFrame, model: LanguageModel, *, text: str = "text", na
     schema = added(docs, kept, f"`{name}` string, `{score}` double" + (f", `{spans}` array<struct<start:int,end:int,lang:string>>" if spans else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = list(model.predict([t or b"" for t in b.column("__text").to_pylist()]))
+        for b in slices(batches):
+            found = list(model.predict([t or b"" for t in b.column(text).cast(pa.binary()).to_pylist()]))
             columns = [*[b.column(c) for c in kept], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 columns.append(pa.array([[{"start": i, "end": e, "lang": model.languages[k]} for i, e, k in x[2]] for x in found], kind))
             yield pa.RecordBatch.from_arrays(columns, [*kept, name, score, *([spans] if spans else [])])
 
-    return docs.select(*kept, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return with_text(docs, kept, text).mapInArrow(run, schema)

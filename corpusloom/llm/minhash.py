@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import added, table
+from corpusloom.llm.common import added, slices, table
 from corpusloom.llm.components import components
 from corpusloom.llm.shingles import band_codes, circulant_minhash, set_key, shingle_set
 
@@ -51,7 +51,7 @@ def signatures(docs: DataFrame, *, doc_id: str, text: str, words: int, bands: in
     schema = added(source, ["doc_id", "text_hash"], "n_shingles long, node long, sketch binary, bands array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             count, node, sketch, codes = [], [], [], []
             for x in b.column("__text").to_pylist():
                 s = shingle_set(x, words)

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Sample, added, labelled_sample
-from corpusloom.llm.wordtable import WordTable, code_points, grams, sums, table_for
+from corpusloom.llm.common import Sample, added, labelled_sample, slices, with_text
+from corpusloom.llm.wordtable import WordTable, code_points, grams, sums, resident
 
 BUCKETS = 1 << 17
 SHORTEST, LONGEST = 3, 5
@@ -54,7 +54,7 @@ class QualityModel:
 
             return WordTable(len(self.labels) + 1, describe)
 
-        return table_for(self.key, make)
+        return resident(self.key, make)
 
     def logits(self) -> np.ndarray:
         """Of each bucket; the last column counts features."""
@@ -150,8 +150,8 @@ def score_texts(docs: DataFrame, model: QualityModel, *, text: str = "text", nam
     schema = added(docs, kept, f"`{name}` double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = model.scores([x or b"" for x in b.column("__text").to_pylist()])
+        for b in slices(batches):
+            scores = model.scores([x or b"" for x in b.column(text).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(scores, pa.float64())], [*kept, name])
 
-    return docs.select(*kept, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return with_text(docs, kept, text).mapInArrow(run, schema)

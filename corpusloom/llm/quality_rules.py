@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import added
+from corpusloom.llm.common import added, slices, with_text
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -121,9 +121,9 @@ def apply_rules(docs: DataFrame, *, text: str = "text", bands: tuple[Band, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=LEVEL)
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            for x in b.column("__text").to_pylist():
+            for x in b.column(text).cast(pa.binary()).to_pylist():
                 x = x or b""
                 r = ratios(x, compressor)
                 rows.append((*base_counts(x), *r, verdict(len(x), *r, bands)))
@@ -131,6 +131,6 @@ def apply_rules(docs: DataFrame, *, text: str = "text", bands: tuple[Band, ...]
             arrays = [pa.array(c, kinds[t]) for c, (_, t) in zip(columns, FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *arrays], [*kept, *names])
 
-    judged = docs.select(*kept, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    judged = with_text(docs, kept, text).mapInArrow(run, schema)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("reason").isNull())

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import added
+from corpusloom.llm.common import added, slices, with_text
+from corpusloom.llm.wordtable import resident
 
 META = "▁"
 UNIGRAM, BPE = 1, 2
@@ -157,7 +158,7 @@ def build(m: Model):
 class Words:
     """Token ids and parity of the distinct words that a worker has met, words with their space markers."""
 
-    def __init__(self, limit: int = 700_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self.clear()
 
@@ -253,17 +254,13 @@ class Codec:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec_for(data: bytes, threads: int) -> Codec:
-    key = hash(data)
-    if key not in _CODECS:
+    def make() -> Codec:
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        _CODECS.clear()
-        _CODECS[key] = Codec(data)
-    return _CODECS[key]
+        return Codec(data)
+
+    return resident(hash(data), make)
 
 
 FIELDS = (("token_ids", "array<int>"), ("n_tokens", "int"), ("n_byte_tokens", "int"), ("round_trip", "boolean"), ("parity", "boolean"))
@@ -297,8 +294,8 @@ def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", thread
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(shared.value, threads)
-        for b in batches:
-            texts = b.column("__text").to_pylist()
+        for b in slices(batches):
+            texts = b.column(text).to_pylist()
             for begin, end in _blocks(texts):
                 part = texts[begin:end]
                 null = np.array([x is None for x in part])
@@ -318,7 +315,7 @@ def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", thread
                 here = b.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*[here.column(c) for c in kept], *arrays], [*kept, *names])
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return with_text(docs, kept, text).mapInArrow(run, schema)
 
 
 def decode_ids(rows: DataFrame, model_file: str, *, ids: str = "token_ids", name: str = "decoded") -> DataFrame:

@@ -10,7 +10,6 @@ to the number of sentences. The leak is no part of a score.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,11 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Sample, added, labelled_sample
-from corpusloom.llm.wordtable import PUNCTUATION, WordTable, table_for
+from corpusloom.llm.common import Sample, added, labelled_sample, slices, with_text
+from corpusloom.llm.wordtable import PUNCTUATION, WordTable, resident
 
-BUCKETS = 1 << 18
-SENTENCE_END = tuple(b".!?")
 BREAK = b"."
 
 
@@ -36,24 +33,22 @@ def ends(word: bytes) -> bool:
     return word.rstrip(b"\"')]}").endswith((b".", b"!", b"?"))
 
 
-def bucket(word: bytes) -> int:
-    """-1 for words that are all punctuation."""
-    core = word.strip(PUNCTUATION)
-    return zlib.crc32(core) % BUCKETS if core else -1
+def core(word: bytes) -> bytes:
+    """A word without the punctuation around it; empty for punctuation alone."""
+    return word.strip(PUNCTUATION)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     bias: float
-    weights: np.ndarray  # by bucket
+    weights: dict[bytes, float]  # of the words that tell; others have none
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def table(self) -> WordTable:
         def describe(words: list[bytes]) -> np.ndarray:
-            at = np.array([bucket(w) for w in words])
-            return np.stack([np.where(at >= 0, self.weights[at], 0), np.array([ends(w) for w in words])], 1)
+            return np.array([(self.weights.get(core(w), 0.0), ends(w)) for w in words], np.float64).reshape(-1, 2)
 
-        return table_for(self.key, lambda: WordTable(2, describe))
+        return resident(self.key, lambda: WordTable(2, describe))
 
     def sentences(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text, log-odds of its sentences and the numbers of their first words; without words one sentence without words."""
@@ -80,19 +75,19 @@ def train(sample: Sample, *, epochs: int = 80, rate: float = 0.5, l2: float = 0.
     gives about the share of label 1.
     """
     prior = min(max(float(sample.share.get(1, 0.0)), 1e-3), 1 - 1e-3)
-    weights = np.zeros(BUCKETS)
     if len(set(sample.labels)) < 2 or not sample.texts:
-        return ToxicityModel(float(np.log(prior / (1 - prior))), weights)
+        return ToxicityModel(float(np.log(prior / (1 - prior))), {})
+    names: dict[bytes, int] = {}
     known: dict[bytes, tuple[int, bool]] = {}
-    docs: list[tuple[np.ndarray, np.ndarray, int]] = []  # buckets by word occurrence, their sentences, number of sentences
-    counts = np.zeros((2, BUCKETS))
+    docs: list[tuple[np.ndarray, np.ndarray, int]] = []  # numbers of the words, their sentences, number of sentences
+    held: list[list[np.ndarray]] = [[], []]  # numbers of the words of each text that counts, by label
     distinct = np.zeros(2)
     seen: set[int] = set()
     for text, label in zip(sample.texts, sample.labels, strict=True):
         at, where, n, begin = [], [], 0, 0
         for w in [*words_of(text), BREAK]:
             if w not in known:
-                known[w] = (bucket(w), ends(w))
+                known[w] = (names.setdefault(c, len(names)) if (c := core(w)) else -1, ends(w))
             b, end = known[w]
             if b >= 0:
                 at.append(b)
@@ -101,10 +96,11 @@ def train(sample: Sample, *, epochs: int = 80, rate: float = 0.5, l2: float = 0.
                 n, begin = n + 1, len(at)
         marks = {h for x in zip(at, at[1:], at[2:], at[3:]) if (h := hash(x)) % 8 == 0} or {hash(tuple(at))}  # an eighth of the windows
         if 2 * len(marks - seen) >= len(marks):
-            counts[label, list(set(at))] += 1
+            held[label].append(np.unique(np.array(at, np.int32)))
             distinct[label] += 1
         seen |= marks
-        docs.append((np.array(at, np.int64), np.array(where, np.int64), n + 1))
+        docs.append((np.array(at, np.int32), np.array(where, np.int32), n + 1))
+    counts = np.stack([np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]), minlength=len(names)) for x in held]).astype(float)
     expected = counts.sum(0) * (distinct / max(distinct.sum(), 1))[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * np.nan_to_num(counts * np.log(counts / expected)).sum(0)
@@ -134,8 +130,8 @@ def train(sample: Sample, *, epochs: int = 80, rate: float = 0.5, l2: float = 0.
             w -= rate * dw / np.sqrt(gw)
             b -= 0.2 * rate * db / np.sqrt(gb)
             leak = max(leak - 0.2 * rate * dl / np.sqrt(gl), -10.0)
-    weights[usable] = w
-    return ToxicityModel(float(b), weights)
+    telling = [x for x, i in names.items() if usable[i]]
+    return ToxicityModel(float(b), {x: float(w[index[names[x]]]) for x in telling})
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_label: int = 3000, seed: int = 0, key: str = "doc_id", text: str = "text") -> ToxicityModel:
@@ -154,8 +150,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel, *, text: str = "text", na
     schema = added(docs, kept, f"`{name}` double" + (f", `{spans}` array<struct<start:int,end:int,score:double>>" if spans else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x or b"" for x in b.column("__text").to_pylist()]
+        for b in slices(batches):
+            texts = [x or b"" for x in b.column(text).cast(pa.binary()).to_pylist()]
             found = list(model.sentences(texts))
             columns = [*[b.column(c) for c in kept], pa.array([noisy_or(z) for z, _ in found], pa.float64())]
             if spans:
@@ -163,7 +159,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, *, text: str = "text", na
                 columns.append(pa.array([offending(t, *x, span_limit) for t, x in zip(texts, found, strict=True)], kind))
             yield pa.RecordBatch.from_arrays(columns, [*kept, name, *([spans] if spans else [])])
 
-    return docs.select(*kept, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return with_text(docs, kept, text).mapInArrow(run, schema)
 
 
 def offending(text: bytes, log_odds: np.ndarray, first: np.ndarray, least: float) -> list[dict]:

@@ -18,7 +18,7 @@ class WordTable(dict):
     describe gives an array with a row for each of a list of words.
     """
 
-    def __init__(self, width: int, describe: Callable[[list[bytes]], np.ndarray], limit: int = 400_000, dtype: type = np.float64):
+    def __init__(self, width: int, describe: Callable[[list[bytes]], np.ndarray], limit: int = 250_000, dtype: type = np.float64):
         super().__init__()
         self.describe, self.limit = describe, limit
         self.values = np.zeros((4096, width), dtype)
@@ -58,15 +58,15 @@ class WordTable(dict):
             yield np.fromiter(map(self.__getitem__, x), np.int64, len(x))
 
 
-_TABLES: dict[str, WordTable] = {}
+_RESIDENT: dict = {}
 
 
-def table_for(key: str, make: Callable[[], WordTable]) -> WordTable:
-    """The worker's table of one model; one table is kept at a time."""
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = make()
-    return _TABLES[key]
+def resident(key, make: Callable):
+    """What a worker keeps of one model from task to task; it keeps one model at a time, whatever operator it is of."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
 
 
 def code_points(words: list[bytes], *, lower: bool = False) -> np.ndarray:
