@@ -16,7 +16,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Sample, added, labelled_sample, slices, with_text
 from corpusloom.llm.wordtable import SPACE, WordTable, code_points, grams, owners, sums, resident

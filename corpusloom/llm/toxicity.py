@@ -84,6 +84,8 @@ def train(sample: Sample, *, epochs: int = 80, rate: float = 0.5, l2: float = 0.
     distinct = np.zeros(2)
     seen: set[int] = set()
     for text, label in zip(sample.texts, sample.labels, strict=True):
+        if len(known) > 100_000:
+            known.clear()
         at, where, n, begin = [], [], 0, 0
         for w in [*words_of(text), BREAK]:
             if w not in known:
