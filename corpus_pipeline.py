@@ -29,9 +29,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by five-word shingles at a similarity of 0.8: the smallest id, one row of it."""
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    kept = found.where("kept").select("doc_id", "text_hash", "component_id").distinct()
-    # a null component is a row of its own: texts without words, and null ids
-    one = kept.groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("text_hash"))
+    # a text without words has no root and is a group of its own
+    alone = F.when(F.col("root").isNull(), F.col("text_hash"))
+    one = found.where("kept").groupBy("doc_id", "root", alone.alias("alone")).agg(F.min("text_hash").alias("text_hash"))
     rows = docs.withColumn("__hash", F.xxhash64("text")).alias("d").join(one.alias("k"), F.expr("d.doc_id <=> k.doc_id AND d.__hash <=> k.text_hash"), "left_semi")
     return rows.dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
 
@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that sources have their target shares of words."""
     sized = table(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
     copies = mixing.mix_sized(sized).where("copies > 0").select("doc_id", "text_hash", "copies")
-    # Before this stage ids are unique but for null ids; of equal rows all have their copies summed on one.
+    # Before this stage ids may be null or repeated with other texts; of equal rows all have their copies summed on one.
     copies = copies.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"))
     rows = docs.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.__hash <=> c.text_hash"))
     return rows.select("d.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)

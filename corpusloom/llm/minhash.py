@@ -197,13 +197,14 @@ def texts_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, *, doc_id: s
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: float = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept) of each row of docs.
+    """(doc_id, text_hash, n_shingles, component_id, kept, root) of each row of docs.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the
     smallest doc_id reachable by links, kept says that it is the document's own. A null or empty text and one
     without words has no shingle, is linked with nothing and is kept. Rows that repeat an id stay rows of their
     own; if their texts differ each is linked by its own text. Null ids come after all others: a component of
-    null ids only has a null component_id and its rows are kept. Columns other than id and text are not read.
+    null ids only has a null component_id and its rows are kept. root names the component itself, which ids that
+    are null or repeated do not; it is null without a shingle. Columns other than id and text are not read.
     """
     rows_of = dict(doc_id=doc_id, text=text, words=words)
     seen = table(signatures(docs, **rows_of, bands=bands, rows=rows), "signatures")
@@ -233,10 +234,11 @@ def near_duplicates(
 
     named = nodes.select("node", "first_id").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
+    named = named.join(least, "root").select("node", "component_id", "root")
     own = seen.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return own.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = own.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "root")
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
 
 
 def _across(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:

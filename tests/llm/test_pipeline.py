@@ -62,5 +62,16 @@ def test_repeated_rows_and_null_ids(spark):
     assert corpus_pipeline.mix_sources(spark, docs.limit(0), TABLES).count() == 0
 
 
+def test_other_texts_of_null_and_repeated_ids_stay(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (7, text("c")), (7, text("d")), (8, text("d") + " more"), (9, None), (9, ""), (9, ""), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, TABLES)
+    got = Counter((r["doc_id"], (r["text"] or "")[:2]) for r in out.collect())
+    assert got == {(None, "a0"): 1, (None, "b0"): 1, (7, "c0"): 1, (7, "d0"): 1, (9, ""): 2, (None, ""): 1, (None, " "): 1}
+    mixed = corpus_pipeline.mix_sources(spark, out, TABLES)
+    assert {(r["doc_id"], (r["text"] or "")[:2]) for r in mixed.collect()} == set(got)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, TABLES).where("NOT parity OR NOT round_trip").count() == 0
