@@ -1,8 +1,12 @@
 import os
 import random
+import string
 from collections import Counter
 
-from corpusloom.llm.quality_rules import apply_rules, base_counts, repeat_words
+import pytest
+import zstandard
+
+from corpusloom.llm.quality_rules import BANDS, CHUNK, CHUNK_HIGH, LEVEL, apply_rules, base_counts, ratios, repeat_words, verdict
 
 
 def brute(text):
@@ -54,3 +58,30 @@ def test_random_bytes_are_incompressible(spark):
 
     text = " ".join(base64.b85encode(os.urandom(60)).decode() for _ in range(200))
     assert apply_rules(spark.createDataFrame([(1, text)], "doc_id int, text string")).head()["reason"] == "incompressible"
+
+
+ALNUM, BASE64 = string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"
+
+
+def junk(rng, alphabet, n, word, sep):
+    text = "".join(rng.choice(alphabet) for _ in range(n))
+    return sep.join(text[i : i + word] for i in range(0, n, word))[:n].encode()
+
+
+@pytest.mark.parametrize(("alphabet", "word", "sep", "least"), [(ALNUM, 5, " ", 300), (ALNUM, 8, " ", 300), (ALNUM, 10, "\n", 300), (BASE64, 10, " ", 120), (BASE64, 76, "\n", 120)])
+def test_encoded_junk_of_each_band(alphabet, word, sep, least):
+    rng, compressor = random.Random(5), zstandard.ZstdCompressor(level=LEVEL)
+    ends = [b.bytes - 1 for b in BANDS[2:]] + [100_000]
+    for band, end in zip(BANDS[1:], ends, strict=True):
+        for n in (band.bytes, (band.bytes + end) // 2, end) if band.bytes >= least else ():
+            text = junk(rng, alphabet, n, word, sep)
+            assert verdict(n, *ratios(text, compressor)) == "incompressible", (n, ratios(text, compressor))
+    assert all(len(compressor.compress(junk(rng, alphabet, CHUNK, word, sep))) > CHUNK_HIGH * CHUNK for _ in range(50))
+
+
+def test_prose_of_each_band_is_accepted():
+    rng, compressor = random.Random(5), zstandard.ZstdCompressor(level=LEVEL)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    for band in BANDS[1:]:
+        text = " ".join(rng.choices(words, range(3000, 0, -1), k=band.bytes))[: band.bytes + 10].encode()
+        assert verdict(len(text), *ratios(text, compressor)) is None, (band, ratios(text, compressor))
