@@ -135,12 +135,25 @@ def format_chats(df: DataFrame, record: str = "record", layouts: tuple[Layout, .
     """Adds layout, formatted and loss_spans (array of start and length in code points, one for each ``learn`` turn).
 
     A null or malformed record, one of no known layout, and a value beyond the variant size limit have all three
-    null; a message without role or text has it empty. Other columns stay; those named like the three are replaced.
+    null (rows that have turns need no JSON: see format_turns); a message without role or text has it empty. Other columns stay; those named like the three are replaced.
     """
     names = ("layout", "formatted", "loss_spans")
     name, turns = canonical_turns(F.col(record), layouts)
     kept = [c for c in df.columns if c not in names]
-    rows = df.select(*kept, name.alias("layout"), turns.alias("__turns"))
+    return _formatted(df.select(*kept, name.alias("layout"), turns.alias("__turns")), [*kept, "layout"], learn)
+
+
+def format_turns(df: DataFrame, turns: str = "turns", learn: str = "assistant") -> DataFrame:
+    """Adds formatted and loss_spans, as format_chats, for turns that are an array of structs of role and text.
+
+    Nothing is written as JSON or parsed, so no size limit of a variant holds. Null turns have both null.
+    """
+    kept = [c for c in df.columns if c not in ("formatted", "loss_spans")]
+    empty = lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+    return _formatted(df.select(*kept, F.transform(turns, empty).alias("__turns")), kept, learn)
+
+
+def _formatted(rows: DataFrame, kept: list[str], learn: str) -> DataFrame:
     rows = rows.withColumn(
         "__parts",
         F.transform(
@@ -163,7 +176,7 @@ def format_chats(df: DataFrame, record: str = "record", layouts: tuple[Layout, .
         )
 
     spans = F.aggregate("__parts", start, add, lambda acc: acc["spans"])
-    return rows.select(*kept, "layout", formatted.alias("formatted"), spans.alias("loss_spans"))
+    return rows.select(*kept, formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -184,12 +197,22 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
+def _ordered(turn: str, role: str, text: str, name: str) -> Column:
+    """A group's turns in order, their text under a name."""
+    message = F.struct(F.col(turn), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
+    return F.transform(F.sort_array(F.collect_list(message)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias(name)))
+
+
+def conversation_turns(rows: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv_id, turns): role and text of each conversation's turns, in the order of conversation_records."""
+    return rows.groupBy(F.col(conv_id).alias("conv_id")).agg(_ordered(turn, role, text, "text").alias("turns"))
+
+
 def conversation_records(rows: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, record): one JSON record in the ``messages`` layout of each conversation, turns in order.
 
     Equal turn numbers are ordered by role and text, null turns come first, null texts and roles are empty, and
     rows of a null id form one conversation. Repeated rows are repeated turns.
     """
-    message = F.struct(F.col(turn), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
-    turns = F.transform(F.sort_array(F.collect_list(message)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    turns = _ordered(turn, role, text, "content")
     return rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.to_json(F.struct(turns.alias("messages"))).alias("record"))

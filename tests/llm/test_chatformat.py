@@ -65,3 +65,19 @@ def test_records_of_rows(spark):
 
 def test_fingerprints_are_distinct():
     assert len(C.registry()) == sum(2 ** len(x.optional) for x in C.LAYOUTS)
+
+
+def test_turns_are_formatted_as_their_records(spark):
+    small = spark.createDataFrame([(1, 1, "assistant", "</s>b"), (1, 0, "user", "a"), (2, None, None, None), (None, 0, "a\nb", "n")], "conv_id long, turn long, role string, text string")
+    by_json = C.format_chats(C.conversation_records(small)).select("conv_id", "formatted", "loss_spans").collect()
+    assert sorted(map(str, C.format_turns(C.conversation_turns(small)).select("conv_id", "formatted", "loss_spans").collect())) == sorted(map(str, by_json))
+
+
+def test_query_formats_a_conversation_beyond_the_json_limit(spark, tmp_path):
+    """One text of more than 20,000,000 characters is no variant."""
+    from corpusloom.llm.queries import op9_chat_formatting
+
+    rows = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") < 1, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("x"), F.when(F.col("id") < 1, 3).otherwise(21_000_000)).alias("text"))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in op9_chat_formatting(spark, str(tmp_path)).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"]) == (2, 21_000_000) and got[-7]["n_turns"] == 2
