@@ -45,7 +45,7 @@ BANDS = (
     Band(700, 0.25, 0.67), Band(800, 0.25, 0.66), Band(1000, 0.25, 0.65), Band(1200, 0.25, 0.64), Band(1600, 0.18, 0.62), Band(6400, 0.13, 0.61), Band(25_600, 0.10, 0.60),
 )
 CHUNK = 2048
-#: Of a text's whole chunks, at most these shares may be below or above the chunk limits. Chunks of prose are up to 0.56,
+#: Of a text's chunks, at most these shares may be below or above the chunk limits. Chunks of prose are up to 0.56,
 #: of random a-z0-9 0.645 and more, of base64 0.76.
 CHUNK_LOW, CHUNK_HIGH, CHUNK_LOW_SHARE, CHUNK_HIGH_SHARE = 0.18, 0.62, 0.5, 0.25
 
@@ -88,14 +88,18 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def ratios(text: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float | None, float, float]:
-    """Ratio of the whole text (null if empty) and the shares of its whole chunks below and above the chunk limits."""
+    """Ratio of the whole text (null if empty) and the shares of its chunks below and above the chunk limits.
+
+    The last chunk ends where the text does and overlaps the one before it; a text of less than a chunk has none.
+    """
     if not text:
         return None, 0.0, 0.0
     whole = len(compressor.compress(text)) / len(text)
-    n = len(text) // CHUNK
-    if not n:
+    if len(text) < CHUNK:
         return whole, 0.0, 0.0
-    chunks = [len(compressor.compress(text[i * CHUNK : (i + 1) * CHUNK])) / CHUNK for i in range(n)]
+    starts = [*range(0, len(text) - CHUNK, CHUNK), len(text) - CHUNK]
+    chunks = [len(compressor.compress(text[i : i + CHUNK])) / CHUNK for i in starts]
+    n = len(chunks)
     return whole, sum(r < CHUNK_LOW for r in chunks) / n, sum(r > CHUNK_HIGH for r in chunks) / n
 
 

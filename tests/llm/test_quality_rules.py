@@ -85,3 +85,15 @@ def test_prose_of_each_band_is_accepted():
     for band in BANDS[1:]:
         text = " ".join(rng.choices(words, range(3000, 0, -1), k=band.bytes))[: band.bytes + 10].encode()
         assert verdict(len(text), *ratios(text, compressor)) is None, (band, ratios(text, compressor))
+
+
+def test_every_byte_is_in_a_chunk():
+    rng, compressor = random.Random(5), zstandard.ZstdCompressor(level=LEVEL)
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)).encode()
+    encoded, repeated = junk(rng, BASE64, CHUNK, 10, " "), b"again " * CHUNK
+    for whole in (1, 2, 3):
+        for tail in (CHUNK // 2 + 600, CHUNK - 1):
+            n = whole * CHUNK
+            assert ratios(prose[:n] + encoded[:tail], compressor)[1:] == (0.0, 1 / (whole + 1))
+    assert ratios(prose[:CHUNK] + repeated[: CHUNK - 1], compressor)[1] == 0.5
+    assert ratios(encoded, compressor)[1:] == (0.0, 1.0) and ratios(encoded[:-1], compressor)[1:] == (0.0, 0.0)
