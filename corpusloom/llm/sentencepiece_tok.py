@@ -1,11 +1,11 @@
 """SentencePiece models on the tokenizers library.
 
 The model's protobuf is read by a small wire-format parser; normaliser, metaspace marker, piece scores and byte
-fallback are rebuilt as a tokenizers pipeline, unigram or BPE as the model says. Batches are encoded by the
-library's threads. Where the vocabulary shows that no piece goes on past a word start, the ids of a text are those
-of its words: then a batch is the distinct words that a worker meets first, and texts are put together from words
-met before. Parity with the sentencepiece library is verified for all that is encoded, each such word or, for
-other models, each whole text.
+fallback are rebuilt as a tokenizers pipeline, unigram or BPE as the model says. Batches are encoded by as many of
+the library's threads as a task has cores (spark.task.cpus). Where the vocabulary shows that no piece goes on past a
+word start, the ids of a text are those of its words: then a batch is the distinct words that a worker meets first,
+and texts are put together from words met before. Parity with the sentencepiece library is verified for all that is
+encoded, each such word or, for other models, each whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import added, slices, with_text
@@ -277,16 +277,22 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
             begin, size = i + 1, 0
 
 
-def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", threads: int = 1) -> DataFrame:
+def task_cores(spark: SparkSession) -> int:
+    """The cores that Spark gives to a task: one, unless spark.task.cpus says otherwise."""
+    return int(spark.sparkContext.getConf().get("spark.task.cpus", "1"))
+
+
+def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", threads: int | None = None) -> DataFrame:
     """Adds token_ids, n_tokens, n_byte_tokens (of byte fallback), round_trip (the ids decode to the text) and parity.
 
     Whole texts are encoded, without special tokens. A null text has null results, an empty one no tokens.
-    parity: the ids are those of the sentencepiece library. ``threads`` of the tokenizers library work on a batch;
-    give as many as a task has cores. The driver reads the model file. Other columns stay; those named like the
+    parity: the ids are those of the sentencepiece library. ``threads`` of the tokenizers library work on a batch,
+    unless given as many as a task has cores. The driver reads the model file. Other columns stay; those named like the
     results are replaced.
     """
     with open(model_file, "rb") as f:
         data = f.read()
+    threads = threads or task_cores(docs.sparkSession)
     names = [n for n, _ in FIELDS]
     kept = [c for c in docs.columns if c not in names]
     schema = added(docs, kept, ", ".join(f"{n} {t}" for n, t in FIELDS))

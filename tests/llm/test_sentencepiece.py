@@ -86,3 +86,12 @@ def test_rows(spark, codec):
     back = {r["doc_id"]: r["decoded"] for r in S.decode_ids(out.select("doc_id", "token_ids"), MODEL).collect()}
     assert back[3] == "Some text here" and back[1] is None and back[2] == ""
     assert S.encode_texts(df.limit(0), MODEL).count() == 0
+
+
+def test_threads_are_the_cores_of_a_task(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(S, "task_cores", lambda s: asked.append(s) or 2)
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert [r["parity"] for r in S.encode_texts(docs, MODEL).orderBy("doc_id").collect()][0] and asked == [spark]
+    monkeypatch.undo()
+    assert S.task_cores(spark) == int(spark.sparkContext.getConf().get("spark.task.cpus", "1"))
