@@ -39,10 +39,30 @@ def added(df: DataFrame, kept: list[str], ddl: str) -> StructType:
 
 def table(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).write(df, label)
+
+
+class Tables:
+    """Tables written to the shared folder, to be dropped once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((found, path))
+        return found
+
+    def drop(self, *but: DataFrame) -> None:
+        """Deletes all tables but these."""
+        for df, name in self.held:
+            if not any(df is x for x in but):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.held = [(df, name) for df, name in self.held if any(df is x for x in but)]
 
 
 def slices(batches: Iterator, rows: int = 512) -> Iterator:

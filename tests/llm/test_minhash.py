@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
 from corpusloom.llm.minhash import near_duplicates
@@ -59,6 +60,55 @@ def test_groups_of_copies(spark, n, percent, block):
     check(spark, rows, n, percent, block=block)
 
 
+@pytest.mark.parametrize("few", [0, 1, 8])
+def test_crowded_buckets_of_unlinked_texts(spark, few):
+    """Many texts of one form, linked with few others, go through the prefix filter and lose no link."""
+    rng = random.Random(few)
+    form = [f"form{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"own{rng.randint(0, 10_000)}" for _ in range(14)]
+        rows.append((i, " ".join([*form, *own])))
+        if i % 6 == 0:
+            rows.append((1000 + i, " ".join([*form, *own[:-1], "last"])))
+    rng.shuffle(rows)
+    check(spark, rows, 3, 85, block=8, few=few)
+
+
+def test_null_and_repeated_ids_are_linear(spark):
+    """Each node meets the rows of its own text only, whatever their ids: rows out of the text join grow with rows in."""
+    from corpusloom.llm import minhash
+    from corpusloom.llm.common import Tables, table
+
+    def joined(n):
+        text = F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), (F.col("id") % (n // 2)).cast("string")) for i in range(6)])
+        docs = table(spark.range(n).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.lit(7)).cast("long").alias("doc_id"), text.alias("text")), "docs")
+        seen = table(minhash.signatures(docs, doc_id="doc_id", text="text", words=3, bands=24, rows=4), "seen")
+        nodes = seen.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        assert minhash.texts_of(nodes, nodes, docs, doc_id="doc_id", text="text").count() == n // 2
+        out = near_duplicates(docs)
+        assert out.count() == n and out.select("root").distinct().count() == n // 2
+        return n
+
+    assert joined(200) < joined(6000)
+
+
+def test_intermediates_are_dropped(spark):
+    import os
+
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/corpusloom"
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    out = near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string"))
+    assert out.count() == 2
+    assert sorted(x.split("-")[0] for x in set(os.listdir(base)) - before) == ["named", "signatures"]
+
+
+def test_the_filter_keeps_pairs_at_the_threshold():
+    from corpusloom.llm.minhash import least_agreement
+
+    assert 40 < least_agreement(0.8, 96) < least_agreement(0.85, 96) < 70 and least_agreement(1.0, 96) == 96
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "One"), (6, "one two"), (7, "two one"), (8, "a b c d e f"), (8, "a b c d e f"), (8, "other text of this id here"), (None, "a b c d e f"), (None, "null id alone here"), (9, "x " * 50_000), (10, "x " * 40_000)]
     check(spark, rows, 3, 85)
