@@ -28,9 +28,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
 
 
-def order_hash(doc_id: Column, seed: int) -> Column:
-    """60 bits of md5 over seed and id (null: empty)."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def text_digest(text: Column) -> Column:
+    """md5 of a whole text in hex, empty for null: it orders rows whose ids are null or repeated."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+
+
+def order_hash(seed: int, *parts: Column) -> Column:
+    """60 bits of md5 over seed and parts (null: empty)."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -57,51 +62,53 @@ def targets(sources: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: i
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def copies(docs: DataFrame, *, doc_id: str, source: str, size: str, expected: str, seed: int = 0, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds ``copies``, the times that systematic sampling within each source emits a row. Null expectation: 0."""
+def copies(docs: DataFrame, *, doc_id: str, source: str, size: str, expected: str, tie: str | None = None, seed: int = 0, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds ``copies``, the times that systematic sampling within each source emits a row. Null expectation: 0.
+
+    Rows of one source and size are in hashed order of id and ``tie``, so that a tie of the texts' digests makes the order
+    total but for equal rows, which may change places. Other columns stay, whatever their names.
+    """
+    kept = [F.col(c) for c in docs.columns if c != "copies"]
+    keys = [F.col(doc_id), *([F.col(tie)] if tie else [])]
     units = F.coalesce(F.round(F.col(expected) * (1 << UNIT_BITS)).cast("long"), F.lit(0))
-    rows = docs.withColumns({"__units": units, "__hash": order_hash(F.col(doc_id), seed)})
-    place = [F.col(source).alias("__source"), F.col(size).alias("__size")]
-    sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.sum("__units").alias("units"))
-    by_size = Window.partitionBy("__source").orderBy("__size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = docs.select(
+        F.struct(*kept).alias("row"), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("keys"),
+        F.col(source).alias("source"), F.col(size).alias("size"), units.alias("units"), order_hash(seed, *keys).alias("hash"),
+    )
+    sizes = rows.groupBy("source", "size").agg(F.count("*").alias("n"), F.sum("units").alias("units"))
+    by_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each distinct size of a source, as many as its longest text has words at most
-    sizes = sizes.select("__source", "__size", F.coalesce(F.sum("units").over(by_size), F.lit(0)).alias("base"), F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
-    rows = rows.withColumns({"__source": F.col(source), "__size": F.col(size)}).alias("r").join(
-        sizes.alias("s"), F.expr("r.__source <=> s.__source AND r.__size <=> s.__size")
-    ).select("r.*", "base", "slices").withColumn("__slice", F.shiftright(F.shiftright("__hash", 28) * F.col("slices"), 32).cast("int"))
-    slices = rows.groupBy("__source", "__size", "__slice").agg(F.sum("__units").alias("units"), F.first("base").alias("base"))
-    by_slice = Window.partitionBy("__source", "__size").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select("__source", "__size", "__slice", (F.col("base") + F.coalesce(F.sum("units").over(by_slice), F.lit(0))).alias("start"))
-    within = Window.partitionBy("__source", "__size", "__slice").orderBy("__hash", doc_id, "__units").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.shiftright(order_hash(F.col("__source"), seed), 60 - UNIT_BITS)
-    low = F.col("start") + F.coalesce(F.sum("__units").over(within), F.lit(0)) + offset
-    high = low + F.col("__units")
-    crossed = F.shiftright(high, UNIT_BITS) - F.shiftright(low, UNIT_BITS)
-    return (
-        rows.drop("base", "slices").alias("r")
-        .join(slices.alias("s"), F.expr("r.__source <=> s.__source AND r.__size <=> s.__size AND r.__slice = s.__slice"))
-        .select("r.*", "start")
-        .withColumn("copies", crossed)
-        .drop("start", "__units", "__hash", "__source", "__size", "__slice")
-    )
+    sizes = sizes.select("source", "size", F.coalesce(F.sum("units").over(by_size), F.lit(0)).alias("base"), F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
+    rows = rows.alias("r").join(sizes.alias("s"), F.expr("r.source <=> s.source AND r.size <=> s.size")).select("r.*", "base", F.shiftright(F.shiftright("hash", 28) * F.col("slices"), 32).cast("int").alias("slice"))
+    slices = rows.groupBy("source", "size", "slice").agg(F.sum("units").alias("units"), F.first("base").alias("base"))
+    by_slice = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("source", "size", "slice", (F.col("base") + F.coalesce(F.sum("units").over(by_slice), F.lit(0))).alias("start"))
+    within = Window.partitionBy("source", "size", "slice").orderBy("hash", "keys", "units").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.drop("base").alias("r").join(slices.alias("s"), F.expr("r.source <=> s.source AND r.size <=> s.size AND r.slice = s.slice")).select("r.*", "start")
+    low = F.col("start") + F.coalesce(F.sum("units").over(within), F.lit(0)) + F.shiftright(order_hash(seed, F.col("source")), 60 - UNIT_BITS)
+    crossed = F.shiftright(low + F.col("units"), UNIT_BITS) - F.shiftright(low, UNIT_BITS)
+    return rows.select("row", crossed.alias("copies")).select("row.*", "copies")
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of each row of docs.
 
-    A null text has size 0; a null source is a source of its own; null and repeated ids are ordinary rows; an empty
-    table gives an empty result; a source without words has target 0 and no copies. Rows of size 0 in a source
-    with words are copied at their source's rate.
+    A null text has size 0; a null source is a source of its own; null and repeated ids are ordinary rows, told apart
+    by their texts; rows equal in id and text are interchangeable, and are sampled one by one. Texts of any length are
+    counted whole. An empty table gives an empty result; a source without words has target 0 and no copies. Rows of size 0
+    in a source with words are copied at their source's rate. Columns other than the three are not read, whatever their names.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    return mix_sized(table(sized, "sizes"), weights=weights, most=most, seed=seed)
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), text_digest(F.col(text)).alias("digest"))
+    return mix_sized(table(sized, "sizes"), tie="digest", weights=weights, most=most, seed=seed).drop("digest")
 
 
-def mix_sized(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
-    """As mix, of rows that have doc_id, source and size; further columns stay."""
+def mix_sized(sized: DataFrame, *, tie: str | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
+    """As mix, of rows that have doc_id, source and size; further columns stay, but those named like the three results are replaced."""
+    kept = [c for c in sized.columns if c not in ("source_size", "target", "copies")]
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sums, weights=weights, most=most)
+    goal = targets(sums, weights=weights, most=most).select(F.col("source").alias("__of"), F.struct("source_size", "target").alias("__goal"))
     # one row for each source; the join is left to the optimiser, which splits a hot source
-    rows = sized.alias("d").join(goal.alias("t"), F.expr("d.source <=> t.source"), "left").select("d.*", "source_size", "target")
-    rows = rows.withColumn("__expected", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))))
-    return copies(rows, doc_id="doc_id", source="source", size="size", expected="__expected", seed=seed).drop("__expected")
+    rows = sized.select(*kept).join(goal, F.col("source").eqNullSafe(F.col("__of")), "left").select(*kept, "__goal")
+    rows = rows.withColumn("__expected", F.when(F.col("__goal.source_size") > 0, F.least(F.col("__goal.target") / F.col("__goal.source_size"), F.lit(float(most)))))
+    out = copies(rows, doc_id="doc_id", source="source", size="size", expected="__expected", tie=tie, seed=seed)
+    return out.select(*kept, "__goal.source_size", "__goal.target", "copies")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm.mixing import copies, mix, targets
+from corpusloom.llm.mixing import copies, mix, mix_sized, targets
 
 
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
@@ -61,3 +61,34 @@ def test_empty_table(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     one = mix(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).head()
     assert (one["size"], one["target"], one["copies"]) == (0, 0.0, 0)
+
+
+def test_clashing_columns_stay(spark):
+    helpers = ["row", "keys", "units", "hash", "base", "slices", "slice", "start", "source_size", "target", "copies", "n", "__hash"]
+    rows = [(i, f"s{i % 3}", i % 5, *["mine"] * len(helpers)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, " + ", ".join(f"`{h}` string" for h in helpers))
+    out = mix_sized(df)
+    assert out.columns == ["doc_id", "source", "size", *[h for h in helpers if h not in ("source_size", "target", "copies")], "source_size", "target", "copies"]
+    assert out.where("base = 'mine' AND start = 'mine' AND row = 'mine' AND copies <= 3").count() == 50
+
+
+def test_reruns_of_null_and_repeated_ids_agree(spark):
+    """The digest orders rows whose ids do not."""
+    rows = [(None if i % 2 else 5, "a" if i % 3 else None, 3, f"digest{i // 2}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, digest string")
+    once, again = (mix_sized(x, tie="digest").groupBy("doc_id", "source", "digest").agg(F.sort_array(F.collect_list("copies")).alias("c")).collect() for x in (df, df.orderBy(F.rand(3)).repartition(7)))
+    assert sorted(map(str, once)) == sorted(map(str, again))
+
+
+def test_null_ids_are_dealt_over_slices(spark):
+    """With the digest no slice holds all rows of a null id."""
+    from corpusloom.llm.mixing import order_hash
+
+    rows = spark.range(4000).select(order_hash(0, F.lit(None).cast("long"), F.md5(F.col("id").cast("string").cast("binary"))).alias("h"))
+    assert rows.select(F.shiftright(F.shiftright("h", 28) * 16, 32).alias("slice")).groupBy("slice").count().where("count < 400").count() == 16
+
+
+def test_very_long_text(spark):
+    long = "word " * 2_000_000
+    out = {r["doc_id"]: r for r in mix(spark.createDataFrame([(1, long, "a"), (2, "x y", "b")], "doc_id long, text string, source string")).collect()}
+    assert out[1]["size"] == 2_000_000 and out[2]["target"] == 6.0
