@@ -1,7 +1,9 @@
 """Chat formatting: heterogeneous JSON records to canonical turns, marked-up text and loss spans.
 
-A record's layout is found by its fingerprint: a hash of those nested field paths of the registry's layouts that
-the record has. The fingerprint selects a declarative mapping to turns. Everything is DataFrame functions.
+A record's fingerprint is the hash of all its nested field paths, as all elements of its lists have them. The paths
+select a declarative mapping to turns: the first layout of the registry whose required paths the record has. Further
+paths do no harm, and those of a system prompt, a first prompt or an input beside a layout are taken in. Everything is
+DataFrame functions.
 
 Template: each turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside texts and roles are
 escaped by a backslash after their first character, which is undone exactly: a place that already reads like an
@@ -10,9 +12,7 @@ escaped control string gets one backslash more.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,97 +21,162 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 # First characters, then the rests, of the control strings of common chat templates: <s> </s> <<SYS>> <</SYS>> [INST] [/INST] <|name|>
 CONTROL_FIRST = r"([<\[])"
 CONTROL_REST = r"(/?s>|</?SYS>>|/?INST\]|\|[A-Za-z_]+\|>)"
-TURNS = "array<struct<role:string,text:string>>"
+TURN = "struct<role:string,text:string>"
+TURNS = f"array<{TURN}>"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Either one list of messages, or fixed (role, path) turns; an absent or null optional turn is left out.
-
-    paths: what a record must have to be of this layout; with ``optional`` paths it still is.
-    """
+    """Either a list of messages with a role and a text field, or one user and one assistant field."""
 
     name: str
-    paths: tuple[str, ...]
-    optional: tuple[str, ...] = ()
-    messages: tuple[str, str, str] | None = None  # list, role field, text field
-    turns: tuple[tuple[str, str], ...] = ()
-    joined: dict[str, str] = field(default_factory=dict)  # path -> path appended to it after an empty line
-
-
+    fields: tuple[str, str]  # role and text, or user and assistant
+    messages: str | None = None  # the list
+
+    @property
+    def paths(self) -> tuple[str, ...]:
+        """What a record must have to be of this layout."""
+        return tuple(f"{self.messages}[].{x}" if self.messages else x for x in self.fields)
+
+
+#: Lists of messages; fields of a message; fields of single turns. All in order of priority, lists before single turns.
+LISTS = ("messages", "conversations", "turns")
+ROLE_FIELDS, TEXT_FIELDS = ("role", "from"), ("content", "value", "text")
+USER_FIELDS, ASSISTANT_FIELDS = ("instruction", "prompt", "question"), ("output", "response", "completion", "answer")
+#: Text of a system turn before all others, and what follows a single user turn after an empty line.
+SYSTEM_FIELDS, INPUT_FIELD = ("system", "system_prompt"), "input"
+SINGLE_FIELDS = (*SYSTEM_FIELDS, *USER_FIELDS, INPUT_FIELD, *ASSISTANT_FIELDS)
+NAMED = {("messages", "role", "content"): "messages", ("conversations", "from", "value"): "from_value", ("turns", "role", "text"): "role_text", ("instruction", "output"): "instruction"}
 LAYOUTS = (
-    Layout("messages", ("messages[].content", "messages[].role"), messages=("messages", "role", "content")),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value")),
-    Layout("role_text", ("turns[].role", "turns[].text"), messages=("turns", "role", "text")),
-    Layout("instruction", ("instruction", "output"), ("input", "system"), turns=(("system", "system"), ("user", "instruction"), ("assistant", "output")), joined={"instruction": "input"}),
-    Layout("prompt_response", ("prompt", "response"), ("system",), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Layout("prompt_completion", ("prompt", "completion"), ("system",), turns=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
-    Layout("question_answer", ("question", "answer"), ("system",), turns=(("system", "system"), ("user", "question"), ("assistant", "answer"))),
+    *[Layout(NAMED.get((x, r, t), f"{x}_{r}_{t}"), (r, t), x) for x in LISTS for r in ROLE_FIELDS for t in TEXT_FIELDS],
+    *[Layout(NAMED.get((u, a), f"{u}_{a}"), (u, a)) for u in USER_FIELDS for a in ASSISTANT_FIELDS],
 )
-# Names that layouts give to the three roles.
+# Names that layouts give to the three roles, where the role's field is not called role.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Of a variant's schema: field names, openings, closings and types of values.
+SCHEMA_TOKEN = r"(?:`[^`]*+(?:``[^`]*+)*+`|[A-Za-z0-9_]+): |OBJECT<|ARRAY<|>|[A-Z_]+(?:\(\d+,\d+\))?"
+
+
+def field_paths(parsed: Column) -> Column:
+    """All nested field paths of a variant, sorted: ``a.b``, and ``a[].b`` in lists, of all elements together. Null for null.
+
+    A list that holds both objects and other values counts as a list of values without fields.
+    """
+    tokens = F.regexp_extract_all(F.schema_of_variant(parsed), F.lit(SCHEMA_TOKEN), F.lit(0))
+    kind = "struct<open:array<string>,name:string,paths:array<string>>"
+    start = F.struct(F.array(F.lit("")).alias("open"), F.lit("").alias("name"), F.array().cast("array<string>").alias("paths")).cast(kind)
+
+    def step(acc: Column, token: Column) -> Column:
+        here = F.concat(F.element_at(acc["open"], -1), acc["name"])
+        inner = F.when(token == "ARRAY<", F.concat(here, F.lit("[]"))).when(here == "", here).otherwise(F.concat(here, F.lit(".")))
+        seen = F.array_append(acc["paths"], here)
+        same = lambda open, name, paths: F.struct(open.alias("open"), name.alias("name"), paths.alias("paths")).cast(kind)
+        return (
+            F.when(token.endswith(": "), same(acc["open"], F.substring(token, F.lit(1), F.length(token) - 2), acc["paths"]))
+            .when(token == ">", same(F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1), F.lit(""), acc["paths"]))
+            .when(token.endswith("<"), same(F.array_append(acc["open"], inner), F.lit(""), seen))
+            .otherwise(same(acc["open"], F.lit(""), seen))
+        )
+
+    return F.array_sort(F.array_remove(F.array_distinct(F.aggregate(tokens, start, step, lambda acc: acc["paths"])), ""))
+
+
+def record_fingerprint(paths: Column) -> Column:
+    """Hash of all field paths of a record."""
+    return F.sha2(F.array_join(paths, "\n").cast("binary"), 256)
+
+
+def layout_of(paths: Column) -> Column:
+    """The name of the first layout whose paths are all there."""
+    return F.coalesce(*[F.when(F.forall(F.array(*map(F.lit, x.paths)), lambda p: F.array_contains(paths, p)), F.lit(x.name)) for x in LAYOUTS])
+
+
+class VariantRecord:
+    """Reads fields of parsed records."""
 
+    def __init__(self, parsed: Column):
+        self.parsed = parsed
 
-def fingerprint(paths: list[str] | tuple[str, ...]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+    def text(self, value: Column | None, field: str) -> Column:
+        """A field's text, of the record or of a list's element; a list of parts is its parts' texts by line."""
+        value, path = self.parsed if value is None else value, f"$.{field}"
+        part = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"))
+        return F.coalesce(F.array_join(F.transform(F.try_variant_get(value, path, "array<variant>"), part), "\n"), F.try_variant_get(value, path, "string"))
 
+    def elements(self, field: str) -> Column:
+        return F.try_variant_get(self.parsed, f"$.{field}", "array<variant>")
 
-def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
-    """Every fingerprint that selects a layout: its paths with any of its optional ones."""
-    found: dict[str, Layout] = {}
-    for layout in layouts:
-        for bits in range(1 << len(layout.optional)):
-            some = [p for i, p in enumerate(layout.optional) if bits >> i & 1]
-            key = fingerprint([*layout.paths, *some])
-            if key in found:
-                raise ValueError(f"{layout.name} and {found[key].name} have the same paths")
-            found[key] = layout
-    return found
 
+class JsonRecord:
+    """Reads the known fields of records that are no variant: beyond its size limits, or with repeated names."""
 
-def record_fingerprint(parsed: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Hash of the known paths that a variant has; a path into a list is looked up in the list's first element."""
-    known = sorted({p for x in layouts for p in (*x.paths, *x.optional)})
-    has = [F.when(F.try_variant_get(parsed, "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in known]
-    return F.sha2(F.array_join(F.filter(F.array(*has), lambda x: x.isNotNull()), "\n").cast("binary"), 256)
+    def __init__(self, row: Column):
+        self.row = row
 
+    @staticmethod
+    def parsed(record: Column) -> Column:
+        message = ", ".join(f"`{f}`: string" for f in [*ROLE_FIELDS, *TEXT_FIELDS])
+        kind = ", ".join([*[f"`{x}` array<struct<{message}>>" for x in LISTS], *[f"`{f}` string" for f in SINGLE_FIELDS]])
+        return F.from_json(record, kind, {"maxStringLen": str(2**31 - 1)})
 
-def _message(role: str, text: str, renames: Column | None) -> Callable[[Column], Column]:
-    def turn(m: Column) -> Column:
-        name = m[role] if renames is None else F.coalesce(renames[m[role]], m[role])
-        return F.struct(F.coalesce(name, F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
+    def paths(self) -> Column:
+        filled = lambda field: lambda e: e[field].isNotNull()
+        has = [F.when(F.exists(self.row[k], filled(f)), F.lit(f"{k}[].{f}")) for k in LISTS for f in [*ROLE_FIELDS, *TEXT_FIELDS]]
+        has += [F.when(self.row[f].isNotNull(), F.lit(f)) for f in SINGLE_FIELDS]
+        return F.array_sort(F.filter(F.array(*has), lambda p: p.isNotNull()))
 
-    return turn
+    def text(self, value: Column | None, field: str) -> Column:
+        return (self.row if value is None else value)[field]
 
+    def elements(self, field: str) -> Column:
+        return self.row[field]
 
-def canonical_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
-    """(layout name, turns) of a JSON string; both null if no layout fits."""
-    parsed = F.try_parse_json(record)
-    print_ = record_fingerprint(parsed, layouts)
-    by_name: dict[str, list[str]] = {}
-    for key, layout in registry(layouts).items():
-        by_name.setdefault(layout.name, []).append(key)
-    name = F.coalesce(*[F.when(print_.isin(keys), F.lit(n)) for n, keys in by_name.items()])
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).cast(TURN)
+
+
+def _messages(record: VariantRecord | JsonRecord) -> Column:
+    """The turns of the list that the layout names, by the first of the role and text fields that an element has."""
     renames = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-    said = lambda path: F.try_variant_get(parsed, f"$.{path}", "string")
-    options = []
-    for layout in layouts:
-        if layout.messages:
-            top, role, text = layout.messages
-            got = F.try_variant_get(parsed, f"$.{top}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns = F.transform(got, _message(role, text, None if role == "role" else renames))
-        else:
-            optional = set(layout.optional)
-            parts = []
-            for role, path in layout.turns:
-                text = said(path)
-                if more := layout.joined.get(path):
-                    text = F.concat(text, F.when(F.coalesce(said(more), F.lit("")) != "", F.concat(F.lit("\n\n"), said(more))).otherwise(""))
-                turn = F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-                parts.append(F.when(text.isNotNull(), turn) if path in optional else turn)
-            turns = F.filter(F.array(*parts), lambda t: t.isNotNull())
-        options.append(F.when(name == layout.name, turns.cast(TURNS)))
-    return name, F.coalesce(*options)
+
+    def turn(e: Column) -> Column:
+        named = lambda f: record.text(e, f) if f == "role" else F.coalesce(renames[record.text(e, f)], record.text(e, f))
+        return _turn(F.coalesce(*map(named, ROLE_FIELDS)), F.coalesce(*[record.text(e, f) for f in TEXT_FIELDS]))
+
+    of = lambda top: [x.name for x in LAYOUTS if x.messages == top]
+    return F.transform(F.coalesce(*[F.when(F.col("layout").isin(of(x)), record.elements(x)) for x in LISTS]), turn)
+
+
+def _first(fields: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.col("__said")[f] for f in fields])
+
+
+def _turns() -> Column:
+    """A record's turns: its messages, or its user and assistant text.
+
+    A system prompt beside a list, and a prompt beside it, are turns before it unless the list has them itself.
+    """
+    some = lambda *turns: F.filter(F.array(*turns), lambda t: t.isNotNull())
+    system, asked, more = _first(SYSTEM_FIELDS), _first(USER_FIELDS), F.coalesce(F.col("__said")[INPUT_FIELD], F.lit(""))
+    lacks = lambda role, text: text.isNotNull() & ~F.exists("__messages", lambda t: (t["role"] == role) & (t["text"] == text))
+    beside = some(F.when(lacks("system", system), _turn(F.lit("system"), system)), F.when(lacks("user", asked), _turn(F.lit("user"), asked)))
+    user = F.concat(F.coalesce(asked, F.lit("")), F.when(more != "", F.concat(F.lit("\n\n"), more)).otherwise(""))
+    single = some(F.when(system.isNotNull(), _turn(F.lit("system"), system)), _turn(F.lit("user"), user), _turn(F.lit("assistant"), _first(ASSISTANT_FIELDS)))
+    return F.when(F.col("__messages").isNotNull(), F.concat(beside, "__messages")).when(F.col("layout").isNotNull(), single)
+
+
+def canonical_turns(df: DataFrame, record: str, kept: list[str]) -> DataFrame:
+    """The kept columns, fingerprint, layout and __turns of a JSON string; see format_chats."""
+    rows = df.select(*kept, F.col(record).alias("__record"), F.try_parse_json(F.col(record)).alias("__parsed"))
+    is_variant = F.col("__parsed").isNotNull()
+    rows = rows.withColumn("__json", F.when(~is_variant, JsonRecord.parsed(F.col("__record"))))
+    plain, refused = VariantRecord(F.col("__parsed")), JsonRecord(F.col("__json"))
+    rows = rows.withColumn("__paths", F.when(is_variant, field_paths(F.col("__parsed"))).otherwise(refused.paths()))
+    rows = rows.withColumns({"layout": layout_of(F.col("__paths")), "fingerprint": F.when(F.size("__paths") > 0, record_fingerprint(F.col("__paths")))})
+    said = F.struct(*[F.when(is_variant, plain.text(None, f)).otherwise(refused.text(None, f)).alias(f) for f in SINGLE_FIELDS])
+    rows = rows.withColumns({"__said": said, "__messages": F.when(is_variant, _messages(plain)).otherwise(_messages(refused))})
+    return rows.select(*kept, "fingerprint", "layout", _turns().alias("__turns"))
 
 
 def escape(text: Column) -> Column:
@@ -131,22 +196,25 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def format_chats(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, learn: str = "assistant") -> DataFrame:
-    """Adds layout, formatted and loss_spans (array of start and length in code points, one for each ``learn`` turn).
+def format_chats(df: DataFrame, record: str = "record", learn: str = "assistant") -> DataFrame:
+    """Adds fingerprint, layout, formatted and loss_spans (array of start and length in code points, one for each ``learn`` turn).
 
-    A null or malformed record, one of no known layout, and a value beyond the variant size limit have all three
-    null (rows that have turns need no JSON: see format_turns); a message without role or text has it empty. Other columns stay; those named like the three are replaced.
+    A null or malformed record and one of no known layout have layout, formatted and loss_spans null; a message without
+    role or text has it empty, an empty list of messages is no layout. A record that the variant parser refuses (over
+    134,217,728 bytes as a variant, a string of over 20,000,000 characters, or a field name twice in one object: there
+    the last counts) is read by its known fields instead: its fingerprint is of these, and a list of content parts stays
+    JSON. Texts of any length, repeated rows and ties are formatted one by one; an empty table has an empty result.
+    Other columns stay; those named like the four are replaced.
     """
-    names = ("layout", "formatted", "loss_spans")
-    name, turns = canonical_turns(F.col(record), layouts)
+    names = ("fingerprint", "layout", "formatted", "loss_spans")
     kept = [c for c in df.columns if c not in names]
-    return _formatted(df.select(*kept, name.alias("layout"), turns.alias("__turns")), [*kept, "layout"], learn)
+    return _formatted(canonical_turns(df, record, kept), [*kept, "fingerprint", "layout"], learn)
 
 
 def format_turns(df: DataFrame, turns: str = "turns", learn: str = "assistant") -> DataFrame:
     """Adds formatted and loss_spans, as format_chats, for turns that are an array of structs of role and text.
 
-    Nothing is written as JSON or parsed, so no size limit of a variant holds. Null turns have both null.
+    Nothing is written as JSON or parsed. Null turns have both null, no turns an empty text and no spans.
     """
     kept = [c for c in df.columns if c not in ("formatted", "loss_spans")]
     empty = lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
@@ -216,3 +284,34 @@ def conversation_records(rows: DataFrame, *, conv_id: str = "conv_id", turn: str
     """
     turns = _ordered(turn, role, text, "content")
     return rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.to_json(F.struct(turns.alias("messages"))).alias("record"))
+
+
+def heterogeneous_records(chats: DataFrame, *, key: str = "conv_id", turns: str = "turns") -> DataFrame:
+    """(key, record): turns as JSON records of all layouts in turn by the key; format_chats gives the same turns back.
+
+    A conversation whose turns a layout cannot hold is written as messages: single turns hold one user and one assistant
+    turn, with a system turn or without; lists with other names for roles hold the three known roles only.
+    """
+    said = F.col(turns)
+    role = lambda i: said[i]["role"]
+    has_system = (F.size(said) == 3) & (role(0) == "system")
+    at = F.when(has_system, 1).otherwise(0)
+    single = (F.size(said) == at + 2) & (said[at]["role"] == "user") & (said[at + 1]["role"] == "assistant")
+    known = F.forall(said, lambda t: t["role"].isin("system", "user", "assistant"))
+    theirs = F.create_map(*[F.lit(x) for x in ("user", "human", "assistant", "gpt", "system", "system")])
+    as_list = lambda role_field, text_field, rows, name=lambda r: r: F.transform(rows, lambda t: F.struct(name(t["role"]).alias(role_field), t["text"].alias(text_field)))
+    led = (role(0) == "system") & (F.size(said) > 1) & ~F.exists(F.slice(said, F.lit(2), F.size(said)), lambda t: t["role"] == "system")
+    system = F.when(has_system, said[0]["text"]).alias("system")
+    pair = lambda user, assistant: F.to_json(F.struct(system, said[at]["text"].alias(user), said[at + 1]["text"].alias(assistant)))
+    plain = F.to_json(F.struct(as_list("role", "content", said).alias("messages")))
+    forms = [
+        (F.lit(True), plain),
+        (known, F.to_json(F.struct(as_list("from", "value", said, lambda r: theirs[r]).alias("conversations")))),
+        (F.lit(True), F.to_json(F.struct(as_list("role", "text", said).alias("turns")))),
+        (F.lit(True), F.to_json(F.struct(as_list("role", "content", said).alias("conversations")))),
+        (led, F.to_json(F.struct(said[0]["text"].alias("system"), as_list("role", "content", F.slice(said, F.lit(2), F.size(said))).alias("messages")))),
+        *[(single, pair(u, a)) for u, a in (("instruction", "output"), ("prompt", "response"), ("prompt", "completion"), ("question", "answer"))],
+    ]
+    turn = F.pmod(F.xxhash64(F.col(key)), F.lit(len(forms)))
+    picked = F.coalesce(*[F.when((turn == i) & fits, form) for i, (fits, form) in enumerate(forms)], plain)
+    return chats.select(key, picked.alias("record"))

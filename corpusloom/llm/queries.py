@@ -75,7 +75,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    chats = chatformat.format_turns(chatformat.conversation_turns(rows))
+    chats = chatformat.format_chats(chatformat.heterogeneous_records(chatformat.conversation_turns(rows)))
     back, loss = chatformat.read_turns(F.col("formatted")), chatformat.loss_text(F.col("formatted"), F.col("loss_spans"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select("conv_id", "formatted", back.alias("turns"), loss.alias("loss")).select(
@@ -118,7 +118,7 @@ ORACLES = {
         )
         SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM pages_ p LEFT JOIN best b ON p.host = b.host AND p.path = b.path""",
     "op5_mixing": """
-        WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, coalesce(md5(text), '') AS tie, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, 3 * source_size AS most FROM s),
         r AS (
@@ -127,11 +127,11 @@ ORACLES = {
         ), open AS (SELECT rate FROM r WHERE rate * weight < most ORDER BY most / weight, source ASC NULLS LAST LIMIT 1),
         t AS (SELECT source, source_size, least(coalesce((SELECT rate FROM open), 0) * weight, most::DOUBLE) AS target FROM r),
         u AS (
-            SELECT d.*, t.source_size, t.target, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
+            SELECT d.*, t.source_size, t.target, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || tie), 1, 15))::BIGINT AS h,
                 coalesce(round(least(t.target / nullif(t.source_size, 0), 3.0) * 16777216)::BIGINT, 0) AS units,
                 ('0x' || substr(md5('0:' || coalesce(d.source, '')), 1, 15))::BIGINT >> 36 AS off
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-        ), c AS (SELECT *, (off + coalesce(sum(units) OVER (PARTITION BY source ORDER BY size, h, doc_id, units ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS low FROM u)
+        ), c AS (SELECT *, (off + coalesce(sum(units) OVER (PARTITION BY source ORDER BY size, h, doc_id, tie, units ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS low FROM u)
         SELECT doc_id, size, source_size, target, (size * (((low + units) >> 24) - (low >> 24)))::BIGINT AS taken FROM c""",
     "op9_chat_formatting": """
         WITH r AS (
