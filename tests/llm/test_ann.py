@@ -74,3 +74,32 @@ def test_query_recall(spark):
     got = found(op6_nearest_neighbours(spark, d))
     want = brute(vectors, [i for i in vectors if i % 100 == 0], 10)
     assert np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_projections_follow_the_intrinsic_dimension():
+    from corpusloom.llm.ann import FEWEST, MOST, intrinsic_dimension, projections_for
+
+    rng = np.random.default_rng(4)
+    flat = rng.normal(size=(4000, 4)) @ rng.normal(size=(4, 64))
+    assert 3 < intrinsic_dimension(flat) < 5.5 and projections_for(flat) == FEWEST
+    assert projections_for(rng.normal(size=(4000, 64))) == MOST
+    assert projections_for(np.ones((10, 3))) == FEWEST and projections_for(np.zeros((0, 3))) == FEWEST
+
+
+def test_a_clustered_shard_is_pruned():
+    """Of vectors on a surface of few dimensions a small share is verified; the distances found are exact."""
+    from corpusloom.llm.ann import KdTree, projection, projections_for
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8000, 3)) @ rng.normal(size=(3, 48)) + rng.normal(0, 0.01, (8000, 48))
+    m = projections_for(x)
+    matrix = projection(48, m)
+    tree = KdTree(np.arange(8000), x, x @ matrix)
+    hits = 0
+    for q in range(0, 8000, 400):
+        d, ids = tree.nearest(q, x[q], x[q] @ matrix, 10, float("inf"), chi_square_quantile(0.95, m))
+        every = np.sqrt(((x - x[q]) ** 2).sum(1))
+        every[q] = np.inf
+        assert np.array_equal(d, every[ids])
+        hits += len(set(ids) & set(np.argsort(every)[:10]))
+    assert hits >= 190 and tree.verified < 20 * 8000 * 0.1
