@@ -1,10 +1,10 @@
 """Quality classifier of supervised subword embeddings.
 
-A word's features are itself and its character n-grams, hashed to buckets with learned vectors; a word that
-repeats the one before it adds a further feature, the same for all words. A text is the
-average of the vectors of all features of all its words; a softmax over labels follows. Both are trained
-together by stochastic gradient descent in numpy. As average and softmax input are linear, a word adds a fixed
-vector of logits, which is worked out once per distinct word.
+A word's features are itself and its character n-grams, and each pair of words in a row is a feature; all are hashed to
+buckets with learned vectors; the pairs of a word with itself share one, so that repetition shows in words never seen
+before. A text is the average of the vectors of all its features; a softmax over labels follows. Both are trained together
+by stochastic gradient descent in numpy. As average and softmax input are linear, a word adds a fixed vector of logits,
+which is worked out once per distinct word.
 """
 
 from __future__ import annotations
@@ -22,10 +22,9 @@ from pyspark.sql import DataFrame
 from corpusloom.llm.common import Sample, added, labelled_sample, slices, with_text
 from corpusloom.llm.wordtable import WordTable, code_points, grams, sums, resident
 
+#: Buckets of words and n-grams; as many more are for pairs of words.
 BUCKETS = 1 << 17
 SHORTEST, LONGEST = 3, 5
-#: The feature of a word that repeats the one before, and its weight against one n-gram.
-SAME, SAME_WEIGHT = zlib.crc32(b"same word") % BUCKETS, 8
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +34,13 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([whole, bucket]), np.concatenate([np.arange(len(words)), of])
 
 
+def pair_buckets(codes: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of words in a row, of the words' crc32; all pairs of a word with itself have the first bucket."""
+    c = codes.astype(np.uint64)
+    mixed = (c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:]) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.where(c[:-1] == c[1:], 0, 1 + ((mixed >> np.uint64(40)) % np.uint64(BUCKETS - 1)).astype(np.int64)) + BUCKETS
+
+
 @dataclass(frozen=True)
 class QualityModel:
     labels: tuple[int, ...]
@@ -44,28 +50,30 @@ class QualityModel:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def table(self) -> WordTable:
+        """Of a word: its logits, its number of features and its crc32, which a double holds exactly."""
         def make() -> WordTable:
             logits = self.logits()
 
             def describe(words: list[bytes]) -> np.ndarray:
                 bucket, of = features(words)
-                return sums(logits[bucket], of, len(words))
+                return np.column_stack([sums(logits[bucket], of, len(words)), list(map(zlib.crc32, words))])
 
-            return WordTable(len(self.labels) + 1, describe)
+            return WordTable(len(self.labels) + 2, describe)
 
         return resident(self.key, make)
 
     def logits(self) -> np.ndarray:
         """Of each bucket; the last column counts features."""
-        return np.append(self.vectors @ self.out, np.ones((BUCKETS, 1)), 1)
+        return np.append(self.vectors @ self.out, np.ones((2 * BUCKETS, 1)), 1)
 
     def probabilities(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Softmax over labels of each text; a text without words has the bias alone."""
-        table, same = self.table(), SAME_WEIGHT * np.append(self.vectors[SAME] @ self.out, 1.0)
+        table, logits = self.table(), self.logits()
         for ids in table.ids(t.split() for t in texts):
             z = self.bias.copy()
             if len(ids):
-                total = table.values[ids].sum(0) + (ids[1:] == ids[:-1]).sum() * same
+                rows = table.values[ids]
+                total = rows[:, :-1].sum(0) + logits[pair_buckets(rows[:, -1])].sum(0)
                 z += total[:-1] / total[-1]
             e = np.exp(z - z.max())
             yield e / e.sum()
@@ -80,25 +88,24 @@ def train(sample: Sample, *, size: int = 8, epochs: int = 5, rate: float = 12.0,
     """Minibatch gradient descent with a falling rate. One label, or none: its probability is 1, or 0.5 for 0 and 1."""
     labels = tuple(sorted(set(sample.labels))) or (0, 1)
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / size, 1 / size, (BUCKETS, size))
+    vectors = rng.uniform(-1 / size, 1 / size, (2 * BUCKETS, size))
     out, bias = rng.normal(0, 0.3, (size, len(labels))), np.zeros(len(labels))
     model = lambda: QualityModel(labels, vectors, out, bias)
     if len(labels) < 2 or not sample.texts:
         return model()
-    ids: dict[bytes, int] = {}
-    docs: list[tuple[np.ndarray, np.ndarray]] = []
+    names: dict[bytes, int] = {}
+    pairs: dict[int, int] = {}
+    docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # numbers of the words and how often, the same of pairs
     for text in sample.texts:
         words = text.split()
-        counts = Counter(words)
-        at = [ids.setdefault(w, len(ids) + 1) for w in counts]  # 0 is the repeated word
-        n = list(counts.values())
-        if same := sum(map(bytes.__eq__, words, words[1:])):
-            at.append(0)
-            n.append(same)
-        docs.append((np.array(at, np.int64), np.array(n, np.float64)))
-    bucket, of = features(list(ids))
+        here = Counter(words)
+        at = np.array([names.setdefault(w, len(names)) for w in here], np.int64)
+        two, times = np.unique(pair_buckets(np.array(list(map(zlib.crc32, words)), np.uint64)), return_counts=True)
+        docs.append((at, np.array(list(here.values()), float), np.array([pairs.setdefault(p, len(pairs)) for p in two.tolist()], np.int64), times.astype(float)))
+    bucket, of = features(list(names))
     order = np.argsort(of, kind="stable")
-    spelled = [np.full(SAME_WEIGHT, SAME), *np.split(bucket[order], np.cumsum(np.bincount(of, minlength=len(ids)))[:-1])]
+    spelled = [*np.split(bucket[order], np.cumsum(np.bincount(of, minlength=len(names)))[:-1]), *[np.array([p]) for p in pairs]]
+    docs = [(np.concatenate([w, p + len(names)]), np.concatenate([n, m])) for w, n, p, m in docs]
     lengths = np.array([len(x) for x in spelled])
     y = np.searchsorted(labels, sample.labels)
     weight = np.array(sample.weights())
@@ -141,9 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_label
 
 
 def score_texts(docs: DataFrame, model: QualityModel, *, text: str = "text", name: str = "score") -> DataFrame:
-    """Adds the probability of label 1 for each whole text; null and empty texts have that of the bias alone.
+    """Adds the probability of label 1 for each whole text, of any length; null and empty texts have that of the bias alone.
 
-    Other columns stay; one named like the result is replaced.
+    A score depends on the text alone, so repeated rows and null ids need no care. An empty table stays empty. Other
+    columns stay; one named like the result is replaced.
     """
     kept = [c for c in docs.columns if c != name]
     schema = added(docs, kept, f"`{name}` double")

@@ -75,13 +75,44 @@ def plain_quality(model, text):
     logits = model.logits()
     for i, w in enumerate(words):
         total += logits[quality_clf.features([w])[0]].sum(0)
-        if i and words[i - 1] == w:
-            total += quality_clf.SAME_WEIGHT * np.append(model.vectors[quality_clf.SAME] @ model.out, 1)
+        if i:
+            total += logits[quality_clf.pair_buckets(np.array([zlib.crc32(words[i - 1]), zlib.crc32(w)]))[0]]
     z = model.bias + (total[:-1] / total[-1] if words else 0)
     e = np.exp(z - z.max())
     return e / e.sum()
 
 
+def test_pairs_of_words():
+    a, b, c = (zlib.crc32(x) for x in (b"a", b"b", b"c"))
+    got = quality_clf.pair_buckets(np.array([a, b, b, c, c, a, b]))
+    assert got[1] == got[3] == quality_clf.BUCKETS and got[0] == got[5] and len(set(got)) == 4
+    assert got.min() >= quality_clf.BUCKETS and got.max() < 2 * quality_clf.BUCKETS and len(quality_clf.pair_buckets(np.zeros(1))) == 0
+
+
+def test_one_step_follows_the_gradient():
+    """The trainer's step on one batch is the gradient of the weighted log-likelihood, by differences."""
+    texts, labels = [b"aa bb aa", b"cc bb bb", b"dd"], [1, 0, 1]
+    sample = Sample(texts, labels, {0: 1 / 3, 1: 2 / 3})
+    rate, size = 1e-3, 4
+    start = quality_clf.train(sample, size=size, epochs=0)
+    after = quality_clf.train(sample, size=size, epochs=1, rate=rate, batch=3)
+
+    def loss(vectors, out, bias):
+        model = quality_clf.QualityModel(start.labels, vectors, out, bias)
+        return -sum(w * np.log(plain_quality(model, t)[start.labels.index(y)]) for t, y, w in zip(texts, labels, sample.weights(), strict=True)) / 3
+
+    used = sorted({*quality_clf.features([b"aa", b"bb", b"cc", b"dd"])[0].tolist(), quality_clf.BUCKETS})
+    for at in used[::5]:
+        for k in range(size):
+            up = start.vectors.copy()
+            up[at, k] += 1e-5
+            slope = (loss(up, start.out, start.bias) - loss(start.vectors, start.out, start.bias)) / 1e-5
+            assert after.vectors[at, k] - start.vectors[at, k] == pytest.approx(-rate * 3 * slope, abs=1e-8)
+    up = start.bias + np.array([1e-5, 0])
+    slope = (loss(start.vectors, start.out, up) - loss(start.vectors, start.out, start.bias)) / 1e-5
+    assert after.bias[0] - start.bias[0] == pytest.approx(-rate * 0.1 * slope, abs=1e-8)
+
+
 def test_quality_against_brute_force(spark):
     good, bad = [b"plain words of prose number %d" % i for i in range(80)], [b"$$$ buy!!! ### %d" % i for i in range(80)]
     model = quality_clf.train(Sample(good + bad, [1] * 80 + [0] * 80, {0: 0.5, 1: 0.5}))
