@@ -1,11 +1,8 @@
 """SentencePiece models on the tokenizers library.
 
 The model's protobuf is read by a small wire-format parser; normaliser, metaspace marker, piece scores and byte
-fallback are rebuilt as a tokenizers pipeline, unigram or BPE as the model says. Batches are encoded by as many of
-the library's threads as a task has cores (spark.task.cpus). Where the vocabulary shows that no piece goes on past a
-word start, the ids of a text are those of its words: then a batch is the distinct words that a worker meets first,
-and texts are put together from words met before. Parity with the sentencepiece library is verified for all that is
-encoded, each such word or, for other models, each whole text.
+fallback are rebuilt as a tokenizers pipeline, unigram or BPE as the model says. Batches of whole texts are encoded by
+several of the library's threads, and again by the sentencepiece library, which verifies parity of every text's ids.
 """
 
 from __future__ import annotations
@@ -155,96 +152,44 @@ def build(m: Model):
     return t
 
 
-class Words:
-    """Token ids and parity of the distinct words that a worker has met, words with their space markers."""
-
-    def __init__(self, limit: int = 300_000):
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.starts, self.sizes, self.same = (np.zeros(1024, t) for t in (np.int32, np.int64, np.int64, bool))
-        self.used = 0
-
-    def add(self, words: list[str], ids: list[list[int]], same: list[bool]) -> None:
-        n, sizes = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        for name, need in (("ids", self.used + total), ("starts", n + len(words)), ("sizes", n + len(words)), ("same", n + len(words))):
-            have = getattr(self, name)
-            if need > len(have):
-                grown = np.zeros(max(need, 2 * len(have)), have.dtype)
-                grown[: len(have)] = have
-                setattr(self, name, grown)
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.int32, total)
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
-        self.same[n : n + len(words)] = same
-        self.used += total
-        self.at.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def of(self, words: list[str]) -> tuple[np.ndarray, bool]:
-        """Ids of a text of these words, and whether all are at parity."""
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        before = np.cumsum(sizes) - sizes
-        place = np.arange(int(sizes.sum())) + np.repeat(self.starts[at] - before, sizes)
-        return self.ids[place], bool(self.same[at].all())
-
-
 class Codec:
     """One worker's encoder and decoder of a model, verified against the sentencepiece library."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, threads: int = 1):
         import sentencepiece
 
         self.model = m = parse(data)
+        self.threads = threads
         self.tokenizer = build(m)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.by_word = separable(m) and m.add_dummy_prefix and not m.charsmap and not m.remove_extra_whitespaces
-        self.words = Words()
-        self.byte_ids = {i for i, (_, _, k) in enumerate(m.pieces) if k == BYTE}
         self.is_byte = np.array([k == BYTE for _, _, k in m.pieces])
         self.spelled = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(META, " ").encode() for p, _, k in m.pieces]
-        if self.by_word:
-            lone = self.plain(["a "])[0][len(self.plain(["a"])[0]) :]
-            same = self.reference.encode("a ")[len(self.reference.encode("a")) :] == lone
-            self.lone = lone, same
-
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def split(self, text: str) -> list[str]:
-        """Words with one marker before them, written without it; other words are written with a marker more than they have."""
-        if not text:
-            return []
-        if text[0] != " " and text[-1] != " " and "  " not in text and META not in text:
-            return text.split(" ")
-        found = re.findall(f"{META}*[^{META}]+|{META}+", META + text.replace(" ", META))
-        return [w[1:] if len(w) > 1 and w[1] != META else META + w for w in found]
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words.at]
-        if len(self.words.at) + len(new) > self.words.limit:
-            self.words.clear()
-            new = list(words)
-        # The dummy prefix gives back one marker.
-        probes = [w[2:].replace(META, " ") if w[0] == META else w for w in new]
-        ids, reference = self.plain(probes), self.reference.encode(probes, num_threads=1)
-        same = [a == b for a, b in zip(ids, reference, strict=True)]
-        for i, p in enumerate(probes):
-            if not p:
-                ids[i], same[i] = self.lone
-        self.words.add(new, ids, same)
+        #: A text may be cut at a single space: the dummy prefix stands for it.
+        self.cuts = separable(m) and m.add_dummy_prefix and not m.charsmap and not m.remove_extra_whitespaces
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """(ids, parity) of each text."""
-        if not self.by_word:
-            ids = self.plain(texts)
-            return [(np.array(a, np.int32), a == b) for a, b in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
-        words = [self.split(t) for t in texts]
-        self.learn(set().union(*words))
-        return [self.words.of(w) for w in words]
+        """(ids, parity) of each text. Texts of over LONG_CHARS are encoded and compared in parts, where the model allows."""
+        parts = [self.parts(t) for t in texts]
+        flat = [x for p in parts for x in p]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False)]
+        same = list(map(list.__eq__, ids, self.reference.encode(flat, num_threads=self.threads)))
+        out, at = [], 0
+        for p in parts:
+            end = at + len(p)
+            out.append((np.fromiter(itertools.chain.from_iterable(ids[at:end]), np.int32), all(same[at:end])))
+            at = end
+        return out
+
+    def parts(self, text: str) -> list[str]:
+        """The text, or its parts between single spaces inside words' neighbours, each about LONG_CHARS long."""
+        found, begin = [], 0
+        while self.cuts and len(text) - begin > LONG_CHARS:
+            cut = LONE_SPACE.search(text, begin + LONG_CHARS)
+            if cut is None:
+                break
+            found.append(text[begin : cut.start() + 1])
+            begin = cut.end()
+        return [*found, text[begin:]]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes put together, less the dummy prefix; as the library's decoder does."""
@@ -256,16 +201,22 @@ class Codec:
 
 def codec_for(data: bytes, threads: int) -> Codec:
     def make() -> Codec:
+        # read when the library first makes its threads, once in a worker
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        return Codec(data)
+        return Codec(data, threads)
 
-    return resident(hash(data), make)
+    return resident((hash(data), threads), make)
 
 
 FIELDS = (("token_ids", "array<int>"), ("n_tokens", "int"), ("n_byte_tokens", "int"), ("round_trip", "boolean"), ("parity", "boolean"))
 #: Characters of texts that are worked on together, but for single longer texts.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
+#: Characters from which a text may be cut, at a single space between two characters that are neither space nor marker.
+LONG_CHARS = 1_000_000
+LONE_SPACE = re.compile(f"[^ {META}] (?=[^ {META}])")
+#: Threads that encode a task's batches, at least.
+THREADS = 2
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -287,12 +238,14 @@ def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", thread
 
     Whole texts are encoded, without special tokens. A null text has null results, an empty one no tokens.
     parity: the ids are those of the sentencepiece library. ``threads`` of the tokenizers library work on a batch,
-    unless given as many as a task has cores. The driver reads the model file. Other columns stay; those named like the
-    results are replaced.
+    unless given as many as a task has cores, THREADS at least. The driver reads the model file. Rows are encoded one by
+    one, so that repeated rows and null ids need no care; an empty table has an empty result. A text of over LONG_CHARS
+    is encoded in parts cut at single spaces, which gives the same ids. Other columns stay; those named like the results
+    are replaced.
     """
     with open(model_file, "rb") as f:
         data = f.read()
-    threads = threads or task_cores(docs.sparkSession)
+    threads = threads or max(THREADS, task_cores(docs.sparkSession))
     names = [n for n, _ in FIELDS]
     kept = [c for c in docs.columns if c not in names]
     schema = added(docs, kept, ", ".join(f"{n} {t}" for n, t in FIELDS))

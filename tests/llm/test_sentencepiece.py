@@ -1,8 +1,10 @@
 import os
+import random
 
 import pytest
 
 from corpusloom.llm import sentencepiece_tok as S
+from tests.llm.conftest import TABLES, needs_tables
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
@@ -90,8 +92,45 @@ def test_rows(spark, codec):
 
 def test_threads_are_the_cores_of_a_task(spark, monkeypatch):
     asked = []
-    monkeypatch.setattr(S, "task_cores", lambda s: asked.append(s) or 2)
+    monkeypatch.setattr(S, "task_cores", lambda s: asked.append(s) or 3)
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert [r["parity"] for r in S.encode_texts(docs, MODEL).orderBy("doc_id").collect()][0] and asked == [spark]
     monkeypatch.undo()
     assert S.task_cores(spark) == int(spark.sparkContext.getConf().get("spark.task.cpus", "1"))
+
+
+def test_long_texts_are_cut_to_the_same_ids(codec, monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["word", " ", "  ", "é", "\n", S.META, "a", " b", "日本"]) for _ in range(200)) for _ in range(200)]
+    want = codec.reference.encode(texts, num_threads=1)
+    monkeypatch.setattr(S, "LONG_CHARS", 30)
+    assert codec.cuts and max(len(codec.parts(t)) for t in texts) > 5
+    assert [ids.tolist() for ids, _ in codec.encode(texts)] == want and all(same for _, same in codec.encode(texts))
+
+
+def test_parity_says_what_differs(codec):
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[*ids, 5] if t == "b c" else ids for t, ids in zip(texts, codec.reference.encode(texts, num_threads=1), strict=True)]
+
+    other = S.Codec.__new__(S.Codec)
+    other.__dict__.update(codec.__dict__)
+    other.reference = Other()
+    assert [same for _, same in other.encode(["a", "b c", ""])] == [True, False, True]
+
+
+@needs_tables
+def test_query_against_both_libraries(spark, codec):
+    """The query's digests, counts and flags of every document are those of whole texts, encoded one by one."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.queries import op7_sentencepiece
+
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").collect()
+    rows = []
+    for r in docs:
+        ids = None if r["text"] is None else codec.reference.encode(r["text"])
+        rows.append((r["doc_id"], ids, None if ids is None else sum(bool(codec.is_byte[i]) for i in ids), None if ids is None else codec.reference.decode(ids) == r["text"]))
+    want = spark.createDataFrame(rows, "doc_id long, ids array<int>, n_byte_tokens int, round_trip boolean")
+    want = want.select("doc_id", F.size("ids").alias("n_tokens"), "n_byte_tokens", F.xxhash64("ids").alias("ids_hash"), "round_trip", F.lit(True).alias("parity"))
+    assert sorted(map(tuple, op7_sentencepiece(spark, TABLES).collect())) == sorted(map(tuple, want.collect()))
