@@ -9,7 +9,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,14 +95,21 @@ class Sample:
         return [self.share[y] * len(self.labels) / n[y] for y in self.labels]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_label: int, max_labels: int = 64, key: str = "doc_id", text: str = "text", seed: int = 0) -> Sample:
-    """At most per_label texts of each of the max_labels commonest labels: the first ids by a seeded hash.
+#: Of texts for training: no longer than the first, and no more of them together than the second, in bytes.
+LONGEST_TEXT, ALL_TEXTS = 200_000, 64_000_000
 
-    Labels counts are over all rows; the sample is the same on each run. Rows without id or label and ids with
-    two different labels are left out; of rows that repeat an id the smallest text counts.
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, *, per_label: int, max_rows: int | None = None, longest: int = LONGEST_TEXT, all_texts: int = ALL_TEXTS, key: str = "doc_id", text: str = "text", seed: int = 0
+) -> Sample:
+    """At most per_label texts of each label: the first ids by a seeded hash.
+
+    Of labels so many that this is over ``max_rows``, each has an equal part of max_rows. Texts of over ``longest`` bytes
+    are not learned from, nor those of a label after its part of ``all_texts`` bytes, so what reaches the driver is
+    bounded in rows and bytes. Counts of labels are over all rows; the sample is the same on each run. Rows without id or
+    label and ids with two different labels are left out; of rows that repeat an id the smallest text counts.
     """
-    order = F.xxhash64("key", F.lit(seed))
-    part = (F.shiftrightunsigned(order, 11) * 2.0**-53).alias("part")
+    part = (F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 11) * 2.0**-53).alias("part")
     clean = (
         labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
         .where("key IS NOT NULL AND label IS NOT NULL")
@@ -112,19 +118,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_label
         .where("label = high")
         .select("key", "label", part)
     )
-    counts = {r["label"]: r["n"] for r in clean.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()}
+    counts = {r["label"]: r["n"] for r in clean.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").collect()}  # one row a label
     if not counts:
         return Sample([], [], {})
-    # A hash bound per label leaves a few more rows than are wanted; they are few enough to be ranked together.
-    near = reduce(lambda a, b: a | b, [(F.col("label") == F.lit(v)) & (F.col("part") <= min(1.0, 1.2 * (per_label + 100) / n)) for v, n in counts.items()])
+    if max_rows is not None:
+        per_label = min(per_label, max(1, max_rows // len(counts)))
     first = Window.partitionBy("label").orderBy("part", "key")
-    chosen = clean.where(near).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_label).select("key", "label")
+    # the limit on ranks is applied before the shuffle, so that no label is gathered
+    chosen = clean.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_label).select("key", "label", "part")
     rows = (
         docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-        .join(F.broadcast(chosen), "key")  # at most per_label * max_labels rows
-        .where("text IS NOT NULL")
-        .groupBy("key", "label")
+        .join(F.broadcast(chosen), "key")  # at most per_label rows a label
+        .where(F.col("text").isNotNull() & (F.length("text") <= longest))
+        .groupBy("key", "label", "part")
         .agg(F.min("text").alias("text"))
+        .withColumn("bytes", F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+        .where(F.col("bytes") <= max(longest, all_texts // len(counts)))
+        .select("key", "label", "text")
         .toPandas()
         .sort_values("key", kind="stable")
     )

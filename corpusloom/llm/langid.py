@@ -3,11 +3,13 @@
 A word's script leaves the languages that use it; its character n-grams give each of them a log-likelihood, taken
 relative to the mean of the candidates and clipped. The path of languages over a text's words that has the
 largest sum, less a penalty for each switch, gives spans of one language. A text's language is the one whose
-spans have most letters.
+spans have most letters. What is written without spaces between words is cut into pieces of a few characters, which
+count as words.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,14 +35,33 @@ SCRIPTS = (
     ("arabic", ((0x600, 0x6FF), (0x750, 0x77F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF))),
     ("devanagari", ((0x900, 0x97F),)),
     ("bengali", ((0x980, 0x9FF),)),
+    ("gurmukhi", ((0xA00, 0xA7F),)),
+    ("gujarati", ((0xA80, 0xAFF),)),
+    ("oriya", ((0xB00, 0xB7F),)),
     ("tamil", ((0xB80, 0xBFF),)),
+    ("telugu", ((0xC00, 0xC7F),)),
+    ("kannada", ((0xC80, 0xCFF),)),
+    ("malayalam", ((0xD00, 0xD7F),)),
+    ("sinhala", ((0xD80, 0xDFF),)),
     ("thai", ((0xE00, 0xE7F),)),
+    ("lao", ((0xE80, 0xEFF),)),
+    ("tibetan", ((0xF00, 0xFFF),)),
+    ("myanmar", ((0x1000, 0x109F),)),
     ("georgian", ((0x10A0, 0x10FF),)),
     ("hangul", ((0x1100, 0x11FF), (0xAC00, 0xD7AF))),
+    ("ethiopic", ((0x1200, 0x139F),)),
+    ("khmer", ((0x1780, 0x17FF),)),
+    ("mongolian", ((0x1800, 0x18AF),)),
     ("kana", ((0x3040, 0x30FF),)),
     ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF))),
 )
 OTHER = len(SCRIPTS)
+# Scripts without spaces between words, and bytes one of which begins each of their characters in UTF-8.
+UNSPACED = ("thai", "lao", "tibetan", "myanmar", "khmer", "kana", "han")
+UNSPACED_BYTES = re.compile(b"[\xe0\xe1\xe3-\xe9]")
+_UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for name, blocks in SCRIPTS if name in UNSPACED for a, b in blocks)
+#: A word: of other scripts all up to a space, of these at most four characters.
+UNIT = re.compile(f"[{_UNSPACED}]{{1,4}}|[^\\x20\\x09-\\x0D{_UNSPACED}]+")
 
 
 class Characters:
@@ -68,6 +89,18 @@ def characters() -> Characters:
     return Characters()
 
 
+def units(text: bytes) -> list[bytes]:
+    """A text's words."""
+    if not UNSPACED_BYTES.search(text):
+        return text.split()
+    return [x.encode("utf-8", "replace") for x in UNIT.findall(text.decode("utf-8", "replace"))]
+
+
+def places(text: bytes) -> list[tuple[int, int]]:
+    """Where its words begin and end, in code points."""
+    return [m.span() for m in UNIT.finditer(text.decode("utf-8", "replace"))]
+
+
 def describe(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, word) of the n-grams of the words' lower-cased letters, and letters by word and script."""
     points = code_points(words, lower=True)
@@ -104,7 +137,7 @@ class LanguageModel:
     def rows(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The evidence of each text's words."""
         table = self.table()
-        for ids in table.ids(t.split() for t in texts):
+        for ids in table.ids(map(units, texts)):
             yield table.values[ids]
 
     def spans(self, rows: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
@@ -167,7 +200,7 @@ def train(sample: Sample, *, smooth: float = 0.5, least_share: float = 0.02) ->
     counts = np.zeros((BUCKETS, len(languages)))
     scripts = np.zeros((OTHER + 1, len(languages)))
     for text, label in zip(sample.texts, sample.labels, strict=True):
-        if words := list(set(text.split())):
+        if words := list(set(units(text))):
             bucket, _, used = describe(words)
             np.add.at(counts, (bucket, at[label]), 1)
             scripts[:, at[label]] += used.sum(0)
@@ -177,27 +210,33 @@ def train(sample: Sample, *, smooth: float = 0.5, least_share: float = 0.02) ->
     return LanguageModel(languages, logp, uses)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "lang", per_label: int = 400, max_labels: int = 64, seed: int = 0, key: str = "doc_id", text: str = "text") -> LanguageModel:
-    """Learns from at most per_label texts of each of the max_labels commonest languages."""
-    return train(labelled_sample(docs, labelled, label, per_label=per_label, max_labels=max_labels, key=key, text=text, seed=seed))
+def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "lang", per_label: int = 400, max_rows: int = 40_000, seed: int = 0, key: str = "doc_id", text: str = "text") -> LanguageModel:
+    """Learns from at most per_label texts of each language; where there are many languages, from max_rows in all, each having its part."""
+    return train(labelled_sample(docs, labelled, label, per_label=per_label, max_rows=max_rows, key=key, text=text, seed=seed))
 
 
 def label_texts(docs: DataFrame, model: LanguageModel, *, text: str = "text", name: str = "lang_pred", score: str = "score", spans: str | None = None) -> DataFrame:
-    """Adds the language and score of each whole text, and with ``spans`` its (start word, end word, lang) spans.
+    """Adds the language and score of each whole text, and with ``spans`` its (start, end, lang) spans, in code points.
 
-    Null texts and those without a letter are ``und`` with score 0 and without spans. The result depends on the
-    text alone. Other columns stay; those named like the results are replaced.
+    Null texts and those without a letter are ``und`` with score 0 and without spans; texts of any length are read whole.
+    The result depends on the text alone, so repeated rows and null ids need no care; of equal languages the first in
+    order counts. An empty table stays empty. Other columns stay; those named like the results are replaced.
     """
     kept = [c for c in docs.columns if c not in (name, score, spans)]
     schema = added(docs, kept, f"`{name}` string, `{score}` double" + (f", `{spans}` array<struct<start:int,end:int,lang:string>>" if spans else ""))
 
+    def placed(text: bytes, found: list[tuple[int, int, int]]) -> list[dict]:
+        at = places(text) if found else []
+        return [{"start": at[i][0], "end": at[e - 1][1], "lang": model.languages[k]} for i, e, k in found]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = list(model.predict([t or b"" for t in b.column(text).cast(pa.binary()).to_pylist()]))
+            texts = [t or b"" for t in b.column(text).cast(pa.binary()).to_pylist()]
+            found = list(model.predict(texts))
             columns = [*[b.column(c) for c in kept], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                columns.append(pa.array([[{"start": i, "end": e, "lang": model.languages[k]} for i, e, k in x[2]] for x in found], kind))
+                columns.append(pa.array([placed(t, x[2]) for t, x in zip(texts, found, strict=True)], kind))
             yield pa.RecordBatch.from_arrays(columns, [*kept, name, score, *([spans] if spans else [])])
 
     return with_text(docs, kept, text).mapInArrow(run, schema)

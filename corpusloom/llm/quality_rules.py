@@ -123,8 +123,9 @@ def apply_rules(docs: DataFrame, *, text: str = "text", bands: tuple[Band, ...]
     """Adds the counts, ratio, chunk shares, reason (null: the bands accept), base_failed and kept to each row.
 
     base_failed: fewer than 20 words, or over 30 % of words in repeated windows. kept: neither base_failed nor a
-    reason. Null text counts as empty: all counts 0, ratio null, base_failed. Rows are judged one by one, so
-    repeated rows and null ids need no care. Other columns stay; those named like the results are replaced.
+    reason. Null text counts as empty: all counts 0, ratio null, base_failed. Texts of any length are judged whole. Rows
+    are judged one by one, so repeated rows and null ids need no care; an empty table stays empty. Other columns stay;
+    those named like the results are replaced.
     """
     names = [n for n, _ in FIELDS]
     kept = [c for c in docs.columns if c not in {*names, "base_failed", "kept"}]

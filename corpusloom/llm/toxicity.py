@@ -139,14 +139,15 @@ def train(sample: Sample, *, epochs: int = 80, rate: float = 0.5, l2: float = 0.
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_label: int = 3000, seed: int = 0, key: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Learns from at most per_label labelled texts of each label; the weights bring back the labels' shares."""
     clean = labels.where(F.col(label).isin(0, 1))
-    return train(labelled_sample(docs, clean, label, per_label=per_label, max_labels=2, key=key, text=text, seed=seed))
+    return train(labelled_sample(docs, clean, label, per_label=per_label, key=key, text=text, seed=seed))
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, *, text: str = "text", name: str = "score", spans: str | None = None, span_limit: float = 0.5) -> DataFrame:
     """Adds the score of each whole text, and with ``spans`` the sentences of at least span_limit: (start word, end word, score).
 
-    Null and empty texts and those without words have the score of one sentence without words, and no spans. The
-    score depends on the text alone. Other columns stay; those named like the results are replaced.
+    Null and empty texts and those without words have the score of one sentence without words, and no spans. Texts of any
+    length are scored whole. The score depends on the text alone, so repeated rows and null ids need no care; an empty
+    table stays empty. Other columns stay; those named like the results are replaced.
     """
     kept = [c for c in docs.columns if c not in (name, spans)]
     schema = added(docs, kept, f"`{name}` double" + (f", `{spans}` array<struct<start:int,end:int,score:double>>" if spans else ""))
