@@ -8,7 +8,6 @@ several of the library's threads, and again by the sentencepiece library, which
 from __future__ import annotations
 
 import contextlib
-import itertools
 import os
 import re
 import struct
@@ -115,8 +114,16 @@ def separable(m: Model) -> bool:
     return not m.treat_whitespace_as_suffix and m.escape_whitespaces and not any(k in (NORMAL, USER_DEFINED) and re.search(f"[^{META}]{META}", p) for p, _, k in m.pieces)
 
 
+def plain(m: Model) -> bool:
+    """The normaliser only writes markers for spaces and one before the text, which is done as cheaply before the pipeline."""
+    return m.add_dummy_prefix and m.escape_whitespaces and not m.charsmap and not m.remove_extra_whitespaces
+
+
 def build(m: Model):
-    """The tokenizers pipeline of a model; control pieces in a text are ordinary text, as in sentencepiece."""
+    """The tokenizers pipeline of a model; control pieces in a text are ordinary text, as in sentencepiece.
+
+    A plain model's texts come with their markers written (see Codec), others are normalised here.
+    """
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
@@ -139,7 +146,7 @@ def build(m: Model):
         steps.append(normalizers.Prepend(" ") if not m.escape_whitespaces else normalizers.Prepend(META))
     if m.escape_whitespaces:
         steps.append(normalizers.Replace(" ", META))
-    if steps:
+    if steps and not plain(m):
         t.normalizer = normalizers.Sequence(steps)
     if separable(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{META}*[^{META}]+|{META}+"), "isolated")
@@ -164,21 +171,26 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([k == BYTE for _, _, k in m.pieces])
         self.spelled = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(META, " ").encode() for p, _, k in m.pieces]
+        self.plain = plain(m)
         #: A text may be cut at a single space: the dummy prefix stands for it.
-        self.cuts = separable(m) and m.add_dummy_prefix and not m.charsmap and not m.remove_extra_whitespaces
+        self.cuts = separable(m) and self.plain
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """(ids, parity) of each text. Texts of over LONG_CHARS are encoded and compared in parts, where the model allows."""
-        parts = [self.parts(t) for t in texts]
-        flat = [x for p in parts for x in p]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False)]
-        same = list(map(list.__eq__, ids, self.reference.encode(flat, num_threads=self.threads)))
-        out, at = [], 0
-        for p in parts:
+        """(ids, parity) of each text. Texts of over LONG_CHARS are encoded and compared in parts, where the model allows.
+
+        Equal texts of a batch are encoded once.
+        """
+        parts = {t: self.parts(t) for t in dict.fromkeys(texts)}
+        flat = [x for p in parts.values() for x in p]
+        marked = [META + x.replace(" ", META) if x else x for x in flat] if self.plain else flat
+        ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+        same = list(map(np.array_equal, ids, self.reference.encode(flat, num_threads=self.threads)))
+        out, at = {}, 0
+        for t, p in parts.items():
             end = at + len(p)
-            out.append((np.fromiter(itertools.chain.from_iterable(ids[at:end]), np.int32), all(same[at:end])))
+            out[t] = (ids[at] if len(p) == 1 else np.concatenate(ids[at:end]), all(same[at:end]))
             at = end
-        return out
+        return [out[t] for t in texts]
 
     def parts(self, text: str) -> list[str]:
         """The text, or its parts between single spaces inside words' neighbours, each about LONG_CHARS long."""
