@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # A word is a run of code points outside space and \t..\r: what bytes.split() gives on UTF-8.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -123,9 +123,11 @@ def labelled_sample(
         return Sample([], [], {})
     if max_rows is not None:
         per_label = min(per_label, max(1, max_rows // len(counts)))
+    # A hash bound by label leaves a few more rows than are wanted; they are few enough to be ranked together.
+    bounds = docs.sparkSession.createDataFrame([(v, min(1.0, 1.2 * (per_label + 100) / n)) for v, n in counts.items()], StructType([StructField("of", clean.schema["label"].dataType), StructField("bound", DoubleType())]))
+    near = clean.join(bounds, F.col("label") == F.col("of")).where("part <= bound").select("key", "label", "part")
     first = Window.partitionBy("label").orderBy("part", "key")
-    # the limit on ranks is applied before the shuffle, so that no label is gathered
-    chosen = clean.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_label).select("key", "label", "part")
+    chosen = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_label).select("key", "label", "part")
     rows = (
         docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
         .join(F.broadcast(chosen), "key")  # at most per_label rows a label
