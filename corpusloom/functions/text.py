@@ -33,6 +33,12 @@ REFUSAL = (
     "لا تتناول|لا يتناول|لا يوجد في المقالات|لا تتضمن|لا تجيب)"
 )
 MIN_ANSWER_CHARS = 40
+# Words that a number follows when articles are cited, folded: one, several, two, from and to.
+ARABIC_PREFIX = "(?<![\\p{L}\\p{N}_])[وف]?(?:ال|بال|لل)?"
+CITED_ONE = ARABIC_PREFIX + r"ماده\s*\(?\s*[0-9]+", r"(?i:(?<![\p{L}\p{N}_])(?:article|art\.?)\s*\(?\s*[0-9]+)"
+NUMBER_LIST = r"[0-9]+(?:\s*(?:,|،|and|or|to|و|-|–)\s*[0-9]+)*"
+CITED_MANY = r"(?i:(?<![\p{L}\p{N}_])articles\s+" + NUMBER_LIST + ")", ARABIC_PREFIX + r"مادت(?:ين|ان)\s*" + NUMBER_LIST
+CITED_RANGE = ARABIC_PREFIX + r"مواد\s*من\s*[0-9]+(?:\s*(?:الي|حتي)\s*[0-9]+)?"
 # ---- End of fixed values. ----
 
 
@@ -180,6 +186,16 @@ def article_references(question: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda m: F.regexp_extract(m, r"(\d+)$", 1).cast("int")))
 
 
+def cited_articles(folded: Column) -> Column:
+    """Article numbers that a folded text cites, by place, each once: single, listed, dual, and both ends of ranges.
+
+    The forms exclude each other, so one pass over their alternation finds all; whatever digits a match has are numbers.
+    """
+    found = F.regexp_extract_all(folded, F.lit("|".join([*CITED_MANY, CITED_RANGE, *CITED_ONE])), F.lit(0))
+    numbers = F.flatten(F.transform(found, lambda m: F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))))
+    return F.array_distinct(F.array_compact(F.transform(numbers, lambda n: n.try_cast("long"))))
+
+
 def character_shares(text: Column) -> dict[str, Column]:
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
     return {

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text_udf as U
+from corpusloom.functions import pii as P
 from corpusloom.operators import monitor as M, quality as Q
 from corpusloom.plans.common import Query, read, values_sql
 from corpusloom.streaming import processors as S
@@ -145,7 +145,7 @@ def request_checks(spark, d):
 
 
 def batch_redaction(spark, d):
-    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.length(U.redact("text")).cast("long").alias("n_chars"))
+    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.length(P.redact(F.col("text"))).cast("long").alias("n_chars"))
 
 
 def streamed(rows: DataFrame, build, mode: str = "append") -> DataFrame:

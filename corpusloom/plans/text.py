@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import glyphs, text as T, text_udf as U
+from corpusloom.functions import glyphs, pii as P, text as T, text_udf as U
 from corpusloom.operators import corpus as C, quality as Q
 from corpusloom.plans.common import Query, long, quoted, read, spread, values_sql
 
@@ -132,7 +132,7 @@ def article_references(spark, d):
 
 def cited_articles(spark, d):
     rows = spark.createDataFrame([x[:2] for x in CITED], "id long, text string")
-    return rows.select("id", F.array_join(U.cited_articles("text").cast("array<string>"), ",").alias("numbers"))
+    return rows.select("id", F.array_join(T.cited_articles(U.fold_unicode("text")).cast("array<string>"), ",").alias("numbers"))
 
 
 def question_language(spark, d):
@@ -188,11 +188,11 @@ def pii_email(spark, d):
 
 
 def pii_redact(spark, d):
-    return spark.createDataFrame([x[:2] for x in PII], "id long, text string").select("id", U.redact("text").alias("shown"))
+    return spark.createDataFrame([x[:2] for x in PII], "id long, text string").select("id", P.redact(F.col("text")).alias("shown"))
 
 
 def pii_findings(spark, d):
-    found = docs(spark, d).select(F.explode(U.find_pii("text")).alias("f"))
+    found = docs(spark, d).select(F.explode(P.find_pii(F.col("text"))).alias("f"))
     return found.groupBy("f.kind").agg(F.count("*").alias("n"))
 
 

@@ -13,28 +13,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corpusloom.functions.text_udf import redacted, release
+from corpusloom.functions.pii import Pieces
 
 
 class Redactor(StatefulProcessor):
     """Pieces (key, seq, piece, last) in arrival order to (key, seq, shown): shown joined over a key equals batch redaction."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "text string")
+        self.state = handle.getValueState("pieces", "before string, held string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pending = self.held.get()[0] if self.held.exists() else ""
+        pieces = Pieces(*(self.state.get() if self.state.exists() else ()))
         batch = pd.concat(list(rows)).sort_values("seq")
         shown = []
         for piece, last in zip(batch["piece"], batch["last"], strict=True):
-            out, pending = release(pending + (piece or ""))
+            shown.append(pieces.take(piece or "", bool(last)))
             if last:
-                out, pending = out + redacted(pending), ""
-            shown.append(out)
-        if pending:
-            self.held.update((pending,))
+                pieces = Pieces()
+        if pieces.before or pieces.held:
+            self.state.update((pieces.before, pieces.held))
         else:
-            self.held.clear()
+            self.state.clear()
         yield pd.DataFrame({"key": key[0], "seq": batch["seq"].to_numpy(), "shown": shown})
 
     def close(self) -> None:

@@ -1,5 +1,6 @@
 """Hand-computed cases of the text, vector and glyph functions."""
 
+import random
 import statistics
 
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.functions import glyphs, text as T, text_udf as U
+from corpusloom.functions import glyphs, pii as P, text as T, text_udf as U
 from corpusloom.functions.vectors import cosine, exclusive_quantile, logit
 
 
@@ -51,23 +52,54 @@ def test_normalize_is_idempotent(text):
     assert "\n\n" not in once
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["word", "+20 10 1234 5678", "a@b.co", "1", " ", "\n", "29001011234567", "السيد محمد"]), max_size=60), st.integers(1, 7))
-def test_streamed_redaction_equals_batch(parts, size):
-    text = " ".join(parts)
-    shown, pending = "", ""
-    for i in range(0, len(text), size):
-        out, pending = U.release(pending + text[i : i + size])
-        shown += out
-    assert shown + U.redacted(pending) == U.redacted(text)
-
-
-def test_pii_needs_valid_dates_and_governorates():
-    assert U.pii_spans("29013011234567") == []
-    assert U.pii_spans("29001019934567") == []
-    assert U.pii_spans("39902290134567") == []
-    assert U.pii_spans("290010101345678") == []
-    assert [k for k, _, _ in U.pii_spans("٢٩٠٠١٠١٠١٣٤٥٦٧")] == ["national_id"]
+PARTS = ["word", "+20 10 1234 5678", "+20 10 1 2 3 4 5 6 7 8", "a@b.co", "x.y@d-e.f.gh", "1", " ", "\n", "29001011234567", "29801019934567", "للسيد أحمد", "السيد محمد علي حسن", "السيد أحمد@x.com", "المهندس المعماري", "@", ".", "5"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=40), st.sampled_from(["", " "]), st.integers(1, 7))
+def test_redaction_of_pieces_equals_the_whole(parts, between, size):
+    text = between.join(parts)
+    stream = P.Pieces()
+    shown = "".join(stream.take(text[i : i + size]) for i in range(0, len(text), size)) + stream.take("", last=True)
+    assert shown == P.Pieces().take(text, last=True)
+
+
+def test_redaction_of_rows_equals_pieces(spark):
+    rng = random.Random(3)
+    texts = [rng.choice(["", " "]).join(rng.choice(PARTS) for _ in range(rng.randint(0, 9))) for _ in range(500)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", P.redact(F.col("x")).alias("shown"), P.find_pii(F.col("x")).alias("found")).collect()
+    for r in rows:
+        assert r["shown"] == (None if r["x"] is None else P.Pieces().take(r["x"], last=True))
+        assert r["x"] is None or all(r["x"][s["start"] : s["end"]].strip() and s["kind"] in P.KINDS for s in r["found"])
+
+
+FOUND = [
+    ("رقمي القومي 29801011234567 فهل", ["national_id"]), ("رقمي القومي ٢٩٨٠١٠١١٢٣٤٥٦٧ فهل", ["national_id"]), ("اتصل بي على 01012345678 من فضلك", ["phone"]), ("My number is +20 101 234 5678.", ["phone"]),
+    ("رقمي ٠١١٢٣٤٥٦٧٨٩ للتواصل", ["phone"]), ("Write to mona.ali@example.com please.", ["email"]), ("هل يحق للسيد أحمد محمد علي أن يطالب", ["name"]), ("يضمن المهندس المعماري والمقاول", []),
+    ("29013011234567", []), ("29001019934567", []), ("39902290134567", []), ("30002290134567", ["national_id"]), ("20002290134567", []), ("29602290134567", ["national_id"]), ("290010101345678", []),
+    ("12345678901234", []), ("29804311234567", []), ("010 1234 5678@x.com", ["phone"]), ("01012345678@x.com", ["email"]), ("السيد أحمد@x.com", ["email"]), ("", []),
+]
+
+
+def test_kinds_of_personal_data(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FOUND)], "i int, x string").select("i", P.find_pii(F.col("x"))["kind"].alias("kinds")).collect()
+    assert {r["i"]: r["kinds"] for r in rows} == {i: k for i, (_, k) in enumerate(FOUND)}
+
+
+def test_a_long_word_takes_linear_time(spark):
+    assert one(spark, "x" * 300_000 + " 1" * 1000, F.size(P.find_pii(F.col("x")))) == 0
+
+
+CITED = [
+    ("as provided in Article 563.", [563]), ("under Article\n221, be made", [221]), ("Articles 221 and 22 apply", [221, 22]), ("Articles 1033, 1040 and 1041 apply", [1033, 1040, 1041]), ("Articles 466 to 468", [466, 468]),
+    ("وفقا للمادة ٥٦٣", [563]), ("مع مراعاة المادتين ٢٢١ ، ٢٢٢", [221, 222]), ("أحكام المادتين ٢٢١ و ٢٢٢ مراعيا", [221, 222]), ("المادتين ٢٢١-٢٢٢ من", [221, 222]), ("المادة ١١٤ فقرة ٢", [114]),
+    ("أحكام المادة ١٠٣٣ وأحكام المواد من ١٠٤٠\nإلى ١٠٤٢ المتعلقة", [1033, 1040, 1042]), ("يقدم المقاول مواد من عنده", []), ("The debtor pays 7 percent within 15 days.", []), ("Article 99999999999999999999 and art. 5", [5]),
+]
+
+
+def test_cited_articles(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CITED)], "i int, x string").select("i", T.cited_articles(U.fold_unicode("x")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in rows} == {i: n for i, (_, n) in enumerate(CITED)}
 
 
 def test_cosine_of_zero_is_zero(spark):
