@@ -205,11 +205,20 @@ def merge_repealed(articles: DataFrame) -> DataFrame:
     )
 
 
-def islands(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by, first, last, n): runs of consecutive integers."""
-    distinct = rows.select(*by, value).distinct()
-    w = Window.partitionBy(*by).orderBy(value)
-    return distinct.withColumn("run", F.col(value) - F.row_number().over(w)).groupBy(*by, "run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("run")
+def islands(rows: DataFrame, value: str, by: list[str], *, range_size: int = 65_536) -> DataFrame:
+    """(by, first, last, n): runs of consecutive integers.
+
+    Runs are found within ranges of values; only those that touch an end of their range meet others, in a window by group.
+    """
+    distinct = rows.select(*by, F.col(value).cast("long").alias("v")).distinct().withColumn("range", F.floor(F.col("v") / range_size))
+    w = Window.partitionBy(*by, "range").orderBy("v")
+    runs = distinct.withColumn("run", F.col("v") - F.row_number().over(w)).groupBy(*by, "range", "run").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("n"))
+    touches = (F.pmod("first", F.lit(range_size)) == 0) | (F.pmod("last", F.lit(range_size)) == range_size - 1)
+    order = Window.partitionBy(*by).orderBy("first")
+    new = F.coalesce((F.col("first") != F.lag("last").over(order) + 1).cast("int"), F.lit(1))
+    joined = runs.where(touches).withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = joined.groupBy(*by, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return runs.where(~touches).select(*by, "first", "last", "n").unionByName(edges.select(*by, "first", "last", "n"))
 
 
 def semantic_breaks(rows: DataFrame, *, doc: str, pos: str, vector: str, percentile: float) -> DataFrame:

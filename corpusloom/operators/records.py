@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from corpusloom.functions.text import arabic_digits, article_references, citation, paragraph_numbers
 
@@ -59,9 +60,23 @@ def header_shape(text: Column) -> Column:
 
 
 def set_digest(rows: DataFrame, id: str, digest: Column) -> DataFrame:
-    """One row: SHA-256 over the rows' digests in id order. Digests of 64 characters are gathered: one for each file of a set."""
-    all_ = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(id), digest.alias("d")))), lambda x: x["d"]), "")
-    return rows.agg(F.sha2(all_.cast("binary"), 256).alias("digest"))
+    """One row: SHA-256 over the rows' digests in id order.
+
+    Rows are sorted in ranges; one task then reads the ranges one after another and hashes as it reads, so that no more
+    than a batch is held. The hash is of a sequence, so this step cannot be split.
+    """
+    import hashlib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = hashlib.sha256()
+        for b in batches:
+            total.update("".join(x for x in b.column("d").to_pylist() if x is not None).encode())
+        yield pa.RecordBatch.from_pydict({"digest": [total.hexdigest()]})
+
+    return rows.select(F.col(id).alias("o"), digest.alias("d")).orderBy("o", "d").select("d").coalesce(1).mapInArrow(run, "digest string")
 
 
 def lowest(rows: DataFrame, score: str, id: str, n: int = 10) -> DataFrame:
@@ -184,12 +199,18 @@ def asked_articles(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return named.join(chunks.select("chunk_id", "part_index", "number"), "number").select("qid", "place", "part_index", "chunk_id")
 
 
-def markdown_table(rows: DataFrame, order: list[str], limit: int = 1000) -> str:
-    """A report table of a small aggregate; at most limit rows reach the driver."""
-    got = rows.orderBy(*order).limit(limit).collect()
-    cell = lambda v: "–" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
-    lines = ["| " + " | ".join(rows.columns) + " |", "| " + " | ".join("---" for _ in rows.columns) + " |"]
-    return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in got]]) + "\n"
+def markdown_rows(rows: DataFrame, order: list[str], *, digits: int = 3) -> DataFrame:
+    """(line_no, line): a table in Markdown, sorted, as rows; the two header lines come first."""
+    cell = lambda f: F.coalesce(F.format_string(f"%.{digits}f", F.col(f.name)) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name).cast("string"), F.lit("–"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f) for f in rows.schema.fields]), F.lit(" |"))
+    numbered = rows.select(*order, line.alias("line")).orderBy(*order).select((F.monotonically_increasing_id() + 2).alias("line_no"), "line")
+    top = ["| " + " | ".join(rows.columns) + " |", "| " + " | ".join("---" for _ in rows.columns) + " |"]
+    return rows.sparkSession.createDataFrame(list(enumerate(top)), "line_no long, line string").unionByName(numbered)
+
+
+def markdown_table(rows: DataFrame, order: list[str], *, digits: int = 3) -> str:
+    """A report table of a small aggregate as text; whole, so that a large table belongs in markdown_rows."""
+    return "\n".join(r["line"] for r in markdown_rows(rows, order, digits=digits).orderBy("line_no").collect()) + "\n"
 
 
 def overlay(left: Column, right: Column) -> Column:

@@ -1,12 +1,14 @@
 """Set-at-a-time retrieval: all questions in one job.
 
-Indexes are ordinary tables: postings (term, id, tf), document lengths, vectors. A ranked list is a table
-(qid, id, score, rank). Questions are the small side; they are left to the optimiser, which broadcasts them only
+Indexes are ordinary tables: one row a document with its length and term counts, postings (term, id, tf, dl) taken from
+it, vectors. A ranked list is a table (qid, id, score, rank). Questions are the small side; they are left to the optimiser, which broadcasts them only
 below its size limit, and the corpus is never broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,49 +23,106 @@ def ranked(rows: DataFrame, *order: Column, k: int | None = None, by: str = "qid
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, words: Column, *, id: str) -> DataFrame:
-    """(term, id, tf, dl): term counts of each document and its length in tokens. Null and empty texts have none."""
-    listed = docs.select(F.col(id).alias("id"), words.alias("words"))
-    return listed.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+def token_index(docs: DataFrame, words: Column, *, id: str) -> DataFrame:
+    """(id, dl, terms): each document's length in tokens and its distinct terms with counts, made row by row without a shuffle.
+
+    Null and empty texts have length 0 and no terms. Written once, it serves all lists and statistics.
+    """
+    listed = docs.select(F.col(id).alias("id"), F.sort_array(F.coalesce(words, F.array().cast("array<string>"))).alias("w"))
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: (i == 1) | (F.element_at("w", i) != F.get("w", i - 2)))
+    ends = listed.withColumn("first", first)
+    count = lambda i, k: F.struct(F.element_at("w", i).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("w") + 1) - i).cast("long").alias("tf"))
+    return ends.select("id", F.size("w").alias("dl"), F.transform("first", count).alias("terms"))
+
+
+def without_terms(index: DataFrame, drop: list[str]) -> DataFrame:
+    """The index of the same documents without some terms, stopwords say: lengths count what is left."""
+    if not drop:
+        return index
+    kept = index.select("id", F.filter("terms", lambda t: ~t["term"].isin(drop)).alias("terms"))
+    return kept.select("id", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).cast("int").alias("dl"), "terms")
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(id, dl, term, tf) of all documents with terms."""
+    return index.select("id", "dl", F.inline("terms"))
 
 
-def corpus_stats(docs: DataFrame, words: Column) -> DataFrame:
+def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n documents, average length, largest length, documents without terms."""
-    sizes = docs.select(F.coalesce(F.size(words), F.lit(0)).alias("n"))
-    return sizes.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"), F.max("n").cast("long").alias("max_len"), F.count_if(F.col("n") == 0).alias("n_empty"))
+    return index.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"), F.max("dl").cast("long").alias("max_len"), F.count_if(F.col("dl") == 0).alias("n_empty"))
 
 
-def bm25_weights(index: DataFrame, stats: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
-    """(term, id, weight): idf * tf / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+def bm25_weights(posted: DataFrame, stats: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
+    """(term, id, weight): idf * tf / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+    Terms are counted from the postings given, with partial sums, and meet them again by term: a term of many postings is
+    split by the optimiser, one side being a row a term.
+    """
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
     # stats is one row
-    return index.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", (idf * part).alias("weight"))
+    return posted.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", (idf * part).alias("weight"))
 
 
-def bm25_search(questions: DataFrame, index: DataFrame, stats: DataFrame, *, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, id, score, rank) of (qid, words): the k best of each question.
+def bm25_search(questions: DataFrame, index: DataFrame, *, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, id, score, rank) of (qid, words) over a token index: the k best of each question.
 
     A repeated question term adds again; documents without a question term are no result, nor are zero scores.
-    Postings are cut to question terms before document frequencies are counted, so the shuffle holds only those.
+    Postings are cut to question terms as they leave their documents, so only those are counted and shuffled.
     """
     asked = questions.select("qid", F.explode("words").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
-    hits = bm25_weights(used, stats, k1=k1, b=b).join(asked, "term")
+    used = postings(index).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = bm25_weights(used, corpus_stats(index), k1=k1, b=b).join(asked, "term")
     scored = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * F.col("times")), 9).alias("score")).where("score > 0")
     return ranked(scored, F.desc("score"), F.asc("id"), k=k)
 
 
-def dense_search(questions: DataFrame, vectors: DataFrame, *, k: int, skip_self: bool = True) -> DataFrame:
-    """(qid, id, score, rank) of (qid, qvec) against (id, vec): exact cosine.
+def dense_search(questions: DataFrame, vectors: DataFrame, *, k: int, skip_self: bool = True, block: int = 4096) -> DataFrame:
+    """(qid, id, score, rank) of (qid, qvec) against (id, vec): exact cosine, to 9 digits, 0 without a norm or of another length.
 
-    Every question meets every vector, the reference's exact search. It is a nested loop of a stated question set
-    in batches, not a self-join: scores are cut to k per question on each side of the shuffle.
+    A stated question set meets all vectors in blocks: a task holds up to about ``block`` of each and multiplies them as
+    matrices, and gives up to k rows a question. Rows shipped are vectors times blocks of questions and the reverse.
     """
-    pairs = vectors.join(questions, F.col("id") != F.col("qid") if skip_self else F.lit(True))
-    score = F.try_divide(dot(F.col("qvec"), F.col("vec")), norm(F.col("qvec")) * norm(F.col("vec")))
-    return ranked(pairs.select("qid", "id", F.round(F.coalesce(score, F.lit(0.0)), 9).alias("score")), F.desc("score"), F.asc("id"), k=k)
+    import numpy as np
+    import pandas as pd
+
+    n, m = vectors.count(), questions.count()
+    held, asked = max(1, -(-n // block)), max(1, -(-m // block))
+    part = lambda id, size: F.pmod(F.xxhash64(id), F.lit(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    doubles = lambda v: F.transform(v, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    no_id, no_qid = (F.lit(None).cast(x.schema[c].dataType) for x, c in ((vectors, "id"), (questions, "qid")))
+    rows = vectors.select(part("id", held).alias("i"), every(asked).alias("j"), "id", no_qid.alias("qid"), F.lit(False).alias("asks"), doubles("vec").alias("v"))
+    rows = rows.unionByName(questions.select(every(held).alias("i"), part("qid", asked).alias("j"), no_id.alias("id"), "qid", F.lit(True).alias("asks"), doubles("qvec").alias("v")))
+
+    def nearest(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["asks"].to_numpy()
+        ids, qids = group["id"][~asks].reset_index(drop=True), group["qid"][asks].reset_index(drop=True)
+        if not len(ids) or not len(qids):
+            return pd.DataFrame({"qid": group["qid"][:0], "id": group["id"][:0], "score": np.zeros(0)})
+        vectors, wanted = group["v"][~asks].tolist(), group["v"][asks].tolist()
+        sizes = {len(v) for v in wanted if v is not None}
+        scores = np.zeros((len(wanted), len(vectors)))
+        for size in sizes:  # as a rule there is one
+            q, x = [i for i, v in enumerate(wanted) if v is not None and len(v) == size], [i for i, v in enumerate(vectors) if v is not None and len(v) == size]
+            if size and x:
+                a, b = np.array([wanted[i] for i in q]), np.array([vectors[i] for i in x])
+                norms = np.sqrt((a**2).sum(1))[:, None] * np.sqrt((b**2).sum(1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores[np.ix_(q, x)] = np.where(norms > 0, np.round(a @ b.T / norms, 9), 0.0)
+        out = []
+        order = ids.argsort(kind="stable").to_numpy()  # ties go to the smaller id
+        for i, qid in enumerate(qids):
+            mine = order[(ids[order] != qid).to_numpy()] if skip_self else order
+            top = mine[np.argsort(-scores[i, mine], kind="stable")[:k]]
+            out.append(pd.DataFrame({"qid": [qid] * len(top), "id": ids[top].to_numpy(), "score": scores[i, top]}))
+        return pd.concat(out)
+
+    kinds = f"qid {questions.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    return ranked(rows.groupBy("i", "j").applyInPandas(nearest, kinds), F.desc("score"), F.asc("id"), k=k)
 
 
 def rrf(lists: list[DataFrame], *, k: int = RRF_K, scores: list[str] | None = None) -> DataFrame:
@@ -91,11 +150,56 @@ def rerank_head(rows: DataFrame, *, depth: int, score: str = "rerank") -> DataFr
 
 
 def token_overlap(question_words: Column, words: Column) -> Column:
-    """Stand-in for a cross-encoder: share of the question's distinct words in the text."""
+    """A scorer without a model: the share of the question's distinct words in the text."""
     asked = F.array_distinct(question_words)
     return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(asked, words)), F.size(asked)), F.lit(0.0)), 9)
 
 
+def rerank(rows: DataFrame, scorer: Callable[[Column, Column], Column] | None, *, question: str, text: str, depth: int, score: str = "rerank") -> DataFrame:
+    """Scores candidates by a scorer of (question, text) and reorders each list's head; without a scorer the order stays, scores are null.
+
+    The scorer is what a caller plugs in: column functions, or a pandas UDF around a model.
+    """
+    value = F.lit(None).cast("double") if scorer is None else scorer(F.col(question), F.col(text)).cast("double")
+    return rerank_head(rows.withColumn(score, value), depth=depth, score=score)
+
+
+def embedded(rows: DataFrame, embedder: Callable[[Column], Column], *, text: str, name: str = "vec", dim: int | None = None) -> DataFrame:
+    """Adds the vector that an embedder gives a text, scaled to length 1 as array<double>; null and blank texts have a null vector.
+
+    With ``dim`` a vector of another length raises as it is made.
+    """
+    v = embedder(F.col(text)).cast("array<double>")
+    out = rows.withColumn(name, F.when(F.trim(text) != "", v))
+    if dim is not None:
+        wrong = F.col(name).isNotNull() & (F.size(name) != dim)
+        out = out.withColumn(name, F.when(wrong, F.raise_error(F.concat(F.lit(f"embedder: expected {dim} numbers, found "), F.size(name).cast("string")))).otherwise(F.col(name)))
+    size = norm(F.col(name))
+    return out.withColumn(name, F.when(size > 0, F.transform(name, lambda x: x / size)).otherwise(F.col(name)))
+
+
+#: Scorers and embedders by name; ``none`` leaves a list as it is.
+SCORERS: dict[str, Callable[[Column, Column], Column] | None] = {"none": None, "token_overlap": token_overlap}
+
+
+def scorer_named(name: str) -> Callable[[Column, Column], Column] | None:
+    if name not in SCORERS:
+        raise ValueError(f"no scorer {name}; there are {', '.join(sorted(SCORERS))}")
+    return SCORERS[name]
+
+
+def predictions(questions: DataFrame, lists: DataFrame, chunks: DataFrame, *, top_k: int) -> DataFrame:
+    """(qid, citations): each question's ordered citations, from a ranked list of chunk ids (qid, rank, id) and (id, citation).
+
+    A citation counts once, at its best rank; a question without results has an empty array.
+    """
+    cited = lists.join(chunks, "id").groupBy("qid", "citation").agg(F.min("rank").alias("rank"))
+    head = ranked(cited.select("qid", "citation", F.col("rank").alias("best")), F.asc("best"), F.asc("citation"), k=top_k)
+    listed = head.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "citation"))).alias("c"))  # at most top_k a question
+    none = F.array().cast("array<string>")
+    return questions.select("qid").distinct().join(listed, "qid", "left").select("qid", F.coalesce(F.transform("c", lambda x: x["citation"].cast("string")), none).alias("citations"))
+
+
 def by_priority(lists: list[DataFrame]) -> DataFrame:
     """(qid, id, priority, rank): earlier lists first, an id once, at its first place."""
     every = None
@@ -148,13 +252,13 @@ def repealed_fallback(top: DataFrame, passages: DataFrame, *, below: float, at_l
 def context_articles(rows: DataFrame, *, max_sources: int) -> DataFrame:
     """(qid, article, place, text): the first distinct articles in rank order, their parts joined in part order.
 
-    rows: (qid, rank, article, part_index, text).
+    rows: (qid, rank, article, part_index, text). Articles are cut to max_sources before their texts are gathered.
     """
-    placed = rows.groupBy("qid", "article").agg(
-        F.min("rank").alias("first_rank"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part_index", "text"))), lambda x: x["text"]), "\n").alias("text")
-    )
+    heads = rows.groupBy("qid", "article").agg(F.min("rank").alias("first_rank"))
     order = Window.partitionBy("qid").orderBy("first_rank", "article")
-    return placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_sources).select("qid", "article", "place", "text")
+    placed = heads.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_sources).select("qid", "article", "place")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("part_index", "text"))), lambda x: x["text"])
+    return rows.join(placed, ["qid", "article"]).groupBy("qid", "article", "place").agg(F.array_join(parts, "\n").alias("text"))
 
 
 def split_citations(rows: DataFrame, *, cited: str = "cited", allowed: str = "allowed") -> DataFrame:

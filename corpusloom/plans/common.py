@@ -20,6 +20,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
+def file_states(spark: SparkSession, df: DataFrame) -> list[tuple[str, int, int]]:
+    """Name, length and time of the files that a table is read from."""
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
+
+
 def quoted(value: object) -> str:
     if value is None:
         return "NULL"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import pii as P
 from corpusloom.operators import monitor as M, quality as Q
 from corpusloom.plans.common import Query, read, values_sql
+from corpusloom.sources.records import scratch_dir
 from corpusloom.streaming import processors as S
 
 BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 250.0)
@@ -151,8 +151,7 @@ def batch_redaction(spark, d):
 def streamed(rows: DataFrame, build, mode: str = "append") -> DataFrame:
     """Runs a stream over a finite table to its end: the table is written, read as a stream and drained."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-stream-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{place}/in")
     out = build(spark.readStream.schema(rows.schema).parquet(f"{place}/in"))
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)

@@ -68,12 +68,12 @@ def lowest_scores(spark, d):
 
 
 def rendered_contexts(spark, d):
-    rows = read(spark, d, "documents").where("doc_id < 100")
-    return rows.select("doc_id", F.md5(O.render_context(F.col("lang"), F.substring("text", 1, 50), F.lit(""), F.col("doc_id")).cast("binary")).alias("digest"))
+    rows = read(spark, d, "documents")
+    return rows.select("doc_id", F.md5(O.render_context(F.col("lang"), F.col("text"), F.lit(""), F.col("doc_id")).cast("binary")).alias("digest"))
 
 
 def filled_prompts(spark, d):
-    rows = read(spark, d, "benchmark").select("item_id", F.lit("Question: {question} in {language}").alias("t"), F.substring("text", 1, 30).alias("q"))
+    rows = read(spark, d, "benchmark").select("item_id", F.lit("Question: {question} in {language}").alias("t"), F.col("text").alias("q"))
     return rows.select("item_id", O.fill_template(F.col("t"), {"question": F.col("q"), "language": F.lit("English")}).alias("prompt"))
 
 
@@ -136,13 +136,11 @@ def asked_articles(spark, d):
 
 
 def index_round_trip(spark, d):
-    """Postings written as a table with its manifest, opened again under the guard, and searched."""
-    index, stats = indexed(spark, d)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    place, manifest = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}", {"tokenizer": "words", "stopwords": "none", "k1": R.K1, "b": R.B}
-    S.write_indexed(index, place, manifest)
+    """The token index written as a table with its manifest, opened again under the guard, and searched."""
+    place, manifest = f"{S.scratch_dir(spark)}/index-{uuid.uuid4().hex}", {"tokenizer": "words", "stopwords": "none", "k1": R.K1, "b": R.B}
+    S.write_indexed(indexed(spark, d), place, manifest)
     opened = S.open_indexed(spark, place, {"tokenizer": "words", "stopwords": "none"})
-    return R.bm25_search(questions(spark, d), opened, stats, k=TOP).select("qid", "id", "score", long("rank"))
+    return R.bm25_search(questions(spark, d), opened, k=TOP).select("qid", "id", "score", long("rank"))
 
 
 def stream_rates(spark, d):
@@ -173,7 +171,7 @@ def overlaid_metrics(spark, d):
 
 
 def kept_passages(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("p"), F.substring("text", 1, 300).alias("part"))
+    rows = read(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("p"), F.replace("text", F.lit(" the "), F.lit(" ")).alias("part"))
     return rows.select("doc_id", F.size(O.passages_within(F.col("p"), F.col("part"))).cast("long").alias("n"))
 
 
@@ -213,8 +211,8 @@ ORACLES: dict[str, str] = {
     "header_shapes": "SELECT regexp_replace(regexp_extract(url, '^[^?#]*'), '[0-9٠-٩]+', 'N', 'g') AS shape, count(*)::BIGINT AS n FROM pages GROUP BY shape HAVING count(*) > 2",
     "corpus_digest": "SELECT sha256(string_agg(sha256(text), '' ORDER BY item_id)) AS digest FROM benchmark",
     "lowest_scores": "SELECT event_id, round(value, 6) AS value FROM events WHERE value IS NOT NULL ORDER BY round(value, 6), event_id LIMIT 10",
-    "rendered_contexts": f"SELECT doc_id, md5('## Article ' || doc_id || ' | المادة ' || {AR_ID} || chr(10) || chr(10) || lang || chr(10) || chr(10) || substr(text, 1, 50)) AS digest FROM documents WHERE doc_id < 100",
-    "filled_prompts": "SELECT item_id, 'Question: ' || substr(text, 1, 30) || ' in English' AS prompt FROM benchmark",
+    "rendered_contexts": f"SELECT doc_id, md5('## Article ' || doc_id || ' | المادة ' || {AR_ID} || chr(10) || chr(10) || lang || chr(10) || chr(10) || text) AS digest FROM documents",
+    "filled_prompts": "SELECT item_id, 'Question: ' || text || ' in English' AS prompt FROM benchmark",
     "repeal_replies": "SELECT * FROM "
     + values_sql(
         [
@@ -240,7 +238,7 @@ ORACLES: dict[str, str] = {
     "opening_connectives": f"SELECT * FROM {values_sql([(1, 'ومع ذلك'), (2, 'ويجوز'), (3, ''), (4, 'فإذا')], 'id, word')}",
     "long_lines": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400))::BIGINT AS n FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400)) > 0",
     "overlaid_metrics": f"SELECT * FROM {values_sql([(1, 'a=1,b=3,c=4'), (2, 'x=1'), (3, 'y=1')], 'id, merged')}",
-    "kept_passages": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(substr(text, 1, 300), x)))::BIGINT AS n FROM documents",
+    "kept_passages": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(replace(text, ' the ', ' '), x)))::BIGINT AS n FROM documents",
     "over_length": "WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM documents) SELECT * FROM t WHERE n_tokens > 512",
     "bold_rows": f"SELECT * FROM {values_sql([(1, True), (2, False), (3, None), (4, True)], 'id, bold')}",
     "highlighted_passages": "SELECT * FROM " + values_sql([(1, "one\ntwo|one", "zzz"), (2, "", ""), (3, "", "q")], "id, passages, leftover"),

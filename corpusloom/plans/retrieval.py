@@ -2,57 +2,81 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluate as E, retrieval as R
-from corpusloom.plans.common import Query, long, read, spread, values_sql
+from corpusloom.plans.common import Query, file_states, long, read, spread, values_sql
 from corpusloom.plans.text import LUCENE, TOKENS
+from corpusloom.sources import records as S
 
 TOP, HEAD = 10, 5
 
 
 def questions(spark: SparkSession, d: str, stopwords: str = "none") -> DataFrame:
-    """Each benchmark item's first twelve tokens."""
-    words = F.slice(T.tokens(F.col("text")), 1, 12)
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.without_stopwords(words, stopwords).alias("words"))
+    """The tokens of each benchmark item, all of them."""
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.search_tokens(F.col("text"), stopwords=stopwords).alias("words"))
+
+
+MANIFEST = {"tokenizer": "words", "stopwords": "none"}
+_STORED: dict[tuple, str] = {}
 
 
-def indexed(spark: SparkSession, d: str, stopwords: str = "none") -> tuple[DataFrame, DataFrame]:
-    docs, words = spread(read(spark, d, "documents").select("doc_id", "text")), T.search_tokens(F.col("text"), stopwords=stopwords)
-    return R.postings(docs, words, id="doc_id"), R.corpus_stats(docs, words)
+def indexed(spark: SparkSession, d: str, stopwords: str = "none") -> DataFrame:
+    """The token index of the documents, tokenised and written once a session for a state of the files; lists with stopwords are cut from it."""
+    table = read(spark, d, "documents").select("doc_id", "text")
+    key = (spark.sparkContext.applicationId, d, *file_states(spark, table))
+    if key not in _STORED or not S.exists(spark, f"{_STORED[key]}/manifest"):
+        place = f"{S.scratch_dir(spark)}/token-index-{uuid.uuid4().hex}"
+        S.write_indexed(R.token_index(spread(table), T.tokens(F.col("text")), id="doc_id"), place, MANIFEST)
+        _STORED[key] = place
+    return R.without_terms(S.open_indexed(spark, _STORED[key], MANIFEST), T.STOPWORDS[stopwords])
 
 
 def bm25(spark: SparkSession, d: str, *, stopwords: str = "none", b: float = R.B, k: int = TOP) -> DataFrame:
-    index, stats = indexed(spark, d, stopwords)
-    return R.bm25_search(questions(spark, d, stopwords), index, stats, k=k, b=b)
+    return R.bm25_search(questions(spark, d, stopwords), indexed(spark, d, stopwords), k=k, b=b)
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a benchmark item's whole text.
 
     A document that holds a text holds its inner tokens, so candidates come from an equi-join on the longest of
-    them, not from all pairs.
+    them, not from all pairs. Items without an inner token, of one or two tokens, meet documents by their first
+    three characters (or what they have of them).
     """
     words = T.tokens(F.col("text"))
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    items = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("needle"), longest.alias("h"))
+    items = read(spark, d, "benchmark").where("text <> ''").select(F.col("item_id").alias("qid"), F.col("text").alias("needle"), longest.alias("h"))
     docs = spread(read(spark, d, "documents").select("doc_id", "text"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("h"))
-    pairs = held.join(items, "h").select("qid", "needle", "doc_id").join(docs, "doc_id")
-    return pairs.where(F.col("text").contains(F.col("needle"))).select("qid", F.col("doc_id").alias("id")).distinct()
+    held = indexed(spark, d).select(F.col("id").alias("doc_id"), F.explode("terms.term").alias("h"))
+    pairs = held.join(items.where("h IS NOT NULL"), "h").select("qid", "needle", "doc_id")
+    short = items.where("h IS NULL").select("qid", "needle", F.substring("needle", 1, 3).alias("h"))
+    if not short.isEmpty():
+        sizes = [r["n"] for r in short.select(F.length("h").alias("n")).distinct().collect()]  # three numbers at most
+        starts = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"))).otherwise(F.array().cast("array<int>"))
+        grams = [gram(starts, n) for n in sizes]
+        pairs = pairs.unionByName(docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("h")).join(short, "h").select("qid", "needle", "doc_id"))
+    return pairs.join(docs, "doc_id").where(F.col("text").contains(F.col("needle"))).select("qid", F.col("doc_id").alias("id")).distinct()
+
+
+def gram(starts: F.Column, n: int) -> F.Column:
+    """A text's pieces of n characters."""
+    return F.transform(starts, lambda i: F.substr(F.col("text"), i, F.lit(n)))
 
 
 def bm25_stats(spark, d):
-    index, stats = indexed(spark, d)
-    return stats.select("n_docs", F.round("avg_len", 6).alias("avg_len"), "max_len", "n_empty").crossJoin(index.agg(F.count_distinct("term").alias("vocabulary")))
+    index = indexed(spark, d)
+    stats = R.corpus_stats(index).select("n_docs", F.round("avg_len", 6).alias("avg_len"), "max_len", "n_empty")
+    return stats.crossJoin(R.postings(index).agg(F.count_distinct("term").alias("vocabulary")))
 
 
 def bm25_weights(spark, d):
-    index, stats = indexed(spark, d)
-    w = R.bm25_weights(index, stats)
+    index = indexed(spark, d)
+    w = R.bm25_weights(R.postings(index), R.corpus_stats(index))
     return w.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
@@ -62,7 +86,7 @@ def bm25_topk(spark, d):
 
 def vectors(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = read(spark, d, "embeddings")
-    return rows.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel")), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel")), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
 def dense(spark, d, k: int = TOP) -> DataFrame:
@@ -85,9 +109,8 @@ def rrf_fusion(spark, d):
 def reranked(spark, d) -> DataFrame:
     asked = questions(spark, d)
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = fused(spark, d).where(F.col("rank") <= TOP).join(docs, "id").join(asked, "qid")
-    scored = rows.withColumn("rerank", R.token_overlap(F.col("words"), T.tokens(F.col("text"))))  # of candidates only
-    return R.rerank_head(scored.drop("text", "words"), depth=HEAD)
+    rows = fused(spark, d).where(F.col("rank") <= TOP).join(docs, "id").join(asked, "qid").withColumn("tokens", T.tokens(F.col("text")))  # of candidates only
+    return R.rerank(rows, R.scorer_named("token_overlap"), question="words", text="tokens", depth=HEAD).drop("text", "tokens", "words")
 
 
 def rerank_head(spark, d):
@@ -130,7 +153,7 @@ def repealed_fallback(spark, d):
 
 
 def context_articles(spark, d):
-    rows = read(spark, d, "documents").select(F.col("lang").alias("qid"), F.col("doc_id").alias("rank"), (F.col("doc_id") % 13).alias("article"), (F.col("doc_id") % 5).alias("part_index"), F.substring("text", 1, 20).alias("text")).where("rank < 200")
+    rows = read(spark, d, "documents").select(F.col("lang").alias("qid"), F.col("doc_id").alias("rank"), F.col("n_chars").alias("article"), (F.col("doc_id") % 5).alias("part_index"), "text")
     out = R.context_articles(rows, max_sources=4)
     return out.select("qid", "article", long("place"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -157,7 +180,7 @@ def relevant(spark, d, *, flip: bool = False) -> DataFrame:
 def label_scores(spark, d, *, flip: bool = False) -> DataFrame:
     rows = relevant(spark, d, flip=flip)
     hits = [F.bool_or(F.col("relevant") & (F.col("rank") <= k)).alias(f"hit_{k}") for k in E.KS]
-    return rows.groupBy("qid", F.col("qlabel").alias("kind")).agg(*hits, F.coalesce(1.0 / F.min(F.when(F.col("relevant"), F.col("rank"))), F.lit(0.0)).alias("reciprocal")).withColumn("parity", (F.col("qid") % 2).cast("int"))
+    return rows.groupBy("qid", F.col("qlabel").alias("kind")).agg(*hits, F.coalesce(1.0 / F.min(F.when(F.col("relevant"), F.col("rank"))), F.lit(0.0)).alias("reciprocal")).withColumn("parity", (F.floor(F.col("qid") / 50) % 2).cast("int"))
 
 
 def recall_breakdown(spark, d):
@@ -171,7 +194,7 @@ def top1_score_stats(spark, d):
 
 
 def pair_agreement(spark, d):
-    tops = relevant(spark, d).where("rank = 1").select(F.floor(F.col("qid") / 2).alias("pair_id"), (F.floor(F.col("qid") / 2) % 2).cast("int").alias("kind"), F.col("label").alias("top"))
+    tops = relevant(spark, d).where("rank = 1").select(F.floor(F.col("qid") / 100).alias("pair_id"), (F.floor(F.col("qid") / 100) % 2).cast("int").alias("kind"), F.col("label").alias("top"))
     return E.pair_agreement(tops, "kind").select("kind", long("set_id"), "pairs", "agreement")
 
 
@@ -211,8 +234,8 @@ def stratified_subset(spark, d):
 
 
 def pick_first_per_group(spark, d):
-    rows = read(spark, d, "documents").where("lang IN ('en', 'fr')")
-    return E.pick_first_per_group(rows, "source", "doc_id", "lang").select("source", "lang", "doc_id")
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    return E.pick_first_per_group(rows, "source", "doc_id", "toxic").select("source", "toxic", "doc_id")
 
 
 def answered(spark, d) -> DataFrame:
@@ -270,11 +293,10 @@ QUERIES: dict[str, Query] = {
 def bm25_sql(name: str, *, stopwords: bool = False, b: float = R.B) -> str:
     """CTEs that end in ``name`` (qid, id, score, rank)."""
     words = f"list_filter({TOKENS}, lambda x: NOT list_contains({LUCENE}, x))" if stopwords else TOKENS
-    asked = f"list_filter({TOKENS}[1:12], lambda x: NOT list_contains({LUCENE}, x))" if stopwords else f"{TOKENS}[1:12]"
     return f"""{name}_w AS (SELECT doc_id AS id, {words} AS w FROM documents), {name}_s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {name}_w),
         {name}_p AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM {name}_w) GROUP BY id, term),
         {name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
-        {name}_q AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({asked}) AS term FROM benchmark) GROUP BY qid, term),
+        {name}_q AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({words}) AS term FROM benchmark) GROUP BY qid, term),
         {name}_c AS (SELECT qid, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - {b} + {b} * dl / avgdl))), 9) AS score
             FROM {name}_q JOIN {name}_p USING (term) JOIN {name}_d USING (term) CROSS JOIN {name}_s GROUP BY qid, id),
         {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {name}_c WHERE score > 0) WHERE rank <= {TOP})"""
@@ -283,12 +305,12 @@ def bm25_sql(name: str, *, stopwords: bool = False, b: float = R.B) -> str:
 LEXICAL = bm25_sql("one") + ", " + bm25_sql("two", stopwords=True, b=0.0)
 FUSED = LEXICAL + """, rrf_ AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf FROM (SELECT qid, id, rank FROM one UNION ALL SELECT qid, id, rank FROM two) GROUP BY qid, id),
         fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM rrf_)"""
-RERANKED = FUSED + f""", asked AS (SELECT item_id AS qid, list_distinct({TOKENS}[1:12]) AS a FROM benchmark), bodies AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents),
+RERANKED = FUSED + f""", asked AS (SELECT item_id AS qid, list_distinct({TOKENS}) AS a FROM benchmark), bodies AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents),
         over AS (SELECT f.*, round(coalesce(len(list_intersect(a, w))::DOUBLE / nullif(len(a), 0), 0), 9) AS rerank FROM fused f JOIN asked USING (qid) JOIN bodies USING (id) WHERE f.rank <= {TOP}),
         reranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY (rank > {HEAD})::INT, CASE WHEN rank <= {HEAD} THEN -rerank END, rank) AS final_rank FROM over)"""
 TRUTH = "truth AS (SELECT DISTINCT item_id AS qid, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
 COSINE = "list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v)))"
-DENSE = f"""dall AS (SELECT a.vec_id AS qid, a.label AS qlabel, b.vec_id AS id, b.label AS label, a.embedding::DOUBLE[] AS q, b.embedding::DOUBLE[] AS v FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id),
+DENSE = f"""dall AS (SELECT a.vec_id AS qid, a.label AS qlabel, b.vec_id AS id, b.label AS label, a.embedding::DOUBLE[] AS q, b.embedding::DOUBLE[] AS v FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
         dscore AS (SELECT qid, qlabel, id, label, round({COSINE}, 9) AS score FROM dall),
         dense AS (SELECT *, qlabel = label AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dscore) WHERE rank <= 20),
         flipped AS (SELECT * REPLACE (row_number() OVER (PARTITION BY qid ORDER BY id % 2, rank) AS rank) FROM dense)"""
@@ -296,7 +318,7 @@ DENSE = f"""dall AS (SELECT a.vec_id AS qid, a.label AS qlabel, b.vec_id AS id,
 
 def label_scores_sql(name: str, source: str) -> str:
     hits = ", ".join(f"bool_or(relevant AND rank <= {k}) AS hit_{k}" for k in E.KS)
-    return f"{name} AS (SELECT qid, qlabel AS kind, {hits}, coalesce(1.0::DOUBLE / min(rank) FILTER (relevant), 0) AS reciprocal, (qid % 2)::INT AS parity FROM {source} GROUP BY qid, qlabel)"
+    return f"{name} AS (SELECT qid, qlabel AS kind, {hits}, coalesce(1.0::DOUBLE / min(rank) FILTER (relevant), 0) AS reciprocal, ((qid // 50) % 2)::INT AS parity FROM {source} GROUP BY qid, qlabel)"
 
 
 RECALLS = ", ".join(f"round(avg(hit_{k}::INT), 6) AS recall_{k}" for k in E.KS)
@@ -319,7 +341,7 @@ ORACLES: dict[str, str] = {
     "lookup_priority": f"SELECT qid, id, priority, rank::BIGINT AS rank FROM {values_sql([('q1', 7, 0, 1), ('q1', 3, 2, 2), ('q2', 9, 0, 1), ('q2', 5, 1, 2), ('q2', 4, 2, 3)], 'qid, id, priority, rank')}",
     "range_lookup": f"SELECT * FROM {values_sql([('art-1-p1', 1), ('art-3-5', 3), ('art-3-5', 4), ('art-3-5', 5)], 'chunk_id, number')}",
     "repealed_fallback": "SELECT 'q1' AS qid, 9 AS first, 0.7::DOUBLE AS passage_score",
-    "context_articles": """WITH r AS (SELECT lang AS qid, doc_id AS rank, doc_id % 13 AS article, doc_id % 5 AS part_index, substr(text, 1, 20) AS text FROM documents WHERE doc_id < 200),
+    "context_articles": """WITH r AS (SELECT lang AS qid, doc_id AS rank, n_chars AS article, doc_id % 5 AS part_index, text FROM documents),
         g AS (SELECT qid, article, min(rank) AS first_rank, string_agg(text, chr(10) ORDER BY part_index, text) AS text FROM r GROUP BY qid, article),
         p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_rank, article) AS place FROM g) SELECT qid, article, place::BIGINT AS place, md5(text) AS digest FROM p WHERE place <= 4""",
     "citation_check": f"SELECT * FROM {values_sql([(1, '3,5', '9'), (2, '', ''), (3, '', '7')], 'id, given, hallucinated')}",
@@ -330,7 +352,7 @@ ORACLES: dict[str, str] = {
         FROM s GROUP BY GROUPING SETS ((), (kind), (parity))""",
     "top1_score_stats": f"""WITH {DENSE}, s AS (SELECT relevant, 'score' AS score_name, score AS v FROM dense WHERE rank = 1 UNION ALL SELECT relevant, 'double_score', 2 * score FROM dense WHERE rank = 1)
         SELECT relevant, score_name, round(min(v), 6) AS low, round(median(v), 6) AS middle, round(max(v), 6) AS high FROM s GROUP BY relevant, score_name""",
-    "pair_agreement": f"""WITH {DENSE}, p AS (SELECT qid // 2 AS pair_id, ((qid // 2) % 2)::INT AS kind, count(*) AS n, min(label) = max(label) AS same FROM dense WHERE rank = 1 GROUP BY ALL)
+    "pair_agreement": f"""WITH {DENSE}, p AS (SELECT qid // 100 AS pair_id, ((qid // 100) % 2)::INT AS kind, count(*) AS n, min(label) = max(label) AS same FROM dense WHERE rank = 1 GROUP BY ALL)
         SELECT kind, grouping(kind)::BIGINT AS set_id, count(*)::BIGINT AS pairs, round(avg(same::INT), 6) AS agreement FROM p WHERE n = 2 GROUP BY GROUPING SETS ((), (kind))""",
     "context_precision": f"""WITH {DENSE}, x AS (SELECT qid, relevant, sum(relevant::INT) OVER (PARTITION BY qid ORDER BY rank)::DOUBLE / rank AS p FROM dense WHERE rank <= 5)
         SELECT qid, round(coalesce(avg(p) FILTER (relevant), 0), 6) AS precision FROM x GROUP BY qid""",
@@ -340,8 +362,8 @@ ORACLES: dict[str, str] = {
     "params_diff": f"SELECT key, base, run, change FROM {values_sql([('k', '60', '10', 'changed'), ('old', '1', None, 'removed'), ('new', None, '2', 'added')], 'key, base, run, change')}",
     "balanced_split": f"SELECT qid, half FROM {values_sql([(x[0], x[4]) for x in SPLIT], 'qid, half')}",
     "stratified_subset": "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, lang, source, doc_id LIMIT 90",
-    "pick_first_per_group": """WITH r AS (SELECT * FROM documents WHERE lang IN ('en', 'fr')), g AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS place FROM r GROUP BY source)
-        SELECT source, lang, min(doc_id) AS doc_id FROM r JOIN g USING (source) WHERE (place % 2 = 0) = (lang = 'en') GROUP BY source, lang""",
+    "pick_first_per_group": """WITH r AS (SELECT * FROM documents JOIN labels USING (doc_id)), g AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS place FROM r GROUP BY source)
+        SELECT source, toxic, min(doc_id) AS doc_id FROM r JOIN g USING (source) WHERE (place % 2 = 0) = (toxic = 0) GROUP BY source, toxic""",
     "answer_means": f"WITH {ANSWERED} SELECT lang, grouping(lang)::BIGINT AS set_id, count(*)::BIGINT AS n, round(avg(score), 4) AS mean_score, round(avg(toxic), 4) AS mean_toxic FROM a GROUP BY GROUPING SETS ((), (lang))",
     "loss_attribution": f"""WITH {ANSWERED}, s AS (SELECT CASE WHEN toxic = 1 OR score IS NULL THEN NULL WHEN doc_id % 4 = 0 THEN 'retrieval' WHEN n_chars < 600 THEN 'refusal' ELSE 'generator' END AS stage, score FROM a),
         l AS (SELECT stage, sum(1 - score) AS lost FROM s WHERE stage IS NOT NULL GROUP BY stage) SELECT stage, round(lost, 6) AS lost, round(lost / sum(lost) OVER (), 6) AS share FROM l""",

@@ -109,19 +109,19 @@ def semantic_breakpoints(spark, d):
 
 
 def consecutive_islands(spark, d):
-    out = C.islands(docs(spark, d).where("n_chars > 1500").select("lang", "doc_id"), "doc_id", ["lang"])
-    return out.select("lang", "first", "last", "n")
+    out = C.islands(read(spark, d, "labels").select("quality", "doc_id"), "doc_id", ["quality"])
+    return out.select("quality", "first", "last", "n")
 
 
 def document_text_variants(spark, d):
-    head = F.substring("text", 1, 60)
+    head = F.col("text")
     path, empty = F.array("lang", F.lit(""), "source"), F.array(F.lit(""), F.lit(""))
     made = {v: T.document_text(F.col("source"), head, path, empty, variant=v) for v in ("both_with_headings", "ar_only", "both_without_headings")}
     return docs(spark, d).select("doc_id", *[F.md5(c.cast("binary")).alias(v) for v, c in made.items()])
 
 
 def citations(spark, d):
-    rows = docs(spark, d).where("doc_id < 50 AND doc_id > 0")
+    rows = docs(spark, d)
     return rows.select("doc_id", T.citation(F.col("doc_id")).alias("one"), T.range_citation(F.col("doc_id"), F.col("doc_id") + 3).alias("many"))
 
 
@@ -164,12 +164,12 @@ def iqr_outliers(spark, d):
 
 
 def missing_and_duplicate_ids(spark, d):
-    rows = docs(spark, d).where("doc_id % 7 <> 3 AND doc_id > 0").select((F.col("doc_id") - F.col("doc_id") % 11).alias("num"))
-    return Q.number_gaps(rows, "num")
+    """Of the ids that labels have: those of no label are missing, those of two are duplicates."""
+    return Q.number_gaps(read(spark, d, "labels").select(F.col("doc_id").alias("num")), "num")
 
 
 def id_mismatches(spark, d):
-    return Q.id_mismatches(docs(spark, d).where("doc_id % 3 <> 0"), read(spark, d, "labels"), "doc_id")
+    return Q.id_mismatches(docs(spark, d), read(spark, d, "labels"), "doc_id")
 
 
 def cer_near_copies(spark, d):
@@ -178,13 +178,13 @@ def cer_near_copies(spark, d):
 
 
 def accepted_spans(spark, d):
-    rows = docs(spark, d).select("doc_id", Q.accepted(F.substring("text", 1, 200), F.lit(" and "), F.lit(" & ")).alias("t"))
+    rows = docs(spark, d).select("doc_id", Q.accepted(F.col("text"), F.lit(" and "), F.lit(" & ")).alias("t"))
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
 def pii_email(spark, d):
     mail = F.regexp_replace("text", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+", "[email]")
-    return docs(spark, d).where(F.col("text").contains("@")).select("doc_id", F.md5(mail.cast("binary")).alias("digest"))
+    return docs(spark, d).select("doc_id", F.md5(mail.cast("binary")).alias("digest"))
 
 
 def pii_redact(spark, d):
@@ -237,9 +237,11 @@ def errata(spark, d):
 
 
 def reindex_append(spark, d):
-    old, new = docs(spark, d).where("doc_id % 2 = 0").select("doc_id", "lang"), docs(spark, d).where("doc_id % 3 = 0").select("doc_id", "lang")
+    """Documents appended to what labels hold: ids of both are clashes and keep the old row."""
+    old, new = read(spark, d, "labels").select("doc_id", F.lit("old").alias("side")), docs(spark, d).select("doc_id", F.lit("new").alias("side"))
     joined, clashes = C.append_checked(old, new, id="doc_id")
-    return joined.agg(F.count("*").alias("n_rows"), F.sum("doc_id").alias("id_sum")).crossJoin(clashes.agg(F.count("*").alias("n_clashes")))
+    counts = joined.agg(F.count("*").alias("n_rows"), F.sum("doc_id").alias("id_sum"), F.count_if(F.col("side") == "new").alias("n_new"))
+    return counts.crossJoin(clashes.agg(F.count("*").alias("n_clashes")))
 
 
 def glyph_repair(spark, d):
@@ -287,11 +289,11 @@ ORACLES: dict[str, str] = {
     "semantic_breakpoints": """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
         x AS (SELECT label, vec_id, CASE WHEN b IS NOT NULL THEN round(1 - list_dot_product(b, v) / (sqrt(list_dot_product(b, b)) * sqrt(list_dot_product(v, v))), 6) END AS distance FROM e)
         SELECT label, vec_id, distance, (1 + sum(CASE WHEN distance > (SELECT quantile_cont(distance, 0.95) FROM x) THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id))::BIGINT AS "group" FROM x""",
-    "consecutive_islands": """WITH r AS (SELECT DISTINCT lang, doc_id FROM documents WHERE n_chars > 1500), k AS (SELECT *, doc_id - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS run FROM r)
-        SELECT lang, min(doc_id) AS "first", max(doc_id) AS "last", count(*)::BIGINT AS n FROM k GROUP BY lang, run""",
-    "document_text_variants": """SELECT doc_id, md5(concat_ws(chr(10), lang || ' > ' || source, nullif(source, ''), nullif(substr(text, 1, 60), ''))) AS both_with_headings,
-        md5(concat_ws(chr(10), lang || ' > ' || source, nullif(source, ''))) AS ar_only, md5(concat_ws(chr(10), nullif(source, ''), nullif(substr(text, 1, 60), ''))) AS both_without_headings FROM documents""",
-    "citations": """WITH a AS (SELECT doc_id, translate(doc_id::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS x, translate((doc_id + 3)::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS y FROM documents WHERE doc_id < 50 AND doc_id > 0)
+    "consecutive_islands": """WITH r AS (SELECT DISTINCT quality, doc_id FROM labels), k AS (SELECT *, doc_id - row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS run FROM r)
+        SELECT quality, min(doc_id) AS "first", max(doc_id) AS "last", count(*)::BIGINT AS n FROM k GROUP BY quality, run""",
+    "document_text_variants": """SELECT doc_id, md5(concat_ws(chr(10), lang || ' > ' || source, nullif(source, ''), nullif(text, ''))) AS both_with_headings,
+        md5(concat_ws(chr(10), lang || ' > ' || source, nullif(source, ''))) AS ar_only, md5(concat_ws(chr(10), nullif(source, ''), nullif(text, ''))) AS both_without_headings FROM documents""",
+    "citations": """WITH a AS (SELECT doc_id, translate(doc_id::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS x, translate((doc_id + 3)::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS y FROM documents)
         SELECT doc_id, 'Article ' || doc_id || ' | المادة ' || x AS one, 'Articles ' || doc_id || '-' || (doc_id + 3) || ' | المواد من ' || x || ' إلى ' || y AS many FROM a""",
     "article_references": f"SELECT id::BIGINT AS id, numbers FROM {NUMBERS_LIST(REFERENCES)}",
     "cited_articles": f"SELECT id::BIGINT AS id, numbers FROM {NUMBERS_LIST(CITED)}",
@@ -308,15 +310,15 @@ ORACLES: dict[str, str] = {
         q AS (SELECT *, x[j1] + (0.25 * (n + 1) - j1) * (x[j1 + 1] - x[j1]) AS q1, x[j3] + (0.75 * (n + 1) - j3) * (x[j3 + 1] - x[j3]) AS q3 FROM j),
         b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q)
         SELECT lang, n::BIGINT AS n, round(q1::DOUBLE, 6) AS q1, round(q3::DOUBLE, 6) AS q3, round(low::DOUBLE, 6) AS low, round(high::DOUBLE, 6) AS high, len(list_filter(x, lambda v: v < low OR v > high))::BIGINT AS n_outliers FROM b""",
-    "missing_and_duplicate_ids": """WITH r AS (SELECT doc_id - doc_id % 11 AS num FROM documents WHERE doc_id % 7 <> 3 AND doc_id > 0)
+    "missing_and_duplicate_ids": """WITH r AS (SELECT doc_id AS num FROM labels)
         SELECT num, 'missing' AS problem FROM (SELECT unnest(generate_series(1, (SELECT max(num) FROM r))) AS num) WHERE num NOT IN (SELECT num FROM r)
         UNION ALL SELECT num, 'duplicate' FROM r GROUP BY num HAVING count(*) > 1""",
-    "id_mismatches": """WITH a AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT DISTINCT doc_id FROM labels)
+    "id_mismatches": """WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels)
         SELECT doc_id, 'left' AS side FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT doc_id, 'right' FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)""",
     "cer_near_copies": f"SELECT sum(levenshtein(got, gold))::BIGINT AS edits, sum(length(gold))::BIGINT AS gold_chars, round(sum(levenshtein(got, gold))::DOUBLE / sum(length(gold)), 6) AS cer FROM {values_sql(CER, 'id, got, gold')}",
-    "accepted_spans": """WITH s AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents)
+    "accepted_spans": """WITH s AS (SELECT doc_id, text AS t FROM documents)
         SELECT doc_id, md5(CASE WHEN (length(t) - length(replace(t, ' and ', ''))) = 5 THEN replace(t, ' and ', ' & ') ELSE t END) AS digest FROM s""",
-    "pii_email": "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+', '[email]', 'g')) AS digest FROM documents WHERE contains(text, '@')",
+    "pii_email": "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+', '[email]', 'g')) AS digest FROM documents",
     "pii_redact": f"SELECT id::BIGINT AS id, shown FROM {values_sql([(i, x) for i, _, x in PII], 'id, shown')}",
     "classify_rows": f"SELECT page, row_index, kind FROM {values_sql([(r[0], r[1], r[6]) for r in ROWS], 'page, row_index, kind')}",
     "heading_paths": f"SELECT pos, path FROM {values_sql([(r[0], ' > '.join(r[3])) for r in PATHS], 'pos, path')}",
@@ -327,6 +329,7 @@ ORACLES: dict[str, str] = {
     "repair_rows": "SELECT page, row_index, en_text, ar_text, header_split, markers_fixed::BIGINT AS markers_fixed FROM "
     + values_sql([(1, 1, "Article 1\nFirst text", "مادة ١\nنص", False, 0), (1, 3, "Article 2\nSame line", "مادة ٢\n(١) أ", True, 0), (2, 1, ROWS[5][2], ROWS[5][3], False, 0)], "page, row_index, en_text, ar_text, header_split, markers_fixed"),
     "errata": "SELECT page, row_index, en_text FROM " + values_sql([(r[0], r[1], r[2].replace("First text", "Better text")) for r in ROWS if r[1] < 2], "page, row_index, en_text"),
-    "reindex_append": """SELECT count(*) FILTER (doc_id % 2 = 0 OR doc_id % 3 = 0)::BIGINT AS n_rows, sum(doc_id) FILTER (doc_id % 2 = 0 OR doc_id % 3 = 0)::BIGINT AS id_sum, count(*) FILTER (doc_id % 6 = 0)::BIGINT AS n_clashes FROM documents""",
+    "reindex_append": """WITH n AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), j AS (SELECT doc_id, 'old' AS side FROM labels UNION ALL SELECT doc_id, 'new' FROM n)
+        SELECT count(*)::BIGINT AS n_rows, sum(doc_id)::BIGINT AS id_sum, count(*) FILTER (side = 'new')::BIGINT AS n_new, (SELECT count(DISTINCT doc_id)::BIGINT FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS n_clashes FROM j""",
     "glyph_repair": "SELECT id::BIGINT AS id, text FROM " + values_sql([(1, "لا"), (2, "١٢"), (3, "ب ت")], "id, text"),
 }

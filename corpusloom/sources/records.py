@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,23 +22,52 @@ def header(name: str, fields: StructType) -> dict[str, str]:
     return {"model": name, "schema": f"{name}@{fingerprint(fields)}"}
 
 
-def write_records(df: DataFrame, path: str, name: str, *, key: list[str] | None = None) -> None:
-    """One JSON-lines folder, first line the header, then rows sorted by key: equal rows give equal bytes."""
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else a temporary one (local runs and tests only)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def write_records(df: DataFrame, path: str, name: str, *, key: list[str] | None = None, single_file: bool = False) -> None:
+    """JSON lines under a header line: a folder with the header and the rows, in as many parts as there are partitions, sorted by key.
+
+    With ``single_file`` all is one file whose first line is the header, for small sets that others read: equal rows
+    give equal bytes.
+    """
     rows = df.orderBy(*key) if key else df
     body = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
     top = df.sparkSession.createDataFrame([(json.dumps(header(name, df.schema), ensure_ascii=False),)], "value string")
-    numbered = top.withColumn("o", F.lit(0).cast("long")).unionByName(body.withColumn("o", F.monotonically_increasing_id() + 1))
-    numbered.coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    if single_file:
+        numbered = top.withColumn("o", F.lit(0).cast("long")).unionByName(body.withColumn("o", F.monotonically_increasing_id() + 1))
+        numbered.coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+        return
+    body.write.mode("overwrite").text(f"{path}/rows")
+    top.coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
 def read_records(spark: SparkSession, path: str, name: str, fields: StructType) -> DataFrame:
-    """Checks the header before any record is parsed; malformed records raise."""
-    lines = spark.read.text(path)
-    is_header = F.col("value").startswith('{"model"')
-    found = [json.loads(r["value"]) for r in lines.where(is_header).limit(2).collect()]
-    if found != [header(name, fields)]:
+    """Checks the header, the first line, before any record is parsed; malformed records raise."""
+    folder = exists(spark, f"{path}/header")
+    lines = spark.read.text(f"{path}/rows" if folder else path)
+    first = (spark.read.text(f"{path}/header") if folder else lines).head()
+    try:
+        found = json.loads(first["value"]) if first else None
+    except ValueError:
+        found = first["value"]
+    if found != header(name, fields):
         raise SchemaMismatch(f"{path}: expected {header(name, fields)}, found {found}")
-    body = lines.where(~is_header & (F.trim("value") != ""))
+    body = lines.where(F.trim("value") != "") if folder else lines.where((F.col("value") != first["value"]) & (F.trim("value") != ""))
     return body.select(F.from_json("value", fields, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
@@ -57,8 +89,10 @@ def read_errata(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "n int, page int, row int, side string, expect string, replace string")
 
 
-def write_tsv(df: DataFrame, path: str, *, key: list[str]) -> None:
-    df.orderBy(*key).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+def write_tsv(df: DataFrame, path: str, *, key: list[str], single_file: bool = False) -> None:
+    """Sorted parts, each under the header; with ``single_file`` one, for small sets that people read."""
+    rows = df.orderBy(*key)
+    (rows.coalesce(1) if single_file else rows).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def metrics_json(metrics: dict) -> str:

@@ -32,9 +32,11 @@ def test_rrf_ties_and_errors(spark):
 
 def test_bm25_repeated_terms_and_missing_terms(spark):
     docs = spark.createDataFrame([(1, ["x", "y"]), (2, ["x", "x", "z"]), (3, []), (4, None)], "id int, w array<string>")
-    index, stats = R.postings(docs, F.col("w"), id="id"), R.corpus_stats(docs, F.col("w"))
+    index = R.token_index(docs, F.col("w"), id="id")
+    assert {r["id"]: (r["dl"], [tuple(t) for t in r["terms"]]) for r in index.collect()} == {1: (2, [("x", 1), ("y", 1)]), 2: (3, [("x", 2), ("z", 1)]), 3: (0, []), 4: (0, [])}
+    assert {r["id"]: (r["dl"], len(r["terms"])) for r in R.without_terms(index, ["x"]).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
     asked = spark.createDataFrame([("a", ["x"]), ("b", ["x", "x"]), ("c", ["none"]), ("d", [])], "qid string, words array<string>")
-    rows = R.bm25_search(asked, index, stats, k=5).collect()
+    rows = R.bm25_search(asked, index, k=5).collect()
     score = {(r["qid"], r["id"]): r["score"] for r in rows}
     assert set(score) == {("a", 1), ("a", 2), ("b", 1), ("b", 2)}
     assert score["b", 1] == pytest.approx(2 * score["a", 1], abs=1e-8)

@@ -16,6 +16,29 @@ def test_records_round_trip_and_header(spark, tmp_path):
         S.read_records(spark, f"{tmp_path}/r", "thing", spark.createDataFrame([], "id int").schema)
 
 
+def test_records_in_one_file_and_fields_like_a_header(spark, tmp_path):
+    df = spark.createDataFrame([("m", "s", 1), ("other", "x", 2)], "model string, schema string, n int")
+    for single in (False, True):
+        S.write_records(df, f"{tmp_path}/{single}", "thing", key=["n"], single_file=single)
+        assert [r["n"] for r in S.read_records(spark, f"{tmp_path}/{single}", "thing", df.schema).orderBy("n").collect()] == [1, 2]
+    S.write_records(df.limit(0), f"{tmp_path}/none", "thing")
+    assert S.read_records(spark, f"{tmp_path}/none", "thing", df.schema).count() == 0
+    files = list(tmp_path.glob("True/part-*"))
+    assert len(files) == 1 and files[0].read_text().startswith('{"model": "thing"')
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        S.scratch_dir(Session)
+
+
 def test_fingerprints_differ(spark):
     assert len({fingerprint(schema(n)) for n in DDL}) == len(DDL)
 
@@ -39,6 +62,6 @@ def test_indexed_table_guard(spark, tmp_path):
 
 
 def test_tsv(spark, tmp_path):
-    S.write_tsv(spark.createDataFrame([(2, "b"), (1, "a")], "id int, t string"), f"{tmp_path}/t", key=["id"])
+    S.write_tsv(spark.createDataFrame([(2, "b"), (1, "a")], "id int, t string"), f"{tmp_path}/t", key=["id"], single_file=True)
     text = next(tmp_path.glob("t/part-*")).read_text()
     assert text == "id\tt\n1\ta\n2\tb\n"
