@@ -8,6 +8,7 @@ several of the library's threads, and again by the sentencepiece library, which
 from __future__ import annotations
 
 import contextlib
+import itertools
 import os
 import re
 import struct
@@ -175,7 +176,7 @@ class Codec:
         #: A text may be cut at a single space: the dummy prefix stands for it.
         self.cuts = separable(m) and self.plain
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+    def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """(ids, parity) of each text. Texts of over LONG_CHARS are encoded and compared in parts, where the model allows.
 
         Equal texts of a batch are encoded once.
@@ -183,13 +184,13 @@ class Codec:
         parts = {t: self.parts(t) for t in dict.fromkeys(texts)}
         flat = [x for p in parts.values() for x in p]
         marked = [META + x.replace(" ", META) if x else x for x in flat] if self.plain else flat
-        ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
-        same = list(map(np.array_equal, ids, self.reference.encode(flat, num_threads=self.threads)))
-        out, at = {}, 0
-        for t, p in parts.items():
-            end = at + len(p)
-            out[t] = (ids[at] if len(p) == 1 else np.concatenate(ids[at:end]), all(same[at:end]))
-            at = end
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+        same = map(list.__eq__, ids, self.reference.encode(flat, num_threads=self.threads))
+        if len(flat) > len(parts):
+            left = iter(zip(ids, same, strict=True))
+            joined = [tuple(zip(*itertools.islice(left, len(p)), strict=True)) for p in parts.values()]
+            ids, same = [list(itertools.chain.from_iterable(x)) for x, _ in joined], [all(x) for _, x in joined]
+        out = dict(zip(parts, zip(ids, same, strict=True), strict=True))
         return [out[t] for t in texts]
 
     def parts(self, text: str) -> list[str]:
@@ -272,10 +273,10 @@ def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", thread
                 null = np.array([x is None for x in part])
                 found = codec.encode([x or "" for x in part])
                 sizes = np.array([len(ids) for ids, _ in found])
-                flat = np.concatenate([ids for ids, _ in found])
+                flat = np.fromiter(itertools.chain.from_iterable(ids for ids, _ in found), np.int32, int(sizes.sum()))
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 n_bytes = np.diff(np.concatenate([[0], np.cumsum(codec.is_byte[flat])])[offsets])
-                back = [x is not None and codec.decode(ids.tolist()) == x for x, (ids, _) in zip(part, found, strict=True)]
+                back = [x is not None and codec.decode(ids) == x for x, (ids, _) in zip(part, found, strict=True)]
                 arrays = [
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null)),
                     pa.array(sizes, pa.int32(), mask=null),
