@@ -25,6 +25,9 @@ AR_HEADER_TWO_LINES = r"^[\s()]*م\s*ا\s*د\s*ة[\s()]*\n[\s()]*([٠-٩]+)[\s()
 AR_MARKER = r"^[()]\s*([١-٩][٠-٩]*)\s*[()]\s*"
 # ---- End of fixed values. ----
 
+#: Places that a heading cell has in the order of headings.
+CELL_PLACES = 4096
+
 
 def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
@@ -147,16 +150,24 @@ def assemble(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(articles, anomalies) of classified rows.
 
     A continuation joins the unit before it if that is an article; a heading before it, or nothing, makes it an
-    orphan. Heading rows open paths. Rows are numbered by page and row.
+    orphan. Heading rows open paths, heading by heading as headings.heading_rows finds them; an article has the path of
+    the last one before it, in English. Rows are numbered by page and row.
     """
+    from corpusloom.operators.headings import heading_rows
+
     order = Window.partitionBy("doc").orderBy("page", "row_index")
     seq = rows.withColumn("pos", F.row_number().over(order))
     opens = F.col("kind").isin("article", "heading", "repeal")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     seq = seq.withColumn("unit", F.sum(opens.cast("int")).over(running)).withColumn("unit_kind", F.last(F.when(opens, F.col("kind")), ignorenulls=True).over(running))
-    heads = seq.where("kind = 'heading'").select("doc", "pos", heading_rank(F.col("en_text"), F.col("ar_text")).alias("rank"), F.concat_ws(" ", F.split("en_text", "\n")).alias("label"))
-    paths = heading_paths(heads).select("doc", F.col("pos").alias("h_pos"), "path")
-    seq = seq.withColumn("h_pos", F.last(F.when(F.col("kind") == "heading", F.col("pos")), ignorenulls=True).over(running)).join(paths, ["doc", "h_pos"], "left")
+    heads, odd = heading_rows(rows)
+    # places within a cell follow each other between two rows
+    place = F.col("pos").cast("long") * CELL_PLACES + F.col("k")
+    paths = heading_paths(heads.select("doc", place.alias("pos"), "rank", F.nullif("en", F.lit("")).alias("label")))
+    ends = paths.withColumn("h_pos", F.floor(F.col("pos") / CELL_PLACES).cast("int")).groupBy("doc", "h_pos").agg(F.max_by("path", "pos").alias("path"))
+    seq = seq.join(ends.withColumnRenamed("h_pos", "pos"), ["doc", "pos"], "left")
+    # a heading row whose only heading is the title of the one before has that one's path
+    seq = seq.withColumn("path", F.last("path", ignorenulls=True).over(running))
     joins = (F.col("kind") == "article") | ((F.col("kind") == "continuation") & (F.col("unit_kind") == "article"))
     part = F.struct("pos", "page", "row_index", "en_text", "ar_text")
     units = seq.where(joins).groupBy("doc", "unit").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("path").alias("path"))
@@ -181,7 +192,7 @@ def assemble(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     kind = F.when(F.col("kind") == "anomaly", "unclassified").when((F.col("kind") == "continuation") & (F.coalesce("unit_kind", F.lit("")) != "article"), "orphan_continuation")
     anomalies = seq.withColumn("anomaly", kind).where("anomaly IS NOT NULL").select("doc", "page", "row_index", "anomaly")
-    return articles.unionByName(gone), anomalies
+    return articles.unionByName(gone), anomalies.unionByName(odd)
 
 
 def merge_repealed(articles: DataFrame) -> DataFrame:

@@ -94,3 +94,19 @@ def hash_sample(rows: DataFrame, id: str, n: int, seed: str) -> DataFrame:
 def latest(rows: DataFrame, by: str, ts: str, columns: list[str]) -> DataFrame:
     """The newest row of each group, ties to the larger values."""
     return rows.groupBy(by).agg(F.max(F.struct(ts, *columns)).alias("r")).select(by, "r.*")
+
+
+def span_rollup(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, n_children, total, own): a span's length and what its direct children leave of it, not below 0.
+
+    spans: (trace_id, span_id, parent_id, began, ended) in seconds. A child whose parent is not there is a root.
+    """
+    length = F.col("ended") - F.col("began")
+    inner = spans.where("parent_id IS NOT NULL").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.count("*").alias("n_children"), F.sum(length).alias("inner"))
+    out = spans.select("trace_id", "span_id", length.alias("total")).join(inner, ["trace_id", "span_id"], "left")
+    return out.select("trace_id", "span_id", F.coalesce("n_children", F.lit(0)).alias("n_children"), "total", F.greatest(F.col("total") - F.coalesce("inner", F.lit(0)), F.lit(0)).alias("own"))
+
+
+def observed(rows: DataFrame, name: str, **metrics: Column) -> DataFrame:
+    """The rows, whose metrics an observation or a streaming listener gets once they are read; nothing else is read for it."""
+    return rows.observe(name, *[c.alias(k) for k, c in metrics.items()])

@@ -94,11 +94,16 @@ def eval_set_problems(questions: DataFrame) -> DataFrame:
     return twice.unionByName(bad)
 
 
+def questions_lost(base: Column, now: Column, questions: Column) -> Column:
+    """A drop in recall as a number of questions, half to even."""
+    return F.bround((base - now) * questions, 0)
+
+
 def ci_gate(row: DataFrame, *, min_faithfulness: float, max_drop: int) -> DataFrame:
     """Adds faithful_ok, recall_state (pass, fail, skip) and passed to a row of subset, scored, ci_size, faithfulness,
     split, recall, questions, base_split, base_recall."""
     ok = (F.col("subset") == "ci") & (F.col("scored") == F.col("ci_size")) & F.coalesce(F.col("faithfulness") >= min_faithfulness, F.lit(False))
-    drop = F.bround((F.col("base_recall") - F.col("recall")) * F.col("questions"), 0)
+    drop = questions_lost(F.col("base_recall"), F.col("recall"), F.col("questions"))
     state = F.when(~F.col("split").eqNullSafe("tuning"), "fail").when(~F.col("base_split").eqNullSafe("tuning"), "skip").when(drop <= max_drop, "pass").otherwise("fail")
     return row.withColumns({"faithful_ok": F.coalesce(ok, F.lit(False)), "recall_state": state}).withColumn("passed", F.col("faithful_ok") & (F.col("recall_state") != "fail"))
 
@@ -111,3 +116,48 @@ def promotion(candidate: Column, production: Column) -> Column:
 
 def union_checks(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def profile_gates(facts: DataFrame, expected: dict[str, float]) -> DataFrame:
+    """(gate, expected, actual, passed) of one row of facts: each that is named must have its value; a missing one fails."""
+    absent = F.lit(None).cast("double")
+    gates = [
+        F.struct(F.lit(k).alias("gate"), F.lit(float(v)).alias("expected"), (F.col(k).cast("double") if k in facts.columns else absent).alias("actual"))
+        for k, v in expected.items()
+    ]
+    return facts.select(F.inline(F.array(*gates))).withColumn("passed", F.coalesce(F.col("actual") == F.col("expected"), F.lit(False)))
+
+
+# What settings must look like.
+SETTING_PATTERNS = {"experiment": r"^[a-z0-9][a-z0-9._-]*$", "revision": r"^[0-9a-f]{40}$", "url": r"^https?://\S+$", "bucket": r"^[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]$"}
+
+
+def setting_problems(settings: DataFrame) -> DataFrame:
+    """(name, problem) of (name, kind, value): values that do not fit their kind; kinds are those of SETTING_PATTERNS, ``path`` and ``text``.
+
+    A path is relative and stays inside its root; a text is not blank.
+    """
+    value = F.col("value")
+    fits = F.when(F.col("kind") == "path", ~value.startswith("/") & ~F.array_contains(F.split(value, "/"), ".."))
+    fits = fits.when(F.col("kind") == "text", F.trim(value) != "")
+    for kind, pattern in SETTING_PATTERNS.items():
+        fits = fits.when(F.col("kind") == kind, value.rlike(pattern))
+    known = [*SETTING_PATTERNS, "path", "text"]
+    problem = F.when(~F.col("kind").isin(known), "unknown kind").when(value.isNull(), "missing").when(~fits, F.concat(F.lit("no "), F.col("kind")))
+    return settings.select("name", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def check_endpoints(generator: dict[str, str | None], judge: dict[str, str | None]) -> None:
+    """Raises if a setting of either is missing, naming all, or if the judge is the generator, which would grade itself."""
+    missing = [f"{who}.{k}" for who, found in (("generator", generator), ("judge", judge)) for k, v in found.items() if not v]
+    if missing:
+        raise ValueError(f"not set: {', '.join(missing)}")
+    if generator.get("model") == judge.get("model"):
+        raise ValueError(f"{judge.get('model')} is both generator and judge")
+
+
+def judged(rows: DataFrame, reply: str, metrics: list[str]) -> DataFrame:
+    """Adds each metric from a judge's JSON reply; null where the judge failed: no JSON, no number, or none in 0..1."""
+    parsed = F.try_parse_json(F.col(reply))
+    number = lambda m: F.try_variant_get(parsed, f"$.{m}", "double")
+    return rows.withColumns({m: F.when(number(m).between(0, 1), number(m)) for m in metrics})

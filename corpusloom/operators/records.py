@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from corpusloom.functions.glyphs import vertical_overlap
 from corpusloom.functions.text import arabic_digits, article_references, citation, paragraph_numbers
 
 # ---- Fixed values: they must equal the reference's for equal results. ----
@@ -152,29 +153,13 @@ def tag_counts(spark, edges_view: str, root: str) -> DataFrame:
 def visual_lines(pieces: DataFrame, *, rtl: bool, least: float = 0.5) -> DataFrame:
     """Adds line_no and place of (cell, pos, x0, y0, x1, y1): neighbours that overlap vertically by half of the lower are one line."""
     w = Window.partitionBy("cell").orderBy("pos")
-    top, bottom = F.greatest("y0", F.lag("y0").over(w)), F.least("y1", F.lag("y1").over(w))
-    lower = F.least(F.col("y1") - F.col("y0"), F.lag(F.col("y1") - F.col("y0")).over(w))
-    share = F.when(lower > 0, F.greatest(bottom - top, F.lit(0.0)) / lower).otherwise(0.0)
+    share = vertical_overlap(F.col("y0"), F.col("y1"), F.lag("y0").over(w), F.lag("y1").over(w))
     first = F.lag("pos").over(w).isNull()  # least and greatest skip the nulls that lag gives there
     numbered = pieces.withColumn("new", (first | (share < least)).cast("int")).withColumn("line_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     order = F.desc("x1") if rtl else F.asc("x0")
     return numbered.withColumn("place", F.row_number().over(Window.partitionBy("cell", "line_no").orderBy(order, "pos"))).drop("new")
 
 
-def heading_units(lines: Column, keyword_only: str) -> Column:
-    """Heading lines grouped: a line that is a keyword alone takes the next one as its title."""
-    kind = "struct<units:array<string>,open:boolean>"
-    start = F.struct(F.array().cast("array<string>").alias("units"), F.lit(False).alias("open")).cast(kind)
-
-    def step(acc: Column, line: Column) -> Column:
-        joined = F.concat(F.slice(acc["units"], 1, F.size(acc["units"]) - 1), F.array(F.concat(F.element_at(acc["units"], -1), F.lit(" "), line)))
-        return F.struct(
-            F.when(acc["open"], joined).otherwise(F.concat(acc["units"], F.array(line))).alias("units"), (~acc["open"] & line.rlike(keyword_only)).alias("open")
-        ).cast(kind)
-
-    return F.aggregate(lines, start, step, lambda acc: acc["units"])
-
-
 def heading_spans(rows: DataFrame) -> DataFrame:
     """(doc, path, first, last, n): articles directly under each path."""
     return rows.groupBy("doc", "path").agg(F.min("article_number").alias("first"), F.max("article_number").alias("last"), F.count("*").alias("n"))
@@ -201,7 +186,7 @@ def asked_articles(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def markdown_rows(rows: DataFrame, order: list[str], *, digits: int = 3) -> DataFrame:
     """(line_no, line): a table in Markdown, sorted, as rows; the two header lines come first."""
-    cell = lambda f: F.coalesce(F.format_string(f"%.{digits}f", F.col(f.name)) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name).cast("string"), F.lit("–"))
+    cell = lambda f: F.when(F.col(f.name).isNull(), "–").otherwise(F.format_string(f"%.{digits}f", F.col(f.name)) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name).cast("string"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f) for f in rows.schema.fields]), F.lit(" |"))
     numbered = rows.select(*order, line.alias("line")).orderBy(*order).select((F.monotonically_increasing_id() + 2).alias("line_no"), "line")
     top = ["| " + " | ".join(rows.columns) + " |", "| " + " | ".join("---" for _ in rows.columns) + " |"]
@@ -258,3 +243,35 @@ def highlighted_passages(rows: DataFrame) -> DataFrame:
 
     walked = F.aggregate("lines", start, step)
     return rows.select("id", walked.alias("w")).select("id", F.col("w.out").alias("passages"), F.col("w.left").alias("leftover"))
+
+
+def report_rows(rows: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """A report's rows with the columns of other tables, each joined by a label of the row to its own: (table, its label's column).
+
+    A label that a table lacks leaves its columns null, which markdown_rows shows as a dash. A label twice in a table raises
+    as it is read, so that no row doubles.
+    """
+    out = rows
+    for label, (table, key) in tables.items():
+        twice = F.count("*").over(Window.partitionBy(key)) > 1
+        once = table.withColumn(key, F.when(twice, F.raise_error(F.concat(F.lit(f"{label}: label twice: "), F.col(key).cast("string")))).otherwise(F.col(key)))
+        out = out.join(once.withColumnRenamed(key, f"__{label}"), F.col(label) == F.col(f"__{label}"), "left").drop(f"__{label}")
+    return out
+
+
+def question_requests(articles: DataFrame, *, order: str = "article_number") -> DataFrame:
+    """Adds language: Arabic and English in turn by place. Articles are a picked few, numbered in one task."""
+    at = F.row_number().over(Window.orderBy(order)) - 1
+    return articles.withColumn("language", F.when(F.pmod(at, F.lit(2)) == 0, "ar").otherwise("en"))
+
+
+def accepted_questions(requests: DataFrame, replies: DataFrame, *, attempts: int = 3) -> DataFrame:
+    """(article_number, language, question): the first clean reply within so many attempts; none after a call that failed.
+
+    replies: (article_number, attempt from 1, reply), null where the call failed.
+    """
+    tried = requests.select("article_number", "language").join(replies.where(F.col("attempt") <= attempts), "article_number")
+    tried = tried.withColumn("clean", clean_question(F.col("reply"), F.col("language")))
+    failed = F.min(F.when(F.col("reply").isNull(), F.col("attempt")))
+    best = tried.groupBy("article_number", "language").agg(F.min(F.when(F.col("clean").isNotNull(), F.struct("attempt", "clean"))).alias("b"), failed.alias("failed"))
+    return best.where(F.col("b").isNotNull() & (F.col("failed").isNull() | (F.col("b.attempt") < F.col("failed")))).select("article_number", "language", F.col("b.clean").alias("question"))

@@ -189,13 +189,12 @@ def scorer_named(name: str) -> Callable[[Column, Column], Column] | None:
 
 
 def predictions(questions: DataFrame, lists: DataFrame, chunks: DataFrame, *, top_k: int) -> DataFrame:
-    """(qid, citations): each question's ordered citations, from a ranked list of chunk ids (qid, rank, id) and (id, citation).
+    """(qid, citations): the citation of each of a question's first top_k chunks, in order of rank.
 
-    A citation counts once, at its best rank; a question without results has an empty array.
+    lists: (qid, rank, id); chunks: (id, citation). A question without results has an empty array.
     """
-    cited = lists.join(chunks, "id").groupBy("qid", "citation").agg(F.min("rank").alias("rank"))
-    head = ranked(cited.select("qid", "citation", F.col("rank").alias("best")), F.asc("best"), F.asc("citation"), k=top_k)
-    listed = head.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "citation"))).alias("c"))  # at most top_k a question
+    cited = lists.where(F.col("rank") <= top_k).join(chunks.select("id", "citation"), "id")
+    listed = cited.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "citation"))).alias("c"))  # at most top_k a question
     none = F.array().cast("array<string>")
     return questions.select("qid").distinct().join(listed, "qid", "left").select("qid", F.coalesce(F.transform("c", lambda x: x["citation"].cast("string")), none).alias("citations"))
 

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import corpus as C, records as O, retrieval as R
+from corpusloom.operators import corpus as C, headings as H, records as O, retrieval as R
 from corpusloom.plans.common import Query, long, read, spread, values_sql
 from corpusloom.plans.monitoring import streamed
 from corpusloom.plans.retrieval import ORACLES as RETRIEVAL_ORACLES, TOP, indexed, questions
@@ -98,10 +98,22 @@ def visual_lines(spark, d):
     return O.visual_lines(rows, rtl=True).select("cell", "pos", long("line_no"), long("place"))
 
 
+HEADING_CELLS = [
+    (1, "PART I\nGeneral\n1. Scope", "القسم الأول\nعام\n١- نطاق", "PART I General=القسم الأول عام|1. Scope=١- نطاق", True),
+    (2, "Only", "", "Only=-", True),
+    (3, "CHAPTER II", "الباب الثاني", "CHAPTER II=الباب الثاني", True),
+    (4, "1- The Relationship between the Surety and the\nCreditor", "١ -العلاقة ما بين الكفيل والدائن", "1- The Relationship between the Surety and the Creditor=١ -العلاقة ما بين الكفيل والدائن", True),
+    (5, "1. Elements of Contracts\nConsent:", "أولاً- أركان العقد\n١ -الرضاء", "1. Elements of Contracts=أولاً- أركان العقد|Consent:=١ -الرضاء", True),
+    (6, "1. One\n2. Two", "واحد", "1. One=واحد|2. Two=-", False),
+    (7, "", "موت المستأجر أو إعساره", "-=موت المستأجر أو إعساره", True),
+]
+
+
 def heading_units(spark, d):
-    rows = spark.createDataFrame([(1, ["PART I", "General", "1. Scope"]), (2, ["Only"]), (3, ["CHAPTER II"])], "id int, lines array<string>")
-    pattern = r"(?i)^\s*(?:(?:PART|BOOK|CHAPTER|SECTION)\s+[IVXLC\d]+|[A-Z]+\s+PART)\s*$"
-    return rows.select("id", F.array_join(O.heading_units(F.col("lines"), pattern), "|").alias("units"))
+    rows = spark.createDataFrame([c[:3] for c in HEADING_CELLS], "id int, en string, ar string")
+    cell = H.aligned(H.units(H.cell_lines(F.col("en")), "en"), H.units(H.cell_lines(F.col("ar")), "ar"))
+    name = lambda u: F.coalesce(u["text"], F.lit("-"))
+    return rows.select("id", cell.alias("c")).select("id", F.array_join(F.transform("c.pairs", lambda p: F.concat(name(p["en"]), F.lit("="), name(p["ar"]))), "|").alias("units"), "c.aligned")
 
 
 def nested_ranks(spark, d):
@@ -225,7 +237,7 @@ ORACLES: dict[str, str] = {
     "cut_sections": "SELECT doc::BIGINT AS doc, section, text FROM " + values_sql([(1, "one", "a\nb"), (1, "two", "c")], "doc, section, text"),
     "tag_tree": "SELECT tag, n::BIGINT AS n, depth FROM " + values_sql([("Table", 1, 1), ("TR", 2, 2), ("TD", 1, 3), ("P", 1, 4)], "tag, n, depth"),
     "visual_lines": "SELECT cell, pos, line_no::BIGINT AS line_no, place::BIGINT AS place FROM " + values_sql([(1, 1, 1, 2), (1, 2, 1, 1), (1, 3, 2, 1), (1, 4, 3, 1)], "cell, pos, line_no, place"),
-    "heading_units": f"SELECT * FROM {values_sql([(1, 'PART I General|1. Scope'), (2, 'Only'), (3, 'CHAPTER II')], 'id, units')}",
+    "heading_units": f"SELECT * FROM {values_sql([(c[0], c[3], c[4]) for c in HEADING_CELLS], 'id, units, aligned')}",
     "nested_ranks": f"SELECT * FROM {values_sql([(1, '3,4,5,6'), (2, '1'), (3, '')], 'id, nested')}",
     "heading_spans": 'SELECT path, "first", "last", n::BIGINT AS n FROM ' + values_sql([("PART I General", 1, 1, 1), ("PART I General > 1. Scope", 2, 5, 4)], 'path, "first", "last", n'),
     "row_classes": "SELECT kind, n::BIGINT AS n FROM " + values_sql([("heading", 2), ("article", 2), ("continuation", 1), ("repeal", 1), ("anomaly", 1)], "kind, n"),

@@ -324,7 +324,7 @@ ORACLES: dict[str, str] = {
     "heading_paths": f"SELECT pos, path FROM {values_sql([(r[0], ' > '.join(r[3])) for r in PATHS], 'pos, path')}",
     "assemble_articles": "SELECT article_number, n_en::BIGINT AS n_en, path, pages::BIGINT AS pages, is_repealed FROM "
     + values_sql([(1, 20, "PART I General", 1, False), (2, 27, "PART I General > 1. Scope", 2, False), *[(n, 28, "PART I General > 1. Scope", 1, True) for n in (3, 4, 5)]], "article_number, n_en, path, pages, is_repealed"),
-    "assembly_anomalies": "SELECT 2 AS page, 2 AS row_index, 'unclassified' AS anomaly",
+    "assembly_anomalies": "SELECT * FROM " + values_sql([(2, 2, "unclassified"), (1, 0, "untitled_heading")], "page, row_index, anomaly"),
     "repealed_ranges": "SELECT article_number, range_end, citation, n::BIGINT AS n FROM " + values_sql([(1, None, None, 1), (2, None, None, 1), (3, 5, "Articles 3-5 | المواد من ٣ إلى ٥", 3)], "article_number, range_end, citation, n"),
     "repair_rows": "SELECT page, row_index, en_text, ar_text, header_split, markers_fixed::BIGINT AS markers_fixed FROM "
     + values_sql([(1, 1, "Article 1\nFirst text", "مادة ١\nنص", False, 0), (1, 3, "Article 2\nSame line", "مادة ٢\n(١) أ", True, 0), (2, 1, ROWS[5][2], ROWS[5][3], False, 0)], "page, row_index, en_text, ar_text, header_split, markers_fixed"),

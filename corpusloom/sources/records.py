@@ -99,6 +99,15 @@ def metrics_json(metrics: dict) -> str:
     return json.dumps(metrics, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 
 
+def write_evidence(tables: dict[str, tuple[DataFrame, list[str]]], summary: dict, path: str) -> None:
+    """Each table as sorted TSV under its name, and the summary as JSON: equal inputs give equal bytes."""
+    for name, (df, key) in tables.items():
+        write_tsv(df, f"{path}/{name}", key=key, single_file=True)
+        spark = df.sparkSession
+    text = spark.createDataFrame([(metrics_json(summary).rstrip("\n"),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+
+
 def flatten(metrics: dict, prefix: str = "") -> dict[str, float]:
     """Dotted keys of the numeric leaves."""
     out: dict[str, float] = {}
