@@ -22,7 +22,7 @@ def _no_units() -> Column:
 
 def cell_lines(text: Column) -> Column:
     """The lines of a cell that are not blank, trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def units(lines: Column, side: str) -> Column:

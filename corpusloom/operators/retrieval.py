@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.vectors import dot, norm
+from corpusloom.functions.vectors import norm
 
 K1, B, RRF_K = 1.5, 0.75, 60
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import pii as P
 from corpusloom.operators import monitor as M, quality as Q
-from corpusloom.plans.common import Query, read, values_sql
+from corpusloom.plans.common import Query, read
 from corpusloom.sources.records import scratch_dir
 from corpusloom.streaming import processors as S
 
@@ -92,12 +92,6 @@ def trace_sample(spark, d):
     return M.hash_sample(rows.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "event_id", 40, "s1")
 
 
-def trace_filter(spark, d):
-    rows = spark.createDataFrame([(1, "False", '["a","b"]'), (2, "true", '["a"]'), (3, "false", "[]"), (4, None, None)], "id int, refused string, contexts string")
-    kept = rows.where(~F.coalesce(F.lower("refused") == "true", F.lit(False))).withColumn("c", F.from_json("contexts", "array<string>")).where(F.size("c") > 0)
-    return kept.select("id", F.size("c").alias("n_contexts"))
-
-
 def quality_gate(spark, d):
     joined = read(spark, d, "documents").select("doc_id", "n_chars", "text").join(read(spark, d, "labels"), "doc_id", "left")
     row = joined.agg(
@@ -112,31 +106,6 @@ def quality_gate(spark, d):
     return Q.check_rows(row, checks)
 
 
-GATES = [
-    (1, "ci", 30, 30, 0.8, "tuning", 0.75, 65, "tuning", 0.754, True, "pass", True),
-    (2, "ci", 30, 30, 0.7, "tuning", 0.75, 65, "tuning", 0.754, False, "pass", False),
-    (3, "ci", 30, 30, 0.8, "tuning", 0.6, 65, "tuning", 0.754, True, "fail", False),
-    (4, "ci", 30, 30, 0.8, "heldout", 0.75, 65, "tuning", 0.754, True, "fail", False),
-    (5, "ci", 30, 30, 0.8, "tuning", 0.75, 65, None, None, True, "skip", True),
-    (6, "ci", 30, 29, None, "tuning", 0.75, 65, "tuning", 0.754, False, "pass", False),
-]
-
-
-def ci_gate(spark, d):
-    kind = "id int, subset string, ci_size int, scored int, faithfulness double, split string, recall double, questions int, base_split string, base_recall double"
-    return Q.ci_gate(spark.createDataFrame([g[:10] for g in GATES], kind), min_faithfulness=0.75, max_drop=1).select("id", "faithful_ok", "recall_state", "passed")
-
-
-def promotion(spark, d):
-    rows = spark.createDataFrame([(1, 0.8, 0.7), (2, 0.6, 0.7), (3, None, 0.7), (4, float("nan"), 0.1), (5, 1.5, 0.1), (6, 0.5, None)], "id int, candidate double, production double")
-    return rows.select("id", Q.promotion(F.col("candidate"), F.col("production")).alias("promoted"))
-
-
-def eval_set_checks(spark, d):
-    rows = [("q1", "p1", "ar", "a"), ("q2", "p1", "en", "a"), ("q3", "p2", "en", "a"), ("q4", "p2", "en", "a"), ("q5", None, "en", "b"), ("q5", None, "en", "b"), ("q6", "p3", "ar", "a"), ("q7", "p3", "en", "b")]
-    return Q.eval_set_problems(spark.createDataFrame(rows, "qid string, pair_id string, language string, kind string"))
-
-
 def request_checks(spark, d):
     """Violations of a trimmed text of 1 to 2000 characters, by field."""
     n = F.length(F.trim("text"))
@@ -195,7 +164,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         request_counters, latency_histogram, rate_5m, histogram_quantile, timing_percentiles, throughput, completion_cost, drift_baseline, drift_window, drift_alert, latest_value_alert, canary_split,
-        latest_run_per_name, trace_sample, trace_filter, quality_gate, ci_gate, promotion, eval_set_checks, request_checks, batch_redaction, stream_redact, stream_counters, stream_drift,
+        latest_run_per_name, trace_sample, quality_gate, request_checks, batch_redaction, stream_redact, stream_counters, stream_drift,
     )
 }
 
@@ -235,14 +204,10 @@ ORACLES: dict[str, str] = {
     "canary_split": "SELECT CASE WHEN ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 100 < 95 THEN 'stable' ELSE 'canary' END AS side, count(*)::BIGINT AS n FROM events GROUP BY side",
     "latest_run_per_name": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "trace_sample": """SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE event_type <> 'error' AND value IS NOT NULL AND (props->>'$.k') IS NOT NULL ORDER BY md5('s1:' || event_id), event_id LIMIT 40""",
-    "trace_filter": "SELECT 1 AS id, 2 AS n_contexts",
     "quality_gate": """WITH j AS (SELECT d.*, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)),
         r AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(*) FILTER (n_chars <> length(text)) AS wrong_size, avg(quality) AS quality, count(*) FILTER (trim(text) = '') AS empty FROM j)
         SELECT 'unique_ids' AS check_id, n = ids AS passed, (n - ids)::DOUBLE AS value FROM r UNION ALL SELECT 'sizes', wrong_size = 0, wrong_size::DOUBLE FROM r
         UNION ALL SELECT 'quality', quality >= 0.75, round(quality, 6) FROM r UNION ALL SELECT 'no_empty', empty = 0, empty::DOUBLE FROM r""",
-    "ci_gate": f"SELECT * FROM {values_sql([(g[0], *g[10:]) for g in GATES], 'id, faithful_ok, recall_state, passed')}",
-    "promotion": f"SELECT * FROM {values_sql([(1, True), (2, False), (3, False), (4, False), (5, False), (6, True)], 'id, promoted')}",
-    "eval_set_checks": f"SELECT * FROM {values_sql([('q5', 'duplicate id'), ('p2', 'bad pair'), ('p3', 'bad pair')], 'key, problem')}",
     "request_checks": "SELECT doc_id, CASE WHEN length(trim(text)) < 1 THEN 'too short' ELSE 'too long' END AS violations FROM documents WHERE length(trim(text)) < 1 OR length(trim(text)) > 2000",
     "stream_counters": "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type",
     "stream_drift": f"WITH {DRIFT} SELECT label, vec_id, ratio, line FROM w",

@@ -8,37 +8,16 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import corpus as C, headings as H, records as O, retrieval as R
+from corpusloom.operators import headings as H, records as O, retrieval as R
 from corpusloom.plans.common import Query, long, read, spread, values_sql
 from corpusloom.plans.monitoring import streamed
 from corpusloom.plans.retrieval import ORACLES as RETRIEVAL_ORACLES, TOP, indexed, questions
-from corpusloom.plans.text import typed_rows
 from corpusloom.sources import records as S
 from corpusloom.streaming import processors as P
 
-QUESTIONS = [(1, "ما هي المادة ٥؟\nsecond", "ar", "ما هي المادة ٥؟"), (2, "سؤال about long latin", "ar", None), (3, "What is this?", "en", "What is this?"), (4, "What هذا", "en", None), (5, "漢字", "en", None), (6, "", "en", None)]
-RUNS = [(1, "exp", True, [], [], [], "exp"), (2, None, True, [], [], [], "baseline"), (3, None, True, ["k"], [], [], "workspace"), (4, None, False, [], [], [], "unknown")]
 TREE = [("root", "a", "Table"), ("a", "b", "TR"), ("a", "c", "TR"), ("c", "d", "TD"), ("d", "e", "P"), ("x", "y", "P")]
 PIECES = [(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 20.0, 2.0, 30.0, 11.0), (1, 3, 0.0, 20.0, 5.0, 30.0), (1, 4, 9.0, 28.0, 12.0, 38.0)]
 LINES = [(1, i, x) for i, x in enumerate(["intro", "CHAPTER one", "a", "b", "CHAPTER two", "c", "END", "junk"])]
-ARTICLES = [(1, "one", "(١) أ\n(٢) ب", False), (2, "x\nArticle 3\ny", "(١) أ\n(٣) ب", False), (3, "", "ب", False), (4, "", "", True), (5, "t", "نص", False)]
-
-
-def clean_questions(spark, d):
-    rows = spark.createDataFrame([q[:3] for q in QUESTIONS], "id int, question string, language string")
-    return rows.select("id", O.clean_question(F.col("question"), F.col("language")).alias("clean"))
-
-
-def run_identities(spark, d):
-    rows = spark.createDataFrame([r[:6] for r in RUNS], "id int, experiment string, git boolean, changed array<string>, added array<string>, removed array<string>")
-    return rows.select("id", O.run_identity(F.col("experiment"), F.col("git"), F.col("changed"), F.col("added"), F.col("removed")).alias("name"))
-
-
-def delivery_scope(spark, d):
-    sets = [(1, ["README.md", "docs/a.txt"]), (2, ["docs/metrics/x.json"]), (3, ["src/a.py", "README.md"])]
-    rows = spark.createDataFrame([(i, p) for i, ps in sets for p in ps], "id int, path string")
-    one = [O.needs_delivery(rows.where(F.col("id") == i)).withColumn("id", F.lit(i)) for i in (1, 2, 3, 4)]
-    return one[0].unionByName(one[1]).unionByName(one[2]).unionByName(one[3])
 
 
 def articles_of_texts(spark, d):
@@ -116,37 +95,11 @@ def heading_units(spark, d):
     return rows.select("id", cell.alias("c")).select("id", F.array_join(F.transform("c.pairs", lambda p: F.concat(name(p["en"]), F.lit("="), name(p["ar"]))), "|").alias("units"), "c.aligned")
 
 
-def nested_ranks(spark, d):
-    rows = spark.createDataFrame([(1, [3, 3, 2, 6]), (2, [1]), (3, [])], "id int, ranks array<int>")
-    return rows.select("id", F.array_join(C.nested_ranks(F.col("ranks")).cast("array<string>"), ",").alias("nested"))
-
-
-def heading_spans(spark, d):
-    articles, _ = C.assemble(C.classify(typed_rows(spark)))
-    out = O.heading_spans(articles.select("doc", F.array_join("heading_path", " > ").alias("path"), "article_number"))
-    return out.select("path", "first", "last", "n")
-
-
-def row_classes(spark, d):
-    return C.classify(typed_rows(spark)).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-def corpus_checks(spark, d):
-    rows = spark.createDataFrame(ARTICLES, "article_number int, text_en string, text_ar string, is_repealed boolean")
-    return O.corpus_checks(rows)
-
-
 def picked_articles(spark, d):
     rows = read(spark, d, "documents").select(F.col("doc_id").alias("article_number"), F.col("text").alias("text_ar"), F.col("source").alias("text_en"), (F.col("lang") == "de").alias("is_repealed"))
     return O.pick_articles(rows, exclude=read(spark, d, "labels").select(F.col("doc_id").alias("article_number")), n=15).select("article_number")
 
 
-def asked_articles(spark, d):
-    asked = spark.createDataFrame([("q1", "Article 4 and المادة ٣"), ("q2", "none")], "qid string, question string")
-    chunks = R.covered(spark.createDataFrame([("art-3-5", 0, 3, 5), ("art-9-p1", 0, 9, None)], "chunk_id string, part_index int, article int, range_end int"))
-    return O.asked_articles(asked, chunks).select("qid", "place", "chunk_id")
-
-
 def index_round_trip(spark, d):
     """The token index written as a table with its manifest, opened again under the guard, and searched."""
     place, manifest = f"{S.scratch_dir(spark)}/index-{uuid.uuid4().hex}", {"tokenizer": "words", "stopwords": "none", "k1": R.K1, "b": R.B}
@@ -161,27 +114,11 @@ def stream_rates(spark, d):
     return streamed(rows, P.rate_stream).select("event_type", "window_start", F.round("rate", 9).alias("rate"))
 
 
-def paragraph_markers(spark, d):
-    rows = spark.createDataFrame([(1, "(١) أ\n(٢) ب\nج (٣) د"), (2, "نص"), (3, ")١( أ")], "id int, text string")
-    return rows.select("id", F.array_join(T.paragraph_numbers(F.col("text")).cast("array<string>"), ",").alias("numbers"), F.size(T.split_paragraphs(F.col("text"))).cast("long").alias("n"))
-
-
-def opening_connectives(spark, d):
-    rows = spark.createDataFrame([(1, "(٢) ومع ذلك يجوز"), (2, "ويجوز"), (3, "يجوز"), (4, "(١) فإذا")], "id int, text string")
-    return rows.select("id", T.opening_connective(F.col("text")).alias("word"))
-
-
 def long_lines(spark, d):
     rows = spread(read(spark, d, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.length(x) > 400).alias("l")).where(F.size("l") > 0).select("doc_id", F.size("l").cast("long").alias("n"))
 
 
-def overlaid_metrics(spark, d):
-    rows = spark.createDataFrame([(1, {"a": 1, "b": 2}, {"b": 3, "c": 4}), (2, {}, {"x": 1}), (3, {"y": 1}, {})], "id int, l map<string,int>, r map<string,int>")
-    one = O.overlay(F.col("l"), F.col("r"))
-    return rows.select("id", F.array_join(F.array_sort(F.transform(F.map_entries(one), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("merged"))
-
-
 def kept_passages(spark, d):
     rows = read(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("p"), F.replace("text", F.lit(" the "), F.lit(" ")).alias("part"))
     return rows.select("doc_id", F.size(O.passages_within(F.col("p"), F.col("part"))).cast("long").alias("n"))
@@ -207,17 +144,14 @@ def highlighted_passages(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        clean_questions, run_identities, delivery_scope, articles_of_texts, common_first_words, header_shapes, corpus_digest, lowest_scores, rendered_contexts, filled_prompts, repeal_replies,
-        cut_sections, tag_tree, visual_lines, heading_units, nested_ranks, heading_spans, row_classes, corpus_checks, picked_articles, asked_articles, index_round_trip, stream_rates,
-        paragraph_markers, opening_connectives, long_lines, overlaid_metrics, kept_passages, over_length, bold_rows, highlighted_passages,
+        articles_of_texts, common_first_words, header_shapes, corpus_digest, lowest_scores, rendered_contexts, filled_prompts, repeal_replies,
+        cut_sections, tag_tree, visual_lines, heading_units, picked_articles, index_round_trip, stream_rates,
+        long_lines, kept_passages, over_length, bold_rows, highlighted_passages,
     )
 }
 
 AR_ID = "translate(doc_id::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩')"
 ORACLES: dict[str, str] = {
-    "clean_questions": f"SELECT id, clean FROM {values_sql([(q[0], q[3]) for q in QUESTIONS], 'id, clean')}",
-    "run_identities": f"SELECT id, name FROM {values_sql([(r[0], r[6]) for r in RUNS], 'id, name')}",
-    "delivery_scope": f"SELECT deliver, id FROM {values_sql([(False, 1), (True, 2), (True, 3), (True, 4)], 'deliver, id')}",
     "articles_of_texts": "SELECT md5(text) AS digest, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS articles FROM documents GROUP BY text HAVING count(*) > 1",
     "common_first_words": "SELECT string_split(text, ' ')[1] AS word, count(*)::BIGINT AS n, min(doc_id) AS first_seen FROM documents GROUP BY word ORDER BY n DESC, first_seen LIMIT 15",
     "header_shapes": "SELECT regexp_replace(regexp_extract(url, '^[^?#]*'), '[0-9٠-٩]+', 'N', 'g') AS shape, count(*)::BIGINT AS n FROM pages GROUP BY shape HAVING count(*) > 2",
@@ -238,18 +172,10 @@ ORACLES: dict[str, str] = {
     "tag_tree": "SELECT tag, n::BIGINT AS n, depth FROM " + values_sql([("Table", 1, 1), ("TR", 2, 2), ("TD", 1, 3), ("P", 1, 4)], "tag, n, depth"),
     "visual_lines": "SELECT cell, pos, line_no::BIGINT AS line_no, place::BIGINT AS place FROM " + values_sql([(1, 1, 1, 2), (1, 2, 1, 1), (1, 3, 2, 1), (1, 4, 3, 1)], "cell, pos, line_no, place"),
     "heading_units": f"SELECT * FROM {values_sql([(c[0], c[3], c[4]) for c in HEADING_CELLS], 'id, units, aligned')}",
-    "nested_ranks": f"SELECT * FROM {values_sql([(1, '3,4,5,6'), (2, '1'), (3, '')], 'id, nested')}",
-    "heading_spans": 'SELECT path, "first", "last", n::BIGINT AS n FROM ' + values_sql([("PART I General", 1, 1, 1), ("PART I General > 1. Scope", 2, 5, 4)], 'path, "first", "last", n'),
-    "row_classes": "SELECT kind, n::BIGINT AS n FROM " + values_sql([("heading", 2), ("article", 2), ("continuation", 1), ("repeal", 1), ("anomaly", 1)], "kind, n"),
-    "corpus_checks": "SELECT check_id, n::BIGINT AS n FROM " + values_sql([("markers", 1), ("header_inside", 1), ("empty", 1)], "check_id, n"),
     "picked_articles": """SELECT doc_id AS article_number FROM documents WHERE lang <> 'de' AND trim(text) <> '' AND trim(source) <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)
         ORDER BY md5('0:' || doc_id), doc_id LIMIT 15""",
-    "asked_articles": f"SELECT * FROM {values_sql([('q1', 0, 'art-3-5'), ('q1', 1, 'art-3-5')], 'qid, place, chunk_id')}",
     "index_round_trip": RETRIEVAL_ORACLES["bm25_topk"],
-    "paragraph_markers": "SELECT id, numbers, n::BIGINT AS n FROM " + values_sql([(1, "1,2", 2), (2, "", 1), (3, "1", 1)], "id, numbers, n"),
-    "opening_connectives": f"SELECT * FROM {values_sql([(1, 'ومع ذلك'), (2, 'ويجوز'), (3, ''), (4, 'فإذا')], 'id, word')}",
     "long_lines": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400))::BIGINT AS n FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400)) > 0",
-    "overlaid_metrics": f"SELECT * FROM {values_sql([(1, 'a=1,b=3,c=4'), (2, 'x=1'), (3, 'y=1')], 'id, merged')}",
     "kept_passages": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(replace(text, ' the ', ' '), x)))::BIGINT AS n FROM documents",
     "over_length": "WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM documents) SELECT * FROM t WHERE n_tokens > 512",
     "bold_rows": f"SELECT * FROM {values_sql([(1, True), (2, False), (3, None), (4, True)], 'id, bold')}",

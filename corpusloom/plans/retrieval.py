@@ -123,47 +123,12 @@ def hybrid_retrieve(spark, d):
     return out.select("qid", "id", long("final_rank"), F.round("rrf", 9).alias("rrf"), F.round("rerank", 6).alias("rerank"), F.round("bm25", 6).alias("bm25"), F.round("flat", 6).alias("flat"))
 
 
-LISTS = [("q1", 1, "a1"), ("q1", 2, "b"), ("q1", 3, "c"), ("q2", 1, "b")]
-CITES = [("a1", ["c", "d"]), ("b", []), ("c", ["e"]), ("d", ["f"])]
-EXPANDED = [("q1", 1, "a1", None), ("q1", 2, "c", "a1"), ("q1", 3, "d", "a1"), ("q1", 4, "b", None), ("q2", 1, "b", None)]
-
-
-def cite_expansion(spark, d):
-    lists = spark.createDataFrame(LISTS, "qid string, rank int, id string")
-    cites = spark.createDataFrame(CITES, "id string, cited array<string>")
-    return R.expand_citations(lists, cites, top_k=4).select("qid", "position", "id", "cited_by")
-
-
-def lookup_priority(spark, d):
-    lookup = spark.createDataFrame([("q1", 7, 1), ("q2", 9, 1)], "qid string, id int, rank int")
-    note = spark.createDataFrame([("q2", 5, 1)], "qid string, id int, rank int")
-    ranked = spark.createDataFrame([("q1", 3, 1), ("q1", 7, 2), ("q2", 4, 1), ("q2", 5, 2)], "qid string, id int, rank int")
-    return R.by_priority([lookup, note, ranked]).select("qid", "id", "priority", long("rank"))
-
-
-def range_lookup(spark, d):
-    chunks = spark.createDataFrame([("art-1-p1", 1, None), ("art-3-5", 3, 5)], "chunk_id string, article int, range_end int")
-    return R.covered(chunks).select("chunk_id", "number")
-
-
-def repealed_fallback(spark, d):
-    top = spark.createDataFrame([("q1", False, 0.1), ("q2", True, 0.1), ("q3", False, 0.9), ("q4", False, None), ("q5", False, 0.1)], "qid string, is_lookup boolean, rerank double")
-    rows = [("q1", 0, 5, 0.4), ("q1", 1, 9, 0.7), ("q1", 2, 11, 0.7), ("q2", 0, 5, 0.9), ("q3", 0, 5, 0.9), ("q4", 0, 5, 0.9), ("q5", 0, 5, 0.2)]
-    return R.repealed_fallback(top, spark.createDataFrame(rows, "qid string, idx int, first int, score double"), below=0.3, at_least=0.5)
-
-
 def context_articles(spark, d):
     rows = read(spark, d, "documents").select(F.col("lang").alias("qid"), F.col("doc_id").alias("rank"), F.col("n_chars").alias("article"), (F.col("doc_id") % 5).alias("part_index"), "text")
     out = R.context_articles(rows, max_sources=4)
     return out.select("qid", "article", long("place"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-def citation_check(spark, d):
-    rows = spark.createDataFrame([(1, [3, 9, 5], [5, 3]), (2, [], [1]), (3, [7], [])], "id int, cited array<int>, allowed array<int>")
-    out = R.split_citations(rows)
-    return out.select("id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("given", "hallucinated")])
-
-
 def recall_mrr(spark, d):
     scores = E.question_scores(E.first_ranks(expected(spark, d), bm25(spark, d)))
     return E.summary(scores)
@@ -212,15 +177,6 @@ def group_deltas(spark, d):
     return E.group_deltas(both, ("kind", "parity")).select("kind", "parity", long("set_id"), "questions", "base_hits", "run_hits")
 
 
-BASE_PARAMS = [("k", "60"), ("depth", "30"), ("old", "1"), ("stamp", "a")]
-RUN_PARAMS = [("k", "10"), ("depth", "30"), ("new", "2"), ("stamp", "b")]
-
-
-def params_diff(spark, d):
-    kind = "key string, value string"
-    return E.params_diff(spark.createDataFrame(BASE_PARAMS, kind), spark.createDataFrame(RUN_PARAMS, kind), derived=["stamp"])
-
-
 SPLIT = [("q001", None, "a", "english", "tuning"), ("q002", None, "a", "msa", "heldout"), ("q003", "p1", "b", "english", "tuning"), ("q004", "p1", "b", "msa", "tuning"), ("q005", None, "b", "msa", "heldout"), ("q006", None, "c", "english", "heldout")]
 
 
@@ -253,11 +209,6 @@ def loss_attribution(spark, d):
     return E.loss_attribution(rows.select(stage.alias("stage"), "score"))
 
 
-def expected_given(spark, d):
-    rows = spark.createDataFrame([(1, [1, 2], [2, 3], "any"), (2, [1, 2], [2, 3], "all"), (3, [1], [1, 2], "all"), (4, [], [1], "all")], "id int, e array<int>, g array<int>, m string")
-    return rows.select("id", E.expected_given(F.col("e"), F.col("g"), F.col("m")).alias("ok"))
-
-
 def shared_question_means(spark, d):
     rows = answered(spark, d)
     runs = rows.where("score IS NOT NULL").select(F.col("doc_id").alias("qid"), F.lit("a").alias("run"), "score").unionByName(
@@ -283,9 +234,8 @@ def distill_pairs(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        hybrid_retrieve, bm25_stats, bm25_weights, bm25_topk, dense_topk, rrf_fusion, rerank_head, cite_expansion, lookup_priority, range_lookup, repealed_fallback, context_articles, citation_check,
-        recall_mrr, recall_breakdown, top1_score_stats, pair_agreement, context_precision, run_fixed_broken, group_deltas, params_diff, balanced_split, stratified_subset, pick_first_per_group,
-        answer_means, loss_attribution, expected_given, shared_question_means, repeatability, distill_pairs,
+        hybrid_retrieve, bm25_stats, bm25_weights, bm25_topk, dense_topk, rrf_fusion, rerank_head, context_articles,         recall_mrr, recall_breakdown, top1_score_stats, pair_agreement, context_precision, run_fixed_broken, group_deltas, balanced_split, stratified_subset, pick_first_per_group,
+        answer_means, loss_attribution, shared_question_means, repeatability, distill_pairs,
     )
 }
 
@@ -337,14 +287,9 @@ ORACLES: dict[str, str] = {
     "dense_topk": f"WITH {DENSE} SELECT qid, id, round(score, 6) AS score, rank::BIGINT AS rank FROM dense WHERE rank <= {TOP}",
     "rrf_fusion": f"WITH {FUSED} SELECT qid, id, round(rrf, 9) AS rrf, rank::BIGINT AS rank FROM fused",
     "rerank_head": f"WITH {RERANKED} SELECT qid, id, round(rerank, 6) AS rerank, final_rank::BIGINT AS final_rank FROM reranked",
-    "cite_expansion": f"SELECT * FROM {values_sql(EXPANDED, 'qid, position, id, cited_by')}",
-    "lookup_priority": f"SELECT qid, id, priority, rank::BIGINT AS rank FROM {values_sql([('q1', 7, 0, 1), ('q1', 3, 2, 2), ('q2', 9, 0, 1), ('q2', 5, 1, 2), ('q2', 4, 2, 3)], 'qid, id, priority, rank')}",
-    "range_lookup": f"SELECT * FROM {values_sql([('art-1-p1', 1), ('art-3-5', 3), ('art-3-5', 4), ('art-3-5', 5)], 'chunk_id, number')}",
-    "repealed_fallback": "SELECT 'q1' AS qid, 9 AS first, 0.7::DOUBLE AS passage_score",
     "context_articles": """WITH r AS (SELECT lang AS qid, doc_id AS rank, n_chars AS article, doc_id % 5 AS part_index, text FROM documents),
         g AS (SELECT qid, article, min(rank) AS first_rank, string_agg(text, chr(10) ORDER BY part_index, text) AS text FROM r GROUP BY qid, article),
         p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_rank, article) AS place FROM g) SELECT qid, article, place::BIGINT AS place, md5(text) AS digest FROM p WHERE place <= 4""",
-    "citation_check": f"SELECT * FROM {values_sql([(1, '3,5', '9'), (2, '', ''), (3, '', '7')], 'id, given, hallucinated')}",
     "recall_mrr": f"""WITH {bm25_sql('one')}, {TRUTH}, f AS (SELECT t.qid, t.id, one.rank FROM truth t LEFT JOIN one ON t.qid = one.qid AND t.id = one.id),
         s AS (SELECT qid, {', '.join(f'coalesce(bool_or(rank <= {k}), false) AS hit_{k}' for k in E.KS)}, coalesce(1.0::DOUBLE / min(rank), 0) AS reciprocal FROM f GROUP BY qid)
         SELECT count(*)::BIGINT AS questions, {RECALLS}, round(avg(reciprocal), 6) AS mrr FROM s""",
@@ -359,7 +304,6 @@ ORACLES: dict[str, str] = {
     "run_fixed_broken": f"{BOTH} SELECT count(*)::BIGINT AS questions, count(*) FILTER (NOT was AND now)::BIGINT AS fixed, count(*) FILTER (was AND NOT now)::BIGINT AS broken, (count(*) FILTER (NOT was AND now) - count(*) FILTER (was AND NOT now))::BIGINT AS net FROM both_",
     "group_deltas": f"""{BOTH} SELECT kind, parity, grouping(kind, parity)::BIGINT AS set_id, count(*)::BIGINT AS questions, count(*) FILTER (was)::BIGINT AS base_hits, count(*) FILTER (now)::BIGINT AS run_hits
         FROM both_ GROUP BY GROUPING SETS ((kind), (parity)) HAVING count(*) FILTER (was) <> count(*) FILTER (now)""",
-    "params_diff": f"SELECT key, base, run, change FROM {values_sql([('k', '60', '10', 'changed'), ('old', '1', None, 'removed'), ('new', None, '2', 'added')], 'key, base, run, change')}",
     "balanced_split": f"SELECT qid, half FROM {values_sql([(x[0], x[4]) for x in SPLIT], 'qid, half')}",
     "stratified_subset": "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, lang, source, doc_id LIMIT 90",
     "pick_first_per_group": """WITH r AS (SELECT * FROM documents JOIN labels USING (doc_id)), g AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS place FROM r GROUP BY source)
@@ -367,7 +311,6 @@ ORACLES: dict[str, str] = {
     "answer_means": f"WITH {ANSWERED} SELECT lang, grouping(lang)::BIGINT AS set_id, count(*)::BIGINT AS n, round(avg(score), 4) AS mean_score, round(avg(toxic), 4) AS mean_toxic FROM a GROUP BY GROUPING SETS ((), (lang))",
     "loss_attribution": f"""WITH {ANSWERED}, s AS (SELECT CASE WHEN toxic = 1 OR score IS NULL THEN NULL WHEN doc_id % 4 = 0 THEN 'retrieval' WHEN n_chars < 600 THEN 'refusal' ELSE 'generator' END AS stage, score FROM a),
         l AS (SELECT stage, sum(1 - score) AS lost FROM s WHERE stage IS NOT NULL GROUP BY stage) SELECT stage, round(lost, 6) AS lost, round(lost / sum(lost) OVER (), 6) AS share FROM l""",
-    "expected_given": f"SELECT * FROM {values_sql([(1, True), (2, False), (3, True), (4, False)], 'id, ok')}",
     "shared_question_means": f"""WITH {ANSWERED}, r AS (SELECT doc_id AS qid, 'a' AS run, score FROM a WHERE score IS NOT NULL UNION ALL SELECT doc_id, 'b', coalesce(score, 0.5) FROM a WHERE toxic = 0),
         k AS (SELECT qid FROM r GROUP BY qid HAVING count(DISTINCT run) = 2) SELECT run, count(*)::BIGINT AS n, round(avg(score), 6) AS mean_score FROM r WHERE qid IN (SELECT qid FROM k) GROUP BY run""",
     "repeatability": "SELECT count(*)::BIGINT AS n, count(*) FILTER (doc_id % 10 <> 0)::BIGINT AS identical FROM documents",

@@ -5,38 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import glyphs, pii as P, text as T, text_udf as U
+from corpusloom.functions import glyphs, pii as P, text as T
 from corpusloom.operators import corpus as C, quality as Q
 from corpusloom.plans.common import Query, long, quoted, read, spread, values_sql
 
 TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 LUCENE = "[" + ", ".join(map(quoted, T.LUCENE_STOPWORDS)) + "]"
 
-STEMS = [("والعقد", "عقد"), ("فالعقد", "عقد"), ("بالعقد", "عقد"), ("العقد", "عقد"), ("وعقد", "عقد"), ("وقف", "وقف"), ("بيع", "بيع"), ("فرد", "فرد"), ("الي", "الي"), ("law", "law")]
-UNICODE = [(1, "ﻻ", "لا"), (2, "é", "é"), (3, "a​b", "ab"), (4, "كـــتاب", "كتاب"), (5, "  a \t b \n\n c ", "a b\nc"), (6, "ﷲ", "الله")]
-FOLDS = [(1, "أحمد إلى آخر", "احمد الي اخر"), (2, "مَادَّةٌ", "ماده"), (3, "المادة ١٤٧", "الماده 147"), (4, "۱۲", "12"), (5, "Plain", "Plain")]
-REFERENCES = [(1, "المادة ٢٢٢", [222]), (2, "Article 147 and art. 5", [147, 5]), (3, "Articles 221 and 222", []), (4, "7 percent in 1948", []), (5, "والمادة (٩) ثم Article 3 ثم المادة ٩", [9, 3]), (6, "particle 5", [])]
-CITED = [(1, "Articles 221 and 222 or Article 5", [221, 222, 5]), (2, "المادتين ٢٢١ ، ٢٢٢", [221, 222]), (3, "المواد من ١٠٤٠ إلى ١٠٤٢", [1040, 1042]), (4, "مواد من عنده", []), (5, "Article 3, Articles 466 to 468", [3, 466, 468])]
-LANGUAGES = [(1, "ما هي المادة Article 147", "ar"), (2, "What is Article 147", "en"), (3, "", "en"), (4, "عقد two three", "en"), (5, "١٢ ١٣", "en")]
-ROWS = [  # page, row_index, en, ar, en bold, ar bold, kind
-    (1, 0, "PART I\nGeneral", "القسم الأول", True, True, "heading"),
-    (1, 1, "Article 1\nFirst text", "مادة ١\nنص", False, False, "article"),
-    (1, 2, "1. Scope", "١- نطاق", None, True, "heading"),
-    (1, 3, "Article 2 Same line", "مادة ٢\n(١) أ", False, False, "article"),
-    (2, 0, "goes on", "يتبع", False, False, "continuation"),
-    (2, 1, "Articles 3 - 5 were repealed", "ألغيت", False, False, "repeal"),
-    (2, 2, "stray", "x", False, None, "anomaly"),
-]
-PATHS = [  # pos, rank, label, path
-    (1, 1, "P1", ["P1"]), (2, 2, "B1", ["P1", "B1"]), (3, 4, "S1", ["P1", "B1", "S1"]), (4, 3, "C1", ["P1", "B1", "C1"]), (5, 6, "x", ["P1", "B1", "C1", "x"]),
-    (6, 2, "B2", ["P1", "B2"]), (7, 5, "n", ["P1", "B2", "n"]), (8, 1, "P2", ["P2"]), (9, 6, "y", ["P2", "y"]),
-]
-CER = [(1, "kitten", "sitting"), (2, "flaw", "lawn"), (3, "same", "same"), (4, "", "abc")]
-PII = [
-    (1, "call +20 10 1234 5678 now", "call [phone] now"), (2, "id 29001011234567 ok", "id [national_id] ok"), (3, "id 29013011234567 no", "id 29013011234567 no"),
-    (4, "mail a.b@c.org", "mail [email]"), (5, "السيد محمد علي حسن حضر", "السيد [name] حضر"), (6, "nothing here", "nothing here"), (7, None, None),
-]
-
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(read(spark, d, "documents"))
@@ -52,23 +27,11 @@ def stopword_filtered_counts(spark, d):
     return docs(spark, d).select("doc_id", F.size(w).cast("long").alias("n_tokens"))
 
 
-def light_stem(spark, d):
-    return spark.createDataFrame([(w,) for w, _ in STEMS], "word string").select("word", T.light_stem(F.col("word")).alias("stem"))
-
-
 def normalize_lines(spark, d):
     clean = T.normalize_lines(F.col("text"))
     return docs(spark, d).select("doc_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean.cast("binary")).alias("digest"))
 
 
-def normalize_unicode(spark, d):
-    return spark.createDataFrame([x[:2] for x in UNICODE], "id long, text string").select("id", U.normalize_unicode("text").alias("clean"))
-
-
-def fold_arabic(spark, d):
-    return spark.createDataFrame([x[:2] for x in FOLDS], "id long, text string").select("id", T.fold(F.col("text")).alias("folded"))
-
-
 def split_paragraphs(spark, d):
     parts = T.split_paragraphs(F.col("text"), "[A-Z]")
     return docs(spark, d).select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.coalesce(F.array_max(F.transform("p", F.length)), F.lit(0)).cast("long").alias("longest"))
@@ -125,20 +88,6 @@ def citations(spark, d):
     return rows.select("doc_id", T.citation(F.col("doc_id")).alias("one"), T.range_citation(F.col("doc_id"), F.col("doc_id") + 3).alias("many"))
 
 
-def article_references(spark, d):
-    rows = spark.createDataFrame([x[:2] for x in REFERENCES], "id long, question string")
-    return rows.select("id", F.array_join(T.article_references(F.col("question")).cast("array<string>"), ",").alias("numbers"))
-
-
-def cited_articles(spark, d):
-    rows = spark.createDataFrame([x[:2] for x in CITED], "id long, text string")
-    return rows.select("id", F.array_join(T.cited_articles(U.fold_unicode("text")).cast("array<string>"), ",").alias("numbers"))
-
-
-def question_language(spark, d):
-    return spark.createDataFrame([x[:2] for x in LANGUAGES], "id long, question string").select("id", T.question_language(F.col("question")).alias("language"))
-
-
 def conversation_language(spark, d):
     return read(spark, d, "conversations").groupBy(T.question_language(F.col("text")).alias("language")).agg(F.count("*").alias("n"))
 
@@ -172,11 +121,6 @@ def id_mismatches(spark, d):
     return Q.id_mismatches(docs(spark, d), read(spark, d, "labels"), "doc_id")
 
 
-def cer_near_copies(spark, d):
-    rows = spark.createDataFrame(CER, "id long, got string, gold string")
-    return Q.character_error_rate(rows, "got", "gold").select("edits", "gold_chars", F.round("cer", 6).alias("cer"))
-
-
 def accepted_spans(spark, d):
     rows = docs(spark, d).select("doc_id", Q.accepted(F.col("text"), F.lit(" and "), F.lit(" & ")).alias("t"))
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"))
@@ -187,55 +131,11 @@ def pii_email(spark, d):
     return docs(spark, d).select("doc_id", F.md5(mail.cast("binary")).alias("digest"))
 
 
-def pii_redact(spark, d):
-    return spark.createDataFrame([x[:2] for x in PII], "id long, text string").select("id", P.redact(F.col("text")).alias("shown"))
-
-
 def pii_findings(spark, d):
     found = docs(spark, d).select(F.explode(P.find_pii(F.col("text"))).alias("f"))
     return found.groupBy("f.kind").agg(F.count("*").alias("n"))
 
 
-def typed_rows(spark) -> DataFrame:
-    kind = "doc int, page int, row_index int, en_text string, ar_text string, en_all_bold boolean, ar_all_bold boolean"
-    return spark.createDataFrame([(1, *r[:6]) for r in ROWS], kind)
-
-
-def classify_rows(spark, d):
-    return C.classify(typed_rows(spark)).select("page", "row_index", "kind")
-
-
-def heading_paths(spark, d):
-    rows = spark.createDataFrame([(1, *r[:3]) for r in PATHS], "doc int, pos int, rank int, label string")
-    return C.heading_paths(rows).select("pos", F.array_join("path", " > ").alias("path"))
-
-
-def assemble_articles(spark, d):
-    articles, _ = C.assemble(C.classify(typed_rows(spark)))
-    return articles.select("article_number", F.length("text_en").cast("long").alias("n_en"), F.array_join("heading_path", " > ").alias("path"), F.size("source_pages").cast("long").alias("pages"), "is_repealed")
-
-
-def assembly_anomalies(spark, d):
-    _, anomalies = C.assemble(C.classify(typed_rows(spark)))
-    return anomalies.select("page", "row_index", "anomaly")
-
-
-def repealed_ranges(spark, d):
-    articles, _ = C.assemble(C.classify(typed_rows(spark)))
-    return C.merge_repealed(articles).select("article_number", "range_end", "citation", "n")
-
-
-def repair_rows(spark, d):
-    fixed = C.repair(typed_rows(spark).where("en_text LIKE 'Article%'"))
-    return fixed.select("page", "row_index", "en_text", "ar_text", "header_split", long("markers_fixed"))
-
-
-def errata(spark, d):
-    edits = spark.createDataFrame([(1, 1, 1, "en", "First text", "Better text"), (2, 2, 0, "en", "absent", "x")], "n int, page int, row int, side string, expect string, replace string")
-    fixed, _ = C.apply_errata(typed_rows(spark), edits)
-    return fixed.where("row_index < 2").select("page", "row_index", "en_text")
-
-
 def reindex_append(spark, d):
     """Documents appended to what labels hold: ids of both are clashes and keep the old row."""
     old, new = read(spark, d, "labels").select("doc_id", F.lit("old").alias("side")), docs(spark, d).select("doc_id", F.lit("new").alias("side"))
@@ -255,24 +155,19 @@ def glyph_repair(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        fold_token_counts, stopword_filtered_counts, light_stem, normalize_lines, normalize_unicode, fold_arabic, split_paragraphs, pack_chunks, chunk_quality, chunk_rebuild_check,
-        semantic_breakpoints, consecutive_islands, document_text_variants, citations, article_references, cited_articles, question_language, conversation_language, answer_kind, passage_windows,
-        character_checks, iqr_outliers, missing_and_duplicate_ids, id_mismatches, cer_near_copies, accepted_spans, pii_email, pii_redact, pii_findings, classify_rows, heading_paths,
-        assemble_articles, assembly_anomalies, repealed_ranges, repair_rows, errata, reindex_append, glyph_repair,
+        fold_token_counts, stopword_filtered_counts, normalize_lines, split_paragraphs, pack_chunks, chunk_quality, chunk_rebuild_check,
+        semantic_breakpoints, consecutive_islands, document_text_variants, citations, conversation_language, answer_kind, passage_windows,
+        character_checks, iqr_outliers, missing_and_duplicate_ids, id_mismatches, accepted_spans, pii_email, pii_findings,         reindex_append, glyph_repair,
     )
 }
 
 SPACE_CLASS = "[\\t\\x0b\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 CLEAN = f"array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '{SPACE_CLASS}', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
-NUMBERS_LIST = lambda rows: values_sql([(i, ",".join(map(str, n))) for i, _, n in rows], "id, numbers")
 
 ORACLES: dict[str, str] = {
     "fold_token_counts": f"SELECT doc_id, len({TOKENS})::BIGINT AS n_tokens, len(list_distinct({TOKENS}))::BIGINT AS n_distinct FROM documents",
     "stopword_filtered_counts": f"SELECT doc_id, len(list_filter({TOKENS}, lambda x: NOT list_contains({LUCENE}, x)))::BIGINT AS n_tokens FROM documents",
-    "light_stem": f"SELECT * FROM {values_sql(STEMS, 'word, stem')}",
     "normalize_lines": f"SELECT doc_id, length({CLEAN})::BIGINT AS n_chars, md5({CLEAN}) AS digest FROM documents",
-    "normalize_unicode": f"SELECT id::BIGINT AS id, clean FROM {values_sql([(i, c) for i, _, c in UNICODE], 'id, clean')}",
-    "fold_arabic": f"SELECT id::BIGINT AS id, folded FROM {values_sql([(i, c) for i, _, c in FOLDS], 'id, folded')}",
     "split_paragraphs": """WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\\n([A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_replace(x, '\\s', '', 'g') <> '') AS p FROM documents)
         SELECT doc_id, len(p)::BIGINT AS n_paragraphs, coalesce(list_max(list_transform(p, lambda x: length(x))), 0)::BIGINT AS longest FROM p""",
     "pack_chunks": """WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS s FROM documents),
@@ -295,9 +190,6 @@ ORACLES: dict[str, str] = {
         md5(concat_ws(chr(10), lang || ' > ' || source, nullif(source, ''))) AS ar_only, md5(concat_ws(chr(10), nullif(source, ''), nullif(text, ''))) AS both_without_headings FROM documents""",
     "citations": """WITH a AS (SELECT doc_id, translate(doc_id::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS x, translate((doc_id + 3)::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS y FROM documents)
         SELECT doc_id, 'Article ' || doc_id || ' | المادة ' || x AS one, 'Articles ' || doc_id || '-' || (doc_id + 3) || ' | المواد من ' || x || ' إلى ' || y AS many FROM a""",
-    "article_references": f"SELECT id::BIGINT AS id, numbers FROM {NUMBERS_LIST(REFERENCES)}",
-    "cited_articles": f"SELECT id::BIGINT AS id, numbers FROM {NUMBERS_LIST(CITED)}",
-    "question_language": f"SELECT id::BIGINT AS id, language FROM {values_sql([(i, x) for i, _, x in LANGUAGES], 'id, language')}",
     "conversation_language": "SELECT CASE WHEN len(regexp_extract_all(text, '[ء-ي]')) > 0 THEN 'ar' ELSE 'en' END AS language, count(*)::BIGINT AS n FROM conversations GROUP BY ALL",
     "answer_kind": """SELECT CASE WHEN length(text) > 900 THEN 'gate' WHEN regexp_matches(regexp_extract(trim(text), '^(?s:(.*?))(?:[.!?؟]\\s|\\n|$)', 1), '(?i)do(es)? not (address|provide|directly address|specify)|not directly addressed')
         OR length(trim(text)) < 40 THEN 'refusal' ELSE 'answer' END AS kind, count(*)::BIGINT AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL""",
@@ -315,20 +207,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT num, 'duplicate' FROM r GROUP BY num HAVING count(*) > 1""",
     "id_mismatches": """WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels)
         SELECT doc_id, 'left' AS side FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT doc_id, 'right' FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)""",
-    "cer_near_copies": f"SELECT sum(levenshtein(got, gold))::BIGINT AS edits, sum(length(gold))::BIGINT AS gold_chars, round(sum(levenshtein(got, gold))::DOUBLE / sum(length(gold)), 6) AS cer FROM {values_sql(CER, 'id, got, gold')}",
     "accepted_spans": """WITH s AS (SELECT doc_id, text AS t FROM documents)
         SELECT doc_id, md5(CASE WHEN (length(t) - length(replace(t, ' and ', ''))) = 5 THEN replace(t, ' and ', ' & ') ELSE t END) AS digest FROM s""",
     "pii_email": "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+', '[email]', 'g')) AS digest FROM documents",
-    "pii_redact": f"SELECT id::BIGINT AS id, shown FROM {values_sql([(i, x) for i, _, x in PII], 'id, shown')}",
-    "classify_rows": f"SELECT page, row_index, kind FROM {values_sql([(r[0], r[1], r[6]) for r in ROWS], 'page, row_index, kind')}",
-    "heading_paths": f"SELECT pos, path FROM {values_sql([(r[0], ' > '.join(r[3])) for r in PATHS], 'pos, path')}",
-    "assemble_articles": "SELECT article_number, n_en::BIGINT AS n_en, path, pages::BIGINT AS pages, is_repealed FROM "
-    + values_sql([(1, 20, "PART I General", 1, False), (2, 27, "PART I General > 1. Scope", 2, False), *[(n, 28, "PART I General > 1. Scope", 1, True) for n in (3, 4, 5)]], "article_number, n_en, path, pages, is_repealed"),
-    "assembly_anomalies": "SELECT * FROM " + values_sql([(2, 2, "unclassified"), (1, 0, "untitled_heading")], "page, row_index, anomaly"),
-    "repealed_ranges": "SELECT article_number, range_end, citation, n::BIGINT AS n FROM " + values_sql([(1, None, None, 1), (2, None, None, 1), (3, 5, "Articles 3-5 | المواد من ٣ إلى ٥", 3)], "article_number, range_end, citation, n"),
-    "repair_rows": "SELECT page, row_index, en_text, ar_text, header_split, markers_fixed::BIGINT AS markers_fixed FROM "
-    + values_sql([(1, 1, "Article 1\nFirst text", "مادة ١\nنص", False, 0), (1, 3, "Article 2\nSame line", "مادة ٢\n(١) أ", True, 0), (2, 1, ROWS[5][2], ROWS[5][3], False, 0)], "page, row_index, en_text, ar_text, header_split, markers_fixed"),
-    "errata": "SELECT page, row_index, en_text FROM " + values_sql([(r[0], r[1], r[2].replace("First text", "Better text")) for r in ROWS if r[1] < 2], "page, row_index, en_text"),
     "reindex_append": """WITH n AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), j AS (SELECT doc_id, 'old' AS side FROM labels UNION ALL SELECT doc_id, 'new' FROM n)
         SELECT count(*)::BIGINT AS n_rows, sum(doc_id)::BIGINT AS id_sum, count(*) FILTER (side = 'new')::BIGINT AS n_new, (SELECT count(DISTINCT doc_id)::BIGINT FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS n_clashes FROM j""",
     "glyph_repair": "SELECT id::BIGINT AS id, text FROM " + values_sql([(1, "لا"), (2, "١٢"), (3, "ب ت")], "id, text"),
