@@ -58,13 +58,13 @@ def small_quantile(values: Column, q: float) -> Column:
 
 def number_gaps(rows: DataFrame, number: str, *, known: DataFrame | None = None) -> DataFrame:
     """(number, problem): missing from 1..max unless known, or present more than once."""
-    counts = rows.groupBy(number).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(F.col(number).cast("long").alias("v")).agg(F.count("*").alias("times"))
     top = rows.agg(F.max(number).alias("top")).head()["top"]
-    every = rows.sparkSession.range(1, (top or 0) + 1).withColumnRenamed("id", number)  # made in parts, as it is read
-    missing = every.join(counts, number, "left_anti")
+    missing = rows.sparkSession.range(1, int(top or 0) + 1).withColumnRenamed("id", "v").join(counts, "v", "left_anti")  # made in parts, as it is read
     if known is not None:
-        missing = missing.join(known, number, "left_anti")
-    return missing.select(F.col(number).cast("long").alias(number), F.lit("missing").alias("problem")).unionByName(counts.where("n > 1").select(F.col(number).cast("long").alias(number), F.lit("duplicate").alias("problem")))
+        missing = missing.join(known.select(F.col(number).cast("long").alias("v")), "v", "left_anti")
+    twice = counts.where("times > 1").select("v", F.lit("duplicate").alias("problem"))
+    return missing.select("v", F.lit("missing").alias("problem")).unionByName(twice).withColumnRenamed("v", number)
 
 
 def id_mismatches(left: DataFrame, right: DataFrame, id: str) -> DataFrame:

@@ -14,7 +14,7 @@ CJK = "[\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af]"
 ARABIC_BLOCK = "[\\u0600-\\u06ff]"
 MAX_LATIN_IN_ARABIC = 3
 DOCS_ONLY = r"^(?:[^/]+\.md|docs/(?!metrics/).+)$"
-AR_MONTHS = "يناير فبراير مارس أبريل مايو يونيو يوليو أغسطس سبتمبر أكتوبر نوفمبر ديسمبر".split()
+AR_MONTHS = ("يناير", "فبراير", "مارس", "أبريل", "مايو", "يونيو", "يوليو", "أغسطس", "سبتمبر", "أكتوبر", "نوفمبر", "ديسمبر")
 # ---- End of fixed values. ----
 
 
@@ -77,7 +77,8 @@ def set_digest(rows: DataFrame, id: str, digest: Column) -> DataFrame:
             total.update("".join(x for x in b.column("d").to_pylist() if x is not None).encode())
         yield pa.RecordBatch.from_pydict({"digest": [total.hexdigest()]})
 
-    return rows.select(F.col(id).alias("o"), digest.alias("d")).orderBy("o", "d").select("d").coalesce(1).mapInArrow(run, "digest string")
+    folded = rows.select(F.col(id).alias("o"), digest.alias("d")).orderBy("o", "d").select("d").coalesce(1).mapInArrow(run, "digest string")
+    return folded.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256().hexdigest())).alias("digest"))  # no task runs without rows
 
 
 def lowest(rows: DataFrame, score: str, id: str, n: int = 10) -> DataFrame:

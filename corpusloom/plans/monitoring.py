@@ -114,7 +114,8 @@ def request_checks(spark, d):
 
 
 def batch_redaction(spark, d):
-    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.length(P.redact(F.col("text"))).cast("long").alias("n_chars"))
+    shown = P.redact(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.length(shown).cast("long").alias("n_chars"), F.md5(shown.cast("binary")).alias("digest"))
 
 
 def streamed(rows: DataFrame, build, mode: str = "append") -> DataFrame:
@@ -168,6 +169,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+EMAIL = "[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)+"
 COUNTS = ", ".join(f"count(*) FILTER (value <= {b}) AS b{i}" for i, b in enumerate(BOUNDS))
 HISTOGRAM = "h AS (" + " UNION ALL ".join(
     [f"SELECT event_type, {b}::DOUBLE AS le, count(*) FILTER (value <= {b})::BIGINT AS n FROM events WHERE value IS NOT NULL GROUP BY event_type" for b in BOUNDS]
@@ -209,6 +211,9 @@ ORACLES: dict[str, str] = {
         SELECT 'unique_ids' AS check_id, n = ids AS passed, (n - ids)::DOUBLE AS value FROM r UNION ALL SELECT 'sizes', wrong_size = 0, wrong_size::DOUBLE FROM r
         UNION ALL SELECT 'quality', quality >= 0.75, round(quality, 6) FROM r UNION ALL SELECT 'no_empty', empty = 0, empty::DOUBLE FROM r""",
     "request_checks": "SELECT doc_id, CASE WHEN length(trim(text)) < 1 THEN 'too short' ELSE 'too long' END AS violations FROM documents WHERE length(trim(text)) < 1 OR length(trim(text)) > 2000",
+    # the tables hold addresses only, no phone numbers, ids or names; those are in pii_redact
+    "batch_redaction": f"WITH r AS (SELECT doc_id, regexp_replace(text, '{EMAIL}', '[email]', 'g') AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM r",
+    "stream_redact": f"SELECT conv_id AS key, md5(regexp_replace(string_agg(coalesce(text || ' ', ''), '' ORDER BY turn), '{EMAIL}', '[email]', 'g')) AS digest FROM conversations GROUP BY conv_id",
     "stream_counters": "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type",
     "stream_drift": f"WITH {DRIFT} SELECT label, vec_id, ratio, line FROM w",
 }

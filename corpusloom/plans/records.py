@@ -175,6 +175,8 @@ ORACLES: dict[str, str] = {
     "picked_articles": """SELECT doc_id AS article_number FROM documents WHERE lang <> 'de' AND trim(text) <> '' AND trim(source) <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)
         ORDER BY md5('0:' || doc_id), doc_id LIMIT 15""",
     "index_round_trip": RETRIEVAL_ORACLES["bm25_topk"],
+    "stream_rates": """WITH r AS (SELECT event_type, unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 4 MINUTE, time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE)) AS window_start FROM events)
+        SELECT event_type, window_start, round(count(*) / 300.0::DOUBLE, 9) AS rate FROM r WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 5 MINUTE GROUP BY event_type, window_start""",
     "long_lines": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400))::BIGINT AS n FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400)) > 0",
     "kept_passages": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(replace(text, ' the ', ' '), x)))::BIGINT AS n FROM documents",
     "over_length": "WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM documents) SELECT * FROM t WHERE n_tokens > 512",

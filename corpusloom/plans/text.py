@@ -209,6 +209,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, 'left' AS side FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT doc_id, 'right' FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)""",
     "accepted_spans": """WITH s AS (SELECT doc_id, text AS t FROM documents)
         SELECT doc_id, md5(CASE WHEN (length(t) - length(replace(t, ' and ', ''))) = 5 THEN replace(t, ' and ', ' & ') ELSE t END) AS digest FROM s""",
+    "pii_findings": "WITH f AS (SELECT len(regexp_extract_all(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)+')) AS n FROM documents) SELECT 'email' AS kind, sum(n)::BIGINT AS n FROM f HAVING sum(n) > 0",
     "pii_email": "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+', '[email]', 'g')) AS digest FROM documents",
     "reindex_append": """WITH n AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), j AS (SELECT doc_id, 'old' AS side FROM labels UNION ALL SELECT doc_id, 'new' FROM n)
         SELECT count(*)::BIGINT AS n_rows, sum(doc_id)::BIGINT AS id_sum, count(*) FILTER (side = 'new')::BIGINT AS n_new, (SELECT count(DISTINCT doc_id)::BIGINT FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS n_clashes FROM j""",
