@@ -281,7 +281,9 @@ def near_duplicates(
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = tables.write(named.join(least, "root").select("node", "component_id", "root"), "named")
     tables.drop(seen, named)
-    own = seen.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    # rows without a node have no match; however many they are, they are dealt over tasks
+    dealt = seen.select("doc_id", "text_hash", "n_shingles", "node", F.when(F.col("node").isNull(), F.spark_partition_id()).otherwise(0).alias("salt"))
+    own = dealt.join(named.withColumn("salt", F.lit(0)), ["node", "salt"], "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = own.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "root")
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")

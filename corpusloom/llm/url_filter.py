@@ -42,8 +42,9 @@ def judge_urls(
     The rule with the longest text (host and path together) wins; of equal lengths the one with the longer host.
     Of rules with one host and path ``block`` wins over ``allow``. Without a rule: rule null, verdict ``default``.
     Null URLs and those without ``://`` have an empty host and path, which no rule fits, as a rule's host is not
-    empty (rules with null or empty host are dropped; a null path counts as empty). Repeated rows are judged
-    alike; other columns stay, but those named like the four results (after ``prefix``) are replaced.
+    empty (rules with null or empty host are dropped; a null path counts as empty). URLs of any length are read whole,
+    repeated rows are judged alike, an empty table stays empty. Other columns stay, but those named like the four results
+    (after ``prefix``) are replaced.
     """
     names = [f"{prefix}{x}" for x in ("host", "path", "rule", "verdict")]
     kept = [c for c in pages.columns if c not in names]
@@ -119,7 +120,10 @@ def judge_urls(
         .agg(F.max_by("top", long).alias("top"))
         .select(F.col("__host").alias("b_host"), F.col("__path").alias("b_path"), F.concat("top.r_host", "top.r_path").alias("b_rule"), F.col("top.verdict").alias("b_verdict"))
     )
-    return pages.join(best, (F.col("__host") == F.col("b_host")) & (F.col("__path") == F.col("b_path")), "left").select(
+    # URLs without a host have no match; however many they are, they are dealt over tasks
+    dealt = pages.withColumn("__salt", F.when(F.col("__host") == "", F.spark_partition_id()).otherwise(0))
+    best = best.withColumn("b_salt", F.lit(0))
+    return dealt.join(best, (F.col("__host") == F.col("b_host")) & (F.col("__path") == F.col("b_path")) & (F.col("__salt") == F.col("b_salt")), "left").select(
         *kept,
         F.col("__host").alias(names[0]),
         F.col("__path").alias(names[1]),
