@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.vectors import norm
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Rows of (question, term) that are sent to all tasks, at most.
+BROADCAST_ROWS = 500_000
 
 
 def ranked(rows: DataFrame, *order: Column, k: int | None = None, by: str = "qid") -> DataFrame:
@@ -54,6 +56,10 @@ def corpus_stats(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"), F.max("dl").cast("long").alias("max_len"), F.count_if(F.col("dl") == 0).alias("n_empty"))
 
 
+def idf() -> Column:
+    return F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
 def bm25_weights(posted: DataFrame, stats: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
     """(term, id, weight): idf * tf / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
@@ -61,22 +67,26 @@ def bm25_weights(posted: DataFrame, stats: DataFrame, *, k1: float = K1, b: floa
     split by the optimiser, one side being a row a term.
     """
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
     # stats is one row
-    return posted.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", (idf * part).alias("weight"))
+    return posted.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", (idf() * part).alias("weight"))
 
 
-def bm25_search(questions: DataFrame, index: DataFrame, *, k: int, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_search(questions: DataFrame, index: DataFrame, *, k: int, k1: float = K1, b: float = B, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(qid, id, score, rank) of (qid, words) over a token index: the k best of each question.
 
     A repeated question term adds again; documents without a question term are no result, nor are zero scores.
-    Postings are cut to question terms as they leave their documents, so only those are counted and shuffled.
+    Question terms and their document counts go to the documents, if they are few by count: then a document's postings are
+    summed where they are, before any shuffle. Of more question terms, postings and terms meet by term.
     """
     asked = questions.select("qid", F.explode("words").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    used = postings(index).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = bm25_weights(used, corpus_stats(index), k1=k1, b=b).join(asked, "term")
-    scored = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * F.col("times")), 9).alias("score")).where("score > 0")
+    ship = F.broadcast if asked.count() <= broadcast_rows else lambda df: df  # a bounded number of rows
+    posted = postings(index)
+    df = posted.join(ship(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # stats is one row
+    terms = asked.join(df, "term").crossJoin(F.broadcast(corpus_stats(index))).select("term", "qid", (F.col("times") * idf()).alias("w"), "avg_len")
+    part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
+    scored = posted.join(ship(terms), "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * part), 9).alias("score")).where("score > 0")
     return ranked(scored, F.desc("score"), F.asc("id"), k=k)
 
 

@@ -107,10 +107,9 @@ def rrf_fusion(spark, d):
 
 
 def reranked(spark, d) -> DataFrame:
-    asked = questions(spark, d)
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = fused(spark, d).where(F.col("rank") <= TOP).join(docs, "id").join(asked, "qid").withColumn("tokens", T.tokens(F.col("text")))  # of candidates only
-    return R.rerank(rows, R.scorer_named("token_overlap"), question="words", text="tokens", depth=HEAD).drop("text", "tokens", "words")
+    terms = indexed(spark, d).select("id", F.col("terms.term").alias("terms"))  # tokenised before
+    rows = fused(spark, d).where(F.col("rank") <= TOP).join(terms, "id").join(questions(spark, d), "qid")
+    return R.rerank(rows, R.scorer_named("token_overlap"), question="words", text="terms", depth=HEAD).drop("terms", "words")
 
 
 def rerank_head(spark, d):
