@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import minhash, mixing, quality_rules, sentencepiece_tok, toxicity
-from corpusloom.llm.common import fold, table
+from corpusloom.llm.common import Tables, fold, table
 from corpusloom.llm.queries import TOKENIZERS, read
 
 #: Documents of at least this noisy-or score go.
@@ -112,7 +112,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, tables = read(spark, sf_dir, "documents"), Tables(spark)
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name)
+        docs = tables.write(stage(spark, docs, sf_dir), name)
+        tables.drop(docs)  # what the stage read is needed no more
     return STAGES[-1][1](spark, docs, sf_dir)
