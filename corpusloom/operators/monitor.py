@@ -59,15 +59,24 @@ def drift_baseline(vectors: DataFrame, vector: str) -> DataFrame:
     return near.groupBy("centroid").agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.stddev_samp("c").alias("std")).where("n >= 2")
 
 
-def drift_windows(vectors: DataFrame, baseline: DataFrame, *, vector: str, order: str, by: list[str], last: int = 20) -> DataFrame:
-    """Adds ratio (mean cosine of the last rows over the baseline's) and line (1 - 3 std / (mean sqrt(n)), n the rows so far)."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - last, 0)
+def drift_windows(vectors: DataFrame, baseline: DataFrame, *, vector: str, order: str, by: list[str], last: int = 20, range_size: int = 65_536) -> DataFrame:
+    """Adds ratio (mean cosine of the last rows over the baseline's) and line (1 - 3 std / (mean sqrt(n)), n the rows so far).
+
+    ``order`` is a number. A group's rows are dealt to ranges of it, each of which also has the last rows before it, so that
+    no group is one window; only those last rows, a fixed number a range, meet in a window by group.
+    """
     # the baseline is one row
     rows = vectors.crossJoin(F.broadcast(baseline.select("centroid", F.col("mean").alias("b_mean"), F.col("std").alias("b_std"))))
-    rows = rows.withColumn("c", cosine(F.col(vector), F.col("centroid")))
-    return rows.select(
-        *by, order, F.round(F.avg("c").over(w) / F.col("b_mean"), 6).alias("ratio"), F.round(1 - 3 * F.col("b_std") / (F.col("b_mean") * F.sqrt(F.count("*").over(w))), 6).alias("line")
-    )
+    rows = rows.select(*by, F.col(order).alias("o"), F.floor(F.col(order) / range_size).alias("range"), cosine(F.col(vector), F.col("centroid")).alias("c"), "b_mean", "b_std")
+    newest = Window.partitionBy(*by, "range").orderBy(F.desc("o"))
+    tails = rows.withColumn("n", F.row_number().over(newest)).where(F.col("n") < last).groupBy(*by, "range").agg(F.collect_list(F.struct("o", "c")).alias("tail"), F.first("b_mean").alias("b_mean"), F.first("b_std").alias("b_std"))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(1 - last, -1)  # a range has a row at least
+    carried = tails.withColumn("all", F.sort_array(F.flatten(F.collect_list("tail").over(before)), asc=False))
+    carried = carried.select(*by, "range", F.explode(F.slice("all", 1, last - 1)).alias("x"), "b_mean", "b_std").select(*by, F.col("x.o").alias("o"), "range", F.col("x.c").alias("c"), "b_mean", "b_std", F.lit(False).alias("real"))
+    w = Window.partitionBy(*by, "range").orderBy("o").rowsBetween(1 - last, 0)
+    out = rows.withColumn("real", F.lit(True)).unionByName(carried)
+    ratio, line = F.avg("c").over(w) / F.col("b_mean"), 1 - 3 * F.col("b_std") / (F.col("b_mean") * F.sqrt(F.count("*").over(w)))
+    return out.select(*by, F.col("o").alias(order), F.round(ratio, 6).alias("ratio"), F.round(line, 6).alias("line"), "real").where("real").drop("real")
 
 
 def breaches(rows: DataFrame, ts: str, by: list[str], broken: Column, *, seconds: int) -> DataFrame:

@@ -87,3 +87,23 @@ def test_the_index_follows_its_files(spark, tmp_path):
     assert [tuple(t) for t in first.head()["terms"]] == [("a", 2), ("b", 1)] and plans.indexed(spark, str(tmp_path)).inputFiles() == first.inputFiles()
     write([(1, "c")])
     assert [tuple(t) for t in plans.indexed(spark, str(tmp_path)).head()["terms"]] == [("c", 1)]
+
+
+def test_drift_windows_over_ranges(spark):
+    from corpusloom.operators import monitor as M
+
+    rng = np.random.default_rng(2)
+    at = {g: sorted(rng.choice(400, 60 if g else 5, replace=False).tolist()) for g in range(3)}
+    rows = [(g, o, rng.normal(size=4).tolist()) for g, places in at.items() for o in places]
+    df = spark.createDataFrame(rows, "g int, o long, v array<double>")
+    base = M.drift_baseline(df, "v")
+    b = base.head()
+    cosine = lambda v: float(np.dot(v, b["centroid"]) / np.linalg.norm(v) / np.linalg.norm(b["centroid"]))
+    for size in (1, 7, 50, 10_000):
+        got = {(r["g"], r["o"]): (r["ratio"], r["line"]) for r in M.drift_windows(df, base, vector="v", order="o", by=["g"], last=8, range_size=size).collect()}
+        assert len(got) == len(rows)
+        for g in at:
+            c = [cosine(v) for h, _, v in rows if h == g]
+            for i, o in enumerate(at[g]):
+                part = c[max(0, i - 7) : i + 1]
+                assert np.allclose(got[g, o], (np.mean(part) / b["mean"], 1 - 3 * b["std"] / (b["mean"] * len(part) ** 0.5)), atol=2e-6)
