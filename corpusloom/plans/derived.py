@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -342,18 +344,50 @@ def delivery_scope(spark, d):
     return O.needs_delivery(rows.where("path LIKE 'docs/%'")).select("deliver", F.lit("docs").alias("side")).unionByName(O.needs_delivery(rows).select("deliver", F.lit("all").alias("side")))
 
 
+def repeal_replies(spark, d):
+    """Each document as a repealed range: its language, source and size give the reply's parts."""
+    day = F.when(F.col("n_chars") % 3 > 0, F.date_add(F.lit("1950-01-01").cast("date"), F.col("n_chars").cast("int")))
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, "ar").otherwise("en").alias("language"), F.coalesce("source", F.lit("none")).alias("subject"), F.col("doc_id").alias("first"), (F.col("doc_id") + 4).alias("last"), day.alias("day"), F.when(F.col("n_chars") % 5 > 0, F.concat(F.lit("by Law "), number("n_chars"))).alias("law"))
+    return rows.select("doc_id", O.repeal_reply(*[F.col(c) for c in ("language", "subject", "first", "last", "day", "law")]).alias("reply"))
+
+
+def tag_tree(spark, d):
+    """Regions, their nations and these nations' suppliers as a tree."""
+    name = lambda kind, key: F.concat(F.lit(kind), number(key))
+    edges = read(spark, d, "region").select(F.lit("root").alias("parent"), name("r", "r_regionkey").alias("child"), F.lit("region").alias("tag"))
+    edges = edges.unionByName(read(spark, d, "nation").select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"), F.lit("nation").alias("tag")))
+    edges = edges.unionByName(read(spark, d, "supplier").select(name("n", "s_nationkey").alias("parent"), name("s", "s_suppkey").alias("child"), F.lit("supplier").alias("tag")))
+    view = f"tags_{uuid.uuid4().hex}"
+    edges.createOrReplaceTempView(view)
+    return O.tag_counts(spark, view, "root")
+
+
+def visual_lines(spark, d):
+    """Events of a user as pieces of a cell; their values move them up and down."""
+    y, x = F.coalesce("value", F.lit(0.0)) % 12, F.col("event_id") % 50 * 1.0
+    rows = read(spark, d, "events").select(F.col("user_id").alias("cell"), F.col("event_id").alias("pos"), x.alias("x0"), y.alias("y0"), (x + 5.0).alias("x1"), (y + 10.0).alias("y1"))
+    return O.visual_lines(rows, rtl=True).select("cell", "pos", long("line_no"), long("place"))
+
+
+def bold_rows(spark, d):
+    """Lines of a document as spans: by their places bold by font, by flag, or not."""
+    span = lambda x, i: F.struct(x.alias("text"), F.when((i + F.col("doc_id")) % 4 == 0, "Arial").otherwise("Arial-Bold").alias("font"), F.when((i + F.col("n_chars")) % 3 == 0, 16).otherwise(4).alias("flags"))
+    return docs(spark, d).select("doc_id", O.all_bold(F.transform(F.split("text", "\n", -1), span)).alias("bold"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         classify_rows, row_classes, assemble_articles, assembly_anomalies, repealed_ranges, heading_spans, repair_rows, errata, heading_paths, nested_ranks, waiting_headings, corpus_checks, paragraph_markers,
         opening_connectives, light_stem, normalize_unicode, fold_arabic, article_references, cited_articles, question_language, clean_questions, cer_near_copies, pii_redact, glyph_defects, highlighted_lines,
         lookup_priority, cite_expansion, range_lookup, asked_articles, repealed_fallback, citation_check, batch_predictions, expected_given, params_diff, promotion, ci_gate, eval_set_checks, trace_filter, span_rollup,
-        report_table, profile, overlaid_metrics, run_identities, delivery_scope,
+        report_table, profile, overlaid_metrics, run_identities, delivery_scope, repeal_replies, tag_tree, visual_lines, bold_rows,
     )
 }
 
 WORDS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 LINES_SQL = "string_split(text, chr(10))"
+MONTHS = "[" + ", ".join(f"'{m}'" for m in O.AR_MONTHS) + "]"
 LETTERS = "unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i"
 
 ORACLES: dict[str, str] = {
@@ -435,5 +469,16 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'n_empty', 0, e FROM f UNION ALL SELECT 'n_pages', 3, NULL) SELECT gate, expected, actual, coalesce(expected = actual, false) AS passed FROM g""",
     "overlaid_metrics": "SELECT doc_id, 'a=' || (doc_id % 3) || ',b=' || n_chars || ',c=' || doc_id AS merged FROM documents",
     "run_identities": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND source IS NOT NULL THEN source WHEN doc_id % 4 = 0 THEN 'unknown' WHEN doc_id % 3 = 0 THEN 'workspace' ELSE 'baseline' END AS name FROM documents",
+    "repeal_replies": f"""WITH r AS (SELECT doc_id, coalesce(source, 'none') AS s, CASE WHEN n_chars % 3 > 0 THEN DATE '1950-01-01' + n_chars::INT END AS d, CASE WHEN n_chars % 5 > 0 THEN 'by Law ' || n_chars END AS l FROM documents),
+        p AS (SELECT *, coalesce(' as of ' || strftime(d, '%-d %B %Y'), '') AS en_day, coalesce(' ' || l, '') AS law, coalesce(' اعتبارًا من ' || {AR.format('day(d)')} || ' ' || {MONTHS}[month(d)] || ' ' || {AR.format('year(d)')}, '') AS ar_day FROM r)
+        SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'كانت أحكام ' || s || ' في القانون المدني واردة في المواد من ' || {AR.format('doc_id')} || ' إلى ' || {AR.format('(doc_id + 4)')} || '، وقد ألغيت' || ar_day || law || '. ولا يتضمن القانون المدني الحالي من هذه المواد إلا ما يفيد إلغاءها.'
+            ELSE 'The Civil Code''s provisions on ' || s || ' were in Articles ' || doc_id || '-' || (doc_id + 4) || '. They were repealed' || en_day || law || '. The current Code keeps only a note that these articles are repealed.' END AS reply FROM p""",
+    "tag_tree": """SELECT 'region' AS tag, count(*)::BIGINT AS n, 1 AS depth FROM region UNION ALL SELECT 'nation', count(*), 2 FROM nation JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT 'supplier', count(*), 3 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "visual_lines": """WITH p AS (SELECT user_id AS cell, event_id AS pos, (event_id % 50)::DOUBLE AS x0, coalesce(value, 0) % 12 AS y0 FROM events),
+        n AS (SELECT *, CASE WHEN greatest(10 - abs(y0 - lag(y0) OVER w), 0) / 10 >= 0.5 THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY cell ORDER BY pos)), l AS (SELECT *, sum(new) OVER (PARTITION BY cell ORDER BY pos) AS line_no FROM n)
+        SELECT cell, pos, line_no::BIGINT AS line_no, (row_number() OVER (PARTITION BY cell, line_no ORDER BY x0 DESC, pos))::BIGINT AS place FROM l""",
+    "bold_rows": f"""WITH l AS (SELECT doc_id, n_chars, unnest({LINES_SQL}) AS x, generate_subscripts({LINES_SQL}, 1) - 1 AS i FROM documents)
+        SELECT doc_id, bool_and((i + doc_id) % 4 <> 0 OR (i + n_chars) % 3 = 0) FILTER (trim(x) <> '') AS bold FROM l GROUP BY doc_id""",
     "delivery_scope": "SELECT count(*) FILTER (page_id % 3 = 0) = 0 AS deliver, 'docs' AS side FROM pages UNION ALL SELECT count(*) = 0 OR count(*) FILTER (page_id % 3 <> 0) > 0, 'all' FROM pages",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -15,8 +14,6 @@ from corpusloom.plans.retrieval import ORACLES as RETRIEVAL_ORACLES, TOP, indexe
 from corpusloom.sources import records as S
 from corpusloom.streaming import processors as P
 
-TREE = [("root", "a", "Table"), ("a", "b", "TR"), ("a", "c", "TR"), ("c", "d", "TD"), ("d", "e", "P"), ("x", "y", "P")]
-PIECES = [(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 20.0, 2.0, 30.0, 11.0), (1, 3, 0.0, 20.0, 5.0, 30.0), (1, 4, 9.0, 28.0, 12.0, 38.0)]
 LINES = [(1, i, x) for i, x in enumerate(["intro", "CHAPTER one", "a", "b", "CHAPTER two", "c", "END", "junk"])]
 
 
@@ -56,27 +53,11 @@ def filled_prompts(spark, d):
     return rows.select("item_id", O.fill_template(F.col("t"), {"question": F.col("q"), "language": F.lit("English")}).alias("prompt"))
 
 
-def repeal_replies(spark, d):
-    rows = spark.createDataFrame([(1, "en", "waqf", 3, 5, date(1950, 2, 9), "by Law 1"), (2, "en", "waqf", 3, 5, None, None), (3, "ar", "الوقف", 3, 15, date(1950, 2, 9), "بالقانون")], "id int, language string, subject string, first int, last int, day date, law string")
-    return rows.select("id", O.repeal_reply(*[F.col(c) for c in ("language", "subject", "first", "last", "day", "law")]).alias("reply"))
-
-
 def cut_sections(spark, d):
     rows = spark.createDataFrame(LINES, "doc long, line_no int, line string")
     return O.cut_sections(rows, [("one", "^CHAPTER one"), ("two", "^CHAPTER"), (None, "^END")])
 
 
-def tag_tree(spark, d):
-    view = f"tags_{uuid.uuid4().hex}"
-    spark.createDataFrame(TREE, "parent string, child string, tag string").createOrReplaceTempView(view)
-    return O.tag_counts(spark, view, "root")
-
-
-def visual_lines(spark, d):
-    rows = spark.createDataFrame(PIECES, "cell int, pos int, x0 double, y0 double, x1 double, y1 double")
-    return O.visual_lines(rows, rtl=True).select("cell", "pos", long("line_no"), long("place"))
-
-
 HEADING_CELLS = [
     (1, "PART I\nGeneral\n1. Scope", "القسم الأول\nعام\n١- نطاق", "PART I General=القسم الأول عام|1. Scope=١- نطاق", True),
     (2, "Only", "", "Only=-", True),
@@ -130,12 +111,6 @@ def over_length(spark, d):
     return O.over_limit(rows, n, 512).select("doc_id", n.cast("long").alias("n_tokens"))
 
 
-def bold_rows(spark, d):
-    spans = [(1, [("x", "Arial-Bold", 0), (" ", "Arial", 0)]), (2, [("x", "Arial", 16), ("y", "Arial", 4)]), (3, [(" ", "Arial", 0)]), (4, [("x", "Arial", 20)])]
-    rows = spark.createDataFrame(spans, "id int, spans array<struct<text:string,font:string,flags:int>>")
-    return rows.select("id", O.all_bold(F.col("spans")).alias("bold"))
-
-
 def highlighted_passages(spark, d):
     rows = spark.createDataFrame([(1, ["a one", "b two", "c", "d one"], ["one", "two", "one", "zzz"]), (2, ["x"], []), (3, [], ["q"])], "id int, lines array<string>, fragments array<string>")
     return O.highlighted_passages(rows).select("id", F.array_join("passages", "|").alias("passages"), F.array_join("leftover", "|").alias("leftover"))
@@ -144,9 +119,8 @@ def highlighted_passages(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        articles_of_texts, common_first_words, header_shapes, corpus_digest, lowest_scores, rendered_contexts, filled_prompts, repeal_replies,
-        cut_sections, tag_tree, visual_lines, heading_units, picked_articles, index_round_trip, stream_rates,
-        long_lines, kept_passages, over_length, bold_rows, highlighted_passages,
+        articles_of_texts, common_first_words, header_shapes, corpus_digest, lowest_scores, rendered_contexts, filled_prompts,         cut_sections, heading_units, picked_articles, index_round_trip, stream_rates,
+        long_lines, kept_passages, over_length, highlighted_passages,
     )
 }
 
@@ -159,18 +133,7 @@ ORACLES: dict[str, str] = {
     "lowest_scores": "SELECT event_id, round(value, 6) AS value FROM events WHERE value IS NOT NULL ORDER BY round(value, 6), event_id LIMIT 10",
     "rendered_contexts": f"SELECT doc_id, md5('## Article ' || doc_id || ' | المادة ' || {AR_ID} || chr(10) || chr(10) || lang || chr(10) || chr(10) || text) AS digest FROM documents",
     "filled_prompts": "SELECT item_id, 'Question: ' || text || ' in English' AS prompt FROM benchmark",
-    "repeal_replies": "SELECT * FROM "
-    + values_sql(
-        [
-            (1, "The Civil Code's provisions on waqf were in Articles 3-5. They were repealed as of 9 February 1950 by Law 1. The current Code keeps only a note that these articles are repealed."),
-            (2, "The Civil Code's provisions on waqf were in Articles 3-5. They were repealed. The current Code keeps only a note that these articles are repealed."),
-            (3, "كانت أحكام الوقف في القانون المدني واردة في المواد من ٣ إلى ١٥، وقد ألغيت اعتبارًا من ٩ فبراير ١٩٥٠ بالقانون. ولا يتضمن القانون المدني الحالي من هذه المواد إلا ما يفيد إلغاءها."),
-        ],
-        "id, reply",
-    ),
     "cut_sections": "SELECT doc::BIGINT AS doc, section, text FROM " + values_sql([(1, "one", "a\nb"), (1, "two", "c")], "doc, section, text"),
-    "tag_tree": "SELECT tag, n::BIGINT AS n, depth FROM " + values_sql([("Table", 1, 1), ("TR", 2, 2), ("TD", 1, 3), ("P", 1, 4)], "tag, n, depth"),
-    "visual_lines": "SELECT cell, pos, line_no::BIGINT AS line_no, place::BIGINT AS place FROM " + values_sql([(1, 1, 1, 2), (1, 2, 1, 1), (1, 3, 2, 1), (1, 4, 3, 1)], "cell, pos, line_no, place"),
     "heading_units": f"SELECT * FROM {values_sql([(c[0], c[3], c[4]) for c in HEADING_CELLS], 'id, units, aligned')}",
     "picked_articles": """SELECT doc_id AS article_number FROM documents WHERE lang <> 'de' AND trim(text) <> '' AND trim(source) <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)
         ORDER BY md5('0:' || doc_id), doc_id LIMIT 15""",
@@ -180,6 +143,5 @@ ORACLES: dict[str, str] = {
     "long_lines": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400))::BIGINT AS n FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400)) > 0",
     "kept_passages": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(replace(text, ' the ', ' '), x)))::BIGINT AS n FROM documents",
     "over_length": "WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM documents) SELECT * FROM t WHERE n_tokens > 512",
-    "bold_rows": f"SELECT * FROM {values_sql([(1, True), (2, False), (3, None), (4, True)], 'id, bold')}",
     "highlighted_passages": "SELECT * FROM " + values_sql([(1, "one\ntwo|one", "zzz"), (2, "", ""), (3, "", "q")], "id, passages, leftover"),
 }
