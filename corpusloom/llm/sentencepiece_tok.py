@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import added, slices, with_text
-from corpusloom.llm.wordtable import resident
+from corpusloom.llm.wordtable import give_back, resident
 
 META = "▁"
 UNIGRAM, BPE = 1, 2
@@ -224,7 +224,7 @@ def codec_for(data: bytes, threads: int) -> Codec:
 
 FIELDS = (("token_ids", "array<int>"), ("n_tokens", "int"), ("n_byte_tokens", "int"), ("round_trip", "boolean"), ("parity", "boolean"))
 #: Characters of texts that are worked on together, but for single longer texts.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 250_000
 #: Characters from which a text may be cut, at a single space between two characters that are neither space nor marker.
 LONG_CHARS = 1_000_000
 LONE_SPACE = re.compile(f"[^ {META}] (?=[^ {META}])")
@@ -286,6 +286,7 @@ def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", thread
                 ]
                 here = b.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*[here.column(c) for c in kept], *arrays], [*kept, *names])
+        give_back()  # encodings are made and dropped by several threads, each with memory of its own
 
     return with_text(docs, kept, text).mapInArrow(run, schema)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -61,10 +64,18 @@ class WordTable(dict):
 _RESIDENT: dict = {}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers of several tasks share an executor's limit."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def resident(key, make: Callable):
     """What a worker keeps of one model from task to task; it keeps one model at a time, whatever operator it is of."""
     if key not in _RESIDENT:
         _RESIDENT.clear()
+        give_back()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
