@@ -26,6 +26,8 @@ from corpusloom.llm.wordtable import give_back, resident
 META = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Words whose pieces are merged together.
+WORDS = 16
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -123,7 +125,9 @@ def plain(m: Model) -> bool:
 def build(m: Model):
     """The tokenizers pipeline of a model; control pieces in a text are ordinary text, as in sentencepiece.
 
-    A plain model's texts come with their markers written (see Codec), others are normalised here.
+    A plain model's texts come with their markers written (see Codec), others are normalised here. A separable
+    model's texts are worked on a word at a time, or WORDS where pieces are merged: a cut costs more than the library's
+    store of words saves, and uncut long texts make long queues of merges.
     """
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
@@ -150,7 +154,8 @@ def build(m: Model):
     if steps and not plain(m):
         t.normalizer = normalizers.Sequence(steps)
     if separable(m):
-        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{META}*[^{META}]+|{META}+"), "isolated")
+        most = WORDS if m.kind == BPE else 1
+        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"(?:{META}*+[^{META}]++){{1,{most}}}|{META}+"), "isolated")
     back = [decoders.Replace(META, " ")] if m.escape_whitespaces else []
     back += [decoders.ByteFallback()] if m.byte_fallback else []
     back.append(decoders.Fuse())
@@ -172,6 +177,7 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([k == BYTE for _, _, k in m.pieces])
         self.spelled = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(META, " ").encode() for p, _, k in m.pieces]
+        self.spellings = pa.array(self.spelled, pa.large_binary())
         self.plain = plain(m)
         #: A text may be cut at a single space: the dummy prefix stands for it.
         self.cuts = separable(m) and self.plain
@@ -204,6 +210,21 @@ class Codec:
             begin = cut.end()
         return [*found, text[begin:]]
 
+    def returns(self, texts: list[str | None], found: list[list[int]], flat: np.ndarray, offsets: np.ndarray) -> list[bool]:
+        """Whether the ids found of each text decode to it; flat holds all ids, offsets where each text's begin.
+
+        Pieces and bytes are put together for all texts at once; those that differ then are decoded one by one.
+        """
+        said = self.spellings.take(pa.array(flat))
+        ends = np.frombuffer(said.buffers()[1], np.int64, len(flat) + 1)[offsets].tolist() if len(flat) else [0] * len(offsets)
+        data = memoryview(said.buffers()[2] or b"")
+        spelt = self.model.escape_whitespaces and self.model.add_dummy_prefix
+        out = []
+        for i, x in enumerate(texts):
+            same = spelt and x is not None and bytes(data[ends[i] : ends[i + 1]]).removeprefix(b" ") == x.encode()
+            out.append(same or x is not None and self.decode(found[i]) == x)
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes put together, less the dummy prefix; as the library's decoder does."""
         if self.model.escape_whitespaces and self.model.add_dummy_prefix:
@@ -276,7 +297,7 @@ def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", thread
                 flat = np.fromiter(itertools.chain.from_iterable(ids for ids, _ in found), np.int32, int(sizes.sum()))
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 n_bytes = np.diff(np.concatenate([[0], np.cumsum(codec.is_byte[flat])])[offsets])
-                back = [x is not None and codec.decode(ids) == x for x, (ids, _) in zip(part, found, strict=True)]
+                back = codec.returns(part, [ids for ids, _ in found], flat, offsets)
                 arrays = [
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null)),
                     pa.array(sizes, pa.int32(), mask=null),

@@ -126,6 +126,41 @@ def test_parity_on_hostile_texts(codec):
     assert all(same for _, same in codec.encode(texts))
 
 
+def test_texts_are_cut_every_some_words_to_the_same_ids(codec):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["word", " ", "  ", "   ", "é", "\n", S.META, "a", " b", " the", " 日本", "."]) for _ in range(300)) for _ in range(500)]
+    texts += [" ".join(["word"] * n) for n in (S.WORDS - 1, S.WORDS, S.WORDS + 1, 40 * S.WORDS)]
+    assert [ids for ids, _ in codec.encode(texts)] == codec.reference.encode(texts, num_threads=1)
+    cut = codec.tokenizer.pre_tokenizer.pre_tokenize_str
+    marked = [S.META + t.replace(" ", S.META) for t in texts]
+    assert all("".join(x for x, _ in cut(t)) == t for t in marked)
+    assert [len(cut(t)) for t in marked[-4:]] == [1, 1, 2, 40]
+    made = S.Codec(unigram())
+    assert len(made.tokenizer.pre_tokenizer.pre_tokenize_str("▁the▁cat▁▁sat▁")) == 4
+
+
+def together(codec, texts, found):
+    import numpy as np
+
+    flat = np.array([i for ids in found for i in ids], np.int32)
+    return codec.returns(texts, found, flat, np.cumsum([0, *map(len, found)]))
+
+
+def test_round_trips_are_found_together(codec, monkeypatch):
+    texts = [t for t in ODD if META_FREE(t)]
+    found = [ids for ids, _ in codec.encode(texts)]
+    asked = []
+    decode = codec.decode
+    monkeypatch.setattr(codec, "decode", lambda ids: asked.append(ids) or decode(ids))
+    assert together(codec, texts, found) == [True] * len(texts) and not asked
+    assert together(codec, [], []) == [] and together(codec, [None, "", None], [[], [], []]) == [False, True, False]
+    # ids of another text, bytes that are no text, and text that only looks like a piece with a marker
+    bad = codec.tokenizer.token_to_id("<0xE9>")
+    other = [found[i - 1] for i in range(len(texts))]
+    assert together(codec, [*texts, "é", "a b"], [*other, [bad], codec.encode([f"a{S.META}b"])[0][0]]) == [decode(x) == t for x, t in zip(other, texts, strict=True)] + [False, True]
+    assert asked
+
+
 @needs_tables
 def test_query_against_both_libraries(spark, codec):
     """The query's digests, counts and flags of every document are those of whole texts, encoded one by one."""
