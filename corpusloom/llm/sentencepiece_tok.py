@@ -140,7 +140,8 @@ def build(m: Model):
         # BPE pieces are merged in falling order of score; equal scores in order of id.
         rank = {p: (-s, i) for i, (p, s, k) in enumerate(m.pieces) if k in (NORMAL, USER_DEFINED)}
         merges = sorted(((rank[a + b], len(a), a, b) for p in rank for a, b in ((p[:j], p[j:]) for j in range(1, len(p))) if a in rank and b in rank), key=lambda x: x[:2])
-        core = models.BPE(vocab, [(a, b) for _, _, a, b in merges], unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+        # The library's store of words holds little that comes again in WORDS words, at some 80 MB a worker.
+        core = models.BPE(vocab, [(a, b) for _, _, a, b in merges], unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
     t = Tokenizer(core)
     steps = []
     if m.charsmap:
