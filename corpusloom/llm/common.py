@@ -48,9 +48,10 @@ class Tables:
         self.spark = spark
         self.held: list[tuple[DataFrame, str]] = []
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
+    def write(self, df: DataFrame, label: str, *, per_file: int = 0) -> DataFrame:
+        """per_file: rows of a file at most, for large rows, of which readers hold many at once; 0: any number."""
         path = f"{shared_dir(self.spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", per_file).parquet(path)
         found = self.spark.read.schema(df.schema).parquet(path)
         self.held.append((found, path))
         return found

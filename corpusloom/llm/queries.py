@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, chatformat, langid, minhash, mixing, quality_clf, quality_rules, sentencepiece_tok, toxicity, url_filter
+from corpusloom.llm import ann, chatformat, divergence, dualtree, langid, license_scan, minhash, mixing, quality_clf, quality_rules, sentencepiece_tok, toxicity, url_filter
 from corpusloom.llm.common import fold
 
 #: Where the public tokenizers' files are.
@@ -94,6 +94,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_clf.score_texts(docs, model).select("doc_id", held_out(5, 0), "score", predicted())
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "obligation")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dualtree.cluster_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), dim=64, clusters=8, rounds=10, seed=3)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,9 +116,34 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_minhash_near_dedup, op3_toxicity, op4_quality_rules, op5_mixing, op6_nearest_neighbours, op7_sentencepiece, op8_language_id, op9_chat_formatting, op10_quality_classifier, pipeline)
+    for f in (op1_url_filters, op2_minhash_near_dedup, op3_toxicity, op4_quality_rules, op5_mixing, op6_nearest_neighbours, op7_sentencepiece, op8_language_id, op9_chat_formatting, op10_quality_classifier, op11_license_scans, op12_source_divergence, op13_centroid_clustering, pipeline)
 }
 
+def lloyd_sql(dim: int = 64, clusters: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Every round as two steps: assign all vectors, then move the centroids to the floor of their means."""
+    parts = [
+        f"""v AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}
+        )""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x FROM v
+            ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), x LIMIT {clusters})""",
+    ]
+    for i in range(rounds + 1):
+        gap = "list_sum(list_transform(list_zip(v.x, k.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(v.x) AS x, min((d, c)) AS best FROM (SELECT v.row, v.vec_id, v.x, k.c, {gap} AS d FROM v, c{i} k) v GROUP BY row)")
+        if i < rounds:
+            cell = f"SELECT best[2] AS c, unnest(range(1, {dim} + 1)) AS place, unnest(x) AS x FROM a{i}"
+            floor = "(sum(x)::HUGEINT - ((sum(x)::HUGEINT % count(*)) + count(*)) % count(*)) // count(*)"
+            mean = f"SELECT c, list(m ORDER BY place)::BIGINT[] AS x FROM (SELECT c, place, {floor} AS m FROM ({cell}) GROUP BY c, place) GROUP BY c"
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.x, k.x) AS x FROM c{i} k LEFT JOIN ({mean}) m USING (c))")
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT a.vec_id, a.best[2]::INTEGER AS cluster, a.best[1]::BIGINT AS distance, sum(a.best[1]) OVER (PARTITION BY a.best[2])::BIGINT AS cluster_inertia,
+            sum(a.best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} k ON k.c = a.best[2]"""
+
+
 ORACLES = {
     "op1_url_filters": """
         WITH cut AS (
@@ -147,4 +186,26 @@ ORACLES = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(length(head) + length(body) + 24)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op12_source_divergence": """
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents
+        ), w AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+        vocabulary AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+        sized AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM vocabulary GROUP BY lang),
+        found AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN vocabulary USING (lang, term) GROUP BY lang, source, term),
+        grouped AS (SELECT g.lang, g.source, coalesce(sum(f.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN found f USING (lang, source) GROUP BY g.lang, g.source),
+        p AS (
+            SELECT g.lang, g.source, t.term, coalesce(f.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(f.n, 0) + 5)) // (g.n + 5 * s.v) AS p, 1 + (1000000000::HUGEINT * (t.n + 5)) // (s.n + 5 * s.v) AS q
+            FROM grouped g JOIN sized s USING (lang) JOIN vocabulary t USING (lang) LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = t.term
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+            FROM grouped a JOIN grouped b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+                LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY a.lang, a.source, b.source
+        ), terms AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+        ranked AS (
+            SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE C)::INTEGER AS rank FROM pairs
+            UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE C)::INTEGER FROM terms
+        ) SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    "op13_centroid_clustering": lloyd_sql(),
 }
