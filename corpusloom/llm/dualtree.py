@@ -312,7 +312,8 @@ def cluster_vectors(
             break  # what does not move stays where it is
         at = moved
     found = tables.write(trees.mapInArrow(labelled(Centroids(at), dim), "vec_id long, cluster int, distance long"), "assigned")
-    inertia = {r["cluster"]: r["d"] for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}  # a row a centroid
+    whole_sum = F.when(F.count("*") == F.count("distance"), F.sum(F.col("distance").cast("decimal(38,0)"))).alias("d")
+    inertia = {r["cluster"]: r["d"] for r in found.groupBy("cluster").agg(whole_sum).collect()}  # a row a centroid
     fits = lambda d: F.lit(None if d is None or d > LONGEST_LONG else int(d)).cast("long")
     by_cluster = lambda value: F.element_at(F.create_map(*[x for c in inertia for x in (F.lit(c), value(c))]), F.col("cluster"))
     total = None if None in inertia.values() else sum(inertia.values())
