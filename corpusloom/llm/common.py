@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import StructType
 
 # A word is a run of code points outside space and \t..\r: what bytes.split() gives on UTF-8.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -124,9 +124,11 @@ def labelled_sample(
         return Sample([], [], {})
     if max_rows is not None:
         per_label = min(per_label, max(1, max_rows // len(counts)))
-    # A hash bound by label leaves a few more rows than are wanted; they are few enough to be ranked together.
-    bounds = docs.sparkSession.createDataFrame([(v, min(1.0, 1.2 * (per_label + 100) / n)) for v, n in counts.items()], StructType([StructField("of", clean.schema["label"].dataType), StructField("bound", DoubleType())]))
-    near = clean.join(bounds, F.col("label") == F.col("of")).where("part <= bound").select("key", "label", "part")
+    # A hash bound by label leaves a few more rows than are wanted, few enough to be ranked together. The bounds are literals:
+    # rows beyond them go where they are read, before anything is dealt by label.
+    kind = clean.schema["label"].dataType
+    bounds = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v).cast(kind), F.lit(min(1.0, 1.2 * (per_label + 100) / n)))])
+    near = clean.where(F.col("part") <= F.element_at(bounds, F.col("label")))
     first = Window.partitionBy("label").orderBy("part", "key")
     chosen = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_label).select("key", "label", "part")
     rows = (

@@ -105,10 +105,13 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 def mix_sized(sized: DataFrame, *, tie: str | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """As mix, of rows that have doc_id, source and size; further columns stay, but those named like the three results are replaced."""
     kept = [c for c in sized.columns if c not in ("source_size", "target", "copies")]
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sums, weights=weights, most=most).select(F.col("source").alias("__of"), F.struct("source_size", "target").alias("__goal"))
+    # columns go by their places, so that none clashes with a name used here
+    at = {c: f"c{i}" for i, c in enumerate(kept)}
+    rows = sized.select(*[F.col(c).alias(h) for c, h in at.items()])
+    sums = rows.groupBy(F.col(at["source"]).alias("source")).agg(F.sum(at["size"]).alias("source_size"))
+    goal = targets(sums, weights=weights, most=most).select(F.col("source").alias("of"), F.struct("source_size", "target").alias("goal"))
     # one row for each source; the join is left to the optimiser, which splits a hot source
-    rows = sized.select(*kept).join(goal, F.col("source").eqNullSafe(F.col("__of")), "left").select(*kept, "__goal")
-    rows = rows.withColumn("__expected", F.when(F.col("__goal.source_size") > 0, F.least(F.col("__goal.target") / F.col("__goal.source_size"), F.lit(float(most)))))
-    out = copies(rows, doc_id="doc_id", source="source", size="size", expected="__expected", tie=tie, seed=seed)
-    return out.select(*kept, "__goal.source_size", "__goal.target", "copies")
+    rows = rows.join(goal, F.col(at["source"]).eqNullSafe(F.col("of")), "left").select(*at.values(), "goal")
+    rows = rows.withColumn("expected", F.when(F.col("goal.source_size") > 0, F.least(F.col("goal.target") / F.col("goal.source_size"), F.lit(float(most)))))
+    out = copies(rows, doc_id=at["doc_id"], source=at["source"], size=at["size"], expected="expected", tie=at[tie] if tie else None, seed=seed)
+    return out.select(*[F.col(h).alias(c) for c, h in at.items()], "goal.source_size", "goal.target", "copies")

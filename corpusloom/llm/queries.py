@@ -75,7 +75,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    chats = chatformat.format_chats(chatformat.heterogeneous_records(chatformat.conversation_turns(rows)))
+    chats = chatformat.format_chats(chatformat.heterogeneous_records(chatformat.conversation_turns(rows), more=True))
     back, loss = chatformat.read_turns(F.col("formatted")), chatformat.loss_text(F.col("formatted"), F.col("loss_spans"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select("conv_id", "formatted", back.alias("turns"), loss.alias("loss")).select(

@@ -48,7 +48,9 @@ def judge_urls(
     """
     names = [f"{prefix}{x}" for x in ("host", "path", "rule", "verdict")]
     kept = [c for c in pages.columns if c not in names]
-    pages = pages.select(*kept, host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path"))
+    # other columns go by their places, so that none clashes with a name used here
+    held = [f"c{i}" for i in range(len(kept))]
+    pages = pages.select(*[F.col(c).alias(h) for c, h in zip(kept, held, strict=True)], host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path"))
 
     rules = (
         rules.select(
@@ -124,7 +126,7 @@ def judge_urls(
     dealt = pages.withColumn("__salt", F.when(F.col("__host") == "", F.spark_partition_id()).otherwise(0))
     best = best.withColumn("b_salt", F.lit(0))
     return dealt.join(best, (F.col("__host") == F.col("b_host")) & (F.col("__path") == F.col("b_path")) & (F.col("__salt") == F.col("b_salt")), "left").select(
-        *kept,
+        *[F.col(h).alias(c) for c, h in zip(kept, held, strict=True)],
         F.col("__host").alias(names[0]),
         F.col("__path").alias(names[1]),
         F.col("b_rule").alias(names[2]),

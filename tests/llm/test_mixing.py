@@ -92,3 +92,15 @@ def test_very_long_text(spark):
     long = "word " * 2_000_000
     out = {r["doc_id"]: r for r in mix(spark.createDataFrame([(1, long, "a"), (2, "x y", "b")], "doc_id long, text string, source string")).collect()}
     assert out[1]["size"] == 2_000_000 and out[2]["target"] == 6.0
+
+
+def test_all_helper_names_may_be_columns(spark):
+    from corpusloom.llm import mixing
+
+    names = ["__of", "__goal", "__expected", "of", "goal", "expected", "row", "keys", "units", "hash", "slice", "base", "start", "c0", "c1", "k0", "slices"]
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 5 + i, *names) for i in range(20)], "doc_id long, source string, size long, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix_sized(rows)
+    plain = {r["doc_id"]: r for r in mixing.mix_sized(rows.select("doc_id", "source", "size")).collect()}
+    assert got.columns == ["doc_id", "source", "size", *names, "source_size", "target", "copies"]
+    for r in got.collect():
+        assert all(r[n] == n for n in names) and r["copies"] == plain[r["doc_id"]]["copies"]

@@ -45,3 +45,10 @@ def test_long_path(spark):
     path = "/" + "é" * 200_000
     out = judge_urls(spark.createDataFrame([(1, f"http://a.com{path}")], "page_id int, url string"), spark.createDataFrame([("com", path, "block")], RULES)).head()
     assert out["verdict"] == "block"
+
+
+def test_all_helper_names_may_be_columns(spark):
+    names = ["b_host", "b_rule", "b_verdict", "b_path", "b_salt", "__host", "__path", "__salt", "group", "bucket", "c0", "c1", "height", "top", "step", "opened", "n_urls", "r_host"]
+    rows = spark.createDataFrame([("http://a.com/x", *names)], "url string, " + ", ".join(f"`{n}` string" for n in names))
+    row = judge_urls(rows, spark.createDataFrame([("com", "/", "block")], RULES)).first()
+    assert all(row[n] == n for n in names) and (row["host"], row["rule"], row["verdict"]) == ("a.com", "com/", "block")
