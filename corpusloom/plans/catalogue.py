@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import derived, monitoring, records, retrieval, text
+from corpusloom.plans import derived, monitoring, records, retrieval, services, text
 
-QUERIES = {**retrieval.QUERIES, **text.QUERIES, **monitoring.QUERIES, **records.QUERIES, **derived.QUERIES}
-ORACLES = {**retrieval.ORACLES, **text.ORACLES, **monitoring.ORACLES, **records.ORACLES, **derived.ORACLES}
+QUERIES = {**retrieval.QUERIES, **text.QUERIES, **monitoring.QUERIES, **records.QUERIES, **derived.QUERIES, **services.QUERIES}
+ORACLES = {**retrieval.ORACLES, **text.ORACLES, **monitoring.ORACLES, **records.ORACLES, **derived.ORACLES, **services.ORACLES}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,25 +120,33 @@ def batch_redaction(spark, d):
     return read(spark, d, "documents").select("doc_id", F.length(shown).cast("long").alias("n_chars"), F.md5(shown.cast("binary")).alias("digest"))
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that stateful processors need, for the streams started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    kept = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if kept:
+            spark.conf.set(name, kept)
+        else:
+            spark.conf.unset(name)
+
+
 def streamed(rows: DataFrame, build, mode: str = "append") -> DataFrame:
     """Runs a stream over a finite table to its end: the table is written, read as a stream and drained."""
     spark = rows.sparkSession
     place = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{place}/in")
     out = build(spark.readStream.schema(rows.schema).parquet(f"{place}/in"))
-    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with state_store(spark):
         if mode == "append":
             q = out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
         else:
             q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/log").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{place}/out")).trigger(availableNow=True).start()
         q.awaitTermination()
-    finally:
-        if kept:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
-        else:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
