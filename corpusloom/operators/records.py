@@ -135,7 +135,7 @@ def cut_sections(lines: DataFrame, headings: list[tuple[str | None, str]]) -> Da
             if hit is not None:
                 starts.append((hit, name))
                 at = hit + 1
-        ends = [i for i, _ in starts[1:]] + [len(text)]
+        ends = [*[i for i, _ in starts[1:]], len(text)][: len(starts)]  # none without a heading
         out = [(rows["doc"].iloc[0], name, "\n".join(text[i + 1 : end])) for (i, name), end in zip(starts, ends, strict=True) if name is not None]
         return pd.DataFrame(out, columns=["doc", "section", "text"])
 

@@ -14,9 +14,6 @@ from corpusloom.plans.retrieval import ORACLES as RETRIEVAL_ORACLES, TOP, indexe
 from corpusloom.sources import records as S
 from corpusloom.streaming import processors as P
 
-LINES = [(1, i, x) for i, x in enumerate(["intro", "CHAPTER one", "a", "b", "CHAPTER two", "c", "END", "junk"])]
-
-
 def articles_of_texts(spark, d):
     rows = read(spark, d, "documents").select(F.xxhash64("text").alias("h"), F.md5(F.col("text").cast("binary")).alias("digest"), "doc_id")
     out = O.articles_of_texts(rows, "digest", "doc_id")
@@ -53,29 +50,6 @@ def filled_prompts(spark, d):
     return rows.select("item_id", O.fill_template(F.col("t"), {"question": F.col("q"), "language": F.lit("English")}).alias("prompt"))
 
 
-def cut_sections(spark, d):
-    rows = spark.createDataFrame(LINES, "doc long, line_no int, line string")
-    return O.cut_sections(rows, [("one", "^CHAPTER one"), ("two", "^CHAPTER"), (None, "^END")])
-
-
-HEADING_CELLS = [
-    (1, "PART I\nGeneral\n1. Scope", "القسم الأول\nعام\n١- نطاق", "PART I General=القسم الأول عام|1. Scope=١- نطاق", True),
-    (2, "Only", "", "Only=-", True),
-    (3, "CHAPTER II", "الباب الثاني", "CHAPTER II=الباب الثاني", True),
-    (4, "1- The Relationship between the Surety and the\nCreditor", "١ -العلاقة ما بين الكفيل والدائن", "1- The Relationship between the Surety and the Creditor=١ -العلاقة ما بين الكفيل والدائن", True),
-    (5, "1. Elements of Contracts\nConsent:", "أولاً- أركان العقد\n١ -الرضاء", "1. Elements of Contracts=أولاً- أركان العقد|Consent:=١ -الرضاء", True),
-    (6, "1. One\n2. Two", "واحد", "1. One=واحد|2. Two=-", False),
-    (7, "", "موت المستأجر أو إعساره", "-=موت المستأجر أو إعساره", True),
-]
-
-
-def heading_units(spark, d):
-    rows = spark.createDataFrame([c[:3] for c in HEADING_CELLS], "id int, en string, ar string")
-    cell = H.aligned(H.units(H.cell_lines(F.col("en")), "en"), H.units(H.cell_lines(F.col("ar")), "ar"))
-    name = lambda u: F.coalesce(u["text"], F.lit("-"))
-    return rows.select("id", cell.alias("c")).select("id", F.array_join(F.transform("c.pairs", lambda p: F.concat(name(p["en"]), F.lit("="), name(p["ar"]))), "|").alias("units"), "c.aligned")
-
-
 def picked_articles(spark, d):
     rows = read(spark, d, "documents").select(F.col("doc_id").alias("article_number"), F.col("text").alias("text_ar"), F.col("source").alias("text_en"), (F.col("lang") == "de").alias("is_repealed"))
     return O.pick_articles(rows, exclude=read(spark, d, "labels").select(F.col("doc_id").alias("article_number")), n=15).select("article_number")
@@ -111,16 +85,11 @@ def over_length(spark, d):
     return O.over_limit(rows, n, 512).select("doc_id", n.cast("long").alias("n_tokens"))
 
 
-def highlighted_passages(spark, d):
-    rows = spark.createDataFrame([(1, ["a one", "b two", "c", "d one"], ["one", "two", "one", "zzz"]), (2, ["x"], []), (3, [], ["q"])], "id int, lines array<string>, fragments array<string>")
-    return O.highlighted_passages(rows).select("id", F.array_join("passages", "|").alias("passages"), F.array_join("leftover", "|").alias("leftover"))
-
-
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        articles_of_texts, common_first_words, header_shapes, corpus_digest, lowest_scores, rendered_contexts, filled_prompts,         cut_sections, heading_units, picked_articles, index_round_trip, stream_rates,
-        long_lines, kept_passages, over_length, highlighted_passages,
+        articles_of_texts, common_first_words, header_shapes, corpus_digest, lowest_scores, rendered_contexts, filled_prompts,         picked_articles, index_round_trip, stream_rates,
+        long_lines, kept_passages, over_length,
     )
 }
 
@@ -133,8 +102,6 @@ ORACLES: dict[str, str] = {
     "lowest_scores": "SELECT event_id, round(value, 6) AS value FROM events WHERE value IS NOT NULL ORDER BY round(value, 6), event_id LIMIT 10",
     "rendered_contexts": f"SELECT doc_id, md5('## Article ' || doc_id || ' | المادة ' || {AR_ID} || chr(10) || chr(10) || lang || chr(10) || chr(10) || text) AS digest FROM documents",
     "filled_prompts": "SELECT item_id, 'Question: ' || text || ' in English' AS prompt FROM benchmark",
-    "cut_sections": "SELECT doc::BIGINT AS doc, section, text FROM " + values_sql([(1, "one", "a\nb"), (1, "two", "c")], "doc, section, text"),
-    "heading_units": f"SELECT * FROM {values_sql([(c[0], c[3], c[4]) for c in HEADING_CELLS], 'id, units, aligned')}",
     "picked_articles": """SELECT doc_id AS article_number FROM documents WHERE lang <> 'de' AND trim(text) <> '' AND trim(source) <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)
         ORDER BY md5('0:' || doc_id), doc_id LIMIT 15""",
     "index_round_trip": RETRIEVAL_ORACLES["bm25_topk"],
@@ -143,5 +110,4 @@ ORACLES: dict[str, str] = {
     "long_lines": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400))::BIGINT AS n FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400)) > 0",
     "kept_passages": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(replace(text, ' the ', ' '), x)))::BIGINT AS n FROM documents",
     "over_length": "WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS n_tokens FROM documents) SELECT * FROM t WHERE n_tokens > 512",
-    "highlighted_passages": "SELECT * FROM " + values_sql([(1, "one\ntwo|one", "zzz"), (2, "", ""), (3, "", "q")], "id, passages, leftover"),
 }

@@ -176,14 +176,6 @@ def group_deltas(spark, d):
     return E.group_deltas(both, ("kind", "parity")).select("kind", "parity", long("set_id"), "questions", "base_hits", "run_hits")
 
 
-SPLIT = [("q001", None, "a", "english", "tuning"), ("q002", None, "a", "msa", "heldout"), ("q003", "p1", "b", "english", "tuning"), ("q004", "p1", "b", "msa", "tuning"), ("q005", None, "b", "msa", "heldout"), ("q006", None, "c", "english", "heldout")]
-
-
-def balanced_split(spark, d):
-    rows = spark.createDataFrame([x[:4] for x in SPLIT], "qid string, pair_id string, kind string, register string")
-    return E.balanced_split(rows)
-
-
 def stratified_subset(spark, d):
     return E.stratified_subset(read(spark, d, "documents"), ["lang", "source"], "doc_id", 90).select("doc_id", "lang", "source")
 
@@ -233,7 +225,7 @@ def distill_pairs(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        hybrid_retrieve, bm25_stats, bm25_weights, bm25_topk, dense_topk, rrf_fusion, rerank_head, context_articles,         recall_mrr, recall_breakdown, top1_score_stats, pair_agreement, context_precision, run_fixed_broken, group_deltas, balanced_split, stratified_subset, pick_first_per_group,
+        hybrid_retrieve, bm25_stats, bm25_weights, bm25_topk, dense_topk, rrf_fusion, rerank_head, context_articles,         recall_mrr, recall_breakdown, top1_score_stats, pair_agreement, context_precision, run_fixed_broken, group_deltas, stratified_subset, pick_first_per_group,
         answer_means, loss_attribution, shared_question_means, repeatability, distill_pairs,
     )
 }
@@ -303,7 +295,6 @@ ORACLES: dict[str, str] = {
     "run_fixed_broken": f"{BOTH} SELECT count(*)::BIGINT AS questions, count(*) FILTER (NOT was AND now)::BIGINT AS fixed, count(*) FILTER (was AND NOT now)::BIGINT AS broken, (count(*) FILTER (NOT was AND now) - count(*) FILTER (was AND NOT now))::BIGINT AS net FROM both_",
     "group_deltas": f"""{BOTH} SELECT kind, parity, grouping(kind, parity)::BIGINT AS set_id, count(*)::BIGINT AS questions, count(*) FILTER (was)::BIGINT AS base_hits, count(*) FILTER (now)::BIGINT AS run_hits
         FROM both_ GROUP BY GROUPING SETS ((kind), (parity)) HAVING count(*) FILTER (was) <> count(*) FILTER (now)""",
-    "balanced_split": f"SELECT qid, half FROM {values_sql([(x[0], x[4]) for x in SPLIT], 'qid, half')}",
     "stratified_subset": "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, lang, source, doc_id LIMIT 90",
     "pick_first_per_group": """WITH r AS (SELECT * FROM documents JOIN labels USING (doc_id)), g AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS place FROM r GROUP BY source)
         SELECT source, toxic, min(doc_id) AS doc_id FROM r JOIN g USING (source) WHERE (place % 2 = 0) = (toxic = 0) GROUP BY source, toxic""",

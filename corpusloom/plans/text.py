@@ -144,20 +144,12 @@ def reindex_append(spark, d):
     return counts.crossJoin(clashes.agg(F.count("*").alias("n_clashes")))
 
 
-def glyph_repair(spark, d):
-    lam_alef = [{"c": "ا", "x0": 5.0, "x1": 5.0}, {"c": "ل", "x0": 5.0, "x1": 9.0}]
-    digits = [{"c": "٢", "x0": 9.0, "x1": 12.0}, {"c": "١", "x0": 5.0, "x1": 8.0}]
-    space = [{"c": " ", "x0": 1.0, "x1": 2.0}, {"c": "ب", "x0": 6.0, "x1": 8.0}, {"c": "ت", "x0": 0.0, "x1": 1.0}]
-    rows = spark.createDataFrame([(1, lam_alef), (2, digits), (3, space)], f"id long, piece {glyphs.GLYPHS}")
-    return rows.select("id", glyphs.repair_glyphs("piece").alias("text"))
-
-
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         fold_token_counts, stopword_filtered_counts, normalize_lines, split_paragraphs, pack_chunks, chunk_quality, chunk_rebuild_check,
         semantic_breakpoints, consecutive_islands, document_text_variants, citations, conversation_language, answer_kind, passage_windows,
-        character_checks, iqr_outliers, missing_and_duplicate_ids, id_mismatches, accepted_spans, pii_email, pii_findings,         reindex_append, glyph_repair,
+        character_checks, iqr_outliers, missing_and_duplicate_ids, id_mismatches, accepted_spans, pii_email, pii_findings,         reindex_append,
     )
 }
 
@@ -213,5 +205,4 @@ ORACLES: dict[str, str] = {
     "pii_email": "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+', '[email]', 'g')) AS digest FROM documents",
     "reindex_append": """WITH n AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), j AS (SELECT doc_id, 'old' AS side FROM labels UNION ALL SELECT doc_id, 'new' FROM n)
         SELECT count(*)::BIGINT AS n_rows, sum(doc_id)::BIGINT AS id_sum, count(*) FILTER (side = 'new')::BIGINT AS n_new, (SELECT count(DISTINCT doc_id)::BIGINT FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS n_clashes FROM j""",
-    "glyph_repair": "SELECT id::BIGINT AS id, text FROM " + values_sql([(1, "لا"), (2, "١٢"), (3, "ب ت")], "id, text"),
 }
