@@ -161,3 +161,24 @@ def judged(rows: DataFrame, reply: str, metrics: list[str]) -> DataFrame:
     parsed = F.try_parse_json(F.col(reply))
     number = lambda m: F.try_variant_get(parsed, f"$.{m}", "double")
     return rows.withColumns({m: F.when(number(m).between(0, 1), number(m)) for m in metrics})
+
+
+class CountsWrong(ValueError):
+    """Rows were written whose counts are not what they must be."""
+
+
+def written_with_counts(rows: DataFrame, path: str, counts: dict[str, Column], limits: dict[str, tuple[float, float]] | None = None) -> dict[str, int]:
+    """Writes the rows and counts them on the way, in one pass: an aggregate for each name, observed while rows are written.
+
+    limits: the least and the most that a count may be; those that are not are raised together once all is written, so
+    that what was extracted can be looked at.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows.observe(seen, *[c.alias(n) for n, c in counts.items()]).write.mode("overwrite").parquet(path)
+    found = {n: seen.get[n] for n in counts}
+    wrong = {n: found[n] for n, (low, high) in (limits or {}).items() if found[n] is None or not low <= found[n] <= high}
+    if wrong:
+        raise CountsWrong(f"{path}: " + ", ".join(f"{n} is {v}" for n, v in sorted(wrong.items())))
+    return found

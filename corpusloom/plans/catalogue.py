@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import derived, folds, monitoring, records, retrieval, services, text
+from corpusloom.plans import derived, files, folds, monitoring, records, retrieval, services, text
 
-QUERIES = {**retrieval.QUERIES, **text.QUERIES, **monitoring.QUERIES, **records.QUERIES, **derived.QUERIES, **services.QUERIES, **folds.QUERIES}
-ORACLES = {**retrieval.ORACLES, **text.ORACLES, **monitoring.ORACLES, **records.ORACLES, **derived.ORACLES, **services.ORACLES, **folds.ORACLES}
+QUERIES = {**retrieval.QUERIES, **text.QUERIES, **monitoring.QUERIES, **records.QUERIES, **derived.QUERIES, **services.QUERIES, **folds.QUERIES, **files.QUERIES}
+ORACLES = {**retrieval.ORACLES, **text.ORACLES, **monitoring.ORACLES, **records.ORACLES, **derived.ORACLES, **services.ORACLES, **folds.ORACLES, **files.ORACLES}
