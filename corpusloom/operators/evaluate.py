@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.quantiles import percentiles
+
 KS = (1, 3, 5, 10)
 
 
@@ -45,7 +47,9 @@ def context_precision(rows: DataFrame, k: int) -> DataFrame:
 def score_stats(rows: DataFrame, names: list[str], by: str) -> DataFrame:
     """(by, score_name, low, middle, high) of each score column, nulls skipped."""
     stacked = rows.select(by, F.explode(F.array(*[F.struct(F.lit(n).alias("score_name"), F.col(n).cast("double").alias("v")) for n in names])).alias("s")).select(by, "s.*")
-    return stacked.groupBy(by, "score_name").agg(F.min("v").alias("low"), F.round(F.median("v"), 9).alias("middle"), F.max("v").alias("high"))
+    middle = percentiles(stacked, F.col("v"), [by, "score_name"], [0.5]).select(F.col(by).alias("of"), F.col("score_name").alias("of_name"), F.round(F.col("p")[0], 9).alias("middle"))
+    ends = stacked.groupBy(by, "score_name").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return ends.join(middle, F.col(by).eqNullSafe(F.col("of")) & (F.col("score_name") == F.col("of_name"))).select(by, "score_name", "low", "middle", "high")
 
 
 def pair_agreement(tops: DataFrame, by: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import cosine
+from corpusloom.operators.quantiles import percentiles
 
 # Upper bounds of latency buckets in seconds.
 LATENCY_BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 20.0, 30.0, 60.0, 90.0, 120.0, 180.0)
@@ -42,9 +45,10 @@ def sliding_rate(events: DataFrame, ts: str, by: list[str], *, length: str = "5
 
 def timing(events: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean and inclusive percentiles; groups of fewer than two values are left out."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    one = events.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), p.alias("p")).where("n >= 2")
-    return one.select(*by, "n", "mean", *[F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p50", "p95", "p99"))])
+    found = percentiles(events, F.col(value), by, [0.5, 0.95, 0.99]).where("n >= 2")
+    means = events.groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg(F.round(F.avg(value), 6).alias("mean"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by], F.lit(True))
+    return found.join(means, same).select(*by, "n", "mean", *[F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p50", "p95", "p99"))])
 
 
 def centroid(vectors: DataFrame, vector: str) -> DataFrame:
