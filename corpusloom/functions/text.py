@@ -215,8 +215,3 @@ def windows(text: Column, size: int) -> Column:
     """Slices of so many code points, in order; one blank slice for an empty text."""
     n = F.greatest(F.length(text) - 1, F.lit(0))
     return F.transform(F.sequence(F.lit(0), n, F.lit(size)), lambda i: F.substr(text, i + 1, F.lit(size)))
-
-
-def first_condition(*cases: tuple[Column, str], default: str) -> Column:
-    """Ordered CASE."""
-    return F.coalesce(*[F.when(c, F.lit(v)) for c, v in cases], F.lit(default)) if cases else F.lit(default)

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.vectors import exclusive_quantile
 
 
 def check_rows(row: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -51,11 +48,6 @@ def iqr_outliers(rows: DataFrame, value: str, by: str) -> DataFrame:
     return out
 
 
-def small_quantile(values: Column, q: float) -> Column:
-    """Exclusive quantile of a short array."""
-    return exclusive_quantile(F.array_sort(values), q)
-
-
 def number_gaps(rows: DataFrame, number: str, *, known: DataFrame | None = None) -> DataFrame:
     """(number, problem): missing from 1..max unless known, or present more than once."""
     counts = rows.groupBy(F.col(number).cast("long").alias("v")).agg(F.count("*").alias("times"))
@@ -114,10 +106,6 @@ def promotion(candidate: Column, production: Column) -> Column:
     return F.coalesce(sound & (production.isNull() | (candidate >= production)), F.lit(False))
 
 
-def union_checks(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def profile_gates(facts: DataFrame, expected: dict[str, float]) -> DataFrame:
     """(gate, expected, actual, passed) of one row of facts: each that is named must have its value; a missing one fails."""
     absent = F.lit(None).cast("double")

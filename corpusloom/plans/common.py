@@ -21,13 +21,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def file_states(spark: SparkSession, df: DataFrame) -> list[tuple[str, int, int]]:
-    """Name, length and time of the files that a table is read from."""
+    """Name, length and time of the files that a table is read from: one listing for each folder, not a call for each file."""
+    names, folders = set(df.inputFiles()), {}
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    for name in names:
+        folders.setdefault(name.rsplit("/", 1)[0], set()).add(place(name).toUri().getPath())
     out = []
-    for name in sorted(df.inputFiles()):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        out.append((name, status.getLen(), status.getModificationTime()))
-    return out
+    for folder, held in folders.items():
+        path = place(folder)
+        for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            found = s.getPath().toUri().getPath()
+            if found in held:
+                out.append((found, s.getLen(), s.getModificationTime()))
+    return sorted(out)
 
 
 def quoted(value: object) -> str:

@@ -36,6 +36,12 @@ def indexed(spark: SparkSession, d: str, stopwords: str = "none") -> DataFrame:
     return R.without_terms(S.open_indexed(spark, _STORED[key], MANIFEST), T.STOPWORDS[stopwords])
 
 
+def token_index(spark, d):
+    """The index itself: tokens and distinct terms of each document, as it is made before it is stored."""
+    index = R.token_index(spread(read(spark, d, "documents").select("doc_id", "text")), T.tokens(F.col("text")), id="doc_id")
+    return index.select(F.col("id").alias("doc_id"), long("dl"), F.size("terms").cast("long").alias("n_terms"))
+
+
 def bm25(spark: SparkSession, d: str, *, stopwords: str = "none", b: float = R.B, k: int = TOP) -> DataFrame:
     return R.bm25_search(questions(spark, d, stopwords), indexed(spark, d, stopwords), k=k, b=b)
 
@@ -225,7 +231,7 @@ def distill_pairs(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        hybrid_retrieve, bm25_stats, bm25_weights, bm25_topk, dense_topk, rrf_fusion, rerank_head, context_articles,         recall_mrr, recall_breakdown, top1_score_stats, pair_agreement, context_precision, run_fixed_broken, group_deltas, stratified_subset, pick_first_per_group,
+        token_index, hybrid_retrieve, bm25_stats, bm25_weights, bm25_topk, dense_topk, rrf_fusion, rerank_head, context_articles,         recall_mrr, recall_breakdown, top1_score_stats, pair_agreement, context_precision, run_fixed_broken, group_deltas, stratified_subset, pick_first_per_group,
         answer_means, loss_attribution, shared_question_means, repeatability, distill_pairs,
     )
 }
@@ -268,6 +274,7 @@ BOTH = f"""WITH {DENSE}, {label_scores_sql('base', 'dense')}, {label_scores_sql(
 ANSWERED = "a AS (SELECT d.doc_id, d.lang, d.text, d.n_chars, l.quality, l.toxic, CASE WHEN quality = 1 THEN (d.n_chars % 10) / 10.0::DOUBLE END AS score FROM documents d JOIN labels l USING (doc_id))"
 
 ORACLES: dict[str, str] = {
+    "token_index": f"SELECT doc_id, len({TOKENS})::BIGINT AS dl, len(list_distinct({TOKENS}))::BIGINT AS n_terms FROM documents",
     "hybrid_retrieve": f"""WITH {RERANKED} SELECT qid, id, final_rank::BIGINT AS final_rank, round(rrf, 9) AS rrf, round(rerank, 6) AS rerank, round(one.score, 6) AS bm25, round(two.score, 6) AS flat
         FROM reranked LEFT JOIN one USING (qid, id) LEFT JOIN two USING (qid, id) WHERE final_rank <= {HEAD}""",
     "bm25_stats": f"""WITH w AS (SELECT {TOKENS} AS w FROM documents) SELECT count(*)::BIGINT AS n_docs, round(avg(len(w)), 6) AS avg_len, max(len(w))::BIGINT AS max_len, count(*) FILTER (len(w) = 0)::BIGINT AS n_empty,

@@ -26,7 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else a temporary one (local runs and tests only)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -67,7 +68,11 @@ def read_records(spark: SparkSession, path: str, name: str, fields: StructType)
         found = first["value"]
     if found != header(name, fields):
         raise SchemaMismatch(f"{path}: expected {header(name, fields)}, found {found}")
-    body = lines.where(F.trim("value") != "") if folder else lines.where((F.col("value") != first["value"]) & (F.trim("value") != ""))
+    if not folder:
+        # the header is the file's first line; a record may read like it
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        lines = lines.withColumns({"row": row, "block": F.col("_metadata.file_block_start")}).where((F.col("row") != 0) | (F.col("block") != 0) | (F.col("value") != first["value"])).select("value")
+    body = lines.where(F.trim("value") != "")
     return body.select(F.from_json("value", fields, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
