@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import ascii_digits, range_citation
+from corpusloom.operators.ranges import running
 
 # ---- Fixed values: they must equal the reference's for equal results. ----
 EN_HEADER = r"^(A?)rticle(\s*)(\d+)(?![\p{L}\p{N}_])\s*([^\n]*)"
@@ -118,22 +119,22 @@ def heading_rank(en: Column, ar: Column) -> Column:
     return F.coalesce(rank, F.when(numbered, NUMBERED_RANK).otherwise(PLAIN_RANK))
 
 
-def heading_paths(headings: DataFrame, *, max_rank: int = 10) -> DataFrame:
+def heading_paths(headings: DataFrame, *, max_rank: int = 10, range_size: int = 65_536) -> DataFrame:
     """Adds path, the open headings' labels root first. rows: (doc, pos, rank, label).
 
     A heading closes all open ones of its rank or more. So the heading of rank k is open at a place if it is the
-    last of its rank, and none of a lower rank came after it: a running maximum per rank, no stack.
+    last of its rank, and none of a lower rank came after it: a running maximum per rank, no stack. A document is
+    cut into ranges of places, which take over the open headings of those before them.
     """
-    w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.max(F.when(F.col("rank") == k, F.struct("pos", "label"))).over(w) for k in range(1, max_rank + 1)]
-    rows = headings.withColumns({f"__h{k}": last[k - 1] for k in range(1, max_rank + 1)})
+    last = {f"__h{k}": F.when(F.col("rank") == k, F.struct("pos", "label")) for k in range(1, max_rank + 1)}
+    rows = running(headings, ["doc"], ["pos"], F.floor(F.col("pos") / range_size), maxima=last)
     open_ = []
     for k in range(1, max_rank + 1):
         lower = [F.col(f"__h{j}")["pos"] for j in range(1, k)]
         above = F.coalesce(F.greatest(*lower), F.lit(-1)) if len(lower) > 1 else (F.coalesce(lower[0], F.lit(-1)) if lower else F.lit(-1))
         open_.append(F.when(F.col(f"__h{k}")["pos"] > above, F.col(f"__h{k}")["label"]))
     path = F.filter(F.array(*open_), lambda x: x.isNotNull())
-    return rows.withColumn("path", path).drop(*[f"__h{k}" for k in range(1, max_rank + 1)])
+    return rows.withColumn("path", path).drop(*last)
 
 
 def nested_ranks(ranks: Column) -> Column:
@@ -195,17 +196,24 @@ def assemble(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return articles.unionByName(gone), anomalies.unionByName(odd)
 
 
-def merge_repealed(articles: DataFrame) -> DataFrame:
-    """Runs of consecutive repealed articles with equal texts as one row (article_number, range_end, citation, n)."""
-    order = Window.partitionBy("doc").orderBy("article_number")
+def merge_repealed(articles: DataFrame, *, range_size: int = 4096) -> DataFrame:
+    """Runs of consecutive repealed articles with equal texts as one row (article_number, range_end, citation, n).
+
+    A document is cut into ranges of article numbers; a range takes over the last article of the one before it. Of rows of one
+    number the order is that of the texts.
+    """
+    span, order = F.floor(F.col("article_number") / range_size), ["article_number", "is_repealed", "text_en", "text_ar"]
+    here = F.struct("article_number", "is_repealed", "text_ar", "text_en")
+    before = running(articles, ["doc"], order, span, lags={"__before": here})
     same = (
         F.col("is_repealed")
-        & F.lag("is_repealed").over(order)
-        & (F.col("article_number") == F.lag("article_number").over(order) + 1)
-        & F.col("text_ar").eqNullSafe(F.lag("text_ar").over(order))
-        & F.col("text_en").eqNullSafe(F.lag("text_en").over(order))
+        & F.col("__before.is_repealed")
+        & (F.col("article_number") == F.col("__before.article_number") + 1)
+        & F.col("text_ar").eqNullSafe(F.col("__before.text_ar"))
+        & F.col("text_en").eqNullSafe(F.col("__before.text_en"))
     )
-    runs = articles.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = before.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int")).drop("__before")
+    runs = running(marked, ["doc"], order, span, sums={"run": F.col("new")})
     out = runs.groupBy("doc", "run").agg(F.min("article_number").alias("article_number"), F.max("article_number").alias("last"), F.count("*").alias("n"))
     return out.select(
         "doc",

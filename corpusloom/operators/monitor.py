@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import cosine
 from corpusloom.operators.quantiles import percentiles
+from corpusloom.operators.ranges import running
 
 # Upper bounds of latency buckets in seconds.
 LATENCY_BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 20.0, 30.0, 60.0, 90.0, 120.0, 180.0)
@@ -84,10 +85,10 @@ def drift_windows(vectors: DataFrame, baseline: DataFrame, *, vector: str, order
 
 
 def breaches(rows: DataFrame, ts: str, by: list[str], broken: Column, *, seconds: int) -> DataFrame:
-    """(by, breach_start, breach_end): runs of broken rows that last at least so long."""
-    w = Window.partitionBy(*by).orderBy(ts)
+    """(by, breach_start, breach_end): runs of broken rows that last at least so long; a key's rows are taken day by day."""
     flagged = rows.withColumn("broken", F.coalesce(broken, F.lit(False)))
-    runs = flagged.withColumn("run", F.sum((~F.col("broken")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    day = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / 86_400)
+    runs = running(flagged, by, [ts], day, sums={"run": (~F.col("broken")).cast("int")})
     out = runs.where("broken").groupBy(*by, "run").agg(F.min(ts).alias("breach_start"), F.max(ts).alias("breach_end")).drop("run")
     return out.where(F.unix_timestamp(F.col("breach_end").cast("timestamp")) - F.unix_timestamp(F.col("breach_start").cast("timestamp")) >= seconds)
 
