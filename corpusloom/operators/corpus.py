@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import ascii_digits, range_citation
 from corpusloom.operators.ranges import running
+from corpusloom.sources.records import stored
 
 # ---- Fixed values: they must equal the reference's for equal results. ----
 EN_HEADER = r"^(A?)rticle(\s*)(\d+)(?![\p{L}\p{N}_])\s*([^\n]*)"
@@ -147,28 +148,29 @@ def nested_ranks(ranks: Column) -> Column:
     )
 
 
-def assemble(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def assemble(rows: DataFrame, *, pages: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(articles, anomalies) of classified rows.
 
     A continuation joins the unit before it if that is an article; a heading before it, or nothing, makes it an
     orphan. Heading rows open paths, heading by heading as headings.heading_rows finds them; an article has the path of
-    the last one before it, in English. Rows are numbered by page and row.
+    the last one before it, in English. Rows are numbered by page and row, which tell a document's rows apart. A document is
+    cut into ranges of so many pages; a range takes over the open unit and path of those before it. Rows are stored once.
     """
     from corpusloom.operators.headings import heading_rows
 
-    order = Window.partitionBy("doc").orderBy("page", "row_index")
-    seq = rows.withColumn("pos", F.row_number().over(order))
+    rows = stored(rows, "classified")
+    place, span = ["page", "row_index"], F.floor(F.col("page") / pages)
     opens = F.col("kind").isin("article", "heading", "repeal")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    seq = seq.withColumn("unit", F.sum(opens.cast("int")).over(running)).withColumn("unit_kind", F.last(F.when(opens, F.col("kind")), ignorenulls=True).over(running))
-    heads, odd = heading_rows(rows)
+    seq = running(rows, ["doc"], place, span, sums={"pos": F.lit(1), "unit": opens.cast("int")}, lasts={"unit_kind": F.when(opens, F.col("kind"))})
+    seq = seq.withColumn("pos", F.col("pos").cast("int"))
+    heads, odd = heading_rows(rows, pages=pages)
     # places within a cell follow each other between two rows
-    place = F.col("pos").cast("long") * CELL_PLACES + F.col("k")
-    paths = heading_paths(heads.select("doc", place.alias("pos"), "rank", F.nullif("en", F.lit("")).alias("label")))
+    at = F.col("pos").cast("long") * CELL_PLACES + F.col("k")
+    paths = heading_paths(heads.select("doc", at.alias("pos"), "rank", F.nullif("en", F.lit("")).alias("label")))
     ends = paths.withColumn("h_pos", F.floor(F.col("pos") / CELL_PLACES).cast("int")).groupBy("doc", "h_pos").agg(F.max_by("path", "pos").alias("path"))
     seq = seq.join(ends.withColumnRenamed("h_pos", "pos"), ["doc", "pos"], "left")
     # a heading row whose only heading is the title of the one before has that one's path
-    seq = seq.withColumn("path", F.last("path", ignorenulls=True).over(running))
+    seq = running(stored(seq, "paths"), ["doc"], place, span, lasts={"path": F.col("path")})
     joins = (F.col("kind") == "article") | ((F.col("kind") == "continuation") & (F.col("unit_kind") == "article"))
     part = F.struct("pos", "page", "row_index", "en_text", "ar_text")
     units = seq.where(joins).groupBy("doc", "unit").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("path").alias("path"))

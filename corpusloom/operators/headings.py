@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.corpus import AR_KEYWORDS, AR_NUMBERED, AR_ORDINAL, EN_KEYWORD, EN_NUMBERED, heading_rank, nested_ranks
+from corpusloom.operators.ranges import running
+from corpusloom.sources.records import stored
 
 # ---- Fixed values: they must equal the reference's for equal results. ----
 EN_KEYWORD_ONLY = r"(?i)^\s*(?:(?:PART|BOOK|CHAPTER|SECTION)\s+[IVXLC\d]+|[A-Z]+\s+PART)\s*\.*$"
@@ -74,16 +76,20 @@ def aligned(en: Column, ar: Column) -> Column:
     return F.struct(F.arrays_zip(e.alias("en"), a.alias("ar")).alias("pairs"), (~both | (F.size(e) == F.size(a))).alias("aligned"))
 
 
-def heading_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def heading_rows(rows: DataFrame, *, pages: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(headings, anomalies) of classified rows (doc, page, row_index, kind, en_text, ar_text, ...).
 
     headings: (doc, pos, page, row_index, k, rank, en, ar), k counting within a cell, where each heading nests under the one
     before. A keyword alone at the end of a cell waits for a title: the first heading of the next row, if that is a
     heading row on another page, which is then no heading of its own. Else it is an anomaly, as are headings whose
     languages do not pair up and those that are numbered in one language only.
+
+    A document is cut into ranges of so many pages; a range takes over what waits at the end of the one before it. Only heading
+    cells are worked on, in three stored steps; page and row_index order a document's rows.
     """
-    order = Window.partitionBy("doc").orderBy("page", "row_index")
-    seq = rows.withColumns({"pos": F.row_number().over(order), "new_page": ~F.coalesce(F.col("page") == F.lag("page").over(order), F.lit(False))})
+    place, span = ["page", "row_index"], F.floor(F.col("page") / pages)
+    seq = running(rows, ["doc"], place, span, sums={"pos": F.lit(1)}, lags={"page_before": F.col("page")})
+    seq = seq.withColumns({"pos": F.col("pos").cast("int"), "new_page": ~F.coalesce(F.col("page") == F.col("page_before"), F.lit(False))}).drop("page_before")
     is_heading = F.col("kind") == "heading"
     cell = F.when(is_heading, aligned(units(cell_lines(F.col("en_text")), "en"), units(cell_lines(F.col("ar_text")), "ar")))
     seq = seq.withColumn("cell", cell).withColumn("n", F.coalesce(F.size("cell.pairs"), F.lit(0)))
@@ -93,15 +99,18 @@ def heading_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     seq = seq.withColumns({"waits": waits, "takes": F.coalesce(takes, F.lit(False))})
     # A row of one heading that waits, and may be a title itself, waits only if the row before does not: such rows in turn alternate.
     chained = F.col("waits") & F.col("takes") & (F.col("n") == 1)
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    seq = seq.withColumn("run", F.sum((~chained).cast("int")).over(running))
+    seq = stored(seq.withColumn("chained", chained), "heading-cells")
+    seq = running(seq, ["doc"], place, span, sums={"run": (~F.col("chained")).cast("int")})
     within = Window.partitionBy("doc", "run").orderBy("pos")
-    base = F.first(F.col("waits") & ~chained).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    base = F.first(F.col("waits") & ~F.col("chained")).over(within.rowsBetween(Window.unboundedPreceding, 0))
     # before the first row that is not chained nothing waits, so a first chained row does
     odd = F.pmod(F.row_number().over(within) - F.when(F.col("run") == 0, 0).otherwise(1), F.lit(2)) == 1
-    seq = seq.withColumn("pending", F.when(chained, base != odd).otherwise(F.col("waits")))
-    after, before = F.lead("takes").over(order), F.coalesce(F.lag("pending").over(order), F.lit(False))
-    seq = seq.withColumns({"titled": before & F.col("takes"), "untitled": F.col("pending") & ~F.coalesce(after, F.lit(True)), "title": F.when(F.col("pending") & F.coalesce(after, F.lit(False)), F.lead("cell.pairs").over(order)[0])})
+    seq = seq.withColumn("pending", F.when(F.col("chained"), base != odd).otherwise(F.col("waits")))
+    seq = stored(seq, "heading-runs")
+    seq = running(seq, ["doc"], place, span, lags={"before": F.col("pending")}, leads={"after": F.col("takes"), "pairs_after": F.col("cell.pairs")})
+    before, after = F.coalesce("before", F.lit(False)), F.col("after")
+    seq = seq.withColumns({"titled": before & F.col("takes"), "untitled": F.col("pending") & ~F.coalesce(after, F.lit(True)), "title": F.when(F.col("pending") & F.coalesce(after, F.lit(False)), F.col("pairs_after")[0])})
+    seq = stored(seq.drop("before", "after", "pairs_after"), "heading-titles")
 
     cells = seq.where("kind = 'heading'").select("doc", "pos", "page", "row_index", "pending", "title", F.posexplode("cell.pairs").alias("k", "pair"), "titled", "n")
     cells = cells.where(~(F.col("titled") & (F.col("k") == 0)))

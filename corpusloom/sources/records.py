@@ -6,6 +6,7 @@ import atexit
 import json
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df under the scratch folder and reads it back: what is read several times is worked out once, and lineage is cut."""
+    place = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
