@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import ascii_digits, range_citation
+from corpusloom.operators.quantiles import percentiles
 from corpusloom.operators.ranges import running
 from corpusloom.sources.records import stored
 
@@ -242,18 +243,24 @@ def islands(rows: DataFrame, value: str, by: list[str], *, range_size: int = 65_
     return runs.where(~touches).select(*by, "first", "last", "n").unionByName(edges.select(*by, "first", "last", "n"))
 
 
-def semantic_breaks(rows: DataFrame, *, doc: str, pos: str, vector: str, percentile: float) -> DataFrame:
-    """Adds distance (to the row before, 6 digits) and group: a new one where it exceeds the corpus-wide percentile."""
+def semantic_breaks(rows: DataFrame, *, doc: str, pos: str, vector: str, percentile: float, range_size: int = 65_536) -> DataFrame:
+    """Adds distance (to the row before, 6 digits) and group: a new one where it exceeds the corpus-wide percentile.
+
+    Places are whole numbers. A document is cut into ranges of places; a range takes over the last vector and the groups of
+    those before it. Rows with their distances are stored once.
+    """
     from corpusloom.functions.vectors import dot, norm
 
-    w = Window.partitionBy(doc).orderBy(pos)
-    before = F.lag(vector).over(w)
+    span = F.floor(F.col(pos) / range_size)
+    before = F.col("__before")
     far = 1 - F.coalesce(F.try_divide(dot(before, F.col(vector)), norm(before) * norm(F.col(vector))), F.lit(1.0))
-    placed = rows.withColumn("distance", F.when(before.isNotNull(), F.round(far, 6)))
-    limit = placed.agg(F.percentile("distance", F.lit(percentile / 100)).alias("limit"))
+    placed = running(rows, [doc], [pos], span, lags={"__before": F.col(vector)}).withColumn("distance", F.when(before.isNotNull(), F.round(far, 6))).drop("__before")
+    placed = stored(placed, "distances")
+    limit = percentiles(placed, F.col("distance"), [], [percentile / 100]).select(F.col("p")[0].alias("limit"))
     cut = F.coalesce((F.col("distance") > F.col("limit")).cast("int"), F.lit(0))
     # limit is one row
-    return placed.crossJoin(F.broadcast(limit)).withColumn("group", F.sum(cut).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("limit")
+    cuts = placed.crossJoin(F.broadcast(limit)).withColumn("__cut", cut).drop("limit")
+    return running(cuts, [doc], [pos], span, sums={"group": F.col("__cut")}).withColumn("group", F.col("group") + 1).drop("__cut")
 
 
 def append_checked(old: DataFrame, new: DataFrame, *, id: str) -> tuple[DataFrame, DataFrame]:

@@ -55,13 +55,18 @@ class DriftWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = [c for (c,) in self.cosines.get()] if self.cosines.exists() else []
-        batch = pd.concat(list(rows)).sort_values("seq")
         middle = np.array(self.centroid)
-        out = []
-        for seq, v in zip(batch["seq"], batch["vec"], strict=True):
+
+        def cosine(v) -> float:
             x = np.asarray(v, float)
             size = np.linalg.norm(x) * np.linalg.norm(middle)
-            last = [*last, float(x @ middle / size) if size else 0.0][-self.size :]
+            return float(x @ middle / size) if size else 0.0
+
+        # vectors are let go part by part: of a batch two numbers a row are put in order
+        seen = [(seq, cosine(v)) for part in rows for seq, v in zip(part["seq"], part["vec"], strict=True)]
+        out = []
+        for seq, c in sorted(seen, key=lambda x: x[0]):
+            last = [*last, c][-self.size :]
             out.append((key[0], seq, float(np.mean(last)) / self.mean, 1 - 3 * self.std / (self.mean * len(last) ** 0.5)))
         self.cosines.put([(c,) for c in last])
         yield pd.DataFrame(out, columns=["key", "seq", "ratio", "line"])
