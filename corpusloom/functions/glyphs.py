@@ -78,8 +78,14 @@ def repair_glyphs(pieces: pd.Series) -> pd.Series:
 
 def vertical_overlap(top_a: Column, bottom_a: Column, top_b: Column, bottom_b: Column) -> Column:
     """Share of the lower box's height in which two boxes overlap; 0 for a box without height."""
-    lower = F.least(bottom_a - top_a, bottom_b - top_b)
-    return F.when(lower > 0, F.greatest(F.least(bottom_a, bottom_b) - F.greatest(top_a, top_b), F.lit(0.0)) / lower).otherwise(0.0)
+    return overlap_of_heights(top_a, bottom_a - top_a, top_b, bottom_b - top_b)
+
+
+def overlap_of_heights(top_a: Column, height_a: Column, top_b: Column, height_b: Column) -> Column:
+    """The same of boxes with known heights, which edges that were rounded would give inexactly."""
+    lower = F.least(height_a, height_b)
+    below_a, below_b = F.greatest(top_a - top_b, F.lit(0.0)), F.greatest(top_b - top_a, F.lit(0.0))
+    return F.when(lower > 0, F.greatest(F.least(height_a - below_b, height_b - below_a), F.lit(0.0)) / lower).otherwise(0.0)
 
 
 def broken_lam_alefs(glyphs: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from corpusloom.functions.glyphs import vertical_overlap
+from corpusloom.functions.glyphs import overlap_of_heights
 from corpusloom.functions.text import arabic_digits, article_references, citation, paragraph_numbers
 
 # ---- Fixed values: they must equal the reference's for equal results. ----
@@ -152,9 +152,13 @@ def tag_counts(spark, edges_view: str, root: str) -> DataFrame:
 
 
 def visual_lines(pieces: DataFrame, *, rtl: bool, least: float = 0.5) -> DataFrame:
-    """Adds line_no and place of (cell, pos, x0, y0, x1, y1): neighbours that overlap vertically by half of the lower are one line."""
+    """Adds line_no and place of (cell, pos, x0, y0, x1, y1): neighbours that overlap vertically by half of the lower are one line.
+
+    Pieces may bring their ``height`` instead of y1; a sum y1 = y0 + height is rounded, which decides where the overlap is just half.
+    """
     w = Window.partitionBy("cell").orderBy("pos")
-    share = vertical_overlap(F.col("y0"), F.col("y1"), F.lag("y0").over(w), F.lag("y1").over(w))
+    height = F.col("height") if "height" in pieces.columns else F.col("y1") - F.col("y0")
+    share = overlap_of_heights(F.col("y0"), height, F.lag("y0").over(w), F.lag(height).over(w))
     first = F.lag("pos").over(w).isNull()  # least and greatest skip the nulls that lag gives there
     numbered = pieces.withColumn("new", (first | (share < least)).cast("int")).withColumn("line_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     order = F.desc("x1") if rtl else F.asc("x0")
