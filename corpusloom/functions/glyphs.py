@@ -117,10 +117,11 @@ def digit_runs(glyphs: Column) -> Column:
     return F.aggregate(F.concat(F.transform(glyphs, lambda g: F.struct(g["c"].alias("c"), g["x0"].alias("x0"), g["x1"].alias("x1"))), end), start, step, lambda acc: F.struct(acc["descending_x"], acc["ascending_x"], acc["mixed"]))
 
 
-def highlighted_text(line: Column, fills: Column) -> Column:
+def highlighted_text(line: Column, fills: Column, blank: str = "\\s") -> Column:
     """A line's characters from the first to the last whose middle lies in a fill, without blanks around and full stops before; empty if none does.
 
-    line: array of (c, x0, y0, x1, y1) in reading order; fills: array of (x0, y0, x1, y1), whose right and lower edges are outside.
+    line: array of (c, x0, y0, x1, y1) in reading order; fills: array of (x0, y0, x1, y1), whose right and lower edges are outside;
+    blank: pattern of one blank. Null for null.
     """
     def under(g: Column) -> Column:
         x, y = (g["x0"] + g["x1"]) / 2, (g["y0"] + g["y1"]) / 2
@@ -130,4 +131,5 @@ def highlighted_text(line: Column, fills: Column) -> Column:
     first = F.array_position(marks, F.lit(True)).cast("int")
     last = F.size(line) + 1 - F.array_position(F.reverse(marks), F.lit(True)).cast("int")
     text = F.array_join(F.transform(F.slice(line, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0))), lambda g: g["c"]), "")
-    return F.when(first > 0, F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"^[. ]+", "")).otherwise(F.lit(""))
+    shown = F.regexp_replace(F.regexp_replace(text, rf"^(?:{blank})+|(?:{blank})+\z", ""), r"^[. ]+", "")
+    return F.when(line.isNotNull() & fills.isNotNull(), F.when(first > 0, shown).otherwise(F.lit("")))

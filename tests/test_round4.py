@@ -27,3 +27,9 @@ def test_pieces_that_overlap_by_half(spark, same):
     """Sums of an edge and a height are rounded, which moved half overlaps to either side."""
     rows = [(e, 1, v) for e, v in enumerate([0.3, 5.3, 0.1, 5.1, 11.3, 6.3, 1.3, 6.4, 7.7, 2.7, -3.3, 1.7, None])]
     assert same("visual_lines", events=(rows, "event_id long, user_id long, value double"))
+
+
+def test_blanks_around_highlighted_text(same):
+    """Blanks as SQL's trim knows them: space separators, but no line breaks; a null text stays null."""
+    rows = [(1, "x\nEstiin is haed end"), (2, "ab \u00a0\u3000cde fgh ijk \u2009"), (3, None), (4, ""), (5, "abcde. . fg\t \n ")]
+    assert same("highlighted_lines", benchmark=(rows, "item_id long, text string"))
