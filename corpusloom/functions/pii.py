@@ -2,11 +2,13 @@
 
 The pattern is an alternation, so the leftmost match wins and no two overlap; where an address and a phone number
 begin together the address, which is then longer, comes first. It is written in what Java's and Python's ``regex``
-have in common. Digits are made ASCII before matching, one for one, so places hold in the text as it was.
+have in common. Its digits are ASCII, Arabic or Persian ones, so it is matched on the text as it is.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from functools import cache
 
 from pyspark.sql import Column
@@ -27,28 +29,62 @@ _MONTH_DAY = "(?:0[13578]|1[02])(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)(?:0[1-9
 _LEAP_DAY = "(?:2(?:0[48]|[13579][26]|[2468][048])|3(?:[13579][26]|[02468][048]))0229"
 #: Century, birth date, place of birth, five more digits.
 NATIONAL_ID = f"(?:[23][0-9]{{2}}(?:{_MONTH_DAY})|{_LEAP_DAY})(?:{BIRTHPLACES})[0-9]{{5}}"
+
+
+def _any_digits(pattern: str) -> str:
+    """The pattern with each ASCII digit, alone or in a class, standing for the Arabic and the Persian one too; counts in braces stay."""
+    def wide(m: re.Match) -> str:
+        inside = m[0].strip("[]")
+        if m[0][0] == "{" or not re.search("[0-9]", inside):
+            return m[0]
+        return f"[{inside}{''.join(inside.translate(str.maketrans(ASCII_DIGITS, d)) for d in (ARABIC_DIGITS, PERSIAN_DIGITS))}]"
+
+    return re.sub(r"\{[^}]*\}|\[[^\]]*\]|[0-9]", wide, pattern)
+
+
 _LOCAL, _HOST = "[\\p{L}\\p{N}_.+-]", "[\\p{L}\\p{N}_-]"
 _EMAIL = f"{_LOCAL}++@{_HOST}+(?:\\.{_HOST}+)+"
 #: An honorific with its article and prefixes, and the blanks after it; what follows is a name.
 LEAD = f"(?<!{ARABIC_LETTER})(?:[وف]?[بك]?ال|[وف]?لل)(?:{'|'.join(HONORIFICS)})\\s+"
 _NAME = f"(?!{_EMAIL})(?!ال){ARABIC_LETTER}+(?:\\s+{ARABIC_LETTER}+){{0,2}}"
-PATTERN = f"(?:\\G|(?<!{_LOCAL})){_EMAIL}|(?<![0-9])(?:{NATIONAL_ID}|{MOBILE})(?![0-9])|{LEAD}{_NAME}"
+_NUMBERS = {KINDS[0]: _any_digits(NATIONAL_ID), KINDS[1]: _any_digits(MOBILE)}
+_DIGIT = _any_digits("[0-9]")
+
+
+def pattern_of(kinds: Sequence[str]) -> str:
+    """The pattern of some kinds; numbers and names look at their first character before anything else, which few places pass."""
+    if not kinds or set(kinds) - set(KINDS):
+        raise ValueError(f"kinds must be some of {KINDS}: {kinds}")
+    numbers = "|".join(p for k, p in _NUMBERS.items() if k in kinds)
+    parts = [f"(?:\\G|(?<!{_LOCAL})){_EMAIL}" if KINDS[2] in kinds else "", numbers and f"(?=[+]|{_DIGIT})(?<!{_DIGIT})(?:{numbers})(?!{_DIGIT})", f"(?=[وفبكال]){LEAD}{_NAME}" if KINDS[3] in kinds else ""]
+    return "|".join(filter(None, parts))
+
+
+PATTERN = pattern_of(KINDS)
 
 
 def _kind(match: Column) -> Column:
     return (
-        F.when(match.contains("@"), KINDS[2]).when(match.rlike("^[23][0-9]{13}$"), KINDS[0]).when(match.rlike("^[+0-9]"), KINDS[1]).otherwise(KINDS[3])
+        F.when(match.contains("@"), KINDS[2]).when(ascii_digits(match).rlike("^[23][0-9]{13}$"), KINDS[0]).when(match.rlike(f"^(?:[+]|{_DIGIT})"), KINDS[1]).otherwise(KINDS[3])
     )
 
 
-def find_pii(text: Column) -> Column:
+def _lead(match: Column) -> Column:
+    """The honorific before a name, which is not part of it."""
+    return F.regexp_extract(match, "^" + LEAD, 0)
+
+
+def _parts(text: Column, kinds: Sequence[str]) -> Column:
+    """Array of (gap, match): what lies between matches, and these; the last match is null."""
+    pattern = pattern_of(kinds)
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+
+
+def find_pii(text: Column, kinds: Sequence[str] = KINDS) -> Column:
     """Array of (kind, start, end) in order, in code points; a name without its honorific. Null for null.
 
     The text's parts between matches give the places, so nothing is searched for twice.
     """
-    plain = ascii_digits(text)
-    gaps, found = F.split(plain, PATTERN, -1), F.regexp_extract_all(plain, F.lit(PATTERN), F.lit(0))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("match"))
     kind = "struct<at:int,spans:array<struct<kind:string,start:int,end:int>>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("spans")).cast(kind)
 
@@ -56,31 +92,29 @@ def find_pii(text: Column) -> Column:
         begin = acc["at"] + F.length(p["gap"])
         end = begin + F.length(p["match"])
         what = _kind(p["match"])
-        lead = F.when(what == KINDS[3], F.length(F.regexp_extract(p["match"], "^" + LEAD, 0))).otherwise(0)
+        lead = F.when(what == KINDS[3], F.length(_lead(p["match"]))).otherwise(0)
         span = F.struct(what.alias("kind"), (begin + lead).alias("start"), end.alias("end"))
         return F.when(p["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans")).cast(kind))
 
-    return F.when(text.isNotNull(), F.aggregate(pairs, start, step, lambda acc: acc["spans"]))
+    return F.when(text.isNotNull(), F.aggregate(_parts(text, kinds), start, step, lambda acc: acc["spans"]))
 
 
-def redact(text: Column) -> Column:
-    """The text with every finding replaced by its kind in brackets."""
-    kind = "struct<at:int,shown:string>"
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("shown")).cast(kind)
+def redact(text: Column, kinds: Sequence[str] = KINDS) -> Column:
+    """The text with every finding replaced by its kind in brackets: parts put together once, whatever their number."""
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["shown"], before, F.lit("["), s["kind"], F.lit("]")).alias("shown")).cast(kind)
+    def shown(p: Column) -> Column:
+        what = _kind(p["match"])
+        lead = F.when(what == KINDS[3], _lead(p["match"])).otherwise("")
+        return F.when(p["match"].isNull(), p["gap"]).otherwise(F.concat(p["gap"], lead, F.lit("["), what, F.lit("]")))
 
-    whole = F.aggregate(find_pii(text), start, step, lambda acc: F.concat(acc["shown"], F.substr(text, acc["at"] + 1)))
-    return F.when(ascii_digits(text).rlike(PATTERN), whole).otherwise(text)
+    return F.when(text.rlike(pattern_of(kinds)), F.array_join(F.transform(_parts(text, kinds), shown), "")).otherwise(text)
 
 
 @cache
-def _compiled():
+def _compiled(kinds: tuple[str, ...]):
     import regex
 
-    return regex.compile(PATTERN), regex.compile(LEAD), str.maketrans(ARABIC_DIGITS + PERSIAN_DIGITS, ASCII_DIGITS * 2)
+    return regex.compile(pattern_of(kinds)), regex.compile(LEAD), str.maketrans(ARABIC_DIGITS + PERSIAN_DIGITS, ASCII_DIGITS * 2)
 
 
 class Pieces:
@@ -91,11 +125,11 @@ class Pieces:
     it goes on no further. One character before it is kept for what the pattern looks back at.
     """
 
-    def __init__(self, before: str = "", held: str = ""):
-        self.before, self.held = before, held
+    def __init__(self, before: str = "", held: str = "", kinds: Sequence[str] = KINDS):
+        self.before, self.held, self.kinds = before, held, tuple(kinds)
 
     def take(self, piece: str, last: bool = False) -> str:
-        pattern, lead, ascii_of = _compiled()
+        pattern, lead, ascii_of = _compiled(self.kinds)
         text = self.before + self.held + piece
         plain, at, out = text.translate(ascii_of), len(self.before), []
         open_from = len(text)
