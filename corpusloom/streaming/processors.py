@@ -5,7 +5,7 @@ State is bounded per key: a redactor holds what may still be part of a match, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,23 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corpusloom.functions.pii import Pieces
+from corpusloom.functions.pii import KINDS, Pieces
 
 
 class Redactor(StatefulProcessor):
     """Pieces (key, seq, piece, last) in arrival order to (key, seq, shown): shown joined over a key equals batch redaction."""
 
+    def __init__(self, kinds: Sequence[str] = KINDS):
+        self.kinds = tuple(kinds)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("pieces", "before string, held string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(*(self.state.get() if self.state.exists() else ()))
+        pieces = Pieces(*(self.state.get() if self.state.exists() else ()), kinds=self.kinds)
         batch = pd.concat(list(rows)).sort_values("seq")
         shown = []
         for piece, last in zip(batch["piece"], batch["last"], strict=True):
             shown.append(pieces.take(piece or "", bool(last)))
             if last:
-                pieces = Pieces()
+                pieces = Pieces(kinds=self.kinds)
         if pieces.before or pieces.held:
             self.state.update((pieces.before, pieces.held))
         else:
@@ -40,8 +43,8 @@ class Redactor(StatefulProcessor):
         pass
 
 
-def redact_stream(pieces: DataFrame) -> DataFrame:
-    return pieces.groupBy("key").transformWithStateInPandas(Redactor(), "key long, seq long, shown string", "append", "none")
+def redact_stream(pieces: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+    return pieces.groupBy("key").transformWithStateInPandas(Redactor(kinds), "key long, seq long, shown string", "append", "none")
 
 
 class DriftWindow(StatefulProcessor):
