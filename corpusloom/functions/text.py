@@ -47,22 +47,26 @@ CITED_RANGE = ARABIC_PREFIX + r"مواد\s*من\s*[0-9]+(?:\s*(?:الي|حتي)\
 # ---- End of fixed values. ----
 
 
+#: Before a class of characters above U+0600, or of blanks: one comparison passes over the characters of most texts.
+ABOVE_LATIN, NOT_INK = "(?![\\x00-\\u0600])", "(?![!-~])"
 #: What folding changes; most texts of other alphabets have none of it.
-FOLDED = "[\\u0640\\u200b-\\u200f\\u202a-\\u202e\\u2066-\\u2069\\u061c\\ufeff\\u064b-\\u0652\\u0670" + ALEF_FROM + ARABIC_DIGITS + PERSIAN_DIGITS + "]"
+FOLDED = ABOVE_LATIN + "[\\u0640\\u200b-\\u200f\\u202a-\\u202e\\u2066-\\u2069\\u061c\\ufeff\\u064b-\\u0652\\u0670" + ALEF_FROM + ARABIC_DIGITS + PERSIAN_DIGITS + "]"
 
 
 def normalize_lines(text: Column) -> Column:
     """Invisible characters dropped, inline whitespace collapsed, lines stripped, empty lines dropped (rules N3 to N5).
 
-    Plain regular expressions: splitting into an array of lines would leave whole-stage code generation.
+    Plain regular expressions: splitting into an array of lines would leave whole-stage code generation. Single spaces,
+    which stay, are no match.
     """
-    clean = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), INLINE_SPACE + "+", " ")
+    spaces = f"{NOT_INK}(?: (?={INLINE_SPACE})|(?! ){INLINE_SPACE}){INLINE_SPACE}*"
+    clean = F.regexp_replace(F.regexp_replace(text, ABOVE_LATIN + INVISIBLE, ""), spaces, " ")
     return F.btrim(F.regexp_replace(clean, " ?\n[\n ]*", "\n"), F.lit(" \n"))
 
 
 def fold_letters(text: Column) -> Column:
     """Letter variants unified, diacritics and invisible characters dropped, digits in ASCII; texts without any go through untouched."""
-    plain = F.translate(F.regexp_replace(text, INVISIBLE, ""), ALEF_FROM + ARABIC_DIGITS + PERSIAN_DIGITS, ALEF_TO + ASCII_DIGITS * 2)
+    plain = F.translate(F.regexp_replace(text, ABOVE_LATIN + INVISIBLE, ""), ALEF_FROM + ARABIC_DIGITS + PERSIAN_DIGITS, ALEF_TO + ASCII_DIGITS * 2)
     return F.when(text.rlike(FOLDED), F.regexp_replace(plain, DIACRITICS, "")).otherwise(text)
 
 
@@ -73,7 +77,7 @@ def fold(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits of the folded, lower-cased text; underscores separate. White space needs no cleaning for this."""
-    return F.regexp_extract_all(F.lower(fold_letters(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(fold_letters(text)), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
 
 
 def light_stem(token: Column) -> Column:
@@ -186,7 +190,7 @@ def answer_kind(answer: Column, unaddressed: Column) -> Column:
 
 def article_references(question: Column) -> Column:
     """Article numbers that a question names, in order, each once; plurals are left to search."""
-    pattern = r"(?iu)(?:(?<![\p{L}\p{N}_])[وف]?(?:ال|بال|لل)?ماده|(?<![\p{L}\p{N}_])(?:article|art\.?))\s*\(?\s*\d+"
+    pattern = r"(?=[aAوفابلم])(?iu)(?:(?=[وفابلم])(?<![\p{L}\p{N}_])[وف]?(?:ال|بال|لل)?ماده|(?=art)(?<![\p{L}\p{N}_])(?:article|art\.?))\s*\(?\s*\d+"
     found = F.regexp_extract_all(fold(question), F.lit(pattern), F.lit(0))
     return F.array_distinct(F.transform(found, lambda m: F.regexp_extract(m, r"(\d+)$", 1).cast("int")))
 
