@@ -90,11 +90,11 @@ def bm25_search(questions: DataFrame, index: DataFrame, *, k: int, k1: float = K
     return ranked(scored, F.desc("score"), F.asc("id"), k=k)
 
 
-def dense_search(questions: DataFrame, vectors: DataFrame, *, k: int, skip_self: bool = True, block: int = 4096) -> DataFrame:
+def dense_search(questions: DataFrame, vectors: DataFrame, *, k: int, skip_self: bool = True, block: int = 4096, at_once: int = 256) -> DataFrame:
     """(qid, id, score, rank) of (qid, qvec) against (id, vec): exact cosine, to 9 digits, 0 without a norm or of another length.
 
     A stated question set meets all vectors in blocks: a task holds up to about ``block`` of each and multiplies them as
-    matrices, and gives up to k rows a question. Rows shipped are vectors times blocks of questions and the reverse.
+    matrices, ``at_once`` questions at a time, and gives up to k rows a question. Rows shipped are vectors times blocks of questions and the reverse.
     """
     import numpy as np
     import pandas as pd
@@ -114,6 +114,11 @@ def dense_search(questions: DataFrame, vectors: DataFrame, *, k: int, skip_self:
         if not len(ids) or not len(qids):
             return pd.DataFrame({"qid": group["qid"][:0], "id": group["id"][:0], "score": np.zeros(0)})
         vectors, wanted = group["v"][~asks].tolist(), group["v"][asks].tolist()
+        order = ids.argsort(kind="stable").to_numpy()  # ties go to the smaller id
+        return pd.concat([best(qids[i : i + at_once], wanted[i : i + at_once], ids, vectors, order) for i in range(0, len(qids), at_once)])
+
+    def best(qids: pd.Series, wanted: list, ids: pd.Series, vectors: list, order: np.ndarray) -> pd.DataFrame:
+        """The k best of some questions: their scores are all that is held of the block's pairs."""
         sizes = {len(v) for v in wanted if v is not None}
         scores = np.zeros((len(wanted), len(vectors)))
         for size in sizes:  # as a rule there is one
@@ -124,7 +129,6 @@ def dense_search(questions: DataFrame, vectors: DataFrame, *, k: int, skip_self:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     scores[np.ix_(q, x)] = np.where(norms > 0, np.round(a @ b.T / norms, 9), 0.0)
         out = []
-        order = ids.argsort(kind="stable").to_numpy()  # ties go to the smaller id
         for i, qid in enumerate(qids):
             mine = order[(ids[order] != qid).to_numpy()] if skip_self else order
             top = mine[np.argsort(-scores[i, mine], kind="stable")[:k]]

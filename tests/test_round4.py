@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import pii as P, text as T
+from corpusloom.operators import records as O, retrieval as R
 from corpusloom.plans import catalogue
 
 
@@ -72,3 +73,11 @@ def test_tokens_cost_little_more_than_their_pattern(spark):
 
     plain = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     assert seconds(T.tokens(F.col("t"))) < 2.5 * seconds(plain)
+
+
+def test_dense_search_holds_scores_of_some_questions_at_a_time(spark):
+    """Slices of a block's questions give what the whole block gives."""
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1, float(i % 3)]) for i in range(60)], "id long, vec array<double>")
+    asked = rows.where("id % 4 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    one, many = (sorted(map(tuple, R.dense_search(asked, rows, k=5, at_once=n).collect())) for n in (1, 1000))
+    assert one == many and len(one) == 75
