@@ -118,28 +118,18 @@ def repeal_reply(language: Column, subject: Column, first: Column, last: Column,
 def cut_sections(lines: DataFrame, headings: list[tuple[str | None, str]]) -> DataFrame:
     """(doc, section, text) of (doc, line_no, line): each heading's pattern is looked for after the one before.
 
-    A heading without a name ends the section before it only. The cursor moves with each match, so lines of one
-    document are walked in order, in one group per document.
+    A heading without a name ends the section before it only. The cursor moves with each match: each heading's place is the
+    first line that fits from the cursor on. Lines of one document are one row, in the JVM.
     """
-    import re
-
-    import pandas as pd
-
-    found = [(name, re.compile(pattern)) for name, pattern in headings]
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        text = rows.sort_values("line_no")["line"].tolist()
-        starts, at = [], 0
-        for name, pattern in found:
-            hit = next((i for i in range(at, len(text)) if pattern.search(text[i])), None)
-            if hit is not None:
-                starts.append((hit, name))
-                at = hit + 1
-        ends = [*[i for i, _ in starts[1:]], len(text)][: len(starts)]  # none without a heading
-        out = [(rows["doc"].iloc[0], name, "\n".join(text[i + 1 : end])) for (i, name), end in zip(starts, ends, strict=True) if name is not None]
-        return pd.DataFrame(out, columns=["doc", "section", "text"])
-
-    return lines.groupBy("doc").applyInPandas(walk, "doc long, section string, text string")
+    out = lines.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l")).withColumn("t", F.transform("l", lambda x: x["line"])).withColumn("at", F.lit(1))
+    for k, (_, pattern) in enumerate(headings):
+        fits = lambda i: (i >= F.col("at")) & F.element_at("t", i).rlike(pattern)  # noqa: B023, E731 - called before the next one
+        out = out.withColumn(f"hit_{k}", F.array_min(F.filter(F.sequence(F.lit(1), F.size("t")), fits))).withColumn("at", F.coalesce(F.col(f"hit_{k}") + 1, "at"))
+    hit = [F.col(f"hit_{k}") for k in range(len(headings))]
+    end = lambda k: F.coalesce(*hit[k + 1 :], F.size("t") + 1)
+    cut = lambda k: F.when(hit[k].isNotNull(), F.array_join(F.slice("t", hit[k] + 1, end(k) - hit[k] - 1), "\n"))
+    parts = [F.struct(F.lit(name).alias("section"), cut(k).alias("text")) for k, (name, _) in enumerate(headings) if name is not None]
+    return out.select(F.col("doc").cast("long").alias("doc"), F.inline(F.array(*parts))).where("text IS NOT NULL")
 
 
 def tag_counts(spark, edges_view: str, root: str) -> DataFrame:

@@ -81,3 +81,11 @@ def test_dense_search_holds_scores_of_some_questions_at_a_time(spark):
     asked = rows.where("id % 4 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     one, many = (sorted(map(tuple, R.dense_search(asked, rows, k=5, at_once=n).collect())) for n in (1, 1000))
     assert one == many and len(one) == 75
+
+
+def test_sections_leave_the_rows_in_the_jvm(spark):
+    """A group of Python a document took most of the time."""
+    rows = spark.createDataFrame([(1, 2, "end"), (1, 0, "a"), (1, 1, "x"), (1, 3, "y"), (1, 4, "t"), (2, 0, "b")], "doc long, line_no int, line string")
+    out = O.cut_sections(rows, [("one", "^[Aa]"), ("two", "^[Ee]"), (None, "^[Tt]")])
+    assert sorted(map(tuple, out.collect())) == [(1, "one", "x"), (1, "two", "y")]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
