@@ -114,7 +114,8 @@ def subword_counts(spark, d):
     starts = common.select("w").union(letters)
     vocabulary = starts.union(starts.select(F.concat(F.lit("##"), "w"))).distinct().collect()  # 6,000 pieces and two for a letter
     cut = subwords.subword_tokens(sorted(r["w"] for r in vocabulary), inner="##")
-    return spread(read(spark, d, "documents")).select(F.explode(cut(T.tokens(F.col("text")))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    counted = spread(read(spark, d, "documents")).select(F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return counted.select("n", F.explode(cut(F.array("w"))).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))  # a word is cut once
 
 
 def ruled_rows(spark, d):
