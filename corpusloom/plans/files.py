@@ -45,17 +45,17 @@ def paged_events(spark, d):
     def fetch(cursor, query, path=path, size=20_000):
         import pyarrow.dataset as ds
 
-        at = int(cursor or 0)
-        # type by type, in order of the file; a page ends the reading
-        rows = ds.dataset(path).scanner(columns=["event_id", "event_type", "value"], filter=ds.field("event_type") == query).to_reader()
-        page, seen = [], 0
-        for b in rows:
-            if seen + b.num_rows > at:
-                page += b.slice(max(0, at - seen), size - len(page)).to_pylist()
-            seen += b.num_rows
-            if len(page) >= size:
-                break
-        return [(r["event_id"], r["event_type"], r["value"]) for r in page], str(at + len(page)) if len(page) == size else None
+        # type by type, in order of the file; a cursor is a row group and a place in it, and one group is held at a time
+        group, at = map(int, (cursor or "0:0").split(":"))
+        groups = [g for f in ds.dataset(path).get_fragments() for g in f.split_by_row_group()]
+        while group < len(groups):
+            rows = groups[group].to_table(columns=["event_id", "event_type", "value"], filter=ds.field("event_type") == query, batch_readahead=1, use_threads=False)
+            page = rows.slice(at, size).to_pylist()
+            after = (group, at + size) if at + size < rows.num_rows else (group + 1, 0)
+            if page:
+                return [(r["event_id"], r["event_type"], r["value"]) for r in page], "{}:{}".format(*after) if after[0] < len(groups) else None
+            group, at = after
+        return [], None
 
     spark.dataSource.register(paged.paged_source("paged_events", fetch, "event_id long, event_type string, value double"))
     types = [r["event_type"] for r in read(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(1000).collect()]  # a handful of types
