@@ -155,14 +155,21 @@ def assemble(rows: DataFrame, *, pages: int = 1000) -> tuple[DataFrame, DataFram
     A continuation joins the unit before it if that is an article; a heading before it, or nothing, makes it an
     orphan. Heading rows open paths, heading by heading as headings.heading_rows finds them; an article has the path of
     the last one before it, in English. Rows are numbered by page and row, which tell a document's rows apart. A document is
-    cut into ranges of so many pages; a range takes over the open unit and path of those before it. Rows are stored once.
+    cut into ranges of so many pages; a range takes over the open unit and path of those before it. Rows are stored once, with a
+    number each: what runs over a document is found without texts, which then come to their units by that number.
     """
     from corpusloom.operators.headings import heading_rows
 
-    rows = stored(rows, "classified")
+    numbers = {
+        "number": F.when(F.col("kind") == "article", F.regexp_extract(first_line(F.col("en_text")), EN_HEADER, 3).cast("int")),
+        "gone_from": F.when(F.col("kind") == "repeal", F.regexp_extract("en_text", REPEALED, 1).cast("int")),
+        "gone_to": F.when(F.col("kind") == "repeal", F.regexp_extract("en_text", REPEALED, 2).cast("int")),
+    }
     place, span = ["page", "row_index"], F.floor(F.col("page") / pages)
+    cells = rows.select("doc", *place, "kind", "en_text", "ar_text", *[c.alias(n) for n, c in numbers.items()])
+    rows = stored(cells.withColumn("row", F.monotonically_increasing_id()), "classified")
     opens = F.col("kind").isin("article", "heading", "repeal")
-    seq = running(rows, ["doc"], place, span, sums={"pos": F.lit(1), "unit": opens.cast("int")}, lasts={"unit_kind": F.when(opens, F.col("kind"))})
+    seq = running(rows.drop("en_text", "ar_text"), ["doc"], place, span, sums={"pos": F.lit(1), "unit": opens.cast("int")}, lasts={"unit_kind": F.when(opens, F.col("kind"))})
     seq = seq.withColumn("pos", F.col("pos").cast("int"))
     heads, odd = heading_rows(rows, pages=pages)
     # places within a cell follow each other between two rows
@@ -173,21 +180,21 @@ def assemble(rows: DataFrame, *, pages: int = 1000) -> tuple[DataFrame, DataFram
     # a heading row whose only heading is the title of the one before has that one's path
     seq = running(stored(seq, "paths"), ["doc"], place, span, lasts={"path": F.col("path")})
     joins = (F.col("kind") == "article") | ((F.col("kind") == "continuation") & (F.col("unit_kind") == "article"))
-    part = F.struct("pos", "page", "row_index", "en_text", "ar_text")
-    units = seq.where(joins).groupBy("doc", "unit").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("path").alias("path"))
-    text = lambda side: F.array_join(F.transform("parts", lambda p: p[f"{side}_text"]), "\n")
-    articles = units.select(
-        "doc",
-        F.regexp_extract(first_line(F.col("parts")[0]["en_text"]), EN_HEADER, 3).cast("int").alias("article_number"),
-        text("en").alias("text_en"),
-        text("ar").alias("text_ar"),
-        F.coalesce("path", F.array().cast("array<string>")).alias("heading_path"),
-        F.array_distinct(F.transform("parts", lambda p: p["page"])).alias("source_pages"),
+    texts = lambda *kinds: rows.where(F.col("kind").isin(*kinds)).select("row", "en_text", "ar_text")
+    # each column is an aggregate of its own, so that what is not asked for is not gathered
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda p: p[c])
+    units = seq.where(joins).join(texts("article", "continuation"), "row").groupBy("doc", "unit")
+    articles = units.agg(
+        F.min_by("number", "pos").alias("article_number"),
+        F.array_join(listed("en_text"), "\n").alias("text_en"),
+        F.array_join(listed("ar_text"), "\n").alias("text_ar"),
+        F.coalesce(F.first("path"), F.array().cast("array<string>")).alias("heading_path"),
+        F.array_distinct(listed("page")).alias("source_pages"),
         F.lit(False).alias("is_repealed"),
-    )
-    gone = seq.where("kind = 'repeal'").select(
+    ).drop("unit")
+    gone = seq.where("kind = 'repeal'").join(texts("repeal"), "row").select(
         "doc",
-        F.explode(F.sequence(F.regexp_extract("en_text", REPEALED, 1).cast("int"), F.regexp_extract("en_text", REPEALED, 2).cast("int"))).alias("article_number"),
+        F.explode(F.sequence("gone_from", "gone_to")).alias("article_number"),
         F.col("en_text").alias("text_en"),
         F.col("ar_text").alias("text_ar"),
         F.coalesce("path", F.array().cast("array<string>")).alias("heading_path"),

@@ -85,14 +85,15 @@ def heading_rows(rows: DataFrame, *, pages: int = 1000) -> tuple[DataFrame, Data
     languages do not pair up and those that are numbered in one language only.
 
     A document is cut into ranges of so many pages; a range takes over what waits at the end of the one before it. Only heading
-    cells are worked on, in three stored steps; page and row_index order a document's rows.
+    cells are worked on, in three stored steps; page and row_index order a document's rows. No text but that of headings is moved.
     """
     place, span = ["page", "row_index"], F.floor(F.col("page") / pages)
+    is_heading = F.col("kind") == "heading"
+    rows = rows.select("doc", *place, "kind", *[F.when(is_heading, F.col(c)).alias(c) for c in ("en_text", "ar_text")])
     seq = running(rows, ["doc"], place, span, sums={"pos": F.lit(1)}, lags={"page_before": F.col("page")})
     seq = seq.withColumns({"pos": F.col("pos").cast("int"), "new_page": ~F.coalesce(F.col("page") == F.col("page_before"), F.lit(False))}).drop("page_before")
-    is_heading = F.col("kind") == "heading"
     cell = F.when(is_heading, aligned(units(cell_lines(F.col("en_text")), "en"), units(cell_lines(F.col("ar_text")), "ar")))
-    seq = seq.withColumn("cell", cell).withColumn("n", F.coalesce(F.size("cell.pairs"), F.lit(0)))
+    seq = seq.withColumn("cell", cell).drop("en_text", "ar_text").withColumn("n", F.coalesce(F.size("cell.pairs"), F.lit(0)))
     last = F.try_element_at("cell.pairs", F.lit(-1))
     waits = F.coalesce(is_heading & (F.coalesce(last["en"]["waits"], F.lit(False)) | F.coalesce(last["ar"]["waits"], F.lit(False))), F.lit(False))
     takes = is_heading & F.col("new_page") & (F.col("n") > 0)
