@@ -210,8 +210,10 @@ def merge_repealed(articles: DataFrame, *, range_size: int = 4096) -> DataFrame:
     """Runs of consecutive repealed articles with equal texts as one row (article_number, range_end, citation, n).
 
     A document is cut into ranges of article numbers; a range takes over the last article of the one before it. Of rows of one
-    number the order is that of the texts.
+    number the order is that of the texts. Texts of articles in force decide nothing and are not moved.
     """
+    text = {c: F.when(F.col("is_repealed"), F.col(c)).alias(c) for c in ("text_en", "text_ar")}
+    articles = articles.select("doc", "article_number", "is_repealed", *text.values())
     span, order = F.floor(F.col("article_number") / range_size), ["article_number", "is_repealed", "text_en", "text_ar"]
     here = F.struct("article_number", "is_repealed", "text_ar", "text_en")
     before = running(articles, ["doc"], order, span, lags={"__before": here})

@@ -31,3 +31,7 @@ def test_assembly_stores_texts_once(spark):
 def test_spans_leave_texts_alone(spark):
     articles = C.assemble(typed(spark))[0].select("doc", F.array_join("heading_path", " > ").alias("path"), "article_number")
     assert "_text" not in plan(O.heading_spans(articles))
+
+
+def test_repealed_runs_gather_no_texts_of_articles_in_force(spark):
+    assert "collect_list" not in plan(C.merge_repealed(C.assemble(typed(spark))[0]))
