@@ -17,6 +17,8 @@ from corpusloom.functions.vectors import norm
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Rows of (question, term) that are sent to all tasks, at most.
 BROADCAST_ROWS = 500_000
+#: Questions whose scores a task holds side by side, at most.
+MOST_QUESTIONS = 10_000
 
 
 def ranked(rows: DataFrame, *order: Column, k: int | None = None, by: str = "qid") -> DataFrame:
@@ -72,24 +74,113 @@ def bm25_weights(posted: DataFrame, stats: DataFrame, *, k1: float = K1, b: floa
     return posted.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", (idf() * part).alias("weight"))
 
 
-def bm25_search(questions: DataFrame, index: DataFrame, *, k: int, k1: float = K1, b: float = B, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def bm25_search(questions: DataFrame, index: DataFrame, *, k: int, k1: float = K1, b: float = B, broadcast_rows: int = BROADCAST_ROWS, most_questions: int = MOST_QUESTIONS) -> DataFrame:
     """(qid, id, score, rank) of (qid, words) over a token index: the k best of each question.
 
     A repeated question term adds again; documents without a question term are no result, nor are zero scores.
-    Question terms and their document counts go to the documents, if they are few by count: then a document's postings are
-    summed where they are, before any shuffle. Of more question terms, postings and terms meet by term.
+    Question terms and their document counts go to the documents, if they are few by count: then a task scores its own
+    documents and gives up to k rows a question, so that no posting is shuffled. Of more question terms, postings and terms meet by term.
+    With b = 0 lengths do not count, and are not read.
     """
     asked = questions.select("qid", F.explode("words").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    ship = F.broadcast if asked.count() <= broadcast_rows else lambda df: df  # a bounded number of rows
-    posted = postings(index)
-    df = posted.join(ship(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    # stats is one row
-    terms = asked.join(df, "term").crossJoin(F.broadcast(corpus_stats(index))).select("term", "qid", (F.col("times") * idf()).alias("w"), "avg_len")
-    part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
-    scored = posted.join(ship(terms), "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * part), 9).alias("score")).where("score > 0")
+    size = asked.agg(F.count("*").alias("rows"), F.count_distinct(F.struct("qid")).alias("questions")).head()
+    if size["rows"] <= broadcast_rows and size["questions"] <= most_questions:
+        scored = best_by_task(asked, index, k=k, k1=k1, b=b)
+    else:
+        posted = postings(index)
+        df = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        # stats is one row
+        terms = asked.join(df, "term").crossJoin(F.broadcast(corpus_stats(index))).select("term", "qid", (F.col("times") * idf()).alias("w"), "avg_len")
+        part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
+        scored = posted.join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * part), 9).alias("score")).where("score > 0")
     return ranked(scored, F.desc("score"), F.asc("id"), k=k)
 
 
+def best_by_task(asked: DataFrame, index: DataFrame, *, k: int, k1: float, b: float, block: int = 1 << 18) -> DataFrame:
+    """(qid, id, score) of (qid, term, times): the k best of each question among each task's documents.
+
+    Asked terms with their questions, and the counts of documents that hold them, are sent to all tasks: a bounded number of rows.
+    A task looks its documents' terms up among them and sums by question and document, about ``block`` sums and products at a
+    time; of these it keeps what is among the k best so far.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = asked.collect()
+    qids, words = list(dict.fromkeys(r["qid"] for r in rows)), sorted({r["term"] for r in rows if r["term"] is not None})
+    q_of, w_of, vocabulary = {q: i for i, q in enumerate(qids)}, {w: i for i, w in enumerate(words)}, pa.array(words, pa.string())
+    if not words:
+        return asked.join(index.select("id"), F.lit(False)).select("qid", "id", F.lit(0.0).alias("score"))
+
+    def pieces(batches):
+        """Some documents at a time, so that a task holds few arrays of a batch's length."""
+        for batch in batches:
+            yield from (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000))
+
+    def count(batches):
+        held = np.zeros(len(vocabulary), np.int64)
+        for batch in pieces(batches):
+            at = pc.index_in(batch.column("term").flatten(), vocabulary).drop_null()
+            held += np.bincount(at.to_numpy(zero_copy_only=False), minlength=len(held))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.flatnonzero(held), pa.int32()), "n": pa.array(held[held > 0], pa.int64())})
+
+    df = np.zeros(len(words))
+    for r in index.select("terms.term").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        df[r["at"]] = r["n"]
+    stats = index.agg(F.count("*").alias("n"), (F.avg("dl") if b else F.lit(1.0)).alias("avg_len")).head()
+    idf_of = np.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
+    entries = sorted((w_of[r["term"]], q_of[r["qid"]], r["times"]) for r in rows if r["term"] is not None)
+    asked_w, asked_q, times = (np.array([e[i] for e in entries]) for i in range(3))
+    weight, starts = times * idf_of[asked_w], np.searchsorted(asked_w, np.arange(len(words) + 1))
+    avg_len = stats["avg_len"] or 1.0
+    n_q = len(qids)
+
+    def best(batches):
+        held, least = None, np.zeros(n_q)  # the k-th best score of each question so far
+        for batch in pieces(batches):
+            terms, n_docs = batch.column("term"), batch.num_rows
+            at = pc.index_in(terms.flatten(), vocabulary)
+            hit = at.is_valid().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(n_docs), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))[hit]
+            at, tf = at.drop_null().to_numpy(zero_copy_only=False), batch.column("tf").flatten().to_numpy(zero_copy_only=False)[hit]
+            long = k1 * (1 - b + b * batch.column("dl").to_numpy(zero_copy_only=False)[doc] / avg_len) if b else k1
+            part, fan = tf / (tf + long), np.diff(starts)[at]
+            cost = np.cumsum(np.bincount(doc, fan, minlength=n_docs) + n_q)
+            cuts = [0, *(np.flatnonzero(np.diff(cost // block)) + 1), n_docs]
+            found = [] if held is None else [held]
+            for low, high in zip(cuts, cuts[1:]):
+                mine = slice(*np.searchsorted(doc, (low, high)))
+                n = fan[mine]
+                place = np.arange(n.sum()) + np.repeat(starts[at[mine]] - (np.cumsum(n) - n), n)
+                key = asked_q[place] * (high - low) + np.repeat(doc[mine] - low, n)
+                scores = np.bincount(key, weight[place] * np.repeat(part[mine], n), minlength=n_q * (high - low)).reshape(n_q, -1)
+                scores = np.floor(scores * 1e9 + 0.5) / 1e9
+                if high - low > k:
+                    least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                q, d = np.nonzero((scores > 0) & (scores >= least[:, None]))  # ties go on, the smaller id decides
+                found.append(pa.table({"q": pa.array(q, pa.int32()), "id": batch.column("id").take(pa.array(low + d)), "score": scores[q, d]}))
+                if sum(map(len, found)) > block:
+                    found = [first(pa.concat_tables(found))]
+            held = first(pa.concat_tables(found))
+            q, n = held["q"].to_numpy(), np.bincount(held["q"].to_numpy(), minlength=n_q)
+            full = n >= k
+            least[full] = np.maximum(least[full], held["score"].to_numpy()[np.cumsum(n)[full] - 1])
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    def first(table):
+        """The k best rows of each question, in order."""
+        table = table.take(pc.sort_indices(table, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start"))
+        q = table["q"].to_numpy()
+        return table.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+
+    columns = ["id", *(["dl"] if b else []), F.col("terms.term").alias("term"), F.col("terms.tf").alias("tf")]
+    out = index.select(*columns).mapInArrow(best, f"q int, id {index.schema['id'].dataType.simpleString()}, score double")
+    numbered = asked.sparkSession.createDataFrame(list(enumerate(qids)), f"q int, qid {asked.schema['qid'].dataType.simpleString()}")
+    return out.join(F.broadcast(numbered), "q").select("qid", "id", "score")
+
+
 def dense_search(questions: DataFrame, vectors: DataFrame, *, k: int, skip_self: bool = True, block: int = 4096, at_once: int = 256) -> DataFrame:
     """(qid, id, score, rank) of (qid, qvec) against (id, vec): exact cosine, to 9 digits, 0 without a norm or of another length.
 
