@@ -43,7 +43,8 @@ def token_index(spark, d):
 
 
 def bm25(spark: SparkSession, d: str, *, stopwords: str = "none", b: float = R.B, k: int = TOP) -> DataFrame:
-    return R.bm25_search(questions(spark, d, stopwords), indexed(spark, d, stopwords), k=k, b=b)
+    # no question asks for a stopword, and without b no length counts: then the index serves as it is
+    return R.bm25_search(questions(spark, d, stopwords), indexed(spark, d, stopwords if b else "none"), k=k, b=b)
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval as R
+from corpusloom.plans import catalogue
 
 
 def plan(df) -> str:
@@ -39,3 +40,9 @@ def test_search_in_small_blocks(spark):
     assert len(found[0]) == 24 and sorted(found[0]) == sorted(found[1]) == sorted(found[2])
     nothing = R.best_by_task(asked.limit(0), index, k=4, k1=R.K1, b=R.B)
     assert nothing.columns == ["qid", "id", "score"] and nothing.count() == 0
+
+
+def test_list_without_stopwords_reads_the_index_as_it_is(spark):
+    """Where lengths do not count, no document's terms are filtered first; the lists are as in the SQL."""
+    out = plan(catalogue.QUERIES["rrf_fusion"](spark, "/root/testdata/sf0.001"))
+    assert "aggregate(" not in out and "filter(terms" not in out
