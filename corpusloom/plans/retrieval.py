@@ -115,7 +115,10 @@ def rrf_fusion(spark, d):
 
 def reranked(spark, d) -> DataFrame:
     terms = indexed(spark, d).select("id", F.col("terms.term").alias("terms"))  # tokenised before
-    rows = fused(spark, d).where(F.col("rank") <= TOP).join(terms, "id").join(questions(spark, d), "qid")
+    head, asked = fused(spark, d).where(F.col("rank") <= TOP), questions(spark, d)
+    if asked.count() * TOP <= R.BROADCAST_ROWS:  # then the lists go to the index, which is not shuffled
+        head = F.broadcast(head)
+    rows = terms.join(head, "id").join(asked, "qid")
     return R.rerank(rows, R.scorer_named("token_overlap"), question="words", text="terms", depth=HEAD).drop("terms", "words")
 
 

@@ -46,3 +46,8 @@ def test_list_without_stopwords_reads_the_index_as_it_is(spark):
     """Where lengths do not count, no document's terms are filtered first; the lists are as in the SQL."""
     out = plan(catalogue.QUERIES["rrf_fusion"](spark, "/root/testdata/sf0.001"))
     assert "aggregate(" not in out and "filter(terms" not in out
+
+
+def test_reranking_does_not_shuffle_the_index(spark):
+    out = plan(catalogue.QUERIES["rerank_head"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin [id" not in out
