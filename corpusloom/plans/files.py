@@ -39,27 +39,12 @@ def lines_and_tables(spark, d):
 
 
 def paged_events(spark, d):
-    """Events behind a cursor, a page at a time, one partition for each type."""
+    """Events behind a cursor, a page at a time, in partitions of about equal numbers of rows, whatever their types."""
     path = f"{d}/events.parquet"
-
-    def fetch(cursor, query, path=path, size=20_000):
-        import pyarrow.dataset as ds
-
-        # type by type, in order of the file; a cursor is a row group and a place in it, and one group is held at a time
-        group, at = map(int, (cursor or "0:0").split(":"))
-        groups = [g for f in ds.dataset(path).get_fragments() for g in f.split_by_row_group()]
-        while group < len(groups):
-            rows = groups[group].to_table(columns=["event_id", "event_type", "value"], filter=ds.field("event_type") == query, batch_readahead=1, use_threads=False)
-            page = rows.slice(at, size).to_pylist()
-            after = (group, at + size) if at + size < rows.num_rows else (group + 1, 0)
-            if page:
-                return [(r["event_id"], r["event_type"], r["value"]) for r in page], "{}:{}".format(*after) if after[0] < len(groups) else None
-            group, at = after
-        return [], None
-
+    fetch = paged.parquet_pages(path, ["event_id", "event_type", "value"])
     spark.dataSource.register(paged.paged_source("paged_events", fetch, "event_id long, event_type string, value double"))
-    types = [r["event_type"] for r in read(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(1000).collect()]  # a handful of types
-    rows = spark.read.format("paged_events").option("query", ",".join(types)).load()
+    parts = paged.parquet_parts(path, 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.read.format("paged_events").option("query", ",".join(parts)).load()
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("event_id").alias("last_id"))
 
 

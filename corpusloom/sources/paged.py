@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +53,69 @@ def paged_source(name: str, fetch: Callable[..., tuple[list[tuple], str | None]]
     return Paged
 
 
+def parquet_parts(path: str, parts: int, least: int = 20_000) -> list[str]:
+    """First cursors of parquet_pages for all rows of a Parquet table, in at most that many parts of about equal numbers of rows.
+
+    A part has `least` rows or more, but for the last. Only the files' footers are read.
+    """
+    import pyarrow.dataset as ds
+
+    groups = []
+    for at, f in enumerate(ds.dataset(path, format="parquet").get_fragments()):
+        groups += [(at, g.id, g.num_rows) for g in f.row_groups if g.num_rows]
+    rows = sum(n for _, _, n in groups)
+    size, out, before = max(least, math.ceil(rows / parts)), [], 0
+    for file, group, n in groups:
+        # a part begins at each multiple of size
+        out += [f"{file}:{group}:{begin - before}:{min(size, rows - begin)}" for begin in range(math.ceil(before / size) * size, before + n, size)]
+        before += n
+    return out
+
+
+def parquet_pages(path: str, columns: list[str], size: int = 20_000) -> Callable[..., tuple[list[tuple], str | None]]:
+    """A fetch for paged_source over a Parquet table: pages of up to size rows, in order of the files.
+
+    A cursor names a file, a row group, the rows to skip in it and the rows that are left; the query is the first one. The
+    reader that gave a page is kept for the next, so that a part's rows are decoded once and no row group is held; at any other
+    cursor a reader of its own begins, which decodes the rows to skip.
+    """
+    held: dict[str, Iterator[tuple[list[tuple], str | None]]] = {}
+
+    def pages(file: int, group: int, skip: int, left: int) -> Iterator[tuple[list[tuple], str | None]]:
+        import pyarrow.dataset as ds
+        import pyarrow.parquet as pq
+
+        for at, f in list(enumerate(ds.dataset(path, format="parquet").get_fragments()))[file:]:
+            with f.open() as source:
+                table = pq.ParquetFile(source, buffer_size=1 << 20)
+                for g in range(group, table.num_row_groups):
+                    seen = 0
+                    for batch in table.iter_batches(size, row_groups=[g], columns=columns, use_threads=False):
+                        page = batch.slice(min(max(skip - seen, 0), batch.num_rows), left)
+                        seen += batch.num_rows
+                        left -= page.num_rows
+                        if page.num_rows:
+                            yield list(zip(*(page.column(c).to_pylist() for c in columns), strict=True)), f"{at}:{g}:{seen}:{left}" if left else None
+                        if not left:
+                            return
+                    skip = 0
+            group = 0
+        raise EOFError(f"{left} rows less than when {path} was divided")
+
+    def fetch(cursor: str | None, query: str = "") -> tuple[list[tuple], str | None]:
+        at = cursor or query
+        if not at:  # a table without rows
+            return [], None
+        reader = held.pop(at, None) or pages(*map(int, at.split(":")))
+        rows, after = next(reader)
+        held.clear()
+        if after:
+            held[after] = reader
+        return rows, after
+
+    return fetch
+
+
 RUNS = "run_id string, stage string, status string, params map<string,string>, metrics map<string,double>, began double, ended double, error string"
 
 
